@@ -242,10 +242,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", kept:
             low = bits[np.arange(len(texts)), best]
             weight = np.exp(-4 * (bits - low[:, None]))
             none = chars == 0
-            late = low > model.limit[best] + model.slack / np.sqrt(np.maximum(chars, 1))
             return out | {
                 "lang_pred": ["und" if no else model.languages[b] for no, b in zip(none, best, strict=True)], "score": np.where(none, 0.0, 1 / weight.sum(1)),
-                "entropy": [None if no else float(v) for no, v in zip(none, low, strict=True)], "chars": chars, "rejected": none | late,
+                "entropy": [None if no else float(v) for no, v in zip(none, low, strict=True)], "chars": chars, "rejected": rejected(model, bits, chars),
             }
 
         return step
@@ -253,6 +252,26 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", kept:
     return map_rows(docs.select(*kept, F.col(text_col).alias("_text")), make, schema)
 
 
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that :func:`predict` does not reject."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value) if sent.value else None
+        for batch in batches:
+            if scorer and batch.num_rows:
+                bits, chars = scorer.entropies(batch[text_col].to_pylist())
+                yield batch.filter(pa.array(~rejected(scorer.model, bits, chars)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def rejected(model: Model, bits: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """No letters, or more bits per character than the language's limit and what a short text may add."""
+    best = bits.argmin(1)
+    return (chars == 0) | (bits[np.arange(len(best)), best] > model.limit[best] + model.slack / np.sqrt(np.maximum(chars, 1)))
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 

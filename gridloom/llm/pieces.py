@@ -26,6 +26,7 @@ from .common import map_rows
 
 MARK = "▁"
 NEVER = float("-inf")
+UNKNOWN = 1 << 20  # stands for a character that is in no piece
 PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -33,6 +34,7 @@ PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class Vocabulary:
     """The pieces of a model by id, their scores, and the ids of the pieces that stand for bytes."""
 
+    name: str
     pieces: tuple[str, ...]
     scores: tuple[float, ...]
     ordinary: tuple[bool, ...]
@@ -47,7 +49,8 @@ class Vocabulary:
         ids = range(model.vocab_size())
         special = lambda i: model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
         found = {model.id_to_piece(i): i for i in ids if model.is_byte(i)}
-        return cls(tuple(map(model.id_to_piece, ids)), tuple(map(model.get_score, ids)), tuple(not special(i) for i in ids), tuple(found[f"<0x{b:02X}>"] for b in range(256)))
+        name = hashlib.sha256(model.serialized_model_proto()).hexdigest()
+        return cls(name, tuple(map(model.id_to_piece, ids)), tuple(map(model.get_score, ids)), tuple(not special(i) for i in ids), tuple(found[f"<0x{b:02X}>"] for b in range(256)))
 
 
 class Codec:
@@ -67,6 +70,7 @@ class Codec:
             self.surface[i] = bytes([b])
         self.fits: dict[int, bool] = {}
         self.alone: list = [None] * len(self.tokens)
+        self.neighbours = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.score_of = {p: vocabulary.scores[i] for p, i in self.id_of.items()}.get
 
     def history(self, token: int) -> tuple[bool, list[float], list[str], list[str]]:
@@ -103,9 +107,9 @@ class Codec:
         at each moment the symbols at the border would merge if their piece beat both next merges.
         """
         key = left << 32 | right
-        _, a, _, ends = self.alone[left] or self.history(left)
         alone, b, starts, _ = self.alone[right] or self.history(right)
-        if alone:
+        if alone and left != UNKNOWN:
+            _, a, _, ends = self.alone[left] or self.history(left)
             score = self.score_of
             i = j = 0
             x, y, p, q = ends[0], starts[0], a[0], b[0]
@@ -127,54 +131,48 @@ class Codec:
         self.fits[key] = alone
         return alone
 
-    def encode_part(self, part: str) -> list[int]:
-        """Ids of a string without begin mark; characters in no piece have the id -1 - code point."""
-        n = len(part)
-        last = [None] * (n + 1)
-        fits, length, compatible, history = self.fits.get, self.length, self.compatible, self.history
-        done = 0
+    def runs(self, part: str) -> list[str]:
+        """Cut a string where two characters meet that are neighbours in no piece: nothing merges there."""
+        near = self.neighbours
+        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in near]
+        if not cuts:
+            return [part]
+        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
+
+    def encode_run(self, part: str) -> list[int]:
+        """Ids of a string by its prefixes' last tokens; a character in no piece becomes its bytes."""
+        last: list = [None] * len(part)
+        known, length = self.fits.get, self.length
         for end, token in self.automaton.iter(part):
-            end += 1
-            while done < end - 1:  # positions at which no piece ends: a character in no piece
-                done += 1
-                if last[done] is None:
-                    last[done] = -1 - ord(part[done - 1])
             if last[end] is not None:
                 continue
             start = end - length[token]
-            if start == 0:
-                if history(token)[0]:
+            if start < 0:
+                alone = self.alone[token] or self.history(token)
+                if alone[0]:
                     last[end] = token
                 continue
             before = last[start]
-            if before < 0:
-                if history(token)[0]:
-                    last[end] = token
-                continue
-            ok = fits(before << 32 | token)
-            if ok is None:
-                ok = compatible(before, token)
-            if ok:
+            if before is None:
+                before = UNKNOWN
+            ok = known(before << 32 | token)
+            if ok or ok is None and self.compatible(before, token):
                 last[end] = token
-        for k in range(done + 1, n + 1):
-            if last[k] is None:
-                last[k] = -1 - ord(part[k - 1])
         ids = []
-        at = n
-        while at:
+        at = len(part) - 1
+        while at >= 0:
             token = last[at]
-            ids.append(token)
-            at -= length[token] if token >= 0 else 1
-        ids.reverse()
-        if min(ids, default=0) >= 0:
-            return ids
-        out: list[int] = []
-        for i in ids:
-            if i >= 0:
-                out.append(i)
+            if token is None:
+                ids.extend(self.vocabulary.bytes_[b] for b in reversed(part[at].encode("utf-8", "surrogatepass")))
+                at -= 1
             else:
-                out.extend(self.vocabulary.bytes_[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
-        return out
+                ids.append(token)
+                at -= length[token]
+        ids.reverse()
+        return ids
+
+    def encode_part(self, part: str) -> list[int]:
+        return [i for run in self.runs(part) for i in self.encode_run(run)]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text."""
@@ -195,14 +193,19 @@ def parts(text: str | None) -> list[str]:
 
 
 class Memory(dict):
-    """What each part of a text is encoded to: ids joined by commas, and the text they decode to."""
+    """What each part of a text is encoded to: ids joined by commas, and the bytes they decode to."""
 
     def __init__(self, codec: Codec, most: int = 300_000, longest: int = 48) -> None:
         self.codec, self.most, self.longest = codec, most, longest
 
     def __missing__(self, part: str) -> tuple[str, bytes]:
-        ids = self.codec.encode_part(part)
-        out = ",".join(map(str, ids)), self.codec.decode_bytes(ids)
+        runs = self.codec.runs(part)
+        if len(runs) == 1:
+            ids = self.codec.encode_run(part)
+            out = ",".join(map(str, ids)), self.codec.decode_bytes(ids)
+        else:
+            found = [self[r] for r in runs]
+            out = ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
         if len(part) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
@@ -210,12 +213,23 @@ class Memory(dict):
         return out
 
 
+_held: dict[str, Memory] = {}
+
+
+def memory_of(vocabulary: Vocabulary) -> Memory:
+    """This process's memory for a vocabulary; tasks that follow each other in a worker share it."""
+    if vocabulary.name not in _held:
+        _held.clear()
+        _held[vocabulary.name] = Memory(Codec(vocabulary))
+    return _held[vocabulary.name]
+
+
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each document; rows are not moved."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a model's list of pieces, of fixed size
 
     def make():
-        memory = Memory(Codec(sent.value))
+        memory = memory_of(sent.value)
 
         def step(x):
             n, ids_hash, text_hash = [], [], []
@@ -239,7 +253,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
     schema = docs.select(*kept).schema.add(ids_col, "array<int>")
 
     def make():
-        memory = Memory(Codec(sent.value))
+        memory = memory_of(sent.value)
 
         def step(x):
             ids = [[int(i) for p in parts(t) for i in memory[p][0].split(",")] for t in x[text_col]]
@@ -256,7 +270,7 @@ def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids",
     schema = encoded.select(*kept).schema.add(text_col, "string")
 
     def make():
-        codec = Codec(sent.value)
+        codec = memory_of(sent.value).codec
         return lambda x: {**{k: x[k] for k in kept}, text_col: [codec.decode(i or []) for i in x[ids_col]]}
 
     return map_rows(encoded.select(*kept, ids_col), make, schema)

@@ -1,12 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, langid, mixing, pieces, sharding, simhash
+from . import embeddings, exact_dedup, langid, licenses, mixing, pieces, sharding, simhash
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
     "op2_mix_sources": mixing.op2,
     "op4_hash_tree_shards": sharding.op4,
+    "op5_near_vectors": embeddings.op5,
     "op6_exact_dedup": exact_dedup.op6,
+    "op7_licenses": licenses.op7,
     "op8_simhash": simhash.op8,
     "op10_language_id": langid.op10,
 }
