@@ -217,7 +217,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     marks = {r["_l"]: r for r in marked.groupBy("_l").agg(F.expr("percentile(entropy, 0.5)").alias("mid"), F.expr("percentile(entropy, 0.99)").alias("high")).collect()}
     for i, x in enumerate(model.languages):
         if x in marks:
-            model.limit[i] = marks[x]["high"] + 3 * max(marks[x]["high"] - marks[x]["mid"], 0.1)
+            model.limit[i] = marks[x]["high"] + 6 * max(marks[x]["high"] - marks[x]["mid"], 0.1)
     return model
 
 

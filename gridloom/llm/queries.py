@@ -1,15 +1,17 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import embeddings, exact_dedup, langid, licenses, mixing, pieces, sharding, simhash
+from . import embeddings, exact_dedup, langid, licenses, mixing, pieces, sharding, simhash, suffix_dedup, window_index
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
     "op2_mix_sources": mixing.op2,
+    "op3_suffix_dedup": suffix_dedup.op3,
     "op4_hash_tree_shards": sharding.op4,
     "op5_near_vectors": embeddings.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_licenses": licenses.op7,
     "op8_simhash": simhash.op8,
+    "op9_window_index": window_index.op9,
     "op10_language_id": langid.op10,
 }
 ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
