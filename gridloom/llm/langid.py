@@ -196,8 +196,11 @@ class Scorer:
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_chars: int = 2_000_000) -> Model | None:
     """Fit and calibrate on rows where ``learn`` holds and the language is not null."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
-    total = rows.groupBy("_l").agg(F.sum(F.length("_t")).alias("_n"))  # one row per language
-    rows = rows.join(total, "_l").withColumn("_u", F.pmod(F.xxhash64("_i", F.lit("fit")), F.lit(1_000_003)) / 1_000_003 * F.col("_n"))
+    total = rows.groupBy("_l").agg(F.sum(F.length("_t")).alias("_n")).collect()  # one row per language, as many as the model has columns
+    if not total:
+        return None
+    chars = F.create_map(*[x for r in total for x in (F.lit(r["_l"]), F.lit(r["_n"]))])[F.col("_l")]
+    rows = rows.withColumn("_u", F.pmod(F.xxhash64("_i", F.lit("fit")), F.lit(1_000_003)) / 1_000_003 * chars)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
