@@ -38,7 +38,11 @@ def char_ngrams(text: Column, low: int, high: int) -> Column:
     """Character n-grams inside words, each word with a blank at either end."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = [F.flatten(F.transform(padded, lambda w, n=n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))) for n in range(low, high + 1)]
+
+    def of(n: int):
+        return lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = [F.flatten(F.transform(padded, of(n))) for n in range(low, high + 1)]
     return F.flatten(F.array(*grams))
 
 

@@ -231,3 +231,153 @@ def standard_boxes(d: DataFrame) -> DataFrame:
     xs, ys = F.transform("p", lambda s: s["x"]), F.transform("p", lambda s: s["y"])
     e = corners.select("doc_id", "box_id", F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
     return e.withColumn("x_center", (F.col("x_min") + F.col("x_max")) / 2).withColumn("y_center", (F.col("y_min") + F.col("y_max")) / 2)
+
+# -- names -------------------------------------------------------------------------------------------
+
+query("variant_lookup_join", None, f"WITH a AS ({x.VARIANTS}), l AS ({x.VARIANT_LOG}), b AS (SELECT variant_text, canonical_name FROM (SELECT *, row_number() OVER (PARTITION BY variant_text ORDER BY occurrence_count DESC, canonical_name) AS n FROM l) q WHERE n = 1) SELECT a.value, b.canonical_name FROM a LEFT JOIN b ON a.value = b.variant_text")(
+    lambda get: entities.lookup_variants(get(x.VARIANTS), get(x.VARIANT_LOG)).select("value", "canonical_name")
+)
+FUZZY = "p AS (SELECT value, canonical_name, frequency, CASE WHEN replace(value, ' ', '') = replace(canonical_name, ' ', '') THEN 0 ELSE levenshtein(value, canonical_name) END AS d FROM a JOIN e ON length(value) >= 2 AND abs(length(value) - length(canonical_name)) <= 2), w AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY d, frequency DESC, canonical_name) AS n FROM p WHERE d <= 2)"
+query("fuzzy_entity_match", None, f"WITH a AS ({x.VARIANTS}), e AS ({x.ENTITIES}), {FUZZY} SELECT value, canonical_name, d::BIGINT AS distance FROM w WHERE n = 1")(lambda get: entities.fuzzy_match(get(x.VARIANTS), get(x.ENTITIES), 2, F.levenshtein))
+query("entity_correct", None, f"""WITH v AS ({x.VARIANTS}), e AS ({x.ENTITIES}), l AS ({x.VARIANT_LOG}), b AS (SELECT variant_text, canonical_name FROM (SELECT *, row_number() OVER (PARTITION BY variant_text ORDER BY occurrence_count DESC, canonical_name) AS n FROM l) q WHERE n = 1),
+ a AS (SELECT v.value FROM v LEFT JOIN e ON v.value = e.canonical_name LEFT JOIN b ON v.value = b.variant_text WHERE e.canonical_name IS NULL AND b.variant_text IS NULL), {FUZZY}
+ SELECT v.value, CASE WHEN e.canonical_name IS NOT NULL THEN v.value ELSE coalesce(b.canonical_name, w.canonical_name, v.value) END AS corrected, CASE WHEN e.canonical_name IS NOT NULL THEN 'known' WHEN b.canonical_name IS NOT NULL THEN 'variant' WHEN w.canonical_name IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS tier
+ FROM v LEFT JOIN e ON v.value = e.canonical_name LEFT JOIN b ON v.value = b.variant_text LEFT JOIN w ON w.value = v.value AND w.n = 1""")(lambda get: entities.correct(get(x.VARIANTS), get(x.ENTITIES), get(x.VARIANT_LOG), 2, F.levenshtein))
+query("dictionary_replace", "SELECT p_partkey, p_type FROM part", "SELECT p_partkey, replace(replace(replace(p_type, 'STEEL', 'IRON'), 'IRON', 'Fe'), 'BRASS', 'CuZn') AS fixed FROM t")(lambda d: d.select("p_partkey", entities.replace_all(F.col("p_type"), [("STEEL", "IRON"), ("IRON", "Fe"), ("BRASS", "CuZn")]).alias("fixed")))
+BEFORE = "SELECT o_orderkey AS r, o_orderstatus AS value FROM orders"
+AFTER = "SELECT o_orderkey AS r, CASE o_orderkey % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '' ELSE o_orderstatus END AS value FROM orders WHERE o_orderkey % 9 > 0"
+DIFF = f"SELECT b.r, b.value AS original, a.value AS corrected FROM ({BEFORE}) b JOIN ({AFTER}) a ON a.r = b.r WHERE b.value <> '' AND a.value <> '' AND a.value <> b.value"
+query("cell_diff", None, DIFF)(lambda get: entities.cell_diff(get(BEFORE), get(AFTER), ["r"]))
+query("learn_corrections", None, f"SELECT original, corrected, count(*) AS n FROM ({DIFF}) q WHERE NOT (original IN ('F') AND corrected IN ('Z')) GROUP BY 1, 2")(
+    lambda get: entities.cell_diff(get(BEFORE), get(AFTER), ["r"]).where("NOT (original IN ('F') AND corrected IN ('Z'))").groupBy("original", "corrected").agg(F.count(F.lit(1)).alias("n"))
+)
+query("groundtruth_diff", None, "WITH g AS (SELECT c_nationkey AS k, c_name AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer WHERE c_mktsegment <> 'MACHINERY'), o AS (SELECT c_nationkey AS k, c_mktsegment AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) SELECT g.k, g.n, o.value AS original, g.value AS corrected FROM g JOIN o ON g.k = o.k AND g.n = o.n WHERE g.value <> o.value")(
+    lambda get: entities.cell_diff(*(get(f"SELECT c_nationkey AS k, {col} AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer WHERE {cond}") for col, cond in (("c_mktsegment", "true"), ("c_name", "c_mktsegment <> 'MACHINERY'"))), ["k", "n"])
+)
+query("corrections_anti_join", x.LOG, "SELECT doc_type, name, count(*) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.name = t.name AND u.position = 16) GROUP BY 1, 2")(
+    lambda d: d.join(d.where("position = 16").select("name").distinct(), "name", "left_anti").groupBy("doc_type", "name").agg(F.count(F.lit(1)).alias("n"))
+)
+query("cache_lookup", None, "SELECT d.doc_id, min(e.doc_id) AS cached_by, count(e.doc_id) AS hits FROM documents d LEFT JOIN documents e ON sha256(d.text) = sha256(e.text) AND e.doc_id < d.doc_id GROUP BY 1")(lambda get: cached(get("SELECT doc_id, text FROM documents")))
+
+
+def cached(d: DataFrame) -> DataFrame:
+    """For each document the earlier ones of equal content: counted by a window over hashes, so texts do not move."""
+    from pyspark.sql import Window as W
+
+    k = d.select("doc_id", F.sha2("text", 256).alias("k"))
+    n = (F.row_number().over(W.partitionBy("k").orderBy("doc_id")) - 1).cast("long")
+    return k.withColumn("hits", n).withColumn("first", F.min("doc_id").over(W.partitionBy("k"))).select("doc_id", F.when(F.col("hits") > 0, F.col("first")).alias("cached_by"), "hits")
+
+
+query("cache_upsert", x.LOG, "SELECT name, max_by(amount, seq) AS amount, count(*) AS n FROM t GROUP BY 1")(lambda d: entities.latest(d, ["name"], "seq", "amount"))
+query("template_match", None, "WITH f AS (SELECT l_orderkey AS doc_id, CAST(count(*) AS VARCHAR) || 'x' || CAST(max(l_linenumber) AS VARCHAR) AS h FROM lineitem GROUP BY 1), s AS (SELECT h, count(*) AS sample_count FROM f WHERE doc_id % 2 = 0 GROUP BY 1) SELECT f.doc_id, f.h, sample_count FROM f JOIN s USING (h) WHERE sample_count >= 5 AND doc_id % 2 = 1")(
+    lambda get: templates(get("SELECT l_orderkey AS doc_id, CAST(count(*) AS STRING) || 'x' || CAST(max(l_linenumber) AS STRING) AS h FROM lineitem GROUP BY 1"))
+)
+
+
+def templates(f: DataFrame) -> DataFrame:
+    learned = f.where("doc_id % 2 = 0").groupBy("h").agg(F.count(F.lit(1)).alias("sample_count")).where("sample_count >= 5")
+    return f.where("doc_id % 2 = 1").join(learned, "h").select("doc_id", "h", "sample_count")
+
+
+# -- votes and merges --------------------------------------------------------------------------------
+
+VOTE = "n AS (SELECT cell, value, count(*) AS n, min(pos) AS p FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, p) AS r, sum(n) OVER (PARTITION BY cell) AS total FROM n)"
+query("consensus_vote", x.RUNS, f", {VOTE} SELECT cell, value, n AS votes, CAST(total AS BIGINT) AS total, n > floor(total / 2) AS majority FROM k WHERE r = 1")(lambda d: votes.vote(d, ["cell"]))
+FEW = "SELECT event_id % 4000 AS cell, event_id AS pos, substr(event_type, 1, CAST(3 + event_id % 3 AS INT)) || CAST(user_id % 10 AS STRING) AS value FROM events"
+query("char_vote", FEW, f""", {VOTE}, l AS (SELECT cell, length(value) AS len, count(*) AS n, min(pos) AS p FROM t GROUP BY 1, 2), b AS (SELECT cell, len FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, p) AS r FROM l) q WHERE r = 1),
+ ch AS (SELECT t.cell, t.pos, i AS idx, substr(value, i::INT, 1) AS value FROM t JOIN b ON t.cell = b.cell AND length(value) = len, LATERAL (SELECT unnest(range(1, len + 1)) AS i) u), cn AS (SELECT cell, idx, value, count(*) AS n, min(pos) AS p FROM ch GROUP BY 1, 2, 3),
+ cw AS (SELECT *, row_number() OVER (PARTITION BY cell, idx ORDER BY n DESC, p) AS r FROM cn), s AS (SELECT cell, string_agg(value, '' ORDER BY idx) AS s FROM cw WHERE r = 1 GROUP BY 1) SELECT k.cell, CASE WHEN k.n >= 2 THEN k.value ELSE s.s END AS value FROM k JOIN s USING (cell) WHERE r = 1""")(lambda d: votes.vote_characters(d, ["cell"]))
+RUN_CELLS = "SELECT user_id AS doc_id, CAST(event_id % 3 AS INT) AS run_id, CAST(floor(event_id / 3) AS BIGINT) % 4 AS col_idx, event_id AS pos, event_type AS value FROM events"
+query("consensus_table", RUN_CELLS, """, sh AS (SELECT doc_id, run_id, count(*) AS n FROM t GROUP BY 1, 2), m AS (SELECT doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS r FROM (SELECT doc_id, n, count(*) AS c, min(run_id) AS f FROM sh GROUP BY 1, 2) a) b WHERE r = 1),
+ u AS (SELECT t.* FROM t JOIN sh USING (doc_id, run_id) JOIN m ON m.doc_id = sh.doc_id AND m.n = sh.n), c AS (SELECT doc_id, col_idx, value, count(*) AS n, min(pos) AS p FROM u GROUP BY 1, 2, 3), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, col_idx ORDER BY n DESC, p) AS r FROM c) SELECT doc_id, col_idx, value FROM w WHERE r = 1""")(
+    lambda d: consensus(d)
+)
+
+
+def consensus(d: DataFrame) -> DataFrame:
+    """Runs of the most frequent size only, then a vote for each cell."""
+    shape = d.groupBy("doc_id", "run_id").agg(F.count(F.lit(1)).alias("size"))
+    usual = votes.vote(shape.select("doc_id", F.col("run_id").alias("pos"), F.col("size").alias("value")), ["doc_id"]).select("doc_id", F.col("value").alias("size"))
+    kept = d.join(shape.join(usual, ["doc_id", "size"]), ["doc_id", "run_id"], "left_semi")
+    return votes.vote(kept, ["doc_id", "col_idx"]).select("doc_id", "col_idx", "value")
+
+
+BASE = "SELECT o_orderkey AS r, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS value FROM orders"
+AUX = "SELECT o_orderkey AS r, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS value FROM orders WHERE o_orderkey % 7 > 0"
+query("merge_fill_empty", None, f"SELECT b.r, CASE WHEN b.value = '' AND coalesce(a.value, '') <> '' THEN a.value ELSE b.value END AS value, b.value = '' AND coalesce(a.value, '') <> '' AS filled FROM ({BASE}) b LEFT JOIN ({AUX}) a ON a.r = b.r")(lambda get: votes.fill_empty(get(BASE), get(AUX), ["r"]))
+API = "SELECT p_partkey AS r, CAST(p_size % 6 AS INT) AS ci, CASE p_partkey % 3 WHEN 0 THEN '금액' ELSE '회사' END AS col_name, CASE p_partkey % 4 WHEN 0 THEN p_name ELSE p_name || '!' END AS value FROM part"
+LOCAL = "SELECT p_partkey AS r, CASE p_partkey % 6 WHEN 0 THEN '1,234' WHEN 3 THEN 'n/a' ELSE p_name END AS value FROM part"
+query("merge_arbitrate", None, f"""WITH a AS ({API}), l AS ({LOCAL}), e AS (SELECT DISTINCT canonical_name FROM ({x.ENTITIES}) q) SELECT a.r, CASE WHEN col_name = '금액' THEN CASE WHEN regexp_matches(regexp_replace(l.value, '[,.-]', '', 'g'), '^[0-9]+$') THEN l.value ELSE a.value END
+ WHEN ci < 4 AND l.value IN (SELECT canonical_name FROM e) AND a.value NOT IN (SELECT canonical_name FROM e) THEN l.value ELSE a.value END AS value FROM a LEFT JOIN l ON a.r = l.r""")(
+    lambda get: votes.arbitrate(get(API), get(LOCAL), get(x.ENTITIES), ["r"], F.col("col_name"), F.col("ci"))
+)
+ENGINES = "SELECT user_id AS doc_id, CAST(event_id % 4 AS INT) AS rank, event_id, CAST((event_id % 100) / 100.0 AS DOUBLE) AS confidence FROM events"
+query("engine_fallback_select", ENGINES, ", u AS (SELECT doc_id, rank, max_by(event_id, event_id) AS event_id, max_by(confidence, event_id) AS confidence FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN confidence >= 0.8 THEN 0 ELSE 1 END, CASE WHEN confidence >= 0.8 THEN rank ELSE -rank END) AS n FROM u) SELECT doc_id, rank, event_id, confidence FROM k WHERE n = 1")(
+    lambda d: votes.first_confident(d.groupBy("doc_id", "rank").agg(F.max_by("event_id", "event_id").alias("event_id"), F.max_by("confidence", "event_id").alias("confidence")), ["doc_id"], "rank", "confidence", 0.8)
+)
+OCC = "SELECT l_orderkey AS doc_id, CAST(l_suppkey % 8 AS INT) AS col FROM lineitem GROUP BY 1, 2"
+PLACED = "SELECT o_orderkey AS doc_id, CAST(o_custkey % 8 AS INT) AS col FROM orders"
+query("spread_realign", None, f"SELECT doc_id, col, coalesce(to_col, col) AS to_col FROM (SELECT p.doc_id, p.col, (SELECT o.col FROM ({OCC}) o WHERE o.doc_id = p.doc_id ORDER BY abs(o.col - p.col), o.col LIMIT 1) AS to_col FROM ({PLACED}) p) q")(
+    lambda get: get(PLACED).join(get(OCC).withColumnRenamed("col", "o"), "doc_id", "left").groupBy("doc_id", "col").agg(F.min(F.struct(F.abs(F.col("o") - F.col("col")).alias("d"), F.col("o"))).alias("m")).select("doc_id", "col", F.coalesce("m.o", "col").alias("to_col"))
+)
+
+# -- checks and learned state ------------------------------------------------------------------------
+
+NUMS = f"n AS (SELECT doc_id, row_idx, col_idx, CASE WHEN regexp_matches(replace(trim(value), ',', ''), {PLAIN}) THEN try_cast(replace(trim(value), ',', '') AS DOUBLE) END AS num, col_idx >= 6 AS spread, col_idx = 5 AS total, trim(value) = '합계' AS lab FROM t)"
+query("control_totals", x.CELLS, f""", {NUMS}, s AS (SELECT doc_id, min(CASE WHEN lab THEN row_idx END) AS sr FROM n GROUP BY 1), d AS (SELECT n.*, sr FROM n JOIN s USING (doc_id)),
+ w AS (SELECT doc_id, row_idx, max(CASE WHEN total THEN num END) AS want, coalesce(sum(CASE WHEN spread THEN num END), 0) AS got FROM d WHERE row_idx < sr GROUP BY 1, 2),
+ c AS (SELECT doc_id, col_idx, any_value(sr) AS row_idx, max(CASE WHEN row_idx = sr THEN num END) AS want, coalesce(sum(CASE WHEN row_idx < sr THEN num END), 0) AS got FROM d WHERE spread GROUP BY 1, 2)
+ SELECT d.doc_id, d.row_idx, d.col_idx, 'row' AS rule FROM d JOIN w USING (doc_id, row_idx) WHERE d.spread AND d.num <> 0 AND want <> 0 AND abs(got - want) > 0.01 UNION ALL SELECT doc_id, row_idx, col_idx, 'column' FROM c WHERE abs(got - want) > 0.01""")(validate.control_totals)
+query("processing_stats", x.LOG, "SELECT doc_type, count(*) AS total, count(*) FILTER (WHERE confidence >= 0.8) AS confident, CAST(sum(amount) AS BIGINT) AS amount FROM t GROUP BY 1")(
+    lambda d: d.groupBy("doc_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("confidence") >= 0.8).alias("confident"), F.sum("amount").alias("amount"))
+)
+query("column_stats", x.LOG, "SELECT doc_type, name, min(amount) AS min_val, max(amount) AS max_val, round(avg(amount), 6) AS mean_val, count(amount) AS n FROM t GROUP BY 1, 2")(lambda d: learn.column_stats(d, ["doc_type", "name"], "amount").withColumn("mean_val", F.round("mean_val", 6)))
+query("keyword_fingerprint", x.LOG, "SELECT doc_type, name AS keyword, count(*) AS occurrence_count, max(weight) AS weight FROM t GROUP BY 1, 2")(lambda d: learn.keyword_weights(d.withColumnRenamed("name", "keyword")))
+query("column_template", x.LOG, """, s AS (SELECT doc_type, name, position, row_number() OVER (PARTITION BY doc_type, name ORDER BY seq) AS i FROM t), f AS (WITH RECURSIVE z AS (SELECT doc_type, name, i, position::BIGINT AS p FROM s WHERE i = 1 UNION ALL SELECT s.doc_type, s.name, s.i, (z.p + s.position) // 2 FROM z JOIN s ON s.doc_type = z.doc_type AND s.name = z.name AND s.i = z.i + 1) SELECT * FROM z)
+ SELECT doc_type, name, max(i) AS frequency, max_by(p, i) AS position FROM f GROUP BY 1, 2""")(lambda d: learn.column_positions(d, ["doc_type", "name"]))
+query("top_header_patterns", x.LOG, "SELECT doc_type, name, frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY frequency DESC, name) AS r FROM (SELECT doc_type, name, count(*) AS frequency FROM t GROUP BY 1, 2) a) b WHERE r <= 3")(lambda d: learn.top_patterns(d, "doc_type", "name", 3))
+query("metadata_latest", x.LOG, "SELECT doc_type, name, max_by(amount, seq) AS amount, count(*) AS n FROM t GROUP BY 1, 2")(lambda d: entities.latest(d, ["doc_type", "name"], "seq", "amount"))
+CORR = "SELECT doc_type, name AS wrong, 'c' || CAST(position AS STRING) AS correct, CAST(position AS STRING) AS kind, confidence, seq FROM (" + x.LOG + ") q"
+query("correction_dictionary", CORR, "SELECT doc_type, wrong, correct, count(*) AS n, max(confidence) AS confidence, min_by(kind, seq) AS kind FROM t GROUP BY 1, 2, 3 HAVING max(confidence) >= 0.5")(learn.corrections)
+query("entity_frequency", x.LOG, "SELECT name, count(*) AS frequency FROM t GROUP BY 1")(lambda d: d.groupBy("name").agg(F.count(F.lit(1)).alias("frequency")))
+query("daily_quota", "SELECT ts FROM events", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, count(*) < 20 - 5 AS allowed FROM t GROUP BY 1")(lambda d: learn.daily_quota(d, "ts", 20, 5).withColumn("day", F.col("day").cast("string")))
+query("extraction_confidence", None, f"""WITH b AS (SELECT doc_id, avg(confidence) AS box FROM ({x.BOXES}) q GROUP BY 1), c AS (SELECT doc_id, avg(CASE WHEN value <> '' THEN 1.0 ELSE 0.0 END) AS fill, avg(CASE WHEN col_idx = 0 AND trim(value) <> '' THEN CASE WHEN value IN ('name 0', 'name 1') THEN 1.0 ELSE 0.0 END END) AS names, max(col_idx) + 1 AS cols FROM ({x.CELLS}) q GROUP BY 1)
+ SELECT doc_id, round(list_sum(list_filter([box, least(fill * 1.5, 1.0), names, CASE WHEN cols < 5 THEN 0.1 WHEN cols < 8 THEN 0.4 WHEN cols > 15 THEN 0.5 END], lambda s: s IS NOT NULL)) / len(list_filter([box, fill, names, CASE WHEN cols < 8 OR cols > 15 THEN 1.0 END], lambda s: s IS NOT NULL)), 6) AS confidence FROM c FULL JOIN b USING (doc_id)""")(
+    lambda get: validate.confidence(get(x.BOXES), get(x.CELLS), get("SELECT 'name 0' AS canonical_name UNION ALL SELECT 'name 1'"))
+)
+query("recent_documents", x.LOG, "SELECT doc_type, name, seq FROM t ORDER BY seq DESC LIMIT 20")(lambda d: d.select("doc_type", "name", "seq").orderBy(F.desc("seq")).limit(20))
+query("budgeted_topk", x.LOG, ", c AS (SELECT doc_type, name, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY n DESC, name) AS rn FROM c), s AS (SELECT *, 20 + sum(length(name) + 6) OVER (PARTITION BY doc_type ORDER BY rn) AS chars FROM r WHERE rn <= 20) SELECT doc_type, name, n, rn, CAST(chars AS BIGINT) AS chars FROM s WHERE chars <= 120")(
+    lambda d: learn.within_budget(d.groupBy("doc_type", "name").agg(F.count(F.lit(1)).alias("n")), "doc_type", [F.desc("n"), F.col("name")], F.concat(F.col("name"), F.lit(" -> ok")), 20, 120, 20)
+)
+query("prompt_hints", x.LOG, ", c AS (SELECT doc_type, name, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY n DESC, name) AS rn FROM c) SELECT doc_type, '## ' || doc_type || chr(10) || string_agg('- ' || name, chr(10) ORDER BY rn) AS prompt FROM r WHERE rn <= 5 GROUP BY 1")(
+    lambda d: learn.top_patterns(d, "doc_type", "name", 5).groupBy("doc_type").agg(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "name"))).alias("l")).select("doc_type", F.concat(F.lit("## "), "doc_type", F.lit("\n"), F.array_join(F.transform("l", lambda s: F.concat(F.lit("- "), s["name"])), "\n")).alias("prompt"))
+)
+query("header_overlap", None, "SELECT s_suppkey, len(list_intersect(string_split(s_name, '#'), ['Supplier', '000000001'])) / 2.0::DOUBLE AS overlap FROM supplier")(
+    lambda get: get("SELECT s_suppkey, s_name FROM supplier").select("s_suppkey", (F.size(F.array_intersect(F.split("s_name", "#"), F.array(F.lit("Supplier"), F.lit("000000001")))) / 2).alias("overlap"))
+)
+query("keyword_rule_class", "SELECT doc_id, text FROM documents", "SELECT doc_id, CASE WHEN contains(text, 'thing') OR contains(text, 'that') THEN 'a' WHEN contains(text, 'que') THEN 'b' ELSE 'c' END AS doc_type, CASE WHEN contains(text, 'thing') OR contains(text, 'that') OR contains(text, 'que') THEN 0.8 ELSE 0.3 END AS confidence FROM t")(
+    lambda d: d.select("doc_id", classify.by_rule(F.col("text"), [("a", ["thing", "that"]), ("b", ["que"])], "c").alias("k")).select("doc_id", "k.doc_type", "k.confidence")
+)
+query("keyword_score_class", "SELECT doc_id, text FROM documents", """, s AS (SELECT doc_id, CASE WHEN contains(text, 'thing') THEN 3.0 ELSE 0 END + CASE WHEN contains(text, 'that') THEN 1.5 ELSE 0 END AS a, CASE WHEN contains(text, 'que') THEN 2.0 ELSE 0 END + CASE WHEN contains(text, 'eau') THEN 1.5 ELSE 0 END AS b FROM t)
+ SELECT doc_id, CASE WHEN a + b = 0 THEN 'a' WHEN a >= b THEN 'a' ELSE 'b' END AS doc_type, CASE WHEN a + b = 0 THEN 0.3 ELSE least((greatest(a, b) / (a + b))::DOUBLE, 0.99) END AS confidence FROM s""")(
+    lambda d: classify.by_score(d, [("a", "thing", 3.0), ("a", "that", 1.5), ("b", "que", 2.0), ("b", "eau", 1.5)], ["a", "b"], "a")
+)
+query("tfidf_ngrams", "SELECT p_partkey AS doc_id, p_name AS text FROM part", """, w AS (SELECT doc_id, ' ' || w || ' ' AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM t) q WHERE w <> ''), g AS (SELECT doc_id, substr(w, i::INT, n::INT) AS gram FROM w, (SELECT unnest([2, 3, 4]) AS n) k, LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i) u),
+ c AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY 1, 2), d AS (SELECT gram, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, gram LIMIT 3000) SELECT doc_id, gram, round((1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM t)) / (1.0 + df)) + 1), 6) AS weight FROM c JOIN d USING (gram)""")(lambda d: classify.tfidf(d).withColumn("weight", F.round("weight", 6)))
+query("classifier_model")(lambda get: trained(get("SELECT p_partkey AS doc_id, p_type AS text, substr(p_type, 1, 3) AS label FROM part")))
+
+
+def trained(d: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    out = classify.train(d, "label", "text").transform(d.withColumn("grams", classify.char_ngrams(F.col("text"), 2, 4)))
+    return out.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"), F.round(F.array_max(vector_to_array("probability")), 3).alias("confidence"))
+
+
+EXPECTED = "SELECT CAST(o_custkey % 3 AS STRING) AS case, CAST(o_orderkey AS INT) AS row_idx, 'L, ' || CAST(o_orderkey AS STRING) AS label, o_orderstatus AS v1, o_orderpriority AS v2 FROM orders"
+ACTUAL = "SELECT CAST(o_custkey % 3 AS STRING) AS case, CAST(o_orderkey AS INT) AS row_idx, 'L' || CAST(o_orderkey AS STRING) AS label, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS v1, o_orderpriority AS v2 FROM orders WHERE o_orderkey % 4 > 0"
+query("table_eval", None, f"""WITH e AS ({EXPECTED.replace(" AS case", ' AS "case"')}), a AS ({ACTUAL.replace(" AS case", ' AS "case"')}), j AS (SELECT e."case", a.row_idx IS NOT NULL AS hit, CASE WHEN a.row_idx IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN e.v1 = a.v1 THEN 1 ELSE 0 END + CASE WHEN e.v2 = a.v2 THEN 1 ELSE 0 END AS good
+ FROM e LEFT JOIN a ON e."case" = a."case" AND replace(replace(e.label, ',', ''), ' ', '') = a.label) SELECT "case", round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS row_recall, round(avg(CASE WHEN good = 3 THEN 1.0 ELSE 0.0 END), 4) AS exact_row_accuracy, round(sum(good) / (count(*) * 3.0::DOUBLE), 4) AS cell_accuracy FROM j GROUP BY 1""")(
+    lambda get: validate.evaluate(get(EXPECTED.replace(" AS case", " AS `case`")), get(ACTUAL.replace(" AS case", " AS `case`")), ["label", "v1", "v2"])
+)
