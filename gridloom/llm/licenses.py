@@ -2,7 +2,8 @@
 
 Words are runs of digits, a-z (A-Z lower-cased) and all characters beyond ASCII.  Only words that occur
 in some template are kept with their positions; their document frequencies over all documents
-give their IDF.  Each document's ``rare`` licence words of highest IDF are looked up in the templates'
+give their IDF.  A document that lacks a word of every key phrase cannot be labelled and goes no
+further; none of its words is moved.  Each other document's ``rare`` licence words of highest IDF are looked up in the templates'
 postings; every hit says where the template would begin, and places that at least ``votes`` hits agree
 on are candidates.  A candidate is verified: all words of the template's key phrase must stand
 at their places, and at least ``share`` of the template's words as well.
@@ -16,7 +17,7 @@ document without hits has null places, empty labels and score 0.  Ids must be un
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -58,13 +59,21 @@ def postings(spark) -> DataFrame:
 
 
 def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, pos, word): licence words with their positions, and one row with null or position 0 for each document."""
+    """(id, n_words, hits): each document's licence words with their positions, in one array."""
     vocabulary = sorted({w for *_, p in TEMPLATES for w in p.split()} | {w for p in PHRASES for w in p.split()})
     words = F.array_remove(F.split(text_of(text_col), SEPARATORS), "")
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("_w")).select("id", F.size("_w").cast("long").alias("n_words"), F.posexplode_outer("_w").alias("pos", "word"))
-    plain = F.when(F.length("word") == F.octet_length("word"), F.lower("word"))
-    rows = rows.withColumn("word", F.when(plain.isin(vocabulary), plain)).where("word IS NOT NULL OR pos IS NULL OR pos = 0")
-    return rows.select("id", "n_words", F.col("pos").cast("long").alias("pos"), "word")
+    plain = lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w))
+    placed = F.filter(F.transform("_w", lambda w, i: F.struct(i.cast("long").alias("pos"), plain(w).alias("word"))), lambda s: F.coalesce(s["word"].isin(vocabulary), F.lit(False)))
+    return docs.select(F.col(id_col).alias("id"), words.alias("_w")).select("id", F.size("_w").cast("long").alias("n_words"), placed.alias("hits"))
+
+
+def possible(words: Column) -> Column:
+    """Whether an array has all words of some key phrase or plain phrase: no other document can be labelled."""
+    keys = sorted({tuple(sorted(set(k.split()))) for _, k, _ in TEMPLATES} | {tuple(sorted(set(p.split()))) for p in PHRASES})
+    out = F.lit(False)
+    for key in keys:
+        out = out | (F.size(F.array_except(F.array(*map(F.lit, key)), words)) == 0)
+    return out
 
 
 def base(found: DataFrame) -> DataFrame:
@@ -81,11 +90,10 @@ def base(found: DataFrame) -> DataFrame:
     return seen.withColumn("label", label).where("label IS NOT NULL").select("id", "pos", "label")
 
 
-def matches(found: DataFrame, documents: int, rare: int = 8, votes: int = 2, share: float = 0.8) -> DataFrame:
-    """(id, label, share) of each verified template place, from hits with words."""
+def matches(found: DataFrame, idf: DataFrame, rare: int = 8, votes: int = 2, share: float = 0.8) -> DataFrame:
+    """(id, label, share) of each verified template place, from hits with words and the words' idf."""
     index = F.broadcast(postings(found.sparkSession))
     present = found.select("id", "word").distinct()
-    idf = present.groupBy("word").agg(F.ln((F.lit(documents) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("idf"), "word"))
     top = present.join(F.broadcast(idf), "word").withColumn("rank", best).where(F.col("rank") <= rare).select("id", "word")
     asked = found.join(top, ["id", "word"]).join(index, "word").select("id", "template", (F.col("pos") - F.col("place")).alias("start"))
@@ -99,10 +107,13 @@ def matches(found: DataFrame, documents: int, rare: int = 8, votes: int = 2, sha
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels and score."""
     table = written(hits(docs, id_col, text_col), "hits")
-    every = table.where("pos IS NULL OR pos = 0").select("id", "n_words")
-    found = table.where("word IS NOT NULL")
+    every = table.select("id", "n_words")
+    words = F.array_distinct("hits.word")
+    df = table.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # over all documents
+    idf = df.select("word", F.ln((F.lit(table.count()) + 1) / (F.col("df") + 1)).alias("idf"))
+    found = written(table.where(possible(words)).select("id", F.inline("hits")), "licence-words")
     plain = base(found).select("id", "pos", "label", F.lit(1.0).alias("share"), F.lit(True).alias("base"))
-    more = matches(found, every.count(), **limits).select("id", F.lit(None).cast("long").alias("pos"), "label", "share", F.lit(False).alias("base"))
+    more = matches(found, idf, **limits).select("id", F.lit(None).cast("long").alias("pos"), "label", "share", F.lit(False).alias("base"))
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     per = plain.unionByName(more).groupBy("id").agg(
         F.count("pos").alias("n_base"), F.min("pos").alias("first_word"), F.max("pos").alias("last_word"), names(F.when(F.col("base"), F.col("label"))).alias("base_labels"), names("label").alias("labels"), F.max("share").alias("score"),
