@@ -90,7 +90,7 @@ def base(found: DataFrame) -> DataFrame:
     return seen.withColumn("label", label).where("label IS NOT NULL").select("id", "pos", "label")
 
 
-def matches(found: DataFrame, idf: DataFrame, rare: int = 8, votes: int = 2, share: float = 0.8) -> DataFrame:
+def matches(found: DataFrame, idf: DataFrame, rare: int = 16, votes: int = 2, share: float = 0.8) -> DataFrame:
     """(id, label, share) of each verified template place, from hits with words and the words' idf."""
     index = F.broadcast(postings(found.sparkSession))
     present = found.select("id", "word").distinct()

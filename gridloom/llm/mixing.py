@@ -3,8 +3,9 @@
 The budget of the mix (``share`` of all words) is split over the sources by weight.  A source whose
 part is above ``epochs`` times its size is clamped there and its excess goes to the others by weight,
 until none is above.  The end of that process has a closed form: with the sources in ascending
-order of cap / weight, there is one water level L such that each target is min(cap, L * weight); it
-is found with two running sums over the table of sources.
+order of cap / weight, the level L_i that is left when the sources before i are clamped rises as long as
+source i is above its cap and falls after; its maximum L gives each target as min(cap, L * weight).  It
+takes two running sums over the table of sources.
 
 Then each source takes floor(target / size) whole repetitions of all its documents, and for the rest
 those documents that come first in a seeded order until the rest is used up; the document at the
@@ -43,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     spare = F.lit(num) * F.sum("source_size").over(every) - F.lit(den) * F.coalesce(F.sum("cap").over(before), F.lit(0))
     level = spare.cast("double") / (F.lit(den) * F.sum("weight").over(after)).cast("double")
     rows = rows.withColumn("level", level).withColumn("above", F.col("level") * F.col("weight") <= F.col("cap"))
-    water = F.coalesce(F.min(F.when(F.col("above"), F.col("level"))).over(every), F.lit(float("inf")))
+    water = F.coalesce(F.max(F.when(F.col("above"), F.col("level"))).over(every), F.lit(float("inf")))
     return rows.select("key", "source_size", F.least(F.col("cap").cast("double"), water * F.col("weight")).alias("target"))
 
 
@@ -70,7 +71,7 @@ s AS (SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
 w AS (SELECT *, [3, 1, 2][1 + ((row_number() OVER (ORDER BY key) - 1) % 3)]::BIGINT AS weight, 2 * source_size AS cap FROM s),
 l AS (SELECT *, (3 * sum(source_size) OVER () - 2 * coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (2 * sum(weight) OVER (ORDER BY cap::DOUBLE / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
-t AS (SELECT key, source_size, least(cap::DOUBLE, coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM l),
+t AS (SELECT key, source_size, least(cap::DOUBLE, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM l),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
 j AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM p JOIN t USING (key))
 SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN before + size / 2.0::DOUBLE <= target - whole * source_size AND target - whole * source_size > 0 THEN 1 ELSE 0 END) AS taken FROM j

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows
 
@@ -250,7 +251,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``kept`` of the documents with their ids as an array."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = docs.select(*kept).schema.add(ids_col, "array<int>")
+    schema = docs.select(*kept).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
     def make():
         memory = memory_of(sent.value)

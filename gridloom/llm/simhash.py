@@ -17,10 +17,16 @@ and fingerprints within the radius agree on at least m - radius of them, hence s
 some choice of m - radius blocks.  That is exact at any m; m grows with the number of fingerprints so
 that a partition stays small.  Large partitions are dealt to tiles of bounded size.  A tile gives a
 spanning forest of its links, never all of its pairs, and components are found from those.
+
+Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about ten bits, and at that radius
+random fingerprints meet too.  :func:`similar_groups` therefore takes partitions by random choices of
+bits (as many that a pair at ``distance`` bits is missed with probability ``miss``), a wide radius for the
+pivot table and the bit count, and verifies survivors on a sketch of minimum hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ASCII_LOWER, components, forest, groups, map_rows, tiles, written
 
@@ -63,17 +70,34 @@ def pivots() -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i), 7) for i in range(PIVOTS)], np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long with the same bits."""
+SKETCH = 48
+_turns = np.random.default_rng(11).integers(0, 1 << 64, SKETCH, np.uint64) | np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte of each of SKETCH minimum hashes: two sketches agree in a share of places close to the Jaccard similarity."""
+    if not len(hashes):
+        return bytes(SKETCH)
+    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        turned = hashes[k : k + 2048, None] * _turns[None, :]
+        low = np.minimum(low, (turned ^ (turned >> np.uint64(31))).min(0))
+    return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, sketches: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint as a signed long with the same bits; with sketches, if wanted."""
 
     def make():
         def step(x):
-            fps = [fingerprint(shingle_hashes(t, width)) for t in x["_t"]]
-            return {"id": x["_i"], "fp": [f - (1 << 64) if f >> 63 else f for f in fps]}
+            hashes = [shingle_hashes(t, width) for t in x["_t"]]
+            fps = [fingerprint(h) for h in hashes]
+            out = {"id": x["_i"], "fp": [f - (1 << 64) if f >> 63 else f for f in fps]}
+            return out | {"sketch": [sketch(h) for h in hashes]} if sketches else out
 
         return step
 
-    return map_rows(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), make, "id long, fp long")
+    return map_rows(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), make, "id long, fp long" + ", sketch binary" * sketches)
 
 
 def with_table(classes: DataFrame) -> DataFrame:
@@ -85,11 +109,11 @@ def with_table(classes: DataFrame) -> DataFrame:
         def step(x):
             fp = np.array(x["fp"], np.int64).view(np.uint64)
             table = np.bitwise_count(fp[:, None] ^ marks[None, :]).astype(np.uint8)
-            return {"id": x["id"], "fp": x["fp"], "dist": [row.tobytes() for row in table]}
+            return {**x, "dist": [row.tobytes() for row in table]}
 
         return step
 
-    return map_rows(classes.select("id", "fp"), make, "id long, fp long, dist binary")
+    return map_rows(classes, make, T.StructType([*classes.schema.fields, T.StructField("dist", T.BinaryType())]))
 
 
 def blocks_for(count: int, radius: int, bits: int = 64) -> int:
@@ -118,13 +142,20 @@ def near(dist_a: np.ndarray, fp_a: np.ndarray, dist_b: np.ndarray, fp_b: np.ndar
     return i[stay], j[stay]
 
 
-def near_links(classes: DataFrame, radius: int, block: int = 400) -> DataFrame:
-    """(a, b): links that connect what is within the radius, from ``classes(id, fp)``."""
-    m = blocks_for(classes.count(), radius)
+def random_masks(count: int, distance: int, miss: float, bits: int = 64) -> list[int]:
+    """Random choices of bits, as long as the number of fingerprints asks for and as many as ``miss`` does."""
+    size = max(6, math.ceil(math.log2(max(count, 1) / 48)))
+    n = math.ceil(math.log(miss) / math.log1p(-((1 - distance / bits) ** size)))
+    rng = np.random.default_rng(3)
+    return [sum(1 << int(b) for b in rng.choice(bits, size, replace=False)) for _ in range(n)]
+
+
+def near_links(classes: DataFrame, masks: list[int], radius: int, agree: float | None = None, block: int = 400) -> DataFrame:
+    """(a, b): links that connect what is within the radius, and agrees in its sketches, from ``classes(id, fp[, sketch])``."""
     table = written(with_table(classes), "pivots")
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("v")) for k, mask in enumerate(partition_keys(m, radius))])
-    dealt = table.select("*", F.explode(keys).alias("p")).select("id", "fp", "dist", F.col("p.k").alias("k"), F.col("p.v").alias("v"))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("v")) for k, mask in enumerate(masks)])
+    dealt = table.select("*", F.explode(keys).alias("p")).select(*table.columns, F.col("p.k").alias("k"), F.col("p.v").alias("v"))
     dealt = tiles(dealt, ["k", "v"], F.xxhash64("id"), block)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +173,13 @@ def near_links(classes: DataFrame, radius: int, block: int = 400) -> DataFrame:
                 part = t["part"].to_numpy()
                 x, y = np.flatnonzero(part == ti), np.flatnonzero(part == tj)
             i, j = near(dist[x], fp[x], dist[y], fp[y], radius)
+            i, j = x[i], y[j]
+            if agree is not None and len(i):
+                marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), SKETCH)
+                stay = np.concatenate([(marks[i[k : k + 20_000]] == marks[j[k : k + 20_000]]).mean(1) >= agree for k in range(0, len(i), 20_000)])
+                i, j = i[stay], j[stay]
             if len(i):
-                root = forest(len(ids), x[i], y[j])
+                root = forest(len(ids), i, j)
                 moved = np.flatnonzero(root != np.arange(len(ids)))
                 a.append(ids[moved])
                 b.append(ids[root[moved]])
@@ -153,7 +189,14 @@ def near_links(classes: DataFrame, radius: int, block: int = 400) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return dealt.select("k", "v", "ti", "tj", "part", "id", "fp", "dist").mapInArrow(links, "a long, b long")
+    return dealt.select("k", "v", "ti", "tj", "part", *table.columns).mapInArrow(links, "a long, b long")
+
+
+def named(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, fp, component) of rows(id, fp) by the components of their fingerprints' classes."""
+    roots = components(links)
+    found = classes.join(roots, classes["id"] == roots["node"], "left").select("fp", F.coalesce("component", "id").alias("component"))
+    return rows.join(found, "fp").select("id", "fp", "component")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 3) -> DataFrame:
@@ -163,14 +206,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"), "classes")
-    roots = components(near_links(classes.where("id IS NOT NULL"), radius))
-    named = classes.join(roots, classes["id"] == roots["node"], "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return rows.join(named, "fp").select("id", "fp", "component")
+    masks = partition_keys(blocks_for(classes.count(), radius), radius)
+    return named(rows, classes, near_links(classes.where("id IS NOT NULL"), masks, radius))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 10, radius: int = 14, miss: float = 5e-3) -> DataFrame:
+    """(id, fp, component) by links of texts whose shingle sets are similar; a sketch may miss the similarity by a tenth."""
+    rows = written(fingerprints(docs, id_col, text_col, width, sketches=True), "fingerprints")
+    classes = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "id", "sketch")).alias("f")).select("f.id", "fp", "f.sketch")
+    classes = written(classes, "classes")
+    masks = random_masks(classes.count(), distance, miss)
+    return named(rows.select("id", "fp"), classes, near_links(classes.where("id IS NOT NULL"), masks, radius, similarity - 0.1))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 3) -> DataFrame:
-    """The documents without those whose component has a smaller id; columns stay as they are."""
-    found = simhash_groups(docs, id_col, text_col, width, radius).where("id <> component").select(F.col("id").alias(id_col)).distinct()
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """The documents without those whose group of similar texts has a smaller id; columns stay as they are."""
+    found = similar_groups(docs, id_col, text_col, **limits).where("id <> component").select(F.col("id").alias(id_col)).distinct()
     return docs.join(found, id_col, "left_anti")
 
 

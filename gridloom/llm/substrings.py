@@ -172,6 +172,7 @@ def cut(docs: DataFrame, spans: DataFrame, unit: str, width: int, id_col: str, t
                     flat = found.values.flatten()
                     begin = flat[0].to_numpy()
                     a, b = merged_spans(begin, begin + flat[1].to_numpy() + width - 1)
+                    a, b = np.minimum(a, len(parts)), np.minimum(b, len(parts))  # rows that share an id share spans
                     removed, runs = int((b - a).sum()), len(a)
                     stay = zip([0, *b.tolist()], [*a.tolist(), len(parts)], strict=True)
                     kept = b"".join(parts[x:y] for x, y in stay) if unit == "bytes" else [w for x, y in stay for w in parts[x:y]]

@@ -66,7 +66,7 @@ def emit(p: Piece, raw: bytes, doc: int, ah: np.ndarray, place: np.ndarray, firs
 def later_spans(docs: DataFrame, width: int = 20, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, start, n): windows start .. start + n - 1 of a document have an earlier equal; rows may overlap."""
     texts = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("text"))
-    cuts = sorted({int(x) for x in texts.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01)})
+    cuts = [] if batches < 2 else sorted({int(x) for x in texts.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01)})
     index = FingerprintIndex()
     hits = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
