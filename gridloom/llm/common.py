@@ -82,12 +82,15 @@ def tiles(rows: DataFrame, key: Sequence[str], spread: Column, block: int) -> Da
     """Deal the rows of each key to tiles, so that each pair of rows of a key meets in exactly one tile.
 
     A key with n rows is cut into ceil(n / block) parts; tile (i, j) gets parts i and j, and the
-    pairs of a row of part i with a row of part j belong to it.  Keys with a single row have no
-    pairs and are left out.  Adds ``part``, ``ti`` and ``tj``; rows come back partitioned and sorted
-    by key and tile, ready for :func:`groups`.
+    pairs of a row of part i with a row of part j belong to it.  Only the keys with more rows than a
+    block are joined to the rows; that list is written, so Spark knows its size and broadcasts it only if
+    it is small.  Adds ``part``, ``ti`` and ``tj``; rows come back partitioned and sorted by key and tile,
+    ready for :func:`groups`.
     """
-    parts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key, F.ceil(F.col("_n") / block).cast("int").alias("_p"))
-    dealt = rows.join(parts, list(key)).withColumn("part", F.pmod(spread, F.col("_p")).cast("int"))
+    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    large = written(large.select(*key, F.ceil(F.col("_n") / block).cast("int").alias("_p")), "large")
+    dealt = rows.join(large, list(key), "left").withColumn("_p", F.coalesce("_p", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(spread, F.col("_p")).cast("int"))
     dealt = dealt.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
     dealt = dealt.withColumn("ti", F.least("part", "_q")).withColumn("tj", F.greatest("part", "_q")).drop("_p", "_q")
     by = [*key, "ti", "tj"]
