@@ -121,7 +121,7 @@ class Slots:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw.tobytes()], pa.binary())], ["chunk", "raw"])
 
         found = rows.select("chunk", "slot").mapInArrow(run, "chunk long, raw binary")
-        return cls(bits, {r["chunk"]: bytes(r["raw"]) for r in found.toLocalIterator()})
+        return cls(bits, {r["chunk"]: bytes(r["raw"]) for r in found.collect()})  # at most 2**(bits - 3) bytes
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = (hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)

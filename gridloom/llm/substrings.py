@@ -20,7 +20,7 @@ class WordValues(dict):
     """A random value for each word, remembered in a table of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -33,6 +33,11 @@ def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def texts_of(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """A batch's texts one at a time, so that only one is held as a Python string."""
+    return (t.as_py() for t in batch["text"])
+
+
 def byte_units(text: str | None) -> np.ndarray:
     return BYTE_VALUES[np.frombuffer(encoded(text), np.uint8)]
 
@@ -63,7 +68,7 @@ def anchor_hashes(texts: DataFrame, unit: str, width: int, gram: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [p.anchors(width, gram)[0] for t in batch["text"].to_pylist() for p in pieces(UNITS[unit](t), width)]
+            found = [p.anchors(width, gram)[0] for t in texts_of(batch) for p in pieces(UNITS[unit](t), width)]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], ["ah", "n"])
@@ -79,7 +84,7 @@ def occurrences(texts: DataFrame, unit: str, width: int, gram: int, slots: Slots
         pass_ = sent.value
         for batch in batches:
             rows: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, text in zip(batch["doc"].to_pylist(), texts_of(batch), strict=True):
                 for p in pieces(UNITS[unit](text), width):
                     ah, _, first, last = p.anchors(width, gram)
                     use = pass_.has(ah)
@@ -124,7 +129,7 @@ def chosen(texts: DataFrame, unit: str, width: int, gram: int, slots: Slots, fir
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = sent.value
         for batch in batches:
-            for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, text in zip(batch["doc"].to_pylist(), texts_of(batch), strict=True):
                 raw = encoded(text) if unit == "bytes" else b""
                 for p in pieces(UNITS[unit](text), width):
                     ah, place, first, last = p.anchors(width, gram)
@@ -163,7 +168,7 @@ def cut(docs: DataFrame, spans: DataFrame, unit: str, width: int, id_col: str, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, found in zip(batch["text"].to_pylist(), batch["spans"], strict=True):
+            for text, found in zip(texts_of(batch), batch["spans"], strict=True):
                 raw = encoded(text)
                 parts = raw if unit == "bytes" else raw.split()
                 removed = runs = 0
