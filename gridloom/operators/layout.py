@@ -100,6 +100,16 @@ def cells_by_overlap(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "row", "col").agg(F.min(F.struct((-F.col("_a")).alias("a"), "box_id", "text")).alias("b")).select("doc_id", "row", "col", "b.box_id", F.col("b.text").alias("value"))
 
 
+def with_fallback(boxes: DataFrame, grid: DataFrame, tolerance: float, columns: int = 3) -> DataFrame:
+    """Cells (doc_id, row, col, value, by): by the grid where it has enough columns, else by coordinates alone."""
+    ruled = grid.groupBy("doc_id").agg(F.countDistinct("col").alias("_n")).where(F.col("_n") >= columns).select("doc_id")
+    by_grid = boxes_to_cells(boxes.join(ruled, "doc_id", "left_semi"), grid).withColumn("by", F.lit("grid"))
+    rest = rows_chained(boxes.join(ruled, "doc_id", "left_anti"), tolerance)
+    order = W.partitionBy("doc_id", "row_no").orderBy("x_center", "box_id")
+    by_place = rest.select("doc_id", F.col("row_no").cast("int").alias("row"), (F.row_number().over(order) - 1).alias("col"), F.col("text").alias("value"), F.lit("coordinates").alias("by"))
+    return by_grid.unionByName(by_place)
+
+
 def over_share_of_max(sums: DataFrame, value: str, share: float, by: str) -> DataFrame:
     """Rows of a projection above a share of its maximum."""
     top = sums.groupBy(by).agg(F.max(value).alias("_top"))

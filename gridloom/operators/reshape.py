@@ -72,3 +72,24 @@ def head_tail(rows: DataFrame, key: list[str], order: list[str], head: int, tail
     w = W.partitionBy(*key)
     out = rows.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_all", F.count(F.lit(1)).over(w))
     return out.where((F.col("_n") <= head) | (F.col("_n") > F.col("_all") - tail)).drop("_n", "_all")
+
+
+def metadata_block(meta: DataFrame) -> DataFrame:
+    """meta(doc_id, title, info, market), arrays of (label, value): sheet cells (doc_id, row, col, value).
+
+    The title stands first; below it the two lists side by side, in columns 0/1 and 4/5.
+    """
+    title = meta.where("title IS NOT NULL").select("doc_id", F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("title").alias("value"))
+
+    def side(name: str, col: int) -> DataFrame:
+        rows = meta.select("doc_id", F.col("title").isNotNull().cast("int").alias("_t"), F.posexplode(name).alias("_i", "p"))
+        cell = F.explode(F.array(F.struct(F.lit(col).alias("col"), F.col("p.label").alias("value")), F.struct(F.lit(col + 1).alias("col"), F.col("p.value").alias("value"))))
+        return rows.select("doc_id", (F.col("_t") + F.col("_i")).alias("row"), cell.alias("c")).select("doc_id", "row", "c.col", "c.value")
+
+    return title.unionByName(side("info", 0)).unionByName(side("market", 4))
+
+
+def join_by_position(left: DataFrame, right: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows of two halves of a table side by side, by their ordinal; the longer half's rest is left out."""
+    number = lambda d: d.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    return number(left).join(number(right).drop(*[x for x in order if x in left.columns]), [key, "_n"]).drop("_n")

@@ -381,3 +381,16 @@ query("table_eval", None, f"""WITH e AS ({EXPECTED.replace(" AS case", ' AS "cas
  FROM e LEFT JOIN a ON e."case" = a."case" AND replace(replace(e.label, ',', ''), ' ', '') = a.label) SELECT "case", round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS row_recall, round(avg(CASE WHEN good = 3 THEN 1.0 ELSE 0.0 END), 4) AS exact_row_accuracy, round(sum(good) / (count(*) * 3.0::DOUBLE), 4) AS cell_accuracy FROM j GROUP BY 1""")(
     lambda get: validate.evaluate(get(EXPECTED.replace(" AS case", " AS `case`")), get(ACTUAL.replace(" AS case", " AS `case`")), ["label", "v1", "v2"])
 )
+
+
+# -- compositions ------------------------------------------------------------------------------------
+
+query("layout_with_fallback")(lambda get: layout.with_fallback(get(x.BOXES), grid(get).where("doc_id % 3 > 0 OR col < 2"), 20))
+META = "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS title, c_mktsegment AS a, CAST(c_nationkey AS STRING) AS b FROM customer"
+query("metadata_block", META, """SELECT doc_id, 0 AS "row", 0 AS col, title AS value FROM t WHERE title IS NOT NULL UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 0 ELSE 1 END, 0, 'segment' FROM t UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 0 ELSE 1 END, 1, a FROM t
+ UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 1 ELSE 2 END, 0, 'nation' FROM t UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 1 ELSE 2 END, 1, b FROM t UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 0 ELSE 1 END, 4, 'key' FROM t UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 0 ELSE 1 END, 5, b FROM t""")(
+    lambda d: reshape.metadata_block(d.select("doc_id", "title", F.array(*[F.struct(F.lit(n).alias("label"), F.col(k).alias("value")) for n, k in (("segment", "a"), ("nation", "b"))]).alias("info"), F.array(F.struct(F.lit("key").alias("label"), F.col("b").alias("value"))).alias("market")))
+)
+query("split_merge_positional", None, "WITH l AS (SELECT o_custkey AS k, o_orderkey AS r, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), q AS (SELECT o_custkey AS k, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 4 > 0) SELECT l.k, l.r, o_orderstatus, o_orderpriority FROM l JOIN q ON l.k = q.k AND l.n = q.n")(
+    lambda get: reshape.join_by_position(get("SELECT o_custkey AS k, o_orderkey AS r, o_orderstatus FROM orders"), get("SELECT o_custkey AS k, o_orderkey AS r, o_orderpriority FROM orders WHERE o_orderkey % 4 > 0"), "k", ["r"])
+)
