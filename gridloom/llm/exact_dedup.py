@@ -37,7 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = normalised(text)
     short = docs.select(F.col(id_col).alias("id"), F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, prefix)).alias("head"))
     same_size = written(refine(written(short, "lengths"), ["size"]), "lengths")
-    left = written(refine(same_size, ["size", "head"]).select("id").distinct(), "survivors")
+    left = written(refine(same_size, ["size", "head"]).select("id"), "survivors")
     whole = docs.select(F.col(id_col).alias("id"), text.alias("_text")).join(left.select(F.col("id").alias("_i")), F.col("id").eqNullSafe(F.col("_i")), "left_semi")
     whole = whole.select("id", F.length(text_of("_text")).alias("chars"), F.unhex(F.sha2(normalised("_text"), 256)).alias("full"))
     whole = written(whole, "hashes")
