@@ -6,8 +6,9 @@ words (null, empty, blank) has fingerprint zero.  Bit i is 1 if it is set in mor
 shingles' XXH64 hashes.
 
 Texts of one fingerprint are one class.  Classes are linked when their fingerprints differ in at
-most ``radius`` bits.  For each fingerprint the Hamming distances to fixed reference fingerprints
-(pivots) are computed once and stored with it: by the triangle inequality two fingerprints within the
+most ``radius`` bits.  Before a partition's pairs are looked at, the Hamming distances of its fingerprints
+to fixed reference fingerprints (pivots) are computed once into a table (filling it where it is used costs
+16 bit counts a member, less than moving 16 bytes with every copy): by the triangle inequality two fingerprints within the
 radius differ by at most the radius in every coordinate of that table, so pairs with a larger
 difference are discarded and only survivors are verified with an exact bit count.
 
@@ -35,7 +36,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ASCII_LOWER, components, forest, groups, map_rows, tiles, written
 
@@ -75,14 +75,25 @@ _turns = np.random.default_rng(11).integers(0, 1 << 64, SKETCH, np.uint64) | np.
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """One byte of each of SKETCH minimum hashes: two sketches agree in a share of places close to the Jaccard similarity."""
+    """Four bits of each of SKETCH minimum hashes, two places to a byte.
+
+    Places of texts with Jaccard similarity J agree with probability J + (1 - J) / 16; :func:`similarity_of` takes that back.
+    """
     if not len(hashes):
-        return bytes(SKETCH)
+        return bytes(SKETCH // 2)
     low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 2048):
         turned = hashes[k : k + 2048, None] * _turns[None, :]
         low = np.minimum(low, (turned ^ (turned >> np.uint64(31))).min(0))
-    return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    places = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.uint8)
+    return (places[::2] << 4 | places[1::2]).tobytes()
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity of each row of ``a`` with the same row of ``b``, packed sketches."""
+    differ = a ^ b
+    agree = ((differ & 0xF0) == 0).mean(1) / 2 + ((differ & 0x0F) == 0).mean(1) / 2
+    return (agree - 1 / 16) / (1 - 1 / 16)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, sketches: bool = False) -> DataFrame:
@@ -100,20 +111,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), make, "id long, fp long" + ", sketch binary" * sketches)
 
 
-def with_table(classes: DataFrame) -> DataFrame:
-    """Add the row of the pivot distance table to each (id, fp)."""
-
-    def make():
-        marks = pivots()
-
-        def step(x):
-            fp = np.array(x["fp"], np.int64).view(np.uint64)
-            table = np.bitwise_count(fp[:, None] ^ marks[None, :]).astype(np.uint8)
-            return {**x, "dist": [row.tobytes() for row in table]}
-
-        return step
-
-    return map_rows(classes, make, T.StructType([*classes.schema.fields, T.StructField("dist", T.BinaryType())]))
+def distance_table(fp: np.ndarray) -> np.ndarray:
+    """The pivot distance table of some fingerprints: one row each, one column for each pivot."""
+    return np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
 
 
 def blocks_for(count: int, radius: int, bits: int = 64) -> int:
@@ -152,10 +152,9 @@ def random_masks(count: int, distance: int, miss: float, bits: int = 64) -> list
 
 def near_links(classes: DataFrame, masks: list[int], radius: int, agree: float | None = None, block: int = 400) -> DataFrame:
     """(a, b): links that connect what is within the radius, and agrees in its sketches, from ``classes(id, fp[, sketch])``."""
-    table = written(with_table(classes), "pivots")
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("v")) for k, mask in enumerate(masks)])
-    dealt = table.select("*", F.explode(keys).alias("p")).select(*table.columns, F.col("p.k").alias("k"), F.col("p.v").alias("v"))
+    dealt = classes.select("*", F.explode(keys).alias("p")).select(*classes.columns, F.col("p.k").alias("k"), F.col("p.v").alias("v"))
     dealt = tiles(dealt, ["k", "v"], F.xxhash64("id"), block)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +164,7 @@ def near_links(classes: DataFrame, masks: list[int], radius: int, agree: float |
             if len(t) < 2:
                 continue
             ids, fp = t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
-            dist = np.frombuffer(b"".join(t["dist"].to_pylist()), np.uint8).reshape(len(ids), PIVOTS).astype(np.int8)
+            dist = distance_table(fp)
             ti, tj = t["ti"][0].as_py(), t["tj"][0].as_py()
             if ti == tj:
                 x = y = np.arange(len(ids))
@@ -175,8 +174,8 @@ def near_links(classes: DataFrame, masks: list[int], radius: int, agree: float |
             i, j = near(dist[x], fp[x], dist[y], fp[y], radius)
             i, j = x[i], y[j]
             if agree is not None and len(i):
-                marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), SKETCH)
-                stay = np.concatenate([(marks[i[k : k + 20_000]] == marks[j[k : k + 20_000]]).mean(1) >= agree for k in range(0, len(i), 20_000)])
+                marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), SKETCH // 2)
+                stay = np.concatenate([similarity_of(marks[i[k : k + 20_000]], marks[j[k : k + 20_000]]) >= agree for k in range(0, len(i), 20_000)])
                 i, j = i[stay], j[stay]
             if len(i):
                 root = forest(len(ids), i, j)
@@ -189,7 +188,7 @@ def near_links(classes: DataFrame, masks: list[int], radius: int, agree: float |
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return dealt.select("k", "v", "ti", "tj", "part", *table.columns).mapInArrow(links, "a long, b long")
+    return dealt.select("k", "v", "ti", "tj", "part", *classes.columns).mapInArrow(links, "a long, b long")
 
 
 def named(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -127,3 +127,17 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
     assert all(got[i] == i for i in range(300))
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id < 300").count() == 300
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(5)
+    for shared in (0, 250, 400, 500):
+        pool = rng.integers(0, 1 << 64, 1000 - shared, np.uint64)
+        found = []
+        for turn in range(40):
+            part = np.roll(pool, 17 * turn) ^ np.uint64(turn)
+            a, b = part[:500], part[500 - shared :]
+            marks = [np.frombuffer(simhash.sketch(x), np.uint8)[None] for x in (a, b)]
+            found.append(simhash.similarity_of(*marks)[0])
+        assert abs(np.mean(found) - shared / (1000 - shared)) < 0.05
+    assert len(simhash.sketch(np.empty(0, np.uint64))) == len(simhash.sketch(pool))
