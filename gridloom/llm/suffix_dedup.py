@@ -91,6 +91,9 @@ def compare(batches: Iterator[pa.RecordBatch], width: int, most: int = 1500) ->
 
     def solve(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(held)
+        # a context stands in several tiles of a large anchor and must not meet itself
+        keys = np.stack([t[c].to_numpy() for c in ("ah", "doc", "start")])
+        t = t.take(np.sort(np.unique(keys, axis=1, return_index=True)[1]))
         doc, begin = t["doc"].to_numpy(), t["start"].to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
         for k, at in enumerate(shared_windows(t["ah"].to_pylist(), t["off"].to_pylist(), t["data"].to_pylist(), width)):

@@ -186,6 +186,21 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_suffixes_large_anchor(spark):
+    """An anchor with hundreds of contexts is dealt to tiles; no context may match itself."""
+    import random
+
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, tail = noise(380), noise(300)
+    texts = [noise(500) + line + noise(500) for _ in range(700)] + [noise(500) + line + tail + noise(200) for _ in range(4)]
+    found = by_id(suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)))
+    seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    for i, t in enumerate(texts):
+        gone = {b for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1 for b in range(k, k + 400)}
+        assert found[i]["n_removed"] == len(gone), i
+
+
 def test_suffixes(docs, none):
     found = by_id(suffix_dedup.suffix_dedup(docs))
     raw = [(t or "").encode() for t in TEXTS]
