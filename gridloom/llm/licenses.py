@@ -3,9 +3,10 @@
 Words are runs of digits, a-z (A-Z lower-cased) and all characters beyond ASCII.  Only words that occur
 in some template are kept with their positions; their document frequencies over all documents
 give their IDF.  A document that lacks a word of every key phrase cannot be labelled and goes no
-further; none of its words is moved.  Each other document's ``rare`` licence words of highest IDF are looked up in the templates'
-postings; every hit says where the template would begin, and places that at least ``votes`` hits agree
-on are candidates.  A candidate is verified: all words of the template's key phrase must stand
+further; none of its words is moved.  Each template is looked up by the ``rare`` words of its key phrase that
+have the highest IDF; every hit says where the template would begin, and places that all of these words
+agree on are candidates.  The key phrase must stand in full, so no place is lost, whatever else the document
+holds.  A candidate is verified: all words of the template's key phrase must stand
 at their places, and at least ``share`` of the template's words as well.
 
 Besides, ``base`` finds all places where the plain phrases of :data:`PHRASES` stand.
@@ -90,14 +91,14 @@ def base(found: DataFrame) -> DataFrame:
     return seen.withColumn("label", label).where("label IS NOT NULL").select("id", "pos", "label")
 
 
-def matches(found: DataFrame, idf: DataFrame, rare: int = 16, votes: int = 2, share: float = 0.8) -> DataFrame:
+def matches(found: DataFrame, idf: DataFrame, rare: int = 2, share: float = 0.8) -> DataFrame:
     """(id, label, share) of each verified template place, from hits with words and the words' idf."""
     index = F.broadcast(postings(found.sparkSession))
-    present = found.select("id", "word").distinct()
-    best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("idf"), "word"))
-    top = present.join(F.broadcast(idf), "word").withColumn("rank", best).where(F.col("rank") <= rare).select("id", "word")
-    asked = found.join(top, ["id", "word"]).join(index, "word").select("id", "template", (F.col("pos") - F.col("place")).alias("start"))
-    candidates = asked.groupBy("id", "template", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes)
+    best = F.row_number().over(W.partitionBy("template").orderBy(F.desc_nulls_first("idf"), "word", "place"))
+    top = index.where("key").join(F.broadcast(idf), "word", "left").withColumn("rank", best).where(F.col("rank") <= rare)
+    top = top.select("word", "template", "place", F.count(F.lit(1)).over(W.partitionBy("template")).alias("need"))
+    asked = found.join(F.broadcast(top), "word").select("id", "template", "need", (F.col("pos") - F.col("place")).alias("start"))
+    candidates = asked.groupBy("id", "template", "start", "need").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("need"))
     wanted = candidates.join(index, "template").select("id", "template", "start", "label", "key", "size", "word", (F.col("start") + F.col("place")).alias("pos"))
     seen = wanted.join(found.select("id", "pos", "word", F.lit(1).alias("seen")), ["id", "pos", "word"], "left")
     tested = seen.groupBy("id", "template", "start", "label", "size").agg(F.sum("seen").alias("n"), F.count(F.when(F.col("key") & F.col("seen").isNull(), 1)).alias("missing"))

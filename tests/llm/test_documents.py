@@ -186,6 +186,16 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_together(spark):
+    """Every label of a document with several licences is found, whatever the other documents hold."""
+    passages = {label: passage for label, _, passage in licenses.TEMPLATES}
+    mixed = [("mit", "cc-by-4.0"), ("bsd-3-clause", "apache-2.0", "cc0-1.0"), ("mit", "isc", "gpl-3", "mpl-2.0"), tuple(passages)]
+    texts = [". then\n".join(passages[x] for x in labels) for labels in mixed] + ["apache license version 2 0 cc by 4 0"] * 8 + ["nothing here"] * 4
+    found = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, labels in enumerate(mixed):
+        assert set(labels) <= set(found[i]["labels"].split(",")), labels
+
+
 def test_suffixes_large_anchor(spark):
     """An anchor with hundreds of contexts is dealt to tiles; no context may match itself."""
     import random
