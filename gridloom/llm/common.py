@@ -40,6 +40,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own in ``_row``, written so that it stays the same whenever they are read."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def text_of(text: str | Column = "text") -> Column:
     """The text, with null counted as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

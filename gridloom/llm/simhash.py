@@ -19,25 +19,28 @@ some choice of m - radius blocks.  That is exact at any m; m grows with the numb
 that a partition stays small.  Large partitions are dealt to tiles of bounded size.  A tile gives a
 spanning forest of its links, never all of its pairs, and components are found from those.
 
-Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about ten bits, and at that radius
-random fingerprints meet too.  :func:`similar_groups` therefore takes partitions by random choices of
-bits (as many that a pair at ``distance`` bits is missed with probability ``miss``), a wide radius for the
-pivot table and the bit count, and verifies survivors on a sketch of minimum hashes.
+Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about ten bits and in up to twenty; partitions
+by bits that lose none of those would be nearly as many as there are fingerprints.  :func:`similar_groups` is therefore
+made of other parts.  Its classes are texts of one set of shingles (by a 64-bit digest of the sorted set; repeats do not count).
+Partitions are BANDS bands of ROWS minimum hashes: a pair of similarity J shares none with probability
+(1 - J^ROWS)^BANDS, at any number of texts (4e-4 at 0.8).  In a partition, pairs are discarded by pivot table and bit count at
+a radius that a pair of similarity 0.8 exceeds with probability below 1e-6, and by a sketch of minimum hashes at a
+similarity lower by 0.25 (about 1e-4).  What is left only says which texts could belong together: inside each such component,
+dealt to tiles, all pairs are compared by their whole shingle sets, and only those at the similarity or above are links.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, components, forest, groups, map_rows, tiles, written
+from .common import ASCII_LOWER, components, forest, groups, map_rows, numbered, tiles, written
 
 PIVOTS = 16
 
@@ -71,7 +74,23 @@ def pivots() -> np.ndarray:
 
 
 SKETCH = 48
-_turns = np.random.default_rng(11).integers(0, 1 << 64, SKETCH, np.uint64) | np.uint64(1)
+BANDS, ROWS = 20, 5
+_turns = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def minima(hashes: np.ndarray, count: int = BANDS * ROWS) -> np.ndarray:
+    """The minimum of the hashes under each of ``count`` rearrangements."""
+    low = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        turned = hashes[k : k + 2048, None] * _turns[None, :count]
+        low = np.minimum(low, (turned ^ (turned >> np.uint64(31))).min(0))
+    return low
+
+
+def packed(low: np.ndarray) -> bytes:
+    places = ((low[:SKETCH] * MIX) >> np.uint64(60)).astype(np.uint8)
+    return (places[::2] << 4 | places[1::2]).tobytes()
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -79,14 +98,16 @@ def sketch(hashes: np.ndarray) -> bytes:
 
     Places of texts with Jaccard similarity J agree with probability J + (1 - J) / 16; :func:`similarity_of` takes that back.
     """
-    if not len(hashes):
-        return bytes(SKETCH // 2)
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), 2048):
-        turned = hashes[k : k + 2048, None] * _turns[None, :]
-        low = np.minimum(low, (turned ^ (turned >> np.uint64(31))).min(0))
-    places = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.uint8)
-    return (places[::2] << 4 | places[1::2]).tobytes()
+    return packed(minima(hashes, SKETCH)) if len(hashes) else bytes(SKETCH // 2)
+
+
+def bands(low: np.ndarray) -> list[int]:
+    """One 32-bit key for each band of minimum hashes."""
+    h = np.zeros(BANDS, np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        h = (h ^ column) * MIX
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,19 +117,38 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (agree - 1 / 16) / (1 - 1 / 16)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, sketches: bool = False) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long with the same bits; with sketches, if wanted."""
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id, fp): the fingerprint as a signed long with the same bits."""
 
     def make():
         def step(x):
-            hashes = [shingle_hashes(t, width) for t in x["_t"]]
-            fps = [fingerprint(h) for h in hashes]
-            out = {"id": x["_i"], "fp": [f - (1 << 64) if f >> 63 else f for f in fps]}
-            return out | {"sketch": [sketch(h) for h in hashes]} if sketches else out
+            return {"id": x["_i"], "fp": [signed(fingerprint(shingle_hashes(t, width))) for t in x["_t"]]}
 
         return step
 
-    return map_rows(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), make, "id long, fp long" + ", sketch binary" * sketches)
+    return map_rows(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), make, "id long, fp long")
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(row, id, node, fp, sketch, bands) of numbered documents; node is the digest of the set of shingles, fp its fingerprint."""
+
+    def make():
+        def step(x):
+            out = {"row": x["_row"], "id": x["_i"], "node": [], "fp": [], "sketch": [], "bands": []}
+            for text in x["_t"]:
+                hashes = np.unique(shingle_hashes(text, width))
+                low = minima(hashes)
+                for name, value in (("node", signed(xxhash.xxh64_intdigest(hashes.tobytes(), 42))), ("fp", signed(fingerprint(hashes))), ("sketch", packed(low)), ("bands", bands(low))):
+                    out[name].append(value)
+            return out
+
+        return step
+
+    return map_rows(docs.select("_row", F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), make, "row long, id long, node long, fp long, sketch binary, bands array<int>")
 
 
 def distance_table(fp: np.ndarray) -> np.ndarray:
@@ -142,19 +182,15 @@ def near(dist_a: np.ndarray, fp_a: np.ndarray, dist_b: np.ndarray, fp_b: np.ndar
     return i[stay], j[stay]
 
 
-def random_masks(count: int, distance: int, miss: float, bits: int = 64) -> list[int]:
-    """Random choices of bits, as long as the number of fingerprints asks for and as many as ``miss`` does."""
-    size = max(6, math.ceil(math.log2(max(count, 1) / 48)))
-    n = math.ceil(math.log(miss) / math.log1p(-((1 - distance / bits) ** size)))
-    rng = np.random.default_rng(3)
-    return [sum(1 << int(b) for b in rng.choice(bits, size, replace=False)) for _ in range(n)]
+def mask_keys(masks: list[int]) -> Column:
+    """The partitions of a fingerprint: its bits under each mask."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("v")) for k, mask in enumerate(masks)])
 
 
-def near_links(classes: DataFrame, masks: list[int], radius: int, agree: float | None = None, block: int = 400) -> DataFrame:
-    """(a, b): links that connect what is within the radius, and agrees in its sketches, from ``classes(id, fp[, sketch])``."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("v")) for k, mask in enumerate(masks)])
-    dealt = classes.select("*", F.explode(keys).alias("p")).select(*classes.columns, F.col("p.k").alias("k"), F.col("p.v").alias("v"))
+def near_links(classes: DataFrame, keys: Column, radius: int, agree: float | None = None, block: int = 400) -> DataFrame:
+    """(a, b): links that connect what is within the radius, and agrees in its sketches, from ``classes(id, fp[, sketch])`` by partitions."""
+    columns = [c for c in ("id", "fp", "sketch") if c in classes.columns]
+    dealt = classes.select(*columns, F.explode(keys).alias("p")).select(*columns, F.col("p.k").alias("k"), F.col("p.v").alias("v"))
     dealt = tiles(dealt, ["k", "v"], F.xxhash64("id"), block)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +224,7 @@ def near_links(classes: DataFrame, masks: list[int], radius: int, agree: float |
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return dealt.select("k", "v", "ti", "tj", "part", *classes.columns).mapInArrow(links, "a long, b long")
+    return dealt.select("k", "v", "ti", "tj", "part", *columns).mapInArrow(links, "a long, b long")
 
 
 def named(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -206,22 +242,83 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"), "classes")
     masks = partition_keys(blocks_for(classes.count(), radius), radius)
-    return named(rows, classes, near_links(classes.where("id IS NOT NULL"), masks, radius))
+    return named(rows, classes, near_links(classes.where("id IS NOT NULL"), mask_keys(masks), radius))
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of sets whose Jaccard similarity is ``similarity`` or more, counted in full."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, symbol, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[symbol] > 1  # the others only count for the sizes
+    symbol, owner = (np.cumsum(count > 1) - 1)[symbol[shared]], owner[shared]
+    order = np.argsort(symbol, kind="stable")
+    symbol, owner = symbol[order], owner[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(symbol[-1]) + 1 if len(symbol) else 0, chunk):
+        a, b = np.searchsorted(symbol, [low, low + chunk])
+        has = np.zeros((n, min(chunk, int(symbol[b - 1]) + 1 - low)), np.float32)
+        has[owner[a:b], symbol[a:b] - low] = 1
+        both += has @ has.T
+    union = sizes[:, None] + sizes[None, :] - both.astype(np.float64)
+    return np.nonzero(np.triu(both >= similarity * union - 1e-6, 1))
+
+
+def verified_links(sets: DataFrame, similarity: float, block: int = 200) -> DataFrame:
+    """(a, b): links that connect what is similar, from ``sets(node, component, shingles)``, all pairs of a component."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["component", "ti", "tj"]):
+            if len(t) < 2:
+                continue
+            nodes = t["node"].to_numpy()
+            root = forest(len(nodes), *similar_pairs([np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()], similarity))
+            moved = np.flatnonzero(root != np.arange(len(nodes)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+
+    dealt = tiles(sets, ["component"], F.xxhash64("node"), block)
+    return dealt.select("component", "ti", "tj", "node", "shingles").mapInArrow(links, "a long, b long")
+
 
+def similar_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int) -> DataFrame:
+    """(row, id, fp, first) of numbered documents: first is the (id, row) that leads the group, null ids last."""
+    rows = written(shingle_sets(docs, id_col, text_col, width), "fingerprints")
+    classes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "sketch", "bands")])
+    classes = written(classes.withColumnRenamed("node", "id"), "classes")
+    keys = F.transform("bands", lambda v, k: F.struct(k.alias("k"), v.alias("v")))
+    possible = components(near_links(classes, keys, radius, similarity - 0.25))
+    asked = written(possible.join(classes.select(F.col("id").alias("node"), F.col("row").alias("_row")), "node"), "possible")
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 10, radius: int = 14, miss: float = 5e-3) -> DataFrame:
-    """(id, fp, component) by links of texts whose shingle sets are similar; a sketch may miss the similarity by a tenth."""
-    rows = written(fingerprints(docs, id_col, text_col, width, sketches=True), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "id", "sketch")).alias("f")).select("f.id", "fp", "f.sketch")
-    classes = written(classes, "classes")
-    masks = random_masks(classes.count(), distance, miss)
-    return named(rows.select("id", "fp"), classes, near_links(classes.where("id IS NOT NULL"), masks, radius, similarity - 0.1))
+    def make():
+        def step(x):
+            return {"node": x["node"], "component": x["component"], "shingles": [np.unique(shingle_hashes(t, width)).tobytes() for t in x["_t"]]}
+
+        return step
+
+    texts = docs.select("_row", F.col(text_col).alias("_t")).join(asked, "_row")
+    sets = written(map_rows(texts.select("node", "component", "_t"), make, "node long, component long, shingles binary"), "sets")
+    roots = components(verified_links(sets, similarity))
+    found = rows.select("row", "id", "fp", "node").join(roots, "node", "left").select("row", "id", "fp", F.coalesce("component", "node").alias("group"))
+    found = written(found, "similar")
+    lead = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return found.join(lead, "group").select("row", "id", "fp", "first")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The documents without those whose group of similar texts has a smaller id; columns stay as they are."""
-    found = similar_groups(docs, id_col, text_col, **limits).where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 28) -> DataFrame:
+    """(id, fp, component) by links of texts whose shingle sets have that Jaccard similarity or more; component is the smallest id."""
+    return similar_rows(numbered(docs), id_col, text_col, width, similarity, radius).select("id", "fp", F.col("first.id").alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 28) -> DataFrame:
+    """One document of each group of similar texts, that of the smallest id; columns stay as they are.
+
+    Rows of the same id are told apart, and a null id comes last.
+    """
+    rows = numbered(docs)
+    gone = similar_rows(rows, id_col, text_col, width, similarity, radius).where("row <> first.row").select(F.col("row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -129,6 +129,19 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
     assert kept.columns == docs.columns and kept.where("doc_id < 300").count() == 300
 
 
+def test_similarity_has_an_exact_border(spark):
+    """Shares of a text at 0.8 and above are linked with it, those just below are not."""
+    rng = random.Random(4)
+    texts, linked = [], []
+    for k in range(240):
+        words = [f"v{rng.randrange(10**9)}" for _ in range(304)]  # 300 shingles
+        n = 240 + k % 8 if k % 2 else 239 - k % 24
+        texts += [" ".join(words), " ".join(words[: n + 4])]
+        linked.append(n >= 240)
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(240)] == linked
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for shared in (0, 250, 400, 500):
