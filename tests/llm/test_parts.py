@@ -142,6 +142,19 @@ def test_similarity_has_an_exact_border(spark):
     assert [got[2 * k + 1] == 2 * k for k in range(240)] == linked
 
 
+def test_repeats_do_not_make_texts_similar(spark):
+    """A line that repeats outvotes the rest of a fingerprint; the documents differ all the same, and ids may be null or repeated."""
+    rng = random.Random(6)
+    line = " ".join(f"l{i}" for i in range(9)) + "\n"
+    texts = [line * 100 + " ".join(f"b{rng.randrange(10**9)}" for _ in range(500)) for _ in range(12)]
+    ids = [*range(8), 8, 8, None, None]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_one(docs).collect()) == sorted(texts)
+    same = spark.createDataFrame([(None, texts[0]), (None, texts[0]), (3, texts[1]), (3, texts[1] + " more"), (None, texts[1])], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"][-5:] == " more") for r in simhash.keep_one(same).collect())[0] == (0, False)
+    assert simhash.keep_one(same).count() == 2
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for shared in (0, 250, 400, 500):
