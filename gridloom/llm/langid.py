@@ -13,7 +13,10 @@ own calibration texts have, by a margin that shrinks with the text's length.
 
 Models are fitted on a sample: each language gives whole texts of ``fit_chars`` characters in
 expectation and another tenth of that for calibration, chosen by hashes of their ids; that bounds
-the model's size.  Prediction reads whole texts and nothing else of a row.
+the model's size.  A language with less is divided in the same proportion, unless it has fewer than ``least``
+texts: then all are learned.  A language with fewer than ``marks`` calibration texts takes the largest limit of the
+others; where no language has that many, the limit comes from all calibration texts together, and without any
+it is the cost of guessing among all characters.  Prediction reads whole texts and nothing else of a row.
 
 Null texts and texts without a letter get ``und``, score 0 and are rejected.  With nothing to learn
 from, every text is ``und``.  Ties go to the language that sorts first.
@@ -140,7 +143,7 @@ def model_of(counts: pd.DataFrame) -> Model | None:
             lang = np.concatenate([lang[rest], short["l"].to_numpy()])
             count = np.concatenate([count[rest], short["n"].to_numpy()])
     model.base = np.full(n, 1 / characters)
-    model.limit = np.full(n, np.inf)
+    model.limit = np.full(n, np.inf)  # until fit() has calibrated it
     return model
 
 
@@ -193,14 +196,16 @@ class Scorer:
         return sums / np.maximum(chars, 1)[:, None], chars
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_chars: int = 2_000_000) -> Model | None:
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_chars: int = 2_000_000, least: int = 20, marks: int = 5) -> Model | None:
     """Fit and calibrate on rows where ``learn`` holds and the language is not null."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
-    total = rows.groupBy("_l").agg(F.sum(F.length("_t")).alias("_n")).collect()  # one row per language, as many as the model has columns
+    total = rows.groupBy("_l").agg(F.sum(F.length("_t")).alias("_n"), F.count(F.lit(1)).alias("_c")).collect()  # one row per language, as many as the model has columns
     if not total:
         return None
     chars = F.create_map(*[x for r in total for x in (F.lit(r["_l"]), F.lit(r["_n"]))])[F.col("_l")]
     rows = rows.withColumn("_u", F.pmod(F.xxhash64("_i", F.lit("fit")), F.lit(1_000_003)) / 1_000_003 * chars)
+    share = {r["_l"]: min(float(fit_chars), r["_n"] / 1.1 if r["_c"] >= least else r["_n"] + 1.0) for r in total}
+    rows = rows.withColumn("_m", F.create_map(*[F.lit(x) for r in share.items() for x in r])[F.col("_l")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -211,16 +216,22 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
             grams = gram_counts(words)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": list(grams), "n": list(grams.values())}, pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
 
-    parts = rows.where(F.col("_u") < fit_chars).select("_l", "_t").mapInArrow(count, "lang string, gram string, n long")
+    parts = rows.where("_u < _m").select("_l", "_t").mapInArrow(count, "lang string, gram string, n long")
     model = model_of(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())  # at most the sample's n-grams
     if model is None:
         return None
-    held = rows.where((F.col("_u") >= fit_chars) & (F.col("_u") < 1.1 * fit_chars))
+    held = rows.where("_u >= _m AND _u < 1.1 * _m")
     marked = predict(held, model, "_t", ("_l",)).where("lang_pred = _l AND chars >= 50")
-    marks = {r["_l"]: r for r in marked.groupBy("_l").agg(F.expr("percentile(entropy, 0.5)").alias("mid"), F.expr("percentile(entropy, 0.99)").alias("high")).collect()}
-    for i, x in enumerate(model.languages):
-        if x in marks:
-            model.limit[i] = marks[x]["high"] + 6 * max(marks[x]["high"] - marks[x]["mid"], 0.1)
+    middle, high = F.expr("percentile(entropy, 0.5)").alias("mid"), F.expr("percentile(entropy, 0.99)").alias("high")
+    found = marked.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), middle, high).collect()
+    border = lambda r: r["high"] + 6 * max(r["high"] - r["mid"], 0.1)
+    limits = {r["_l"]: border(r) for r in found if r["n"] >= marks}
+    if limits:
+        other = max(limits.values())
+    else:
+        pooled = marked.agg(F.count(F.lit(1)).alias("n"), middle, high).first()
+        other = border(pooled) if pooled["n"] else float(-np.log2(model.base[0]))
+    model.limit = np.array([limits.get(x, other) for x in model.languages])
     return model
 
 

@@ -267,3 +267,18 @@ def test_language(docs, none, spark):
 
     bits = [model.log_probs([f"th{x}"])[0] - 0 for x in letters]
     assert np.isfinite(bits).all()
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_language_rejects_gibberish_at_any_size(spark, size):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    real = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    junk = [(k, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 12))) for _ in range(80))) for k in range(40)]
+    model = langid.fit(real, F.lit(True))
+    assert len(model.limit) == len(model.languages) and all(x < 1e9 for x in model.limit)
+    assert all(r["rejected"] for r in langid.predict(spark.createDataFrame(junk, "doc_id long, text string"), model).collect())
+    assert langid.accepted(real, model).count() >= 0.98 * real.count()
