@@ -1,7 +1,8 @@
 """From raw documents to a tokenised training mix, in five stages.
 
 Each stage takes the documents that its predecessor kept and returns documents; the last returns one
-row for each document of the mix, repeats included, with its token count and digests.
+row for each document of the mix, repeats included, with its token count and digests.  Stages that drop or
+repeat documents number the rows and work by that number, so rows of a null or a repeated id count one by one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, langid, mixing, pieces, simhash
-from gridloom.llm.common import written
+from gridloom.llm.common import numbered, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +20,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts that are equal but for white space."""
-    found = exact_dedup.exact_groups(docs)
-    return docs.join(found.where("id <> keep_id").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    """Exactly one of each group of texts that are equal but for white space: the longest, then the smallest id, null last."""
+    rows = numbered(docs)
+    found = exact_dedup.exact_groups(rows, id_col="_row", order_col="doc_id")
+    return rows.join(found.where("id <> keep_id").select(F.col("id").alias("_row")), "_row", "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +32,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
-    times = mixing.mix(docs).where("times > 0").select("doc_id", "times")
-    taken = docs.join(times, "doc_id")
+    """Each document as often as the mix of the sources takes it; equal rows are documents of their own."""
+    rows = numbered(docs)
+    times = mixing.mix(rows, kept=("_row",)).where("times > 0").select("_row", "times")
+    taken = rows.join(times, "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(docs.columns)
 
 

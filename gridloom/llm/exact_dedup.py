@@ -31,17 +31,21 @@ def refine(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(shared, key, "left_semi")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
-    """(id, chars, keep_id, group_size) for the rows that have equals; others have none and are absent."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, order_col: str | None = None) -> DataFrame:
+    """(id, chars, keep_id, group_size) for the rows that have equals; others have none and are absent.
+
+    With ``order_col``, of the longest texts the one where that column is smallest stays (null last), then the smallest id.
+    """
+    order = F.col(order_col or id_col)
     text = F.col(text_col)
     norm = normalised(text)
     short = docs.select(F.col(id_col).alias("id"), F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, prefix)).alias("head"))
     same_size = written(refine(written(short, "lengths"), ["size"]), "lengths")
     left = written(refine(same_size, ["size", "head"]).select("id"), "survivors")
-    whole = docs.select(F.col(id_col).alias("id"), text.alias("_text")).join(left.select(F.col("id").alias("_i")), F.col("id").eqNullSafe(F.col("_i")), "left_semi")
-    whole = whole.select("id", F.length(text_of("_text")).alias("chars"), F.unhex(F.sha2(normalised("_text"), 256)).alias("full"))
+    whole = docs.select(F.col(id_col).alias("id"), order.alias("order"), text.alias("_text")).join(left.select(F.col("id").alias("_i")), F.col("id").eqNullSafe(F.col("_i")), "left_semi")
+    whole = whole.select("id", "order", F.length(text_of("_text")).alias("chars"), F.unhex(F.sha2(normalised("_text"), 256)).alias("full"))
     whole = written(whole, "hashes")
-    best = whole.groupBy("full").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("chars", (-F.col("id")).alias("low"), "id")).alias("top"))
+    best = whole.groupBy("full").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("chars", (-F.col("order")).alias("first"), (-F.col("id")).alias("low"), "id")).alias("top"))
     best = best.where("group_size > 1").select("full", "group_size", F.col("top.id").alias("keep_id"))
     return whole.join(best, "full").select("id", "chars", "keep_id", "group_size")
 

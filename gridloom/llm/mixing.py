@@ -48,16 +48,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     return rows.select("key", "source_size", F.least(F.col("cap").cast("double"), water * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **shares) -> DataFrame:
-    """id, size, source_size, target and times (how often the mix takes the document)."""
-    rows = docs.select(F.col(id_col), source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("order"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, kept: tuple[str, ...] = (), **shares) -> DataFrame:
+    """id, size, source_size, target and times (how often the mix takes the document), and the columns ``kept``."""
+    rows = docs.select(F.col(id_col), *kept, source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("order"))
     rows = written(rows, "sizes")
     aims = targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), **shares)
-    placed = running_sum(rows, "key", ["order", id_col, "size"], "size", "before").join(aims, "key")
+    placed = running_sum(rows, "key", ["order", id_col, "size", *kept], "size", "before").join(aims, "key")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     extra = (F.col("before") + F.col("size") / 2 <= rest) & (rest > 0)
-    return placed.withColumn("whole", whole).withColumn("times", (F.col("whole") + extra.cast("long")).cast("long")).select(id_col, "size", "source_size", "target", "times")
+    return placed.withColumn("whole", whole).withColumn("times", (F.col("whole") + extra.cast("long")).cast("long")).select(id_col, "size", "source_size", "target", "times", *kept)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

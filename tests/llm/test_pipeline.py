@@ -72,6 +72,18 @@ def test_mix(stages):
     assert sum(found[i]["size"] * n for i, n in want.items()) == pytest.approx(1.5 * total, rel=0.1)
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows without an id and rows of one id are documents like any other."""
+    texts = [(None, "a b c d", "s"), (None, "ab cd", "s"), (None, "e f g", "s"), (5, "h i j k", "s"), (5, "h i j k", "s"), (5, "l m", "s"), (6, "hij k", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.exact_copies(spark, docs, SF)
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in once.collect()) == [(0, "a b c d"), (0, "e f g"), (5, "h i j k"), (5, "l m")]
+    mixed = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mixture(spark, docs, SF).collect())
+    held = Counter((i, t) for i, t, _ in texts)
+    assert set(mixed) == set(held)  # the one source is taken one and a half times
+    assert all(held[k] <= n <= 2 * held[k] for k, n in mixed.items())
+
+
 def test_tokens(stages):
     import sentencepiece
 
