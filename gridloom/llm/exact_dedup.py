@@ -7,10 +7,14 @@ Null counts as empty; empty texts are equal to each other.  Rows are compared by
 2. the hash of its first ``prefix`` characters, within equal lengths,
 3. SHA-256 of all of it, within equal lengths and prefixes.
 
-Only rows whose group still has two members go on, and only they have their whole text hashed.
+Only rows whose group still has two members go on.  :func:`exact_groups` reads the whole texts of those rows alone
+again and hashes them.  :func:`exact_dedup` has to give the digest of every text, so it makes length, prefix hash
+and digest in one pass over the texts; the digests of rows that dropped out before are compared with nothing.
+
 Groups are counted with partial aggregates and joined back, so a group may hold any share of the
-rows.  Of equal texts the one with the most code points, then the smallest id, stays; rows with a
-null id come last, and of rows that tie in everything (same id, same text) each gets the same answer.
+rows.  Of equal texts the one with the most code points, then the smallest id, stays; a null id comes last.
+Every input row gives one output row, whatever its id: rows of one id, or without an id, are told apart by a number,
+and of rows that tie in everything exactly one is kept.
 """
 
 from __future__ import annotations
@@ -25,49 +29,60 @@ def normalised(text: str | Column = "text") -> Column:
     return F.regexp_replace(text_of(text), f"[{SPACE}]+", "")
 
 
+def lengths(text: Column, prefix: int) -> list[Column]:
+    """The first two keys: size and prefix hash of the normalised text."""
+    norm = normalised(text)
+    return [F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, prefix)).alias("head")]
+
+
 def refine(rows: DataFrame, key: list[str]) -> DataFrame:
     """The rows whose ``key`` at least one other row shares."""
     shared = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return rows.join(shared, key, "left_semi")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, order_col: str | None = None) -> DataFrame:
-    """(id, chars, keep_id, group_size) for the rows that have equals; others have none and are absent.
+def leaders(rows: DataFrame) -> DataFrame:
+    """(full, group_size, keep): of rows(row, order, chars, full) with equal hashes, the row that stays."""
+    lead = F.struct("chars", (-F.col("order")).alias("first"), (-F.col("row")).alias("low"), "row", "order")
+    best = rows.groupBy("full").agg(F.count(F.lit(1)).alias("group_size"), F.max(lead).alias("top")).where("group_size > 1")
+    return best.select("full", "group_size", F.col("top.row").alias("keep_row"), F.col("top.order").alias("keep_id"))
 
-    With ``order_col``, of the longest texts the one where that column is smallest stays (null last), then the smallest id.
-    """
-    order = F.col(order_col or id_col)
+
+def exact_groups(docs: DataFrame, row_col: str, text_col: str = "text", prefix: int = 64, id_col: str = "doc_id") -> DataFrame:
+    """(row, keep_row, group_size) of numbered rows that have equals; others have none and are absent."""
     text = F.col(text_col)
-    norm = normalised(text)
-    short = docs.select(F.col(id_col).alias("id"), F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, prefix)).alias("head"))
+    short = docs.select(F.col(row_col).alias("row"), *lengths(text, prefix))
     same_size = written(refine(written(short, "lengths"), ["size"]), "lengths")
-    left = written(refine(same_size, ["size", "head"]).select("id"), "survivors")
-    whole = docs.select(F.col(id_col).alias("id"), order.alias("order"), text.alias("_text")).join(left.select(F.col("id").alias("_i")), F.col("id").eqNullSafe(F.col("_i")), "left_semi")
-    whole = whole.select("id", "order", F.length(text_of("_text")).alias("chars"), F.unhex(F.sha2(normalised("_text"), 256)).alias("full"))
+    left = written(refine(same_size, ["size", "head"]).select("row"), "survivors")
+    whole = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("order"), text.alias("_text")).join(left, "row", "left_semi")
+    whole = whole.select("row", "order", F.length(text_of("_text")).alias("chars"), F.unhex(F.sha2(normalised("_text"), 256)).alias("full"))
     whole = written(whole, "hashes")
-    best = whole.groupBy("full").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("chars", (-F.col("order")).alias("first"), (-F.col("id")).alias("low"), "id")).alias("top"))
-    best = best.where("group_size > 1").select("full", "group_size", F.col("top.id").alias("keep_id"))
-    return whole.join(best, "full").select("id", "chars", "keep_id", "group_size")
+    return whole.join(leaders(whole), "full").select("row", "keep_row", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept."""
-    found = exact_groups(docs, id_col, text_col, prefix).dropDuplicates(["id"]).drop("chars")
-    rows = docs.select(F.col(id_col).alias("_id"))
-    out = rows.join(found, F.col("_id").eqNullSafe(F.col("id")), "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))
-    return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("_id")).alias("kept"))
+    """One row per input row: id, keep_id, group_size, kept and text_sha256."""
+    text = F.col(text_col)
+    chars, full = F.length(text_of(text)).alias("chars"), F.unhex(F.sha2(normalised(text), 256)).alias("full")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("order"), chars, *lengths(text, prefix), full)
+    rows = written(rows, "hashes")
+    same_size = written(refine(rows, ["size"]), "lengths")
+    best = written(leaders(refine(same_size, ["size", "head"])), "leaders")
+    found = rows.select("row", "order", "full").join(best, "full", "left")
+    alone = F.col("group_size").isNull()
+    return found.select(
+        F.col("order").alias(id_col), F.when(alone, F.col("order")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), F.lower(F.hex("full")).alias("text_sha256"),
+    )
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hashes = docs.select(F.col("doc_id").alias("_d"), F.sha2(normalised(), 256).alias("text_sha256"))
-    found = exact_dedup(docs)
-    return found.join(hashes, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
-r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
+r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept
+ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r
 """

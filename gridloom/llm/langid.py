@@ -8,15 +8,21 @@ order is discounted and interpolated with the next lower one, down to a uniform
 
 A model is a sorted array of n-gram hashes for each order, with a row of discounted probabilities per
 language, and one of context hashes with rows of interpolation weights.  The language with the lowest
-cross-entropy per character wins.  A text is rejected when that entropy is above what the language's
-own calibration texts have, by a margin that shrinks with the text's length.
+cross-entropy per character wins.  A text is rejected when that entropy is above the language's limit and a
+margin of ``slack / sqrt(characters)``, which leaves room for the chance in short texts.
+
+The limit is calibrated on texts that were not learned.  On one side stand the language's own: their 99th
+percentile, so about one in a hundred texts of a known language may be rejected at most.  On the other
+stand texts that are foreign to all but one model: those of each other language, scored without its own model (their
+5th percentile, of the language that comes nearest).  The limit lies halfway between, or at the own
+percentile where the two overlap.
 
 Models are fitted on a sample: each language gives whole texts of ``fit_chars`` characters in
 expectation and another tenth of that for calibration, chosen by hashes of their ids; that bounds
 the model's size.  A language with less is divided in the same proportion, unless it has fewer than ``least``
-texts: then all are learned.  A language with fewer than ``marks`` calibration texts takes the largest limit of the
-others; where no language has that many, the limit comes from all calibration texts together, and without any
-it is the cost of guessing among all characters.  Prediction reads whole texts and nothing else of a row.
+texts: then all are learned.  A language with fewer than ``marks`` calibration texts takes the largest own percentile of the
+others; where no language has that many, it comes from all calibration texts together.  With one language alone, the foreign
+side is the cost of guessing among all characters.  Prediction reads whole texts and nothing else of a row.
 
 Null texts and texts without a letter get ``und``, score 0 and are rejected.  With nothing to learn
 from, every text is ``und``.  Ties go to the language that sorts first.
@@ -74,10 +80,10 @@ class Model:
     gamma: list[np.ndarray]
     base: np.ndarray
     limit: np.ndarray
-    slack: float = 6.0
+    slack: float = 4.0
 
-    def log_probs(self, words: list[str]) -> np.ndarray:
-        """Bits that each word costs in each language, end mark included."""
+    def char_bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits that each character costs in each language, word after word and end marks included, and the words' numbers of them."""
         flat, lengths, place = codes(words)
         want = place > 0
         at = np.flatnonzero(want)
@@ -97,9 +103,12 @@ class Model:
             g = np.minimum(np.searchsorted(self.grams[k - 1], h), len(self.grams[k - 1]) - 1)
             hit = self.grams[k - 1][g] == h
             p[rows[hit]] += self.alpha[k - 1][g[hit]]
-        bits = -np.log2(np.maximum(p, 1e-12))
-        firsts = np.cumsum(lengths - 1) - (lengths - 1)
-        return np.add.reduceat(bits, firsts, axis=0)
+        return -np.log2(np.maximum(p, 1e-12)), lengths - 1
+
+    def log_probs(self, words: list[str]) -> np.ndarray:
+        """Bits that each word costs in each language, end mark included."""
+        bits, lengths = self.char_bits(words)
+        return np.add.reduceat(bits, np.cumsum(lengths) - lengths, axis=0)
 
 
 def by_hash(grams: np.ndarray, ctx: np.ndarray, lang: np.ndarray, count: np.ndarray, n: int):
@@ -220,21 +229,40 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     model = model_of(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())  # at most the sample's n-grams
     if model is None:
         return None
-    held = rows.where("_u >= _m AND _u < 1.1 * _m")
-    marked = predict(held, model, "_t", ("_l",)).where("lang_pred = _l AND chars >= 50")
-    middle, high = F.expr("percentile(entropy, 0.5)").alias("mid"), F.expr("percentile(entropy, 0.99)").alias("high")
-    found = marked.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), middle, high).collect()
-    border = lambda r: r["high"] + 6 * max(r["high"] - r["mid"], 0.1)
-    limits = {r["_l"]: border(r) for r in found if r["n"] >= marks}
-    if limits:
-        other = max(limits.values())
-    else:
-        pooled = marked.agg(F.count(F.lit(1)).alias("n"), middle, high).first()
-        other = border(pooled) if pooled["n"] else float(-np.log2(model.base[0]))
-    model.limit = np.array([limits.get(x, other) for x in model.languages])
+    model.limit = calibrated(rows.where("_u >= _m AND _u < 1.1 * _m").select("_l", "_t"), model, marks)
     return model
 
 
+def calibrated(held: DataFrame, model: Model, marks: int) -> np.ndarray:
+    """The limit of each language, from texts ``held(_l, _t)`` that were not learned."""
+    sent = held.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = Scorer(sent.value)
+        place = {x: i for i, x in enumerate(sent.value.languages)}
+
+        def step(x):
+            bits, chars = scorer.entropies(x["_t"])
+            rows = np.arange(len(bits))
+            best = bits.argmin(1)
+            at = np.array([place.get(lang, -1) for lang in x["_l"]], np.int64)
+            own = bits[rows, at]
+            bits[rows[at >= 0], at[at >= 0]] = np.inf
+            use = chars >= 50
+            return {"lang": x["_l"], "own": [v if u and b == k else None for v, u, b, k in zip(own, use, best, at, strict=True)], "other": [v if u and np.isfinite(v) else None for v, u in zip(bits.min(1), use, strict=True)]}
+
+        return step
+
+    scored = map_rows(held, make, "lang string, own double, other double")  # at most a tenth of the sample
+    sides = (F.count("own").alias("n"), F.expr("percentile(own, 0.99)").alias("own"), F.count("other").alias("m"), F.expr("percentile(other, 0.05)").alias("other"))
+    found = scored.groupBy("lang").agg(*sides).collect()
+    guess = float(-np.log2(model.base[0]))
+    own = {r["lang"]: r["own"] for r in found if r["n"] >= marks}
+    high = max(own.values()) if own else next((r["own"] for r in [scored.agg(*sides).first()] if r["n"]), guess)
+    foreign = min([r["other"] for r in found if r["m"] >= marks], default=guess)
+    return np.array([max(o, (o + foreign) / 2) for o in (own.get(x, high) for x in model.languages)])
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``kept`` with lang_pred, score, entropy, chars and rejected."""
     schema = docs.select(*kept).schema

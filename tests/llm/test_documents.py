@@ -139,7 +139,24 @@ def test_exact(docs, none, spark):
         assert (found[i]["keep_id"], found[i]["group_size"], found[i]["kept"]) == (keep, len(same), keep == i), TEXTS[i]
     assert exact_dedup.exact_dedup(none).count() == 0
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "ab"), (2, "zz")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(twice).collect()) == [(0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (2, 2, 1, True)]
+    assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(twice).collect()) == [(0, 1, 3, False), (1, 1, 3, False), (1, 1, 3, True), (2, 2, 1, True)]
+
+
+def test_exact_query_with_repeated_and_null_ids(spark, tmp_path):
+    """One row for each row of the table, whatever its id, with the digest of its own text."""
+    table = [(1, "a b"), (1, "ab"), (1, "other"), (None, "ab"), (None, None), (None, "own"), (2, ""), (3, " "), (2, "x y"), (4, "xy ")]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    want = []
+    for k, (i, t) in enumerate(table):
+        same = [j for j in range(len(table)) if norm(table[j][1]) == norm(t)]
+        lead = min(same, key=lambda j: (-len(table[j][1] or ""), table[j][0] is None, table[j][0] or 0, j))
+        want.append((i or 0, table[lead][0] or 0, len(same), k == lead, sha(norm(t).encode())))
+    found = exact_dedup.op6(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"], r["text_sha256"]) for r in found) == sorted(want)
+    numbered = spark.createDataFrame([(k, *r) for k, r in enumerate(table)], "_row long, doc_id long, text string")
+    gone = {r["row"] for r in exact_dedup.exact_groups(numbered, "_row").where("row <> keep_row").collect()}
+    assert len(table) - len(gone) == sum(r[3] for r in want)
 
 
 def brute_fingerprint(text, width):
@@ -259,14 +276,79 @@ def test_language(docs, none, spark):
     assert langid.fit(none, F.lit(True)) is None
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.accepted(docs, model).columns == docs.columns
-    one = model.log_probs(["the", "zzzqqq"])
-    assert (one > 0).all()
-    letters = sorted({chr(c) for c in range(97, 123)})
-    # probabilities of all next characters after a context add up to one at most (the rest is for unseen ones)
+
+
+def brute_kneser_ney(words, floor, order=4):
+    """Interpolated Kneser-Ney from the definition, with dictionaries: a function of context and character."""
+    counts = Counter()
+    for w, n in words.items():
+        marked = f"\x02{w}\x03"
+        for i in range(1, len(marked)):
+            counts[marked[max(0, i - order + 1) : i + 1]] += n
+    tables = {}
+    for k in range(order, 0, -1):
+        tables[k] = Counter({g: n for g, n in counts.items() if len(g) == k})
+        counts = Counter({g: n for g, n in counts.items() if len(g) < k})
+        for g in tables[k]:
+            counts[g[1:]] += 1
+
+    def p(context, char):
+        context = context[-(order - 1) :]
+        k = len(context) + 1
+        table = tables[k]
+        n1, n2 = (sum(v == x for v in table.values()) for x in (1, 2))
+        d = min(0.9, max(0.1, n1 / max(1, n1 + 2 * n2)))
+        after = [v for g, v in table.items() if g[:-1] == context]
+        lower = p(context[1:], char) if context else floor
+        if not after:
+            return lower
+        return max(table[context + char] - d, 0) / sum(after) * (table[context + char] > 0) + d * len(after) / sum(after) * lower
+
+    return p
+
+
+def test_kneser_ney_against_the_definition():
     import numpy as np
+    import pandas as pd
+
+    corpora = {"xx": Counter("the then there other that three then the".split()), "yy": Counter("dass das der die den dem des da".split())}
+    rows = [(lang, g, n) for lang, words in corpora.items() for g, n in langid.gram_counts(words).items()]
+    model = langid.model_of(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    everything = {c for words in corpora.values() for w in words for c in w} | {"\x03"}
+    asked = ["the", "thermal", "das", "q", "zzz", "eth", "dash"]
+    bits, lengths = model.char_bits(asked)
+    ends = np.cumsum(lengths)
+    for col, lang in enumerate(model.languages):
+        p = brute_kneser_ney(corpora[lang], 1 / (len(everything) + 1))
+        for word, end, n in zip(asked, ends, lengths, strict=True):
+            marked = f"\x02{word}\x03"
+            for i in range(1, len(marked)):
+                assert 2 ** -bits[end - n + i - 1, col] == pytest.approx(p(marked[max(0, i - 3) : i], marked[i]), rel=1e-9), (lang, word, i)
+        # over the whole alphabet and one unseen character, each context's probabilities add up to one
+        for head in ("th", "d", "zz"):
+            tried = [head + c for c in sorted(everything - {"\x03"}) + ["\u4e2d"]]
+            b, n = model.char_bits(tried)
+            at = np.cumsum(n) - 2
+            end_mark = model.char_bits([head])[0][-1, col]
+            assert sum(2 ** -b[at, col]) + 2**-end_mark == pytest.approx(1, abs=1e-9)
+
+
+def test_language_left_out_is_rejected(spark):
+    """Texts of a language that was not learned, random letters and other scripts go; texts of the others stay."""
+    import random
+
+    from pyspark.sql import functions as F
 
-    bits = [model.log_probs([f"th{x}"])[0] - 0 for x in letters]
-    assert np.isfinite(bits).all()
+    rng = random.Random(4)
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)) for _ in range(40)]
+    strange = letters + ["これは日本語の文章です。今日は天気がいいですね。", "Привет, как дела? Это русский текст для проверки.", "zzzz qqqq"]
+    for left in ("fr", "en"):
+        model = langid.fit(real, (F.col("lang") != left) & ~langid.held_out())
+        foreign = langid.predict(real.where(F.col("lang") == left), model).where("chars >= 50").agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+        own = langid.predict(real.where((F.col("lang") != left) & langid.held_out()), model).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+        assert foreign >= 0.9 and own <= 0.02, (left, foreign, own)
+        assert all(r["rejected"] for r in langid.predict(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model).collect())
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
