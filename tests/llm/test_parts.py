@@ -81,7 +81,7 @@ def vectors(seed, n=600, d=64):
     return np.concatenate([base, near, crowd, base[5:8], 3 * base[9:11]])
 
 
-@pytest.mark.parametrize("block", [16, 256])
+@pytest.mark.parametrize("block", [16, 1024])
 def test_embeddings(spark, block):
     v = vectors(4).astype(np.float32).astype(float)
     odd = [None, [], [0.0] * 64, [float("nan")] + [1.0] * 63, [float("inf")] + [1.0] * 63, [None] + [1.0] * 63, [1.0, 0.0], [1.0, 0.01]]
@@ -107,6 +107,16 @@ def test_embeddings(spark, block):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_with_null_and_repeated_ids(spark):
+    """Each row is a vector of its own: three equal ones have two links each, whatever their ids."""
+    a, b, c = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    near = [1.0, 0.0, 0.01, 0.1]
+    data = [(1, a), (None, a), (3, a), (3, b), (None, c), (None, c), (4, near), (5, None), (None, None)]
+    got = embeddings.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 3, 1, True), (None, 3, 1, False), (3, 3, 1, False), (3, 0, 3, True), (None, 1, None, True), (None, 1, None, True), (4, 3, 1, False), (5, 0, 5, True), (None, 0, None, True)]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
 def test_similar_texts_are_grouped_and_others_are_not(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
