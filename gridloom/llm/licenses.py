@@ -9,15 +9,21 @@ agree on are candidates.  The key phrase must stand in full, so no place is lost
 holds.  A candidate is verified: all words of the template's key phrase must stand
 at their places, and at least ``share`` of the template's words as well.
 
+A licence has several templates: the first clause of its text, its whole first paragraph, its usual notice and its short
+identifier.  One verified template gives the label, so a text that is cut short or edited further down still counts;
+the score is the best share.
+
 Besides, ``base`` finds all places where the plain phrases of :data:`PHRASES` stand.
 
 The postings are a fixed list of some hundred words; nothing else is broadcast.  A document's hits are
 handled by document, so its length is the largest group.  Null and empty texts have no words; a
-document without hits has null places, empty labels and score 0.  Ids must be unique.
+document without hits has null places, empty labels and score 0.  Every row is a document of its own, whatever its id.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,46 +37,77 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 
 #: Label, key phrase that must stand in full, passage of the licence or its usual notice.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit-notice", "released under the mit license", "released under the mit license"),
-    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("gpl-2", "general public license version 2", "licensed under the gnu general public license version 2"),
-    ("gpl-3", "general public license version 3", "licensed under the gnu general public license version 3"),
-    ("lgpl-2.1", "lesser general public license", "licensed under the gnu lesser general public license version 2 1"),
-    ("agpl-3", "affero general public license", "licensed under the gnu affero general public license version 3"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
-    ("cc-by-4.0", "cc by 4 0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "cc by sa 4 0", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
-    ("cc0-1.0", "cc0 1 0", "released under cc0 1 0 universal"),
-]
+    ("mit", "Permission is hereby granted, free of charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit", "Permission is hereby granted, free of charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: MIT"),
+    ("mit-notice", "released under the MIT License", "released under the MIT License"),
+    ("apache-2.0", "Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("gpl-2", "General Public License, version 2", "licensed under the GNU General Public License, version 2"),
+    ("gpl-2", "either version 2 of the License", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-2", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-3", "General Public License, version 3", "licensed under the GNU General Public License, version 3"),
+    ("gpl-3", "GNU General Public License as published by the Free Software Foundation, either version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-3", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("lgpl-2.1", "Lesser General Public License", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("lgpl-2.1", "GNU Lesser General Public License as published by the Free Software Foundation", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3", "Affero General Public License", "licensed under the GNU Affero General Public License, version 3"),
+    ("agpl-3", "GNU Affero General Public License as published by the Free Software Foundation", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "Neither the name of", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("mpl-2.0", "Mozilla Public License", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2.0", "Mozilla Public License", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("isc", "Permission to use, copy, modify", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "Permission to use, copy, modify", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "free and unencumbered software", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", "free and unencumbered software", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "In no event will the authors be held liable", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("bsl-1.0", "Boost Software License", "Distributed under the Boost Software License, Version 1.0"),
+    ("epl-2.0", "Eclipse Public License", "made available under the terms of the Eclipse Public License 2.0"),
+    ("cc-by-4.0", "CC BY 4.0", "licensed under CC BY 4.0"),
+    ("cc-by-4.0", "Creative Commons Attribution 4.0 International", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0", "CC BY-SA 4.0", "licensed under CC BY-SA 4.0"),
+    ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0 International", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "CC BY-NC 4.0", "licensed under CC BY-NC 4.0"),
+    ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0 International", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc0-1.0", "CC0 1.0", "released under CC0 1.0 Universal"),
+]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a template, which is ASCII."""
+    return re.findall("[0-9a-z]+", text.lower())
+
+
+#: (label, words of the key phrase, words of the passage)
+PARTS = [(label, words_of(key), words_of(passage)) for label, key, passage in TEMPLATES]
 
 
 def postings(spark) -> DataFrame:
     """(template, label, place, word, key, size) of the fixed templates."""
     rows = []
-    for n, (label, key, passage) in enumerate(TEMPLATES):
-        words, need = passage.split(), key.split()
+    for n, (label, need, words) in enumerate(PARTS):
         at = next(i for i in range(len(words)) if words[i : i + len(need)] == need)
         rows += [(n, label, i, w, at <= i < at + len(need), len(words)) for i, w in enumerate(words)]
     return spark.createDataFrame(rows, "template int, label string, place int, word string, key boolean, size int")
 
 
 def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, hits): each document's licence words with their positions, in one array."""
-    vocabulary = sorted({w for *_, p in TEMPLATES for w in p.split()} | {w for p in PHRASES for w in p.split()})
+    """(row, id, n_words, seen, hits): each document's licence words, and all their positions where it can be labelled."""
+    vocabulary = sorted({w for _, _, words in PARTS for w in words} | {w for p in PHRASES for w in p.split()})
     words = F.array_remove(F.split(text_of(text_col), SEPARATORS), "")
     plain = lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w))
     placed = F.filter(F.transform("_w", lambda w, i: F.struct(i.cast("long").alias("pos"), plain(w).alias("word"))), lambda s: F.coalesce(s["word"].isin(vocabulary), F.lit(False)))
-    return docs.select(F.col(id_col).alias("id"), words.alias("_w")).select("id", F.size("_w").cast("long").alias("n_words"), placed.alias("hits"))
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("_w")).select("id", F.size("_w").cast("long").alias("n_words"), placed.alias("hits"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "n_words", "hits", F.array_distinct("hits.word").alias("seen"))
+    return rows.select("row", "id", "n_words", "seen", F.when(possible(F.col("seen")), F.col("hits")).alias("hits"))
 
 
 def possible(words: Column) -> Column:
     """Whether an array has all words of some key phrase or plain phrase: no other document can be labelled."""
-    keys = sorted({tuple(sorted(set(k.split()))) for _, k, _ in TEMPLATES} | {tuple(sorted(set(p.split()))) for p in PHRASES})
+    keys = sorted({tuple(sorted(set(key))) for _, key, _ in PARTS} | {tuple(sorted(set(p.split()))) for p in PHRASES})
+    keys = [k for k in keys if not any(set(other) < set(k) for other in keys)]  # the rest holds where these do
     out = F.lit(False)
     for key in keys:
         out = out | (F.size(F.array_except(F.array(*map(F.lit, key)), words)) == 0)
@@ -78,49 +115,46 @@ def possible(words: Column) -> Column:
 
 
 def base(found: DataFrame) -> DataFrame:
-    """(id, pos, label) of each place of a plain phrase, from hits with words."""
-    order = W.partitionBy("id").orderBy("pos")
+    """(row, pos, label) of each place of a plain phrase, from hits with words."""
+    order = W.partitionBy("row").orderBy("pos")
     after = lambda k: F.when(F.lead("pos", k).over(order) == F.col("pos") + k, F.lead("word", k).over(order))
-    seen = found.select("id", "pos", "word", after(1).alias("w1"), after(2).alias("w2"))
+    seen = found.select("row", "pos", "word", after(1).alias("w1"), after(2).alias("w2"))
     label = None
     for phrase, name in PHRASES.items():
         test = F.lit(True)
         for column, word in zip(("word", "w1", "w2"), phrase.split()):  # noqa: B905
             test = test & (F.col(column) == word)
         label = F.when(test, name) if label is None else label.when(test, name)
-    return seen.withColumn("label", label).where("label IS NOT NULL").select("id", "pos", "label")
+    return seen.withColumn("label", label).where("label IS NOT NULL").select("row", "pos", "label")
 
 
 def matches(found: DataFrame, idf: DataFrame, rare: int = 2, share: float = 0.8) -> DataFrame:
-    """(id, label, share) of each verified template place, from hits with words and the words' idf."""
+    """(row, label, share) of each verified template place, from hits with words and the words' idf."""
     index = F.broadcast(postings(found.sparkSession))
     best = F.row_number().over(W.partitionBy("template").orderBy(F.desc_nulls_first("idf"), "word", "place"))
     top = index.where("key").join(F.broadcast(idf), "word", "left").withColumn("rank", best).where(F.col("rank") <= rare)
     top = top.select("word", "template", "place", F.count(F.lit(1)).over(W.partitionBy("template")).alias("need"))
-    asked = found.join(F.broadcast(top), "word").select("id", "template", "need", (F.col("pos") - F.col("place")).alias("start"))
-    candidates = asked.groupBy("id", "template", "start", "need").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("need"))
-    wanted = candidates.join(index, "template").select("id", "template", "start", "label", "key", "size", "word", (F.col("start") + F.col("place")).alias("pos"))
-    seen = wanted.join(found.select("id", "pos", "word", F.lit(1).alias("seen")), ["id", "pos", "word"], "left")
-    tested = seen.groupBy("id", "template", "start", "label", "size").agg(F.sum("seen").alias("n"), F.count(F.when(F.col("key") & F.col("seen").isNull(), 1)).alias("missing"))
-    return tested.where("missing = 0").select("id", "label", (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= share)
+    asked = found.join(F.broadcast(top), "word").select("row", "template", "need", (F.col("pos") - F.col("place")).alias("start"))
+    candidates = asked.groupBy("row", "template", "start", "need").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("need"))
+    wanted = candidates.join(index, "template").select("row", "template", "start", "label", "key", "size", "word", (F.col("start") + F.col("place")).alias("pos"))
+    seen = wanted.join(found.select("row", "pos", "word", F.lit(1).alias("seen")), ["row", "pos", "word"], "left")
+    tested = seen.groupBy("row", "template", "start", "label", "size").agg(F.sum("seen").alias("n"), F.count(F.when(F.col("key") & F.col("seen").isNull(), 1)).alias("missing"))
+    return tested.where("missing = 0").select("row", "label", (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= share)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels and score."""
     table = written(hits(docs, id_col, text_col), "hits")
-    every = table.select("id", "n_words")
-    words = F.array_distinct("hits.word")
-    df = table.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # over all documents
+    df = table.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # over all documents
     idf = df.select("word", F.ln((F.lit(table.count()) + 1) / (F.col("df") + 1)).alias("idf"))
-    found = written(table.where(possible(words)).select("id", F.inline("hits")), "licence-words")
-    plain = base(found).select("id", "pos", "label", F.lit(1.0).alias("share"), F.lit(True).alias("base"))
-    more = matches(found, idf, **limits).select("id", F.lit(None).cast("long").alias("pos"), "label", "share", F.lit(False).alias("base"))
+    found = written(table.where("hits IS NOT NULL").select("row", F.inline("hits")), "licence-words")
+    plain = base(found).select("row", "pos", "label", F.lit(1.0).alias("share"), F.lit(True).alias("base"))
+    more = matches(found, idf, **limits).select("row", F.lit(None).cast("long").alias("pos"), "label", "share", F.lit(False).alias("base"))
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    per = plain.unionByName(more).groupBy("id").agg(
+    per = plain.unionByName(more).groupBy("row").agg(
         F.count("pos").alias("n_base"), F.min("pos").alias("first_word"), F.max("pos").alias("last_word"), names(F.when(F.col("base"), F.col("label"))).alias("base_labels"), names("label").alias("labels"), F.max("share").alias("score"),
     )
-    out = every.join(per.withColumnRenamed("id", "_i"), F.col("id").eqNullSafe(F.col("_i")), "left").drop("_i")
-    return out.select(
+    return table.select("row", "id", "n_words").join(per, "row", "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -192,8 +192,7 @@ def test_licenses(docs, none):
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
         assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
         labels = {x for _, x in places}
-        for label, key, passage in licenses.TEMPLATES:  # every place, with the same tests
-            p, q = passage.split(), key.split()
+        for label, q, p in licenses.PARTS:  # every place, with the same tests
             at = next(k for k in range(len(p)) if p[k : k + len(q)] == q)
             for k in range(-len(p), len(words)):
                 hit = [0 <= k + n < len(words) and words[k + n] == w for n, w in enumerate(p)]
@@ -205,12 +204,23 @@ def test_licenses(docs, none):
 
 def test_licenses_together(spark):
     """Every label of a document with several licences is found, whatever the other documents hold."""
-    passages = {label: passage for label, _, passage in licenses.TEMPLATES}
-    mixed = [("mit", "cc-by-4.0"), ("bsd-3-clause", "apache-2.0", "cc0-1.0"), ("mit", "isc", "gpl-3", "mpl-2.0"), tuple(passages)]
+    passages = {}
+    for label, _, passage in licenses.TEMPLATES:
+        passages[label] = passages.get(label, "") + passage + "\n\n"
+    mixed = [("mit", "cc-by-4.0"), ("bsd-3-clause", "apache-2.0", "cc0-1.0"), ("mit", "isc", "gpl-3", "mpl-2.0"), tuple(passages), tuple(reversed(passages))]
     texts = [". then\n".join(passages[x] for x in labels) for labels in mixed] + ["apache license version 2 0 cc by 4 0"] * 8 + ["nothing here"] * 4
+    texts += ["word " * 30 + passage + " word" * 9 for _, _, passage in licenses.TEMPLATES]
     found = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     for i, labels in enumerate(mixed):
         assert set(labels) <= set(found[i]["labels"].split(",")), labels
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES, len(texts) - len(licenses.TEMPLATES)):
+        assert label in found[i]["labels"].split(",") and found[i]["score"] == 1
+
+
+def test_licenses_in_rows_that_share_an_id(spark):
+    rows = [(1, "MIT License"), (1, "nothing"), (None, "Apache License, Version 2.0"), (None, None), (1, "released under the MIT License")]
+    found = sorted((str(r["doc_id"]), r["n_words"], r["labels"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted([("1", 2, "mit"), ("1", 1, ""), ("None", 5, "apache"), ("None", 0, ""), ("1", 5, "mit,mit-notice")])
 
 
 def test_suffixes_large_anchor(spark):
