@@ -14,4 +14,4 @@ QUERIES = {
     "op9_window_index": window_index.op9,
     "op10_language_id": langid.op10,
 }
-ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE, "op5_near_vectors": embeddings.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE, "op4_hash_tree_shards": sharding.ORACLE, "op5_near_vectors": embeddings.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}

@@ -55,8 +55,8 @@ class Tree:
                 return down(next(iter(children.values())))
             draws = []
             for i, (name, below) in enumerate(children.items()):
-                bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{seed}:{name}")), 11)
-                u = (bits.cast("double") + 0.5) / F.lit(float(2**53))
+                digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(name), key.cast("string"))), 1, 12)
+                u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
                 draws.append(F.struct((-F.ln(u) / sum(s.weight for s in below)).alias("d"), F.lit(i).alias("i")))
             won = F.least(*draws)["i"]
             out = None
@@ -95,3 +95,16 @@ def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = shard_rows(docs, Tree.of(16))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The descent of op4's tree in SQL; CRC-32 is folded over the text's bytes.
+ORACLE = r"""
+WITH k AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM (SELECT unnest(range(256)) AS n) q) z),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS i, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, i, (length(h) // 2 + 1)::BIGINT AS size, list_concat([4294967295::BIGINT], list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)) AS bytes FROM d),
+c AS (SELECT doc_id, i, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, k.t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, k),
+g AS (SELECT *, list_sort(list_transform([0, 1, 2, 3], lambda n: {'d': -ln((('0x' || substr(md5('0:g' || n || ':' || i), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) / 4, 'n': n}))[1] AS g, -ln((('0x' || substr(md5('0:x16:' || i), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS x FROM c),
+r AS (SELECT *, g.n AS region, list_sort(list_transform([0, 1], lambda n: {'d': -ln((('0x' || substr(md5('0:g' || g.n || '/r' || n || ':' || i), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE), 'n': n}))[1].n AS rack FROM g),
+s AS (SELECT *, list_sort(list_transform([0, 1], lambda n: {'d': -ln((('0x' || substr(md5('0:s' || (4 * region + 2 * rack + n) || ':' || i), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE), 'n': (4 * region + 2 * rack + n)::INT}))[1].n AS shard FROM r)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY md5('0|' || i), size, text_crc32) - 1)::BIGINT AS slot, CASE WHEN x < g.d THEN 16 ELSE shard END::INT AS grown_shard FROM s
+"""

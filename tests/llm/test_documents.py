@@ -1,6 +1,8 @@
 """Each document operator against a brute-force version, on texts with every awkward case."""
 
+import dataclasses
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -130,6 +132,37 @@ def test_shards(docs, none, spark):
     assert len(counts) == 16 and max(counts) < 1.2 * min(counts)
 
 
+def brute_place(tree, key, seed=0):
+    """The descent from its definition: at each level the child with the smallest ``-ln(u) / weight``."""
+    left = list(tree.shards)
+    for level in (lambda s: s.region, lambda s: s.rack, lambda s: f"s{s.number}"):
+        weights = {}
+        for s in left:
+            weights[level(s)] = weights.get(level(s), 0) + s.weight
+        draw = lambda name: (int(hashlib.md5(f"{seed}:{name}:{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        won = min(weights, key=lambda name: -math.log(draw(name)) / weights[name]) if len(weights) > 1 else next(iter(weights))
+        left = [s for s in left if level(s) == won]
+    return left[0].number
+
+
+def test_shards_against_the_definition_and_weights(spark):
+    """Placement by brute force; a weight that changes moves rows only into or out of its own subtrees."""
+    keys = spark.range(3000).withColumnRenamed("id", "doc_id")
+    weights = [1.0, 2.5, 0.5, 1.0, 4.0, 1.0, 1.0, 0.25, 1.0, 3.0]
+    tree = sharding.Tree(tuple(dataclasses.replace(s, weight=w) for s, w in zip(sharding.Tree.of(10).shards, weights, strict=True)))
+    heavier = sharding.Tree(tuple(dataclasses.replace(s, weight=s.weight * (3 if s.number == 5 else 1)) for s in tree.shards))
+    placed = [tuple(r) for r in keys.select("doc_id", tree.place(keys["doc_id"]), heavier.place(keys["doc_id"]), tree.grow(2.0).place(keys["doc_id"])).collect()]
+    for i, a, b, c in placed:
+        assert (a, b, c) == (brute_place(tree, i), brute_place(heavier, i), brute_place(tree.grow(2.0), i))
+    of = {s.number: s for s in tree.shards}
+    moved = [(of[a], of[b]) for _, a, b, _ in placed if a != b]
+    assert moved and all(b.region == of[5].region for _, b in moved)  # only the region that grew takes rows
+    assert all(b.rack == of[5].rack for a, b in moved if a.region == b.region) and all(b.number == 5 for a, b in moved if a.rack == b.rack)
+    assert {c for _, a, _, c in placed if a != c} == {10}
+    for s in tree.shards:
+        assert sum(a == s.number for _, a, _, _ in placed) == pytest.approx(3000 * s.weight / sum(weights), rel=0.3, abs=20)
+
+
 def test_exact(docs, none, spark):
     found = by_id(exact_dedup.exact_dedup(docs))
     norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in TEXTS]
