@@ -3,6 +3,7 @@
 All of them are ordinary DataFrame jobs.  Intermediate results that are read more than once are
 written as Parquet into the folder named by ``spark.checkpoint.dir``, which every executor can
 reach, so a lost executor costs a re-read and never a re-computation of the whole lineage.
+:func:`scratch` deletes them when a caller has written its result.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +25,57 @@ SPACE = r"\x20\x09-\x0D"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_made: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The folder in ``spark.checkpoint.dir``.  Where that is absent a temporary one serves a local session; on a cluster it is an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(found)
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    path = f"{shared_folder(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end what :func:`written` makes inside; results that are read later must be written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _made.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own in ``_row``, written so that it stays the same whenever they are read."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """The rows with a text of their own in ``_row`` that stays the same whenever they are read.
+
+    Rows that come straight from files are named by file and place; others are written once with a number.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+        return docs.select("*", place.alias("_row"))
+    return written(docs.withColumn("_row", F.monotonically_increasing_id().cast("string")), "numbered")
 
 
 def text_of(text: str | Column = "text") -> Column:
@@ -83,16 +116,16 @@ def running_sum(df: DataFrame, key: str, order: Sequence[str], value: str, out:
     return rows.join(offsets, [key, "_b"]).withColumn(out, (F.col("_in") + F.col("_o")).cast("long")).drop("_b", "_in", "_o")
 
 
-def tiles(rows: DataFrame, key: Sequence[str], spread: Column, block: int) -> DataFrame:
+def tiles(rows: DataFrame, key: Sequence[str], spread: Column, block: int, weight: Column | None = None) -> DataFrame:
     """Deal the rows of each key to tiles, so that each pair of rows of a key meets in exactly one tile.
 
-    A key with n rows is cut into ceil(n / block) parts; tile (i, j) gets parts i and j, and the
+    A key with n rows (or rows of a total ``weight`` n) is cut into ceil(n / block) parts; tile (i, j) gets parts i and j, and the
     pairs of a row of part i with a row of part j belong to it.  Only the keys with more rows than a
     block are joined to the rows; that list is written, so Spark knows its size and broadcasts it only if
     it is small.  Adds ``part``, ``ti`` and ``tj``; rows come back partitioned and sorted by key and tile,
     ready for :func:`groups`.
     """
-    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    large = rows.groupBy(*key).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).where(F.col("_n") > block)
     large = written(large.select(*key, F.ceil(F.col("_n") / block).cast("int").alias("_p")), "large")
     dealt = rows.join(large, list(key), "left").withColumn("_p", F.coalesce("_p", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(spread, F.col("_p")).cast("int"))

@@ -43,8 +43,8 @@ def refine(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def leaders(rows: DataFrame) -> DataFrame:
     """(full, group_size, keep): of rows(row, order, chars, full) with equal hashes, the row that stays."""
-    lead = F.struct("chars", (-F.col("order")).alias("first"), (-F.col("row")).alias("low"), "row", "order")
-    best = rows.groupBy("full").agg(F.count(F.lit(1)).alias("group_size"), F.max(lead).alias("top")).where("group_size > 1")
+    lead = F.struct((-F.col("chars")).alias("short"), F.col("order").isNull().alias("none"), "order", "row")
+    best = rows.groupBy("full").agg(F.count(F.lit(1)).alias("group_size"), F.min(lead).alias("top")).where("group_size > 1")
     return best.select("full", "group_size", F.col("top.row").alias("keep_row"), F.col("top.order").alias("keep_id"))
 
 

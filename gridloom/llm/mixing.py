@@ -12,6 +12,9 @@ those documents that come first in a seeded order until the rest is used up; the
 boundary is taken if at least half of it fits.  So a source's words miss its target by at most half a
 document, and no document is taken more than ``epochs`` times.
 
+Along that order the rest is used up once, so what a source takes is told by one place in the order, its cut.
+:func:`mixed` joins the table of cuts, one row for each source, to the documents: no text is moved.
+
 A null source is a source and sorts last.  Null and empty texts have size 0: they repeat with the
 whole repetitions and have no words.  An empty table gives an empty result.
 """
@@ -48,16 +51,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     return rows.select("key", "source_size", F.least(F.col("cap").cast("double"), water * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, kept: tuple[str, ...] = (), **shares) -> DataFrame:
-    """id, size, source_size, target and times (how often the mix takes the document), and the columns ``kept``."""
-    rows = docs.select(F.col(id_col), *kept, source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("order"))
-    rows = written(rows, "sizes")
-    aims = targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), **shares)
-    placed = running_sum(rows, "key", ["order", id_col, "size", *kept], "size", "before").join(aims, "key")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, row_col: str | None) -> list[Column]:
+    """Of a document its source, its size, and its place in the seeded order: a digest, then what tells equal digests apart."""
+    row = F.col(row_col) if row_col else F.lit("")
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+    return [source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), order.alias("order"), row.alias("row")]
+
+
+def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, row_col: str | None = None, **aims) -> DataFrame:
+    """One row for each source: key, source_size, target, whole (repetitions of all) and cut (the last place that is taken once more)."""
+    rows = written(docs.select(*placed(docs, id_col, text_col, source_col, seed, row_col)), "sizes")
+    aim = targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), **aims)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    aim = written(aim.withColumn("whole", whole), "targets")
+    ranked = running_sum(rows, "key", ["order", "size", "row"], "size", "before").join(aim, "key")
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    extra = (F.col("before") + F.col("size") / 2 <= rest) & (rest > 0)
-    return placed.withColumn("whole", whole).withColumn("times", (F.col("whole") + extra.cast("long")).cast("long")).select(id_col, "size", "source_size", "target", "times", *kept)
+    inside = (F.col("before") + F.col("size") / 2 <= rest) & (rest > 0)
+    cut = ranked.groupBy("key").agg(F.max(F.when(inside, F.struct("order", "size", "row"))).alias("cut"))
+    return written(aim.join(cut, "key"), "shares")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, row_col: str | None = None, **aims) -> DataFrame:
+    """The documents with _size, _source_size, _target and _times (how often the mix takes the document).
+
+    Rows of one id and one size are taken alike unless ``row_col`` tells them apart.
+    """
+    share = shares(docs, id_col, text_col, source_col, seed, row_col, **aims)
+    share = share.select(*[F.col(c).alias(f"_{c}") for c in share.columns])
+    named = ["_key", "_size", "_order", "_place"]
+    found = docs.select("*", *[c.alias(n) for c, n in zip(placed(docs, id_col, text_col, source_col, seed, row_col), named, strict=True)]).join(share, "_key")
+    extra = F.coalesce(F.struct(F.col("_order").alias("order"), F.col("_size").alias("size"), F.col("_place").alias("row")) <= F.col("_cut"), F.lit(False))
+    return found.select(*docs.columns, "_size", "_source_size", "_target", (F.col("_whole") + extra.cast("long")).alias("_times"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """id, size, source_size, target and times of each document."""
+    found = mixed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **options)
+    return found.select(id_col, *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "times")])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -72,7 +102,7 @@ w AS (SELECT *, [3, 1, 2][1 + ((row_number() OVER (ORDER BY key) - 1) % 3)]::BIG
 l AS (SELECT *, (3 * sum(source_size) OVER () - 2 * coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (2 * sum(weight) OVER (ORDER BY cap::DOUBLE / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 t AS (SELECT key, source_size, least(cap::DOUBLE, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM l),
-p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
 j AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM p JOIN t USING (key))
 SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN before + size / 2.0::DOUBLE <= target - whole * source_size AND target - whole * source_size > 0 THEN 1 ELSE 0 END) AS taken FROM j
 """

@@ -26,7 +26,8 @@ Partitions are BANDS bands of ROWS minimum hashes: a pair of similarity J shares
 (1 - J^ROWS)^BANDS, at any number of texts (4e-4 at 0.8).  In a partition, pairs are discarded by pivot table and bit count at
 a radius that a pair of similarity 0.8 exceeds with probability below 1e-6, and by a sketch of minimum hashes at a
 similarity lower by 0.25 (about 1e-4).  What is left only says which texts could belong together: inside each such component,
-dealt to tiles, all pairs are compared by their whole shingle sets, and only those at the similarity or above are links.
+dealt to tiles by their number of shingles, all pairs are compared by their whole shingle sets, and only those at the similarity
+or above are links.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return step
 
-    return map_rows(docs.select("_row", F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), make, "row long, id long, node long, fp long, sketch binary, bands array<int>")
+    return map_rows(docs.select("_row", F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), make, "row string, id long, node long, fp long, sketch binary, bands array<int>")
 
 
 def distance_table(fp: np.ndarray) -> np.ndarray:
@@ -265,8 +266,11 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, chunk: int = 4096)
     return np.nonzero(np.triu(both >= similarity * union - 1e-6, 1))
 
 
-def verified_links(sets: DataFrame, similarity: float, block: int = 200) -> DataFrame:
-    """(a, b): links that connect what is similar, from ``sets(node, component, shingles)``, all pairs of a component."""
+def verified_links(sets: DataFrame, similarity: float, block: int = 300_000, least: int = 400) -> DataFrame:
+    """(a, b): links that connect what is similar, from ``sets(node, component, shingles)``, all pairs of a component.
+
+    A part of a tile has about ``block`` shingles, where a set counts as ``least`` of them at least: so many sets of any length fit in memory.
+    """
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["component", "ti", "tj"]):
@@ -278,7 +282,8 @@ def verified_links(sets: DataFrame, similarity: float, block: int = 200) -> Data
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
 
-    dealt = tiles(sets, ["component"], F.xxhash64("node"), block)
+    weight = F.greatest(F.length("shingles") / 8, F.lit(least))
+    dealt = tiles(sets, ["component"], F.xxhash64("node"), block, weight)
     return dealt.select("component", "ti", "tj", "node", "shingles").mapInArrow(links, "a long, b long")
 
 
