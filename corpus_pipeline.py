@@ -2,7 +2,8 @@
 
 Each stage takes the documents that its predecessor kept and returns documents; the last returns one
 row for each document of the mix, repeats included, with its token count and digests.  Stages that drop or
-repeat documents number the rows and work by that number, so rows of a null or a repeated id count one by one.
+repeat documents name the rows and work by that name, so rows of a null or a repeated id count one by one.
+Tables that a stage makes on its way are deleted once its documents are written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, langid, mixing, pieces, simhash
-from gridloom.llm.common import numbered, written
+from gridloom.llm.common import new_path, numbered, scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it; equal rows are documents of their own."""
-    rows = numbered(docs)
-    times = mixing.mix(rows, kept=("_row",)).where("times > 0").select("_row", "times")
-    taken = rows.join(times, "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(docs.columns)
+    taken = mixing.mixed(numbered(docs), row_col="_row").where("_times > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +50,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
+        path = new_path(spark, f"stage-{name.split()[0]}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
