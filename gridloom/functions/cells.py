@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ CELL_PATTERNS = [
 PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -52,7 +59,14 @@ def unparsable(c: Column) -> Column:
 
 def fix_digits(c: Column) -> Column:
     """Letters that were misread for digits."""
-    return F.translate(c, "OolISBZG", "00115826")
+    return F.translate(c, "OolISBZG", "00115826")  # fixed values
+
+
+def fix_numeric(h: Column, c: Column) -> Column:
+    """Letters for digits in columns whose header says that they hold numbers; other cells stay as they are."""
+    s = strip(c)
+    fixed = fix_digits(s)
+    return F.when(numeric_header(h) & (s != "") & (fixed != s), fixed).otherwise(c)
 
 
 def numeric_header(h: Column) -> Column:
@@ -150,12 +164,34 @@ def route(path: Column) -> Column:
 
 
 def repair_json(c: Column) -> Column:
-    """Cut after the last ``]`` and close what is open: brackets first, then braces."""
-    cut = F.substring_index(c, "]", -1)
-    body = F.substr(c, F.lit(1), F.length(c) - F.length(cut))
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
-    fixed = F.concat(body, F.repeat(F.lit("]"), F.greatest(count(body, "[") - count(body, "]"), F.lit(0))), F.repeat(F.lit("}"), F.greatest(count(body, "{") - count(body, "}"), F.lit(0))))
-    return F.when(c.contains("]"), fixed).otherwise(c)
+    """Cut after the last ``]`` (unless that is the first character) and close what is open: brackets first, then braces."""
+
+    def cut(s: Column) -> Column:
+        last = F.length(s) - F.length(F.substring_index(s, "]", -1))
+        return F.when((F.instr(s, "]") > 0) & (last > 1), F.substr(s, F.lit(1), last)).otherwise(s)
+
+    missing = lambda s, left, right: F.greatest(F.length(F.replace(s, F.lit(right), F.lit(""))) - F.length(F.replace(s, F.lit(left), F.lit(""))), F.lit(0))
+    return bound(c, lambda s: bound(cut(s), lambda t: F.concat(t, F.repeat(F.lit("]"), missing(t, "[", "]")), F.repeat(F.lit("}"), missing(t, "{", "}")))))
+
+
+def cell_plan(c: Column, number_format: str = "#,##0") -> Column:
+    """What a sheet's cell holds: number and format, or the text as it is."""
+    kind, parsed, point = cell_type(c), parse_numeric(c), c.contains(".")
+    number = F.when(kind == "percent", parsed / 100).when(point, parsed).otherwise(parsed.cast("bigint").cast("double"))
+    fmt = F.when(parsed.isNull(), "General").when(kind == "percent", "0.0%").when(point, "#,##0.00").otherwise(number_format)
+    return F.struct(F.when(parsed.isNotNull(), number).alias("number"), F.when(parsed.isNull(), c).alias("string_value"), fmt.alias("fmt"))
+
+
+def column_width(widest: Column, idx: Column, demand: bool) -> Column:
+    """Width of a sheet's column from its widest text; ``idx`` counts from 0.  Fixed values."""
+    if demand:
+        return F.greatest(widest + F.when(idx < 6, 3).otherwise(2), F.when(idx < 6, 14).otherwise(7))
+    return F.greatest(widest + F.when(idx == 0, 4).otherwise(3), F.when(idx == 0, 30).otherwise(18))
+
+
+def output_path(path: Column) -> Column:
+    """Where the sheets of a file go: its name without extension and a fixed ending."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("_변환결과.xlsx"))
 
 
 def normal_label(c: Column) -> Column:

@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def rows_chained(boxes: DataFrame, tolerance: float) -> DataFrame:
+def rows_chained(boxes: DataFrame, tolerance: float | Column) -> DataFrame:
     """Row number by the distance to the previous box (less than the tolerance stays)."""
     w = W.partitionBy("doc_id").orderBy("y_center", "box_id")
     new = F.when(F.col("y_center") - F.lag("y_center").over(w) < tolerance, 0).otherwise(1)
     return boxes.withColumn("_new", new).withColumn("row_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_new")
 
 
-def rows_anchored(boxes: DataFrame, tolerance: float) -> DataFrame:
-    """Row number by the distance to the row's first box (the tolerance itself stays): a fold over sorted boxes."""
+def rows_anchored(boxes: DataFrame, tolerance: float | Column) -> DataFrame:
+    """Row number by the distance to the row's first box (the tolerance itself stays): a fold over sorted boxes; the tolerance may be an aggregate."""
     sorted_ = F.array_sort(F.collect_list(F.struct("y_center", "box_id")))
     start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("y"), F.filter(F.array(F.struct(F.lit(None).cast("int").alias("box_id"), F.lit(None).cast("int").alias("row_no"))), lambda _: F.lit(False)).alias("out"))
 
     def step(acc, b):
-        opens = acc["y"].isNull() | (b["y_center"] - acc["y"] > tolerance)
+        opens = acc["y"].isNull() | (b["y_center"] - acc["y"] > F.col("_tol"))
         row = F.when(opens, acc["row"] + 1).otherwise(acc["row"])
         return F.struct(row.alias("row"), F.when(opens, b["y_center"]).otherwise(acc["y"]).alias("y"), F.concat(acc["out"], F.array(F.struct(b["box_id"].cast("int").alias("box_id"), row.alias("row_no")))).alias("out"))
 
-    folded = boxes.groupBy("doc_id").agg(F.aggregate(sorted_, start, step)["out"].alias("_o"))
+    listed = boxes.groupBy("doc_id").agg(sorted_.alias("_l"), (tolerance if isinstance(tolerance, Column) else F.lit(tolerance)).alias("_tol"))
+    folded = listed.select("doc_id", F.aggregate("_l", start, step)["out"].alias("_o"))
     return folded.select("doc_id", F.inline("_o"))
 
 
@@ -80,8 +81,12 @@ def boxes_to_cells(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     """Texts of grid(doc_id, row, col, x_min, x_max, y_min, y_max): a box goes to the first cell that holds its center, else to the nearest."""
     inside = F.col("x_center").between(F.col("gx_min"), F.col("gx_max")) & F.col("y_center").between(F.col("gy_min"), F.col("gy_max"))
     dx, dy = F.col("x_center") - (F.col("gx_min") + F.col("gx_max")) / 2, F.col("y_center") - (F.col("gy_min") + F.col("gy_max")) / 2
-    best = F.min(F.struct(F.when(inside, 0).otherwise(1).alias("o"), F.when(inside, 0.0).otherwise(dx * dx + dy * dy).alias("d"), F.col("row"), F.col("col")))
-    won = _candidates(boxes, grid).groupBy("doc_id", "box_id", "text").agg(best.alias("b"))
+    key = ["doc_id", "box_id"]
+    centers = boxes.select(*key, "x_center", "y_center")
+    held = _candidates(centers, grid).where(inside).groupBy(*key).agg(F.min(F.struct("row", "col")).alias("b"))
+    outside = centers.join(held, key, "left_anti")
+    nearest = _candidates(outside, grid).groupBy(*key).agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "row", "col")).alias("b")).select(*key, F.struct("b.row", "b.col").alias("b"))
+    won = held.unionByName(nearest).join(boxes.select(*key, "text"), key)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_id", "text"))), lambda s: s["text"]), " ")
     return won.groupBy("doc_id", F.col("b.row").alias("row"), F.col("b.col").alias("col")).agg(text.alias("value"))
 
@@ -100,13 +105,17 @@ def cells_by_overlap(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "row", "col").agg(F.min(F.struct((-F.col("_a")).alias("a"), "box_id", "text")).alias("b")).select("doc_id", "row", "col", "b.box_id", F.col("b.text").alias("value"))
 
 
-def with_fallback(boxes: DataFrame, grid: DataFrame, tolerance: float, columns: int = 3) -> DataFrame:
-    """Cells (doc_id, row, col, value, by): by the grid where it has enough columns, else by coordinates alone."""
+def with_fallback(boxes: DataFrame, grid: DataFrame, columns: int = 3, share: float = 0.6) -> DataFrame:
+    """Cells (doc_id, row, col, value, by): by the grid where it has enough columns, else by coordinates alone.
+
+    Without a grid, rows are anchored with a tolerance of 0.6 x the page's mean box height, in whole units.
+    """
     ruled = grid.groupBy("doc_id").agg(F.countDistinct("col").alias("_n")).where(F.col("_n") >= columns).select("doc_id")
     by_grid = boxes_to_cells(boxes.join(ruled, "doc_id", "left_semi"), grid).withColumn("by", F.lit("grid"))
-    rest = rows_chained(boxes.join(ruled, "doc_id", "left_anti"), tolerance)
+    rest = boxes.join(ruled, "doc_id", "left_anti")
+    rows = rest.join(rows_anchored(rest, F.floor(F.avg(F.col("y_max") - F.col("y_min")) * share)), ["doc_id", "box_id"])
     order = W.partitionBy("doc_id", "row_no").orderBy("x_center", "box_id")
-    by_place = rest.select("doc_id", F.col("row_no").cast("int").alias("row"), (F.row_number().over(order) - 1).alias("col"), F.col("text").alias("value"), F.lit("coordinates").alias("by"))
+    by_place = rows.select("doc_id", F.col("row_no").cast("int").alias("row"), (F.row_number().over(order) - 1).alias("col"), F.col("text").alias("value"), F.lit("coordinates").alias("by"))
     return by_grid.unionByName(by_place)
 
 

@@ -19,9 +19,9 @@ def melt(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 
 def assign_header(cells: DataFrame) -> DataFrame:
     """Row 0 names the columns (Col_i where it is empty); other rows move up."""
-    head = cells.where("row_idx = 0").select("doc_id", "col_idx", F.col("value").alias("h"))
+    head = F.max(F.when(F.col("row_idx") == 0, F.col("value"))).over(W.partitionBy("doc_id", "col_idx"))
     name = F.coalesce(F.when(F.col("h") != "", F.col("h")), F.concat(F.lit("Col_"), F.col("col_idx").cast("string")))
-    return cells.where("row_idx > 0").join(head, ["doc_id", "col_idx"], "left").select("doc_id", (F.col("row_idx") - 1).alias("row_idx"), "col_idx", name.alias("col_name"), "value")
+    return cells.withColumn("h", head).where("row_idx > 0").select("doc_id", (F.col("row_idx") - 1).alias("row_idx"), "col_idx", name.alias("col_name"), "value")
 
 
 def drop_empty(cells: DataFrame) -> DataFrame:

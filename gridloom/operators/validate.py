@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import cells as c
 from . import layout
@@ -46,13 +47,30 @@ def confidence(boxes: DataFrame, cells: DataFrame, known: DataFrame) -> DataFram
     return both.select("doc_id", F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.size(terms), 6).alias("confidence"))
 
 
-def evaluate(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
-    """expected/actual(case, row_idx, columns...): recall of rows and accuracy of rows and cells per case; the first column is the label."""
+def compared(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
+    """The expected rows with ``hit`` (a row of that label was found) and ``good`` (its equal cells); the first column is the label."""
     label = c.normal_label(F.col(columns[0]))
-    want = expected.withColumn("_k", label).where("_k <> ''").select("case", "_k", *[c.normal_label(F.col(x)).alias(f"e_{x}") for x in columns])
+    want = expected.withColumn("_k", label).where("_k <> ''").select("case", "row_idx", "_k", F.col(columns[0]).alias("label"), *[c.normal_label(F.col(x)).alias(f"e_{x}") for x in columns])
     first = actual.withColumn("_k", label).groupBy("case", "_k").agg(F.min(F.struct("row_idx", *[c.normal_label(F.col(x)).alias(f"a_{x}") for x in columns])).alias("a"))
-    rows = want.join(first, ["case", "_k"], "left")
     hits = [F.coalesce((F.col(f"e_{x}") == F.col(f"a.a_{x}")).cast("int"), F.lit(0)) for x in columns]
-    good = sum(hits[1:], hits[0])
-    out = rows.groupBy("case").agg(F.avg(F.col("a").isNotNull().cast("double")).alias("row_recall"), F.avg((good == len(columns)).cast("double")).alias("exact_row_accuracy"), (F.sum(good) / (F.count(F.lit(1)) * len(columns))).alias("cell_accuracy"))
+    return want.join(first, ["case", "_k"], "left").select("case", "row_idx", "label", F.col("a").isNotNull().alias("hit"), sum(hits[1:], hits[0]).alias("good"))
+
+
+def evaluate(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
+    """expected/actual(case, row_idx, columns...): recall of rows and accuracy of rows and cells per case."""
+    rows, n = compared(expected, actual, columns), len(columns)
+    out = rows.groupBy("case").agg(F.avg(F.col("hit").cast("double")).alias("row_recall"), F.avg((F.col("good") == n).cast("double")).alias("exact_row_accuracy"), (F.sum("good") / (F.count(F.lit(1)) * n)).alias("cell_accuracy"))
     return out.select("case", *[F.round(x, 4).alias(x) for x in ("row_recall", "exact_row_accuracy", "cell_accuracy")])
+
+
+def mismatches(expected: DataFrame, actual: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
+    """(case, row_idx, label, reason): every row that was not found, and rows that differ as long as the report holds fewer than ``most``."""
+    wrong = compared(expected, actual, columns).where(F.col("good") < len(columns))
+    before = F.row_number().over(W.partitionBy("case").orderBy("row_idx")) - 1
+    listed = wrong.withColumn("_n", before).where(~F.col("hit") | (F.col("_n") < most))
+    return listed.select("case", "row_idx", "label", F.when(F.col("hit"), "differs").otherwise("row_not_found").alias("reason"))
+
+
+def averages(scores: DataFrame) -> DataFrame:
+    """One row: the number of cases and the plain means of their scores."""
+    return scores.agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.avg(x), 4).alias(f"avg_{x}") for x in ("row_recall", "exact_row_accuracy", "cell_accuracy")])

@@ -30,18 +30,14 @@ FIRSTS = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 13
 #: One table per order: a label, five identity columns with the total last, three spread columns, and a sum row.
 _LINE = f"""SELECT l_orderkey AS d, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ALL_LINE}) - 1 AS INT) AS r,
  CAST(l_quantity AS BIGINT) AS a, CAST(floor(l_discount * 1000 + 0.5) AS BIGINT) AS b, CAST(floor(l_tax * 1000 + 0.5) AS BIGINT) AS c FROM lineitem"""
-_SUMS = f"SELECT d, CAST(count(*) AS INT) AS r, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b, CAST(sum(c) AS BIGINT) AS c FROM ({_LINE}) q GROUP BY d"
+_SUMS = """SELECT l_orderkey AS d, CAST(count(*) AS INT) AS r, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS a, CAST(sum(CAST(floor(l_discount * 1000 + 0.5) AS BIGINT)) AS BIGINT) AS b,
+ CAST(sum(CAST(floor(l_tax * 1000 + 0.5) AS BIGINT)) AS BIGINT) AS c FROM lineitem GROUP BY l_orderkey"""
 _NUM = lambda e: f"CASE WHEN {e} >= 1000 THEN CAST(CAST(floor({e} / 1000) AS BIGINT) AS STRING) || ',' || substr(CAST(1000 + {e} % 1000 AS STRING), 2) ELSE CAST({e} AS STRING) END"
-CELLS = f"""SELECT d AS doc_id, r AS row_idx, 0 AS col_idx, '회사명' AS col_name, 'name ' || CAST(r AS STRING) AS value FROM ({_LINE}) x0
- UNION ALL SELECT d, r, 5, '총참여금액', {_NUM('(a + b + c)')} FROM ({_LINE}) x1
- UNION ALL SELECT d, r, 6, '-100', {_NUM('a')} FROM ({_LINE}) x2
- UNION ALL SELECT d, r, 7, '-66', {_NUM('(b + CASE WHEN d % 7 = 0 AND r = 0 THEN 1 ELSE 0 END)')} FROM ({_LINE}) x3
- UNION ALL SELECT d, r, 8, 'Col_8', CASE WHEN c = 0 THEN '' ELSE {_NUM('c')} END FROM ({_LINE}) x4
- UNION ALL SELECT d, r, 0, '회사명', '합계' FROM ({_SUMS}) y0
- UNION ALL SELECT d, r, 5, '총참여금액', {_NUM('(a + b + c)')} FROM ({_SUMS}) y1
- UNION ALL SELECT d, r, 6, '-100', {_NUM('a')} FROM ({_SUMS}) y2
- UNION ALL SELECT d, r, 7, '-66', {_NUM('b')} FROM ({_SUMS}) y3
- UNION ALL SELECT d, r, 8, 'Col_8', {_NUM('(c + CASE WHEN d % 11 = 0 THEN 5 ELSE 0 END)')} FROM ({_SUMS}) y4"""
+_WRONG = "d % 7 = 0 AND r = 0 AND kind = 'line'"
+CELLS = f"""SELECT d AS doc_id, r AS row_idx, k AS col_idx, CASE k WHEN 0 THEN '회사명' WHEN 5 THEN '총참여금액' WHEN 6 THEN '-100' WHEN 7 THEN '-66' ELSE 'Col_8' END AS col_name,
+ CASE k WHEN 0 THEN CASE WHEN kind = 'sum' THEN '합계' ELSE 'name ' || CAST(r AS STRING) END WHEN 5 THEN {_NUM('(a + b + c)')} WHEN 6 THEN {_NUM('a')} WHEN 7 THEN {_NUM(f"(b + CASE WHEN {_WRONG} THEN 1 ELSE 0 END)")}
+ ELSE CASE WHEN kind = 'line' AND c = 0 THEN '' ELSE {_NUM("(c + CASE WHEN kind = 'sum' AND d % 11 = 0 THEN 5 ELSE 0 END)")} END END AS value
+ FROM (SELECT d, r, a, b, c, 'line' AS kind FROM ({_LINE}) x0 UNION ALL SELECT d, r, a, b, c, 'sum' FROM ({_SUMS}) y0) q CROSS JOIN (VALUES (0), (5), (6), (7), (8)) AS v(k)"""
 
 #: Text boxes, one document per order.
 BOXES = f"""SELECT doc_id, box_id, text, confidence, x_center, y_center, x_center - w AS x_min, x_center + w AS x_max, y_center - 9 AS y_min, y_center + 9 AS y_max FROM (

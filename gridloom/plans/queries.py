@@ -49,7 +49,6 @@ query("cell_type_detect", x.VALUES, f"SELECT doc_id, {TYPE} AS cell_type FROM t"
 query("numeric_parse", x.VALUES, f"SELECT doc_id, {PARSED} AS parsed FROM t")(lambda d: d.select("doc_id", c.parse_numeric(v).alias("parsed")))
 query("safe_float", x.VALUES, f"SELECT doc_id, {SAFE} AS parsed FROM t")(lambda d: d.select("doc_id", c.safe_float(v).alias("parsed")))
 query("validate_cells", x.VALUES, f"SELECT doc_id, value FROM t WHERE {TYPE} IN ('currency', 'percent', 'number') AND {PARSED} IS NULL")(lambda d: validate.invalid_cells(d).select("doc_id", "value"))
-query("ocr_digit_fix", x.VALUES, "SELECT doc_id, translate(value, 'OolISBZG', '00115826') AS fixed FROM t")(lambda d: d.select("doc_id", c.fix_digits(v).alias("fixed")))
 SPREAD = rf"""(regexp_matches({SH}, '^Col_[0-9]+$') OR (col_idx >= 5 AND regexp_matches(regexp_replace(regexp_replace({SH}, '^[+-]+', ''), '[.%]', '', 'g'), '^[0-9]+$'))
  OR regexp_matches(regexp_replace(trim(regexp_extract({SH}, '.*\(([^)]*)\)[^()]*$', 1)), '^[+-]+|[.]', '', 'g'), '^[0-9]+$'))"""
 TOTAL = "(contains(header, '총참여') OR contains(header, '참여금액'))"
@@ -60,19 +59,10 @@ query("spread_start", x.HEADS, f"SELECT doc_id % 100 AS grp, coalesce(min(CASE W
 query("anchor_locate", x.CELLS, "SELECT doc_id, min(CASE WHEN contains(col_name, '총참여') OR contains(col_name, '참여금액') THEN col_idx END) AS total_col, min(CASE WHEN trim(value) = '합계' AND col_idx < 6 THEN row_idx END) AS sum_row FROM t GROUP BY 1")(
     lambda d: d.groupBy("doc_id").agg(F.min(F.when(c.total_header(F.col("col_name")), F.col("col_idx"))).alias("total_col"), F.min(F.when((c.strip(v) == "합계") & (F.col("col_idx") < 6), F.col("row_idx"))).alias("sum_row"))
 )
-query("data_range", x.CELLS, """, e AS (SELECT doc_id, coalesce(min(CASE WHEN col_idx IN (0, 3) AND value = '합계' THEN row_idx END), max(row_idx) + 1) AS end_row FROM t GROUP BY 1)
- SELECT e.doc_id, coalesce(max(CASE WHEN row_idx < end_row AND contains(value, 'name 0') THEN row_idx + 1 END), 0) AS start_row, any_value(end_row) AS end_row FROM t JOIN e USING (doc_id) GROUP BY 1""")(
-    lambda d: d.join(d.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("col_idx").isin(0, 3) & (v == "합계"), F.col("row_idx"))), F.max("row_idx") + 1).alias("end_row")), "doc_id")
-    .groupBy("doc_id").agg(F.coalesce(F.max(F.when((F.col("row_idx") < F.col("end_row")) & v.contains("name 0"), F.col("row_idx") + 1)), F.lit(0)).alias("start_row"), F.max("end_row").alias("end_row"))
-)
 query("row_type_detect", x.FIRSTS, rf"""SELECT doc_id, CASE WHEN {SV} = '' THEN 'normal' WHEN {SV} IN ('구 분', '구분') THEN 'header' WHEN {SV} IN ('비중(%)', '비중', '누적비중(%)', '누적비중') THEN 'summary' WHEN regexp_matches({SV}, '총계|합계|소계') THEN 'subtotal'
  WHEN regexp_matches({SV}, '^\[.+\]$') THEN 'category' WHEN regexp_matches({SV}, '^[ㆍ·•-]') THEN 'detail' WHEN contains({SV}, '년') AND (contains({SV}, '월') OR contains({SV}, '기')) THEN 'period' ELSE 'normal' END AS row_type FROM t""")(
     lambda d: d.select("doc_id", c.row_type(v).alias("row_type"))
 )
-query("column_type_infer", x.HEADS, rf"""SELECT doc_id, CASE WHEN regexp_matches({SH}, '회사|기관') THEN 'company' WHEN regexp_matches({SH}, '부서|팀') THEN 'department' WHEN regexp_matches({SH}, '이름|성명') THEN 'name' WHEN contains({SH}, '계정') THEN 'account'
- WHEN regexp_matches({SH}, '일시|날짜') THEN 'datetime' WHEN regexp_matches({SH}, '^[+-]*[0-9]+$') OR regexp_matches({SH}, '금액|합계') THEN 'number' WHEN doc_id % 6 >= 3 THEN 'number' ELSE 'text' END AS kind FROM t""")(
-    lambda d: d.select("doc_id", c.column_kind(h, F.col("doc_id") % 6).alias("kind"))
-)
 query("correction_type_by_header", x.HEADS, r"""SELECT doc_id, CASE WHEN regexp_matches(lower(header), '회사|기관') THEN 'company' WHEN regexp_matches(lower(header), '부서|팀') THEN 'department' WHEN regexp_matches(lower(header), '이름|성명') THEN 'name'
  WHEN regexp_matches(lower(header), '날짜|일시|참여일') THEN 'date' WHEN regexp_matches(lower(header), '금액|합계') THEN 'number' WHEN regexp_matches(regexp_replace(header, '[,-]', '', 'g'), '^[0-9]+$') THEN 'number' ELSE 'term' END AS kind FROM t""")(
     lambda d: d.select("doc_id", c.correction_kind_by_header(h, h).alias("kind"))
@@ -82,7 +72,6 @@ query("correction_type_by_value", x.VALUES, r"""SELECT doc_id, CASE WHEN regexp_
 query("tokenize", "SELECT doc_id, text FROM documents", r"""SELECT doc_id, len(list_filter(w, lambda s: length(s) >= 2 AND s NOT IN ('으로')))::BIGINT AS n, list_filter(w, lambda s: length(s) >= 2)[1] AS first_token FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '[^\p{L}\p{N}_]', ' ', 'g'), '\s+') AS w FROM t) q""")(
     lambda d: d.select("doc_id", c.tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.try_element_at("w", F.lit(1)).alias("first_token"))
 )
-query("jamo_decompose", x.FIRSTS)(lambda d: d.select("doc_id", c.jamo(v).alias("letters")))
 query("edit_distance", "SELECT p_partkey, p_name, p_type FROM part", "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS BIGINT) AS distance FROM t")(lambda d: d.select("p_partkey", c.jamo_distance(F.col("p_name"), F.col("p_type")).cast("long").alias("distance")))
 query("content_hash", "SELECT doc_id, text FROM documents", "SELECT doc_id, sha256(text) AS content_hash FROM t")(lambda d: d.select("doc_id", F.sha2("text", 256).alias("content_hash")))
 BITS = "(SELECT vec_id, embedding AS e, (list_sort(embedding)[32]::DOUBLE + list_sort(embedding)[33]::DOUBLE) / 2 AS m FROM embeddings)"
@@ -96,21 +85,6 @@ def median_bits(get) -> DataFrame:
 
 query("median_bit_hash", None, f"SELECT vec_id, array_to_string(list_transform(e, lambda y: CASE WHEN y::DOUBLE > m THEN '1' ELSE '0' END), '') AS bits FROM {BITS}")(median_bits)
 query("hamming_similar")(lambda get: entities.hamming_neighbours(median_bits(get).select(F.col("vec_id").alias("id"), F.expr("cast(conv(bits, 2, -10) as bigint)").alias("h")), 20))
-query("layout_fingerprint", x.BOXES, "SELECT doc_id, substr(sha256(CAST(count(*) AS VARCHAR) || 'x' || CAST(count(DISTINCT y_center) AS VARCHAR) || '|' || string_agg(CAST(CAST(x_center AS BIGINT) AS VARCHAR), ',' ORDER BY box_id)), 1, 16) AS fingerprint FROM t GROUP BY 1")(
-    lambda d: d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("y_center").alias("r"), F.array_sort(F.collect_list(F.struct("box_id", F.col("x_center").cast("long").alias("x")))).alias("l"))
-    .select("doc_id", F.substring(F.sha2(F.concat(F.col("n").cast("string"), F.lit("x"), F.col("r").cast("string"), F.lit("|"), F.array_join(F.transform("l", lambda s: s["x"].cast("string")), ",")), 256), 1, 16).alias("fingerprint"))
-)
-query("json_response_parse", "SELECT event_id, props FROM events", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM t")(
-    lambda d: d.select("event_id", F.get_json_object(F.when(F.col("props").contains("```"), F.regexp_extract("props", r"```(?:json)?\s*([\s\S]*?)```", 1)).otherwise(F.col("props")), "$.k").try_cast("bigint").alias("k"))
-)
-TORN = "SELECT event_id, '{\"rows\":[[\"' || event_type || '\"],[\"' || CAST(user_id AS STRING) || CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '\"]' ELSE '\"]]}' END AS raw FROM events"
-query("json_repair", TORN, r"""SELECT event_id, b || repeat(']', CAST(greatest(length(b) - length(replace(b, '[', '')) - (length(b) - length(replace(b, ']', ''))), 0) AS INT)) || repeat('}', CAST(greatest(length(b) - length(replace(b, '{', '')) - (length(b) - length(replace(b, '}', ''))), 0) AS INT)) AS repaired FROM (SELECT event_id, regexp_extract(raw, '^.*\]') AS b FROM t) q""")(
-    lambda d: d.select("event_id", c.repair_json(F.col("raw")).alias("repaired"))
-)
-query("json_to_cells", TORN, r"""SELECT event_id, CAST(i - 1 AS INT) AS row_idx, 0 AS col_idx, r[i] AS value FROM (SELECT event_id, regexp_extract_all(regexp_extract(raw, '^.*\]'), '\["([^"\]]*)"\]', 1) AS r FROM t) q, LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i) u WHERE r[i] <> ''""")(
-    lambda d: d.select("event_id", F.from_json(c.repair_json(F.col("raw")), "rows array<array<string>>").alias("j")).select("event_id", F.posexplode("j.rows").alias("row_idx", "cells"))
-    .select("event_id", "row_idx", F.posexplode("cells").alias("col_idx", "value")).where("value <> ''")
-)
 PAGES = "SELECT page_id, url || CASE page_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.pdf' WHEN 3 THEN '.webp' WHEN 4 THEN '.tif' ELSE '' END AS path FROM pages"
 EXT = r"lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1))"
 query("route_by_extension", PAGES, f"SELECT page_id, CASE WHEN {EXT} IN ('png', 'jpg', 'jpeg', 'bmp', 'tiff', 'tif', 'webp') THEN 'image' WHEN {EXT} = 'pdf' THEN 'pdf' ELSE 'unsupported' END AS route FROM t")(lambda d: d.select("page_id", c.route(F.col("path")).alias("route")))
@@ -120,41 +94,17 @@ query("mime_detect", PAGES, f"SELECT page_id, CASE WHEN {EXT} IN ('jpg', 'jpeg')
 query("text_density_class", "SELECT doc_id, text FROM documents", r"SELECT doc_id, CASE WHEN avg(length(regexp_replace(p, '^\s+|\s+$', '', 'g'))) >= 50 THEN 'text' ELSE 'scan' END AS class, count(*) AS pages FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM t) q GROUP BY 1")(
     lambda d: d.select("doc_id", F.explode(F.split("text", "\n")).alias("p")).groupBy("doc_id").agg(F.when(F.avg(F.length(c.strip(F.col("p")))) >= 50, "text").otherwise("scan").alias("class"), F.count(F.lit(1)).alias("pages"))
 )
-query("doc_type_estimate", "SELECT page_id, url, length(html) AS w, 5000 AS h FROM pages", "SELECT page_id, CASE WHEN contains(url, 'a1') THEN 'demand_forecast' WHEN contains(url, 'b2') THEN 'financial_statement' WHEN CAST(w AS DOUBLE) / h > 1.8 THEN 'demand_forecast' ELSE 'financial_statement' END AS doc_type FROM t")(
-    lambda d: d.select("page_id", F.when(F.col("url").contains("a1"), "demand_forecast").when(F.col("url").contains("b2"), "financial_statement").when(F.col("w").cast("double") / F.col("h") > 1.8, "demand_forecast").otherwise("financial_statement").alias("doc_type"))
-)
-query("excel_cell_plan", x.VALUES, f"""SELECT doc_id, CASE WHEN p IS NULL THEN NULL WHEN k = 'percent' THEN p / 100 WHEN contains(value, '.') THEN p ELSE trunc(p) END AS number, CASE WHEN p IS NULL THEN value END AS string_value, CASE WHEN p IS NULL THEN 'General' WHEN k = 'percent' THEN '0.0%' WHEN contains(value, '.') THEN '#,##0.00' ELSE '#,##0' END AS fmt
- FROM (SELECT *, {TYPE} AS k, {PARSED} AS p FROM t) q""")(lambda d: cell_plan(d))
-
-
-def cell_plan(d: DataFrame) -> DataFrame:
-    d = d.withColumn("k", c.cell_type(v)).withColumn("p", c.parse_numeric(v))
-    number = F.when(F.col("k") == "percent", F.col("p") / 100).when(v.contains("."), F.col("p")).otherwise(F.col("p").cast("bigint").cast("double"))
-    fmt = F.when(F.col("p").isNull(), "General").when(F.col("k") == "percent", "0.0%").when(v.contains("."), "#,##0.00").otherwise("#,##0")
-    return d.select("doc_id", F.when(F.col("p").isNotNull(), number).alias("number"), F.when(F.col("p").isNull(), v).alias("string_value"), fmt.alias("fmt"))
-
 
-query("auto_column_width", x.HEADS, r"SELECT col_idx, greatest(max(length(header) + length(regexp_replace(header, '[\x00-\x7F]', '', 'g'))) + CASE WHEN col_idx < 6 THEN 3 ELSE 2 END, CASE WHEN col_idx < 6 THEN 14 ELSE 7 END) AS width FROM t GROUP BY 1")(
-    lambda d: d.groupBy("col_idx").agg(F.max(c.display_width(h)).alias("w")).select("col_idx", F.greatest(F.col("w") + F.when(F.col("col_idx") < 6, 3).otherwise(2), F.when(F.col("col_idx") < 6, 14).otherwise(7)).alias("width"))
-)
-query("metadata_extract", x.BOXES, "SELECT doc_id, max_by(text, box_id) FILTER (WHERE y_min < 20) AS title, string_agg(text, ',' ORDER BY box_id) FILTER (WHERE y_min < 60 AND contains(text, 'O')) AS info FROM t GROUP BY 1")(
-    lambda d: d.groupBy("doc_id").agg(F.max_by(F.when(F.col("y_min") < 20, F.col("text")), F.when(F.col("y_min") < 20, F.col("box_id"))).alias("title"), F.array_sort(F.collect_list(F.when((F.col("y_min") < 60) & F.col("text").contains("O"), F.struct("box_id", "text")))).alias("l"))
-    .select("doc_id", "title", F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda s: s["text"]), ",")).alias("info"))
-)
 
 # -- reshaping ---------------------------------------------------------------------------------------
 
 query("melt_cells", "SELECT * FROM customer", """SELECT c_custkey, 'c_name' AS col_name, c_name AS value, 0 AS col_idx FROM t UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR), 1 FROM t UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment, 2 FROM t""")(
     lambda d: reshape.melt(d, ["c_custkey"], ["c_name", "c_nationkey", "c_mktsegment"])
 )
-query("header_assign", x.RAW, "SELECT t.doc_id, t.row_idx - 1 AS row_idx, t.col_idx, coalesce(nullif(h.value, ''), 'Col_' || t.col_idx) AS col_name, t.value FROM t LEFT JOIN t h ON t.doc_id = h.doc_id AND t.col_idx = h.col_idx AND h.row_idx = 0 WHERE t.row_idx > 0")(reshape.assign_header)
 DROP = "(SELECT * FROM (SELECT *, max(CASE WHEN value <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, col_idx) AS ck FROM (SELECT * FROM (SELECT *, max(CASE WHEN value <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, row_idx) AS rk FROM t) a WHERE rk = 1) b) e WHERE ck = 1)"
 query("drop_empty", x.RAW, f"SELECT doc_id, row_idx, col_idx, value FROM {DROP} z")(reshape.drop_empty)
-query("raw_table_normalize", x.RAW, "SELECT z.doc_id, z.row_idx - 1 AS row_idx, z.col_idx, coalesce(nullif(h.value, ''), 'Col_' || z.col_idx) AS col_name, z.value FROM " + DROP + " z LEFT JOIN (SELECT * FROM " + DROP + " y WHERE row_idx = 0) h ON z.doc_id = h.doc_id AND z.col_idx = h.col_idx WHERE z.row_idx > 0")(
-    lambda d: reshape.assign_header(reshape.drop_empty(d)).select("doc_id", "row_idx", "col_idx", "col_name", "value")
-)
-query("pad_rows", "SELECT doc_id, text FROM documents", r"SELECT doc_id, array_to_string(list_transform(range(1, 5 + doc_id % 3), lambda i: coalesce(w[i], '')), '|') AS row FROM (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ')[1:4] AS w FROM t) q")(
-    lambda d: reshape.pad_rows(d.withColumn("values", F.slice(F.split(F.split("text", "\n")[0], " "), 1, 4)), 4 + F.col("doc_id") % 3).select("doc_id", F.array_join("values", "|").alias("row"))
+query("pad_rows", "SELECT doc_id, text FROM documents", r"SELECT doc_id, array_to_string(list_transform(range(1, 5 + doc_id % 3), lambda i: coalesce(w[i], '')), '|') AS row FROM (SELECT doc_id, string_split(l, ' ') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) p) q")(
+    lambda d: reshape.pad_rows(d.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).withColumn("values", F.split("l", " ")), 4 + F.col("doc_id") % 3).select("doc_id", F.array_join("values", "|").alias("row"))
 )
 query("header_promote", x.RAW, r"SELECT doc_id, min(row_idx) AS header_row FROM t WHERE row_idx < 10 AND (value IN ('구분', '구 분', '항목') OR regexp_matches(value, '^제[0-9]+기')) GROUP BY 1")(reshape.promote_header)
 query("drop_repeated_header", x.RAW, """, h AS (SELECT doc_id, list_sort(list_distinct(list(value))) AS s FROM t WHERE row_idx = 1 GROUP BY 1), r AS (SELECT doc_id, row_idx, list_sort(list_distinct(list(value))) AS s FROM t GROUP BY 1, 2)
@@ -163,8 +113,8 @@ query("header_interpolate", "SELECT user_id AS doc_id, CAST(event_id AS INT) AS
  SELECT k.doc_id, k.col_idx, round(coalesce(k.num, l.num + (r.num - l.num) * (k.col_idx - k.li) / (k.ri - k.li)), 6) AS num FROM k LEFT JOIN t l ON l.doc_id = k.doc_id AND l.col_idx = k.li LEFT JOIN t r ON r.doc_id = k.doc_id AND r.col_idx = k.ri""")(
     lambda d: reshape.interpolate_headers(d).withColumn("num", F.round("num", 6))
 )
-query("split_merge_join", None, "SELECT o_orderkey, o_orderstatus, coalesce(c_name, '') AS c_name, coalesce(c_mktsegment, '') AS c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 = 0")(
-    lambda get: get("SELECT o_orderkey, o_custkey AS k, o_orderstatus FROM orders").join(get("SELECT c_custkey AS k, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 = 0"), "k", "left").fillna("", ["c_name", "c_mktsegment"]).drop("k")
+query("split_merge_join", None, "SELECT o_orderkey, o_orderstatus, coalesce(c_name, '') AS c_name, coalesce(c_mktsegment, '') AS c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 2000")(
+    lambda get: get("SELECT o_orderkey, o_custkey AS k, o_orderstatus FROM orders").join(get("SELECT c_custkey AS k, c_name, c_mktsegment FROM customer WHERE c_acctbal > 2000"), "k", "left").fillna("", ["c_name", "c_mktsegment"]).drop("k")
 )
 query("chunk_rows", x.RAW, "SELECT doc_id % 50 AS grp, CAST(floor(doc_id / 30) AS BIGINT) AS chunk, count(*) AS n FROM t GROUP BY 1, 2")(lambda d: d.groupBy((F.col("doc_id") % 50).alias("grp"), reshape.chunk_of(F.col("doc_id")).alias("chunk")).agg(F.count(F.lit(1)).alias("n")))
 query("chunk_serialize", x.RAW, "SELECT doc_id, row_idx, string_agg(value, chr(9) ORDER BY col_idx) AS line FROM t GROUP BY 1, 2")(
@@ -254,8 +204,8 @@ query("learn_corrections", None, f"SELECT original, corrected, count(*) AS n FRO
 query("groundtruth_diff", None, "WITH g AS (SELECT c_nationkey AS k, c_name AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer WHERE c_mktsegment <> 'MACHINERY'), o AS (SELECT c_nationkey AS k, c_mktsegment AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) SELECT g.k, g.n, o.value AS original, g.value AS corrected FROM g JOIN o ON g.k = o.k AND g.n = o.n WHERE g.value <> o.value")(
     lambda get: entities.cell_diff(*(get(f"SELECT c_nationkey AS k, {col} AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer WHERE {cond}") for col, cond in (("c_mktsegment", "true"), ("c_name", "c_mktsegment <> 'MACHINERY'"))), ["k", "n"])
 )
-query("corrections_anti_join", x.LOG, "SELECT doc_type, name, count(*) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.name = t.name AND u.position = 16 AND u.seq < 200) GROUP BY 1, 2")(
-    lambda d: d.join(d.where("position = 16 AND seq < 200").select("name").distinct(), "name", "left_anti").groupBy("doc_type", "name").agg(F.count(F.lit(1)).alias("n"))
+query("corrections_anti_join", x.LOG, "SELECT doc_type, name, count(*) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.name = t.name AND u.position = 16 AND u.confidence >= 0.9 AND u.amount > 25000) GROUP BY 1, 2")(
+    lambda d: d.join(d.where("position = 16 AND confidence >= 0.9 AND amount > 25000").select("name").distinct(), "name", "left_anti").groupBy("doc_type", "name").agg(F.count(F.lit(1)).alias("n"))
 )
 query("cache_lookup", None, "SELECT d.doc_id, min(e.doc_id) AS cached_by, count(e.doc_id) AS hits FROM documents d LEFT JOIN documents e ON sha256(d.text) = sha256(e.text) AND e.doc_id < d.doc_id GROUP BY 1")(lambda get: cached(get("SELECT doc_id, text FROM documents")))
 
@@ -270,14 +220,6 @@ def cached(d: DataFrame) -> DataFrame:
 
 
 query("cache_upsert", x.LOG, "SELECT name, max_by(amount, seq) AS amount, count(*) AS n FROM t GROUP BY 1")(lambda d: entities.latest(d, ["name"], "seq", "amount"))
-query("template_match", None, "WITH f AS (SELECT l_orderkey AS doc_id, CAST(count(*) AS VARCHAR) || 'x' || CAST(max(l_linenumber) AS VARCHAR) AS h FROM lineitem GROUP BY 1), s AS (SELECT h, count(*) AS sample_count FROM f WHERE doc_id % 2 = 0 GROUP BY 1) SELECT f.doc_id, f.h, sample_count FROM f JOIN s USING (h) WHERE sample_count >= 5 AND doc_id % 2 = 1")(
-    lambda get: templates(get("SELECT l_orderkey AS doc_id, CAST(count(*) AS STRING) || 'x' || CAST(max(l_linenumber) AS STRING) AS h FROM lineitem GROUP BY 1"))
-)
-
-
-def templates(f: DataFrame) -> DataFrame:
-    learned = f.where("doc_id % 2 = 0").groupBy("h").agg(F.count(F.lit(1)).alias("sample_count")).where("sample_count >= 5")
-    return f.where("doc_id % 2 = 1").join(learned, "h").select("doc_id", "h", "sample_count")
 
 
 # -- votes and merges --------------------------------------------------------------------------------
@@ -288,19 +230,6 @@ FEW = "SELECT event_id % 4000 AS cell, event_id AS pos, substr(event_type, 1, CA
 query("char_vote", FEW, f""", {VOTE}, l AS (SELECT cell, length(value) AS len, count(*) AS n, min(pos) AS p FROM t GROUP BY 1, 2), b AS (SELECT cell, len FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, p) AS r FROM l) q WHERE r = 1),
  ch AS (SELECT t.cell, t.pos, i AS idx, substr(value, i::INT, 1) AS value FROM t JOIN b ON t.cell = b.cell AND length(value) = len, LATERAL (SELECT unnest(range(1, len + 1)) AS i) u), cn AS (SELECT cell, idx, value, count(*) AS n, min(pos) AS p FROM ch GROUP BY 1, 2, 3),
  cw AS (SELECT *, row_number() OVER (PARTITION BY cell, idx ORDER BY n DESC, p) AS r FROM cn), s AS (SELECT cell, string_agg(value, '' ORDER BY idx) AS s FROM cw WHERE r = 1 GROUP BY 1) SELECT k.cell, CASE WHEN k.n >= 2 THEN k.value ELSE s.s END AS value FROM k JOIN s USING (cell) WHERE r = 1""")(lambda d: votes.vote_characters(d, ["cell"]))
-RUN_CELLS = "SELECT user_id AS doc_id, CAST(event_id % 3 AS INT) AS run_id, CAST(floor(event_id / 3) AS BIGINT) % 4 AS col_idx, event_id AS pos, event_type AS value FROM events"
-query("consensus_table", RUN_CELLS, """, sh AS (SELECT doc_id, run_id, count(*) AS n FROM t GROUP BY 1, 2), m AS (SELECT doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS r FROM (SELECT doc_id, n, count(*) AS c, min(run_id) AS f FROM sh GROUP BY 1, 2) a) b WHERE r = 1),
- u AS (SELECT t.* FROM t JOIN sh USING (doc_id, run_id) JOIN m ON m.doc_id = sh.doc_id AND m.n = sh.n), c AS (SELECT doc_id, col_idx, value, count(*) AS n, min(pos) AS p FROM u GROUP BY 1, 2, 3), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, col_idx ORDER BY n DESC, p) AS r FROM c) SELECT doc_id, col_idx, value FROM w WHERE r = 1""")(
-    lambda d: consensus(d)
-)
-
-
-def consensus(d: DataFrame) -> DataFrame:
-    """Runs of the most frequent size only, then a vote for each cell."""
-    shape = d.groupBy("doc_id", "run_id").agg(F.count(F.lit(1)).alias("size"))
-    usual = votes.vote(shape.select("doc_id", F.col("run_id").alias("pos"), F.col("size").alias("value")), ["doc_id"]).select("doc_id", F.col("value").alias("size"))
-    kept = d.join(shape.join(usual, ["doc_id", "size"]), ["doc_id", "run_id"], "left_semi")
-    return votes.vote(kept, ["doc_id", "col_idx"]).select("doc_id", "col_idx", "value")
 
 
 BASE = "SELECT o_orderkey AS r, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS value FROM orders"
@@ -316,11 +245,6 @@ ENGINES = "SELECT user_id AS doc_id, CAST(event_id % 4 AS INT) AS rank, event_id
 query("engine_fallback_select", ENGINES, ", u AS (SELECT doc_id, rank, max_by(event_id, event_id) AS event_id, max_by(confidence, event_id) AS confidence FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN confidence >= 0.8 THEN 0 ELSE 1 END, CASE WHEN confidence >= 0.8 THEN rank ELSE -rank END) AS n FROM u) SELECT doc_id, rank, event_id, confidence FROM k WHERE n = 1")(
     lambda d: votes.first_confident(d.groupBy("doc_id", "rank").agg(F.max_by("event_id", "event_id").alias("event_id"), F.max_by("confidence", "event_id").alias("confidence")), ["doc_id"], "rank", "confidence", 0.8)
 )
-OCC = "SELECT l_orderkey AS doc_id, CAST(l_suppkey % 8 AS INT) AS col FROM lineitem GROUP BY 1, 2"
-PLACED = "SELECT o_orderkey AS doc_id, CAST(o_custkey % 8 AS INT) AS col FROM orders"
-query("spread_realign", None, f"SELECT doc_id, col, coalesce(to_col, col) AS to_col FROM (SELECT p.doc_id, p.col, (SELECT o.col FROM ({OCC}) o WHERE o.doc_id = p.doc_id ORDER BY abs(o.col - p.col), o.col LIMIT 1) AS to_col FROM ({PLACED}) p) q")(
-    lambda get: get(PLACED).join(get(OCC).withColumnRenamed("col", "o"), "doc_id", "left").groupBy("doc_id", "col").agg(F.min(F.struct(F.abs(F.col("o") - F.col("col")).alias("d"), F.col("o"))).alias("m")).select("doc_id", "col", F.coalesce("m.o", "col").alias("to_col"))
-)
 
 # -- checks and learned state ------------------------------------------------------------------------
 
@@ -333,10 +257,8 @@ query("processing_stats", x.LOG, "SELECT doc_type, count(*) AS total, count(*) F
     lambda d: d.groupBy("doc_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("confidence") >= 0.8).alias("confident"), F.sum("amount").alias("amount"))
 )
 query("column_stats", x.LOG, "SELECT doc_type, name, min(amount) AS min_val, max(amount) AS max_val, round(avg(amount), 6) AS mean_val, count(amount) AS n FROM t GROUP BY 1, 2")(lambda d: learn.column_stats(d, ["doc_type", "name"], "amount").withColumn("mean_val", F.round("mean_val", 6)))
-query("keyword_fingerprint", x.LOG, "SELECT doc_type, name AS keyword, count(*) AS occurrence_count, max(weight) AS weight FROM t GROUP BY 1, 2")(lambda d: learn.keyword_weights(d.withColumnRenamed("name", "keyword")))
 query("column_template", x.LOG, """, s AS (SELECT doc_type, name, position, row_number() OVER (PARTITION BY doc_type, name ORDER BY seq) AS i FROM t), f AS (WITH RECURSIVE z AS (SELECT doc_type, name, i, position::BIGINT AS p FROM s WHERE i = 1 UNION ALL SELECT s.doc_type, s.name, s.i, (z.p + s.position) // 2 FROM z JOIN s ON s.doc_type = z.doc_type AND s.name = z.name AND s.i = z.i + 1) SELECT * FROM z)
  SELECT doc_type, name, max(i) AS frequency, max_by(p, i) AS position FROM f GROUP BY 1, 2""")(lambda d: learn.column_positions(d, ["doc_type", "name"]))
-query("top_header_patterns", x.LOG, "SELECT doc_type, name, frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY frequency DESC, name) AS r FROM (SELECT doc_type, name, count(*) AS frequency FROM t GROUP BY 1, 2) a) b WHERE r <= 3")(lambda d: learn.top_patterns(d, "doc_type", "name", 3))
 query("metadata_latest", x.LOG, "SELECT doc_type, name, max_by(amount, seq) AS amount, count(*) AS n FROM t GROUP BY 1, 2")(lambda d: entities.latest(d, ["doc_type", "name"], "seq", "amount"))
 CORR = "SELECT doc_type, name AS wrong, 'c' || CAST(position AS STRING) AS correct, CAST(position AS STRING) AS kind, confidence, seq FROM (" + x.LOG + ") q"
 query("correction_dictionary", CORR, "SELECT doc_type, wrong, correct, count(*) AS n, max(confidence) AS confidence, min_by(kind, seq) AS kind FROM t GROUP BY 1, 2, 3 HAVING max(confidence) >= 0.5")(learn.corrections)
@@ -385,7 +307,6 @@ query("table_eval", None, f"""WITH e AS ({EXPECTED.replace(" AS case", ' AS "cas
 
 # -- compositions ------------------------------------------------------------------------------------
 
-query("layout_with_fallback")(lambda get: layout.with_fallback(get(x.BOXES), grid(get).where("doc_id % 3 > 0 OR col < 2"), 20))
 META = "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS title, c_mktsegment AS a, CAST(c_nationkey AS STRING) AS b FROM customer"
 query("metadata_block", META, """SELECT doc_id, 0 AS "row", 0 AS col, title AS value FROM t WHERE title IS NOT NULL UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 0 ELSE 1 END, 0, 'segment' FROM t UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 0 ELSE 1 END, 1, a FROM t
  UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 1 ELSE 2 END, 0, 'nation' FROM t UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 1 ELSE 2 END, 1, b FROM t UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 0 ELSE 1 END, 4, 'key' FROM t UNION ALL SELECT doc_id, CASE WHEN title IS NULL THEN 0 ELSE 1 END, 5, b FROM t""")(
