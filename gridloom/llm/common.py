@@ -136,6 +136,19 @@ def tiles(rows: DataFrame, key: Sequence[str], spread: Column, block: int, weigh
     return dealt.repartition(n, *by).sortWithinPartitions(*by)
 
 
+def parts(rows: DataFrame, key: Sequence[str], spread: Column, block: int) -> DataFrame:
+    """Deal the rows of each key to parts of about ``block`` rows: each row to one part, so their number stays the same.
+
+    Adds ``part`` and ``parts`` (how many the key has); rows come back partitioned and sorted by key and part, ready for :func:`groups`.
+    """
+    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    large = written(large.select(*key, F.ceil(F.col("_n") / block).cast("int").alias("parts")), "large")
+    dealt = rows.join(large, list(key), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(spread, F.col("parts")).cast("int"))
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *key, "part").sortWithinPartitions(*key, "part")
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[pa.Table]:
     """The runs of equal keys in a sorted stream of batches, each as one table."""
     held: list[pa.Table] = []

@@ -5,15 +5,21 @@ else, in the same document or overlapping itself included.  Null counts as empty
 ``width`` have nothing to remove.  Ids must be unique; a null id is an id like any other.
 
 1. Each text's windows are dealt to anchors (:mod:`.anchors`).  Anchor hashes that occur once own no repeated
-   window and are left out by a filter of fixed size.
+   window and are left out by a filter.
 2. An anchor's context (its windows' bytes) that occurs more than once has only repeated windows: its
    occurrences are found with a pre-aggregated count and a join.
-3. Different contexts of one anchor can share some windows.  Their bytes go to tiles by anchor.  In a
-   tile, contexts are cut into blocks of 64 bytes counted from the anchor, so that equal bytes fall
-   into equal blocks; the suffix array of the block sequence (:mod:`.suffixes`) gives the places that are
-   followed by equal blocks, and of those places the windows around are compared.
-
-A suffix array of single bytes gives the same windows; blocks make it 64 times shorter.
+3. Different contexts of one anchor can share some windows.  A context is cut at borders, 64 bytes apart and counted from the
+   anchor; a window's first border is followed by 320 bytes of the window at least.  So equal windows have equal
+   bytes of that number after borders at the same distance from equal anchors: those bytes are a border's key.  Keys that
+   occur once are left out, again by a count.  Each of the others brings the bytes around it, and the borders
+   of one key come together.
+4. A suffix array (:mod:`.suffixes`) of the bytes around a key's borders puts equal windows next to each other: two
+   neighbours that share a window's length are repeated.  The bytes of the key itself, which all have, stand as one
+   symbol for each different 128-bit digest of them; all others are compared as they are.
+
+A key with many borders, as a line shared by millions of documents, is dealt to parts of bounded size; each border goes to one of them, so work grows
+with the number of borders.  Of a key in several parts, one window of each kind in a part is shown to the other parts by
+its 128-bit digest.
 """
 
 from __future__ import annotations
@@ -22,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Piece, Slots
-from .common import groups, tiles, written
-from .substrings import BYTE_VALUES, anchor_hashes, chosen, contexts, cut, doc_key, occurrence_slots, occurrences, signed, undecided
+from .anchors import Piece, Slots, mixed
+from .common import groups, parts, written
+from .substrings import anchor_hashes, chosen, contexts, cut, doc_key, occurrence_slots, occurrences, rebatched, signed, undecided, unsigned
 from .suffixes import classes
 
 GRAM = 32
@@ -41,85 +48,112 @@ def emit(p: Piece, raw: bytes, doc: int, ah: np.ndarray, place: np.ndarray, firs
     )
 
 
-def shared_windows(ah: list[int], off: list[int], data: list[bytes], width: int) -> list[np.ndarray]:
-    """For each context the starts of its windows that another one of the same anchor has as well."""
-    depth = width // BLOCK - 1
+def borders(batch: pa.RecordBatch, width: int) -> tuple[list[int], list[int], np.ndarray]:
+    """Row, place in the row's bytes, and key of each border of a batch of contexts."""
+    same = width - width % BLOCK - BLOCK
+    rows, places, key = [], [], []
+    for k, (off, data) in enumerate(zip(batch["off"].to_pylist(), batch["data"].to_pylist(), strict=True)):
+        for at in range(off % BLOCK, len(data) - same + 1, BLOCK):
+            rows.append(k)
+            places.append(at)
+            key.append(xxhash.xxh3_64_intdigest(data[at : at + same], off - at & 0xFFFF))
+    ah = unsigned(batch["ah"].to_numpy())[rows] if rows else np.empty(0, np.uint64)
+    return rows, places, mixed(np.array(key, np.uint64) ^ mixed(ah))
+
+
+def border_keys(shown: DataFrame, width: int) -> DataFrame:
+    """(k, n): how often a border's key occurs, summed up per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = np.unique(borders(batch, width)[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    return shown.mapInArrow(run, "k long, n long")
+
+
+def surroundings(shown: DataFrame, width: int, slots: Slots) -> DataFrame:
+    """(k, doc, at, left, same, right) of the borders whose keys the slots let pass: bytes before, digest of the key's bytes, bytes after them."""
+    sent = shown.sparkSession.sparkContext.broadcast(slots)
+    same = width - width % BLOCK - BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, key = borders(batch, width)
+            use = np.flatnonzero(sent.value.has(key)) if rows else []
+            doc, start, data = batch["doc"].to_numpy(), batch["start"].to_numpy(), batch["data"]
+            out: list[list] = [[], [], [], [], [], []]
+            for i in use:
+                d, b, k = data[rows[i]].as_py(), places[i], rows[i]
+                value = (doc[k], start[k] + b, d[max(0, b - BLOCK + 1) : b], xxhash.xxh3_128_digest(d[b : b + same]), d[b + same : b + width])
+                for column, v in zip(out, (signed(key[i : i + 1])[0], *value), strict=True):
+                    column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["k", "doc", "at", "left", "same", "right"])
+
+    return shown.mapInArrow(run, "k long, doc long, at long, left binary, same binary, right binary")
+
+
+def shared_windows(left: list[bytes], same: list[bytes], right: list[bytes], width: int) -> tuple[list[list[int]], list[list[int]]]:
+    """Of different surroundings of one key: the windows' places in ``left`` that another one has as well, and the others' places."""
+    size = width - (width - width % BLOCK - BLOCK) + 1  # symbols of a window: the key's bytes are one
+    number = {s: 256 + i for i, s in enumerate(dict.fromkeys(same))}
     symbols: list[int] = []
-    owner: list[int] = []
-    border: list[int] = []
-    number: dict[bytes, int] = {}
-    for k, (o, d) in enumerate(zip(off, data, strict=True)):
-        for at in range(o % BLOCK, len(d) - BLOCK + 1, BLOCK):
-            symbols.append(number.setdefault(d[at : at + BLOCK], len(number)))
-            owner.append(k)
-            border.append(at)
-        symbols.append(-1 - k)  # contexts end in different symbols: nothing is shared across
-        owner.append(k)
-        border.append(-1)
-    found = classes(symbols, depth)
-    places: list[np.ndarray] = [np.empty(0, np.int64)] * len(data)
-    hit = np.flatnonzero(found >= 0)
-    if not len(hit):
-        return places
-    owners, borders = np.array(owner)[hit], np.array(border)[hit]
-    reach = np.arange(BLOCK)
-    keys, who, where = [], [], []
-    for k in np.unique(owners):
-        own = owners == k
-        start = borders[own][:, None] - reach[None, :]  # windows that begin in the block before a border
-        label = np.broadcast_to(found[hit][own][:, None], start.shape)
-        ok = (start >= 0) & (start + width <= len(data[k]))
-        start, label = start[ok], label[ok]
-        p = Piece.of(0, BYTE_VALUES[np.frombuffer(data[k], np.uint8)])
-        keys.append(np.stack([np.full(len(start), ah[k]).view(np.uint64), label.astype(np.uint64), (off[k] - start).astype(np.uint64), p.hashes(start, start + width)], axis=1))
-        who.append(np.full(len(start), k))
-        where.append(start)
-    keys, who, where = np.concatenate(keys), np.concatenate(who), np.concatenate(where)
-    order = np.lexsort(keys.T)
-    same = (keys[order][1:] == keys[order][:-1]).all(1)
-    twin = np.zeros(len(order), bool)
-    twin[1:] |= same
-    twin[:-1] |= same
-    who, where = who[order[twin]], where[order[twin]]
-    for k in np.unique(who):
-        places[k] = np.unique(where[who == k])
-    return places
-
-
-def compare(batches: Iterator[pa.RecordBatch], width: int, most: int = 1500) -> Iterator[pa.RecordBatch]:
-    """(doc, start, n) of shared windows; groups are handled together up to ``most`` contexts."""
-
-    def solve(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        t = pa.concat_tables(held)
-        # a context stands in several tiles of a large anchor and must not meet itself
-        keys = np.stack([t[c].to_numpy() for c in ("ah", "doc", "start")])
-        t = t.take(np.sort(np.unique(keys, axis=1, return_index=True)[1]))
-        doc, begin = t["doc"].to_numpy(), t["start"].to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
-        for k, at in enumerate(shared_windows(t["ah"].to_pylist(), t["off"].to_pylist(), t["data"].to_pylist(), width)):
-            if len(at):
-                cuts = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-                last = np.concatenate((cuts[1:], [len(at)])) - 1
-                for column, value in zip(out, (np.full(len(cuts), doc[k]), begin[k] + at[cuts], at[last] - at[cuts] + 1), strict=True):
-                    column.append(value)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["doc", "start", "n"])
-
-    held: list[pa.Table] = []
-    n = 0
-    for t in groups(batches, ["ah", "ti", "tj"]):
-        if len(t) < 2:
-            continue
-        held.append(t)
-        n += len(t)
-        if n >= most:
-            yield from solve(held)
-            held, n = [], 0
-    if held:
-        yield from solve(held)
-
-
-def repeated_spans(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    first: list[int] = []
+    for i, (a, s, b) in enumerate(zip(left, same, right, strict=True)):
+        first.append(len(symbols))
+        symbols += [*a, number[s], *b, -1 - i]  # strings end in different symbols: nothing is shared across
+    found = classes(symbols, size)
+    twins, singles = [], []
+    for at, a, b in zip(first, left, right, strict=True):
+        places = range(0, min(len(a), len(a) + 1 + len(b) - size) + 1)
+        twins.append([p for p in places if found[at + p] >= 0])
+        singles.append([p for p in places if found[at + p] < 0])
+    return twins, singles
+
+
+def runs_of(places: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, length) of the runs of neighbours in a rising list."""
+    begin = 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] != places[i - 1] + 1:
+            yield places[begin], i - begin
+            begin = i
+
+
+def compare(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(doc, start, n, shown): repeated windows; of keys in several parts also single windows with their digest, and one of each kind with start -1."""
+
+    def solve(t: pa.Table) -> Iterator[tuple[int, int, int, bytes | None]]:
+        members: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+        for doc, at, *text in zip(*(t[c].to_pylist() for c in ("doc", "at", "left", "same", "right")), strict=True):
+            members.setdefault(tuple(text), []).append((doc, at))
+        several = t["parts"][0].as_py() > 1
+        if len(t) < 2 and not several:
+            return
+        texts = list(members)
+        digest = lambda text, p: xxhash.xxh3_128_digest(text[1] + bytes([len(text[0]) - p]) + text[0][p:] + text[2][: BLOCK + width % BLOCK - len(text[0]) + p])
+        for text, twins, singles in zip(texts, *shared_windows(*zip(*texts, strict=True), width), strict=True):
+            every = members[text]
+            if len(every) > 1:
+                twins, singles = sorted(twins + singles), []
+            for doc, at in every:
+                for p, n in runs_of(twins):
+                    yield doc, at - len(text[0]) + p, n, None
+            if several:
+                for p in twins:
+                    yield 0, -1, 1, digest(text, p)
+                for p in singles:
+                    yield every[0][0], every[0][1] - len(text[0]) + p, 1, digest(text, p)
+
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for t in groups(batches, ["k", "part"]):
+        rows = list(solve(t))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "start", "n", "shown"])
+
+
+def repeated_spans(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", block: int = 300) -> DataFrame:
     """(doc, start, n): windows start .. start + n - 1 of a document occur elsewhere; rows may overlap."""
     texts = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("text"))
     twice = anchor_hashes(texts, "bytes", width, GRAM).groupBy("ah").agg(F.sum("n").alias("n")).where("n > 1")
@@ -129,9 +163,17 @@ def repeated_spans(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     copies = occurring.join(found.where("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("doc", "start", "n")
     firsts = occurrence_slots(undecided(found))
     shown = chosen(texts, "bytes", width, GRAM, slots, firsts, lambda *a: emit(*a, width), "ah long, doc long, start long, off long, data binary")
-    dealt = tiles(written(shown, "bytes"), ["ah"], F.xxhash64("doc", "start"), 300)
-    partly = dealt.select("ah", "ti", "tj", "doc", "start", "off", "data").mapInArrow(lambda b: compare(b, width), "doc long, start long, n long")
-    return copies.unionByName(partly)
+    shown = written(shown, "bytes")
+    keys = written(border_keys(shown, width).groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k"), "keys")
+    around = surroundings(shown, width, Slots.of(keys, "k")).join(keys, "k", "left_semi")
+    dealt = parts(written(around, "borders"), ["k"], F.xxhash64("doc", "at"), block)
+    found = dealt.select("k", "part", "parts", "doc", "at", "left", "same", "right").mapInArrow(lambda b: rebatched(compare(b, width)), "doc long, start long, n long, shown binary")
+    found = written(found, "found")
+    decided = found.where("shown IS NULL").select("doc", "start", "n")
+    several = found.where("shown IS NOT NULL")
+    again = several.groupBy("shown").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shown")
+    across = several.where("start >= 0").join(again, "shown", "left_semi").select("doc", "start", "n")
+    return copies.unionByName(decided).unionByName(across)
 
 
 def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -256,19 +256,49 @@ def test_licenses_in_rows_that_share_an_id(spark):
     assert found == sorted([("1", 2, "mit"), ("1", 1, ""), ("None", 5, "apache"), ("None", 0, ""), ("1", 5, "mit,mit-notice")])
 
 
-def test_suffixes_large_anchor(spark):
-    """An anchor with hundreds of contexts is dealt to tiles; no context may match itself."""
+@pytest.mark.parametrize("block", [20, 300])
+def test_suffixes_large_anchor(spark, block):
+    """A line in hundreds of contexts is dealt to parts; windows are found across parts and no context matches itself."""
     import random
 
     rng = random.Random(8)
     noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
-    line, tail = noise(380), noise(300)
-    texts = [noise(500) + line + noise(500) for _ in range(700)] + [noise(500) + line + tail + noise(200) for _ in range(4)]
-    found = by_id(suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)))
+    line, tail, head = noise(380), noise(300), noise(45)
+    texts = [noise(500) + line + noise(500) for _ in range(300)] + [noise(500) + line + tail + noise(200) for _ in range(4)]
+    texts += [noise(500) + head[-n:] + line + tail[: 45 - n] + noise(500) for n in range(1, 45) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r["doc"]: [] for r in docs.selectExpr("doc_id AS doc").collect()}
+    for r in suffix_dedup.repeated_spans(docs, block=block).collect():
+        found[r["doc"]] += range(r["start"], r["start"] + r["n"])
     seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
     for i, t in enumerate(texts):
-        gone = {b for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1 for b in range(k, k + 400)}
-        assert found[i]["n_removed"] == len(gone), i
+        assert set(found[i]) == {k for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1}, i
+
+
+def test_suffixes_grow_with_the_borders(spark, tmp_path):
+    """Rows dealt for a line that many documents share: twice as many documents give twice as many."""
+    import random
+
+    from gridloom.llm import common
+
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, dealt, was = noise(370), [], suffix_dedup.written
+
+    def counting(df, what):
+        out = was(df, what)
+        if what == "borders":
+            dealt.append(common.parts(out, ["k"], out["at"], 50).count())
+        return out
+
+    suffix_dedup.written = counting
+    try:
+        for n in (200, 400, 800):
+            texts = [(i, noise(300) + line + noise(300)) for i in range(n)]
+            assert suffix_dedup.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
+    finally:
+        suffix_dedup.written = was
+    assert dealt[0] >= 200 and dealt[2] <= 4.4 * dealt[0]
 
 
 def test_suffixes(docs, none):
