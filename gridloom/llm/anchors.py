@@ -106,8 +106,9 @@ class Slots:
             self.map[k * size : (k + 1) * size] = np.frombuffer(raw, np.uint8)
 
     @classmethod
-    def of(cls, hashes: DataFrame, column: str, bits: int = 26) -> Slots:
-        """From a column of hashes: 256 chunks of the bitmap are made on the executors."""
+    def of(cls, hashes: DataFrame, column: str, most: int = 30) -> Slots:
+        """From a column of hashes, read twice: 256 chunks of the bitmap are made on the executors."""
+        bits = min(most, max(16, (16 * hashes.count()).bit_length()))
         slot = F.col(column).bitwiseAND((1 << bits) - 1)
         rows = hashes.select(slot.alias("slot")).distinct().withColumn("chunk", F.shiftright("slot", bits - 8)).repartition("chunk").sortWithinPartitions("chunk")
         size = 1 << (bits - 8)

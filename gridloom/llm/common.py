@@ -54,6 +54,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Delete at the end what :func:`written` makes inside; results that are read later must be written elsewhere by then."""
@@ -61,10 +67,8 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        jvm = spark._jvm
         for path in _made.pop():
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Slots, merged_spans, occurrence, pieces
+from .anchors import Slots, merged_spans, mixed, occurrence, pieces
 
 BYTE_VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 
@@ -50,6 +50,25 @@ def word_units(text: str | None) -> np.ndarray:
 UNITS: dict[str, Callable[[str | None], np.ndarray]] = {"bytes": byte_units, "words": word_units}
 
 
+class Content:
+    """A text's bytes, cut by units: its bytes themselves, or its words with one blank between them."""
+
+    def __init__(self, text: str | None, unit: str) -> None:
+        self.raw, self.ends = encoded(text), None
+        if unit == "words":
+            words = self.raw.split()
+            self.raw = b" ".join(words)
+            self.ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+
+    def digests(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit digests of the units [begin, end), from their bytes."""
+        gap = 0 if self.ends is None else 1
+        if gap:
+            begin, end = self.ends[begin], self.ends[end]
+        h, raw = xxhash.xxh3_64_intdigest, self.raw
+        return np.fromiter((h(raw[a : b - gap]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(begin))
+
+
 def doc_key(id_col: str) -> Column:
     """The id; null sorts before all others."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
@@ -77,31 +96,41 @@ def anchor_hashes(texts: DataFrame, unit: str, width: int, gram: int) -> DataFra
 
 
 def occurrences(texts: DataFrame, unit: str, width: int, gram: int, slots: Slots) -> DataFrame:
-    """(ah, ch, doc, start, n): contexts of the anchors that the slots let pass; windows start .. start + n - 1 are theirs."""
+    """(ah, ch, doc, start, n, times): contexts of the anchors that the slots let pass; windows start .. start + n - 1 are theirs.
+
+    A context that a piece of a text has several times is told once with its number of ``times``, at its first place; the
+    later places have ``times`` 0.  So one line that repeats inside a document is one row of its group.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass_ = sent.value
         for batch in batches:
-            rows: list[list[np.ndarray]] = [[], [], [], [], []]
+            rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for doc, text in zip(batch["doc"].to_pylist(), texts_of(batch), strict=True):
+                content = None
                 for p in pieces(UNITS[unit](text), width):
                     ah, _, first, last = p.anchors(width, gram)
                     use = pass_.has(ah)
                     if not use.any():
                         continue
+                    content = content or Content(text, unit)
                     ah, first, last = ah[use], first[use], last[use]
-                    for column, value in zip(rows, (signed(ah), signed(p.hashes(first, last + width)), np.full(len(ah), doc), first + p.at, last - first + 1), strict=True):
+                    ch = content.digests(first + p.at, last + width + p.at)
+                    _, one, count = np.unique(mixed(ch ^ mixed(ah)), return_index=True, return_counts=True)
+                    times = np.zeros(len(ah), np.int64)
+                    times[one] = count
+                    for column, value in zip(rows, (signed(ah), signed(ch), np.full(len(ah), doc), first + p.at, last - first + 1, times), strict=True):
                         column.append(value)
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], ["ah", "ch", "doc", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], ["ah", "ch", "doc", "start", "n", "times"])
 
-    return texts.select("doc", "text").mapInArrow(run, "ah long, ch long, doc long, start long, n long")
+    return texts.select("doc", "text").mapInArrow(run, "ah long, ch long, doc long, start long, n long, times long")
 
 
 def contexts(occurring: DataFrame) -> DataFrame:
     """(ah, ch, c, n, doc, start): distinct contexts, how often they occur, and where first."""
-    per = occurring.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "start", "n")).alias("f"))
+    per = occurring.where("times > 0").groupBy("ah", "ch").agg(F.sum("times").alias("c"), F.min(F.struct("doc", "start", "n")).alias("f"))
     return per.select("ah", "ch", "c", F.col("f.n").alias("n"), F.col("f.doc").alias("doc"), F.col("f.start").alias("start"))
 
 
@@ -123,22 +152,24 @@ def occurrence_slots(found: DataFrame) -> Slots:
 
 
 def chosen(texts: DataFrame, unit: str, width: int, gram: int, slots: Slots, firsts: Slots, emit: Callable, schema: str) -> DataFrame:
-    """``emit(piece, text, doc, ah, place, first, last)`` of the anchors at first occurrences."""
+    """``emit(content, at, doc, ah, place, first, last)`` of the anchors at first occurrences; ``at`` is where the piece begins."""
     sent = texts.sparkSession.sparkContext.broadcast((slots, firsts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = sent.value
         for batch in batches:
             for doc, text in zip(batch["doc"].to_pylist(), texts_of(batch), strict=True):
-                raw = encoded(text) if unit == "bytes" else b""
+                content = None
                 for p in pieces(UNITS[unit](text), width):
                     ah, place, first, last = p.anchors(width, gram)
                     use = one.has(ah)
                     if use.any():
+                        content = content or Content(text, unit)
                         ah, place, first, last = ah[use], place[use], first[use], last[use]
-                        use = two.has(occurrence(np.full(len(ah), doc), first + p.at, p.hashes(first, last + width)))
+                        ch = content.digests(first + p.at, last + width + p.at)
+                        use = two.has(occurrence(np.full(len(ah), doc), first + p.at, ch))
                         if use.any():
-                            yield from emit(p, raw, doc, ah[use], place[use], first[use], last[use])
+                            yield from emit(content, p.at, doc, ah[use], place[use], first[use], last[use])
 
     return texts.select("doc", "text").mapInArrow(lambda b: rebatched(run(b)), schema)
 
@@ -157,10 +188,10 @@ def rebatched(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[p
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def cut(docs: DataFrame, spans: DataFrame, unit: str, width: int, id_col: str, text_col: str) -> DataFrame:
+def cut(docs: DataFrame, spans: DataFrame, unit: str, width: int, id_col: str, text_col: str, texts: bool = True) -> DataFrame:
     """Remove from each text what its spans (doc, start, n: windows start .. start + n - 1) cover.
 
-    id, n_units, n_removed, n_spans, kept (text) and kept_sha256 of each document.
+    id, n_units, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (text) of each document.
     """
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     rows = docs.select(F.col(id_col).alias("id"), doc_key(id_col).alias("doc"), F.col(text_col).alias("text")).join(per, "doc", "left")
@@ -183,9 +214,12 @@ def cut(docs: DataFrame, spans: DataFrame, unit: str, width: int, id_col: str, t
                     kept = b"".join(parts[x:y] for x, y in stay) if unit == "bytes" else [w for x, y in stay for w in parts[x:y]]
                 if unit == "words":
                     kept = b" ".join(kept)
-                for column, value in zip(out, (len(parts), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")), strict=True):
+                for column, value in zip(out, (len(parts), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["id", "n_units", "n_removed", "n_spans", "kept_sha256", "kept"])
+            columns = [batch["id"], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    return rows.select("id", "text", "spans").mapInArrow(run, "id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
+    names = ["id", "n_units", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
+    schema = "id long, n_units long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
+    return rows.select("id", "text", "spans").mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -32,19 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Piece, Slots, mixed
+from .anchors import Slots, mixed
 from .common import groups, parts, written
-from .substrings import anchor_hashes, chosen, contexts, cut, doc_key, occurrence_slots, occurrences, rebatched, signed, undecided, unsigned
+from .substrings import Content, anchor_hashes, chosen, contexts, cut, doc_key, occurrence_slots, occurrences, rebatched, signed, undecided, unsigned
 from .suffixes import classes
 
 GRAM = 32
 BLOCK = 64
 
 
-def emit(p: Piece, raw: bytes, doc: int, ah: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    data = [raw[p.at + a : p.at + b + width] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+def emit(content: Content, at: int, doc: int, ah: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    data = [content.raw[at + a : at + b + width] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(signed(ah)), pa.array(np.full(len(ah), doc)), pa.array(first + p.at), pa.array(place - first), pa.array(data, pa.binary())], ["ah", "doc", "start", "off", "data"]
+        [pa.array(signed(ah)), pa.array(np.full(len(ah), doc)), pa.array(first + at), pa.array(place - first), pa.array(data, pa.binary())], ["ah", "doc", "start", "off", "data"]
     )
 
 
@@ -160,7 +160,8 @@ def repeated_spans(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     slots = Slots.of(twice, "ah")
     occurring = written(occurrences(texts, "bytes", width, GRAM, slots), "occurrences")
     found = written(contexts(occurring), "contexts")
-    copies = occurring.join(found.where("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("doc", "start", "n")
+    copies = occurring.where("times > 0").join(found.where("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("doc", "start", "n")
+    copies = copies.unionByName(occurring.where("times = 0").select("doc", "start", "n"))
     firsts = occurrence_slots(undecided(found))
     shown = chosen(texts, "bytes", width, GRAM, slots, firsts, lambda *a: emit(*a, width), "ah long, doc long, start long, off long, data binary")
     shown = written(shown, "bytes")
@@ -176,11 +177,11 @@ def repeated_spans(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     return copies.unionByName(decided).unionByName(across)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_units, n_removed, n_spans, kept and kept_sha256 of each document."""
-    return cut(docs, repeated_spans(docs, width, id_col, text_col), "bytes", width, id_col, text_col)
+def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """id, n_units, n_removed, n_spans, kept_sha256 and, with ``texts``, kept of each document."""
+    return cut(docs, repeated_spans(docs, width, id_col, text_col), "bytes", width, id_col, text_col, texts)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return suffix_dedup(docs).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(docs, texts=False).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

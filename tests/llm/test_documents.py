@@ -333,6 +333,27 @@ def test_windows(docs, none, batches):
     assert window_index.window_dedup(none).count() == 0
 
 
+def test_index_is_stored_compacted_and_extended(spark, docs, tmp_path):
+    """Runs are merged as they come, an index is found again in its folder, and a second batch is held against the first."""
+    index = window_index.FingerprintIndex(spark, str(tmp_path / "index"), buckets=3)
+    old, new = docs.where("doc_id < 11"), docs.where("doc_id >= 11")
+    window_index.window_dedup(old, batches=4, index=index).count()
+    assert index.compactions >= 1 and len(index.runs) < 4
+    index.save()
+    again = window_index.FingerprintIndex.load(spark, str(tmp_path / "index"))
+    assert again.runs == index.runs and again.buckets == 3
+    found = by_id(window_index.window_dedup(new, batches=2, index=again, history=old))
+    whole = by_id(window_index.window_dedup(docs))
+    assert set(found) == set(range(11, len(TEXTS)))
+    assert all((found[i]["n_removed"], found[i]["kept_sha256"]) == (whole[i]["n_removed"], whole[i]["kept_sha256"]) for i in found)
+    plan = again.read(again.runs[0][0]).join(again.read(again.runs[-1][0]).select("ah").hint("merge"), "ah", "left_semi")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    hits = again.add(spark.createDataFrame([(1, 1), (2, 1), (2, 1)], "ah long, n long"))
+    assert [r["ah"] for r in hits.collect()] == [2]
+    assert {r["ah"] for r in again.add(spark.createDataFrame([(1, 1), (5, 1)], "ah long, n long")).collect()} == {1}
+    again.drop()
+
+
 def test_language(docs, none, spark):
     from pyspark.sql import functions as F
 
