@@ -14,6 +14,8 @@ CELL_PATTERNS = [
     ("date", r"^[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}$"),
     ("number", r"^[+-]?[0-9,]+\.?[0-9]*$"),
 ]
+#: Number formats of the sheet profiles.
+NUMBER_FORMATS = {"default": "#,##0", "demand_forecast": "#,##0;[Red]\\-#,##0;\\-;"}
 #: What a plain number looks like; casts are guarded by it because Spark also takes "1d".
 PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 

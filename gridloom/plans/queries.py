@@ -84,7 +84,19 @@ def median_bits(get) -> DataFrame:
 
 
 query("median_bit_hash", None, f"SELECT vec_id, array_to_string(list_transform(e, lambda y: CASE WHEN y::DOUBLE > m THEN '1' ELSE '0' END), '') AS bits FROM {BITS}")(median_bits)
-query("hamming_similar")(lambda get: entities.hamming_neighbours(median_bits(get).select(F.col("vec_id").alias("id"), F.expr("cast(conv(bits, 2, -10) as bigint)").alias("h")), 20))
+FLIPPED = "SELECT vec_id + 1000000 AS id, substr(bits, 1, CAST(vec_id % 64 AS INT)) || CASE WHEN vec_id % 3 = 0 THEN '0' ELSE '1' END || substr(bits, CAST(vec_id % 64 AS INT) + 2) AS bits FROM b"
+NEAR = f"""WITH b AS (SELECT vec_id, array_to_string(list_transform(e, lambda y: CASE WHEN y::DOUBLE > m THEN '1' ELSE '0' END), '') AS bits FROM {BITS}), h AS (SELECT vec_id AS id, bits::BIT AS b FROM b UNION ALL SELECT id, bits::BIT FROM ({FLIPPED}) f)
+ SELECT id, nearest, distance FROM (SELECT a.id, c.id AS nearest, bit_count(xor(a.b, c.b))::BIGINT AS distance, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.b, c.b)), c.id) AS i FROM h a JOIN h c ON a.id <> c.id WHERE bit_count(xor(a.b, c.b)) <= 5) q WHERE i = 1"""
+
+
+def near_hashes(get) -> DataFrame:
+    b = median_bits(get)
+    b.createOrReplaceTempView("b")
+    both = b.withColumnRenamed("vec_id", "id").unionByName(b.sparkSession.sql(FLIPPED))
+    return entities.hamming_neighbours(both.select("id", F.expr("cast(conv(bits, 2, -10) as bigint)").alias("h")), 5)
+
+
+query("hamming_similar", None, NEAR)(near_hashes)
 PAGES = "SELECT page_id, url || CASE page_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.pdf' WHEN 3 THEN '.webp' WHEN 4 THEN '.tif' ELSE '' END AS path FROM pages"
 EXT = r"lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1))"
 query("route_by_extension", PAGES, f"SELECT page_id, CASE WHEN {EXT} IN ('png', 'jpg', 'jpeg', 'bmp', 'tiff', 'tif', 'webp') THEN 'image' WHEN {EXT} = 'pdf' THEN 'pdf' ELSE 'unsupported' END AS route FROM t")(lambda d: d.select("page_id", c.route(F.col("path")).alias("route")))

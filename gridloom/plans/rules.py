@@ -22,8 +22,7 @@ query("ocr_digit_fix", MIXED, f"SELECT doc_id, CASE WHEN {NUMBER_HEADER} AND tri
 )
 PLAN = f"""SELECT doc_id, '@profile' AS profile, CASE WHEN p IS NULL THEN NULL WHEN k = 'percent' THEN p / 100 WHEN contains(value, '.') THEN p ELSE trunc(p) END AS number, CASE WHEN p IS NULL THEN value END AS string_value,
  CASE WHEN p IS NULL THEN 'General' WHEN k = 'percent' THEN '0.0%' WHEN contains(value, '.') THEN '#,##0.00' ELSE '@format' END AS fmt FROM (SELECT *, {TYPE} AS k, {PARSED} AS p FROM t) q"""
-#: Number formats of the sheet profiles.
-FORMATS = {"default": "#,##0", "demand_forecast": "#,##0;[Red]\\-#,##0;\\-;"}
+FORMATS = c.NUMBER_FORMATS
 
 
 @query("excel_cell_plan", x.VALUES, " UNION ALL ".join(PLAN.replace("@profile", k).replace("@format", v) for k, v in FORMATS.items()))

@@ -2,24 +2,33 @@
 
 ``df.write.format("xlsx").mode("append").save(folder)`` after :func:`register`; rows are (doc_id, sheet, row, col,
 value, number, fmt, style).  Rows of one document must be in one partition, sorted by sheet, row and
-column: :func:`arranged` does that.
+column: :func:`arranged` does that.  Options: ``path``, a folder in a file system that all executors mount, and ``profile``.
+``overwrite`` mode empties the folder of workbooks first.  A file is named by its document, with what a file name cannot hold
+written in hexadecimal, so different documents never share a file.
 """
 
 from __future__ import annotations
 
+import glob
+import math
 import os
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-FORMATS = ["General", "#,##0", "#,##0.00", "0.0%"]
+from ..functions.cells import NUMBER_FORMATS
+
+FORMATS = ["General", "#,##0", "#,##0.00", "0.0%", NUMBER_FORMATS["demand_forecast"]]
 STYLES = ["normal", "header", "summary", "subtotal", "error"]
 FILLS = {"header": "FFD9E1F2", "summary": "FFE2EFDA", "subtotal": "FFFCE4D6", "error": "FFFFFF00"}
+#: What a profile fills differently; unknown profiles are like the default.
+PROFILES = {"default": {"header": "FFD9E2F3", "subtotal": "FFF2F2F2"}, "financial_statement": {"header": "FFD9E2F3", "subtotal": "FFF2F2F2"}, "demand_forecast": {"header": "FF002060", "subtotal": "FFE2EFDA"}}
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -35,9 +44,10 @@ def column_name(i: int) -> str:
     return out
 
 
-def styles_xml() -> str:
+def styles_xml(profile: str = "default") -> str:
+    fills_of = FILLS | PROFILES.get(profile, PROFILES["default"])
     formats = "".join(f'<numFmt numFmtId="{164 + k}" formatCode="{escape(f)}"/>' for k, f in enumerate(FORMATS) if k)
-    fills = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>' + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{rgb}"/></patternFill></fill>' for rgb in FILLS.values())
+    fills = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>' + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{rgb}"/></patternFill></fill>' for rgb in fills_of.values())
     cells = []
     for s in STYLES:
         fill = 2 + list(FILLS).index(s) if s in FILLS else 0
@@ -46,25 +56,42 @@ def styles_xml() -> str:
     return f'{HEAD}<styleSheet xmlns="{MAIN}"><numFmts count="{len(FORMATS) - 1}">{formats}</numFmts><fonts count="2"><font/><font><b/></font></fonts><fills count="{2 + len(FILLS)}">{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(cells)}">{"".join(cells)}</cellXfs></styleSheet>'
 
 
-def sheet_xml(rows: list, freeze: int = 1) -> str:
+def display_width(text: str) -> int:
+    return sum(2 if ord(ch) > 0x7F else 1 for ch in text)
+
+
+def column_widths(rows: list, demand: bool) -> dict[int, int]:
+    """Width of each column by its widest text; fixed values by profile."""
+    widest: dict[int, int] = {}
+    for r in rows:
+        text = r["value"] if r["number"] is None else f"{r['number']:g}"
+        widest[r["col"]] = max(widest.get(r["col"], 0), display_width(text or ""))
+    if demand:
+        return {k: max(w + (3 if k < 6 else 2), 14 if k < 6 else 7) for k, w in widest.items()}
+    return {k: max(w + (3 if k else 4), 18 if k else 30) for k, w in widest.items()}
+
+
+def sheet_xml(rows: list, freeze: int = 1, profile: str = "default") -> str:
     body, last = [], None
+    widths = "".join(f'<col min="{k + 1}" max="{k + 1}" width="{w}" customWidth="1"/>' for k, w in sorted(column_widths(rows, profile == "demand_forecast").items()))
+    cols = f"<cols>{widths}</cols>" if widths else ""
     for r in rows:
         if r["row"] != last:
             body.append(("</row>" if last is not None else "") + f'<row r="{r["row"] + 1}">')
             last = r["row"]
         style = STYLES.index(r["style"] or "normal") * len(FORMATS) + FORMATS.index(r["fmt"] or "General")
         ref = f'{column_name(r["col"])}{r["row"] + 1}'
-        if r["number"] is not None:
+        if r["number"] is not None and math.isfinite(r["number"]):
             body.append(f'<c r="{ref}" s="{style}"><v>{r["number"]!r}</v></c>')
         else:
             body.append(f'<c r="{ref}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(r["value"] or "")}</t></is></c>')
     if last is not None:
         body.append("</row>")
     view = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{freeze}" topLeftCell="A{freeze + 1}" state="frozen"/></sheetView></sheetViews>'
-    return f'{HEAD}<worksheet xmlns="{MAIN}">{view}<sheetData>{"".join(body)}</sheetData></worksheet>'
+    return f'{HEAD}<worksheet xmlns="{MAIN}">{view}{cols}<sheetData>{"".join(body)}</sheetData></worksheet>'
 
 
-def workbook(path: str, sheets: dict[str, list]) -> None:
+def workbook(path: str, sheets: dict[str, list], profile: str = "default") -> None:
     """Write one file; a document without cells gets one empty sheet."""
     sheets = sheets or {"결과": []}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -72,11 +99,16 @@ def workbook(path: str, sheets: dict[str, list]) -> None:
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(names)))
         z.writestr("[Content_Types].xml", f'{HEAD}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
         z.writestr("_rels/.rels", f'{HEAD}<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
+        z.writestr("xl/workbook.xml", f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'{HEAD}<Relationships xmlns="{PACKAGE}/relationships">' + "".join(f'<Relationship Id="rId{i + 1}" Type="{REL}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(names))) + f'<Relationship Id="rId{len(names) + 1}" Type="{REL}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", styles_xml())
+        z.writestr("xl/styles.xml", styles_xml(profile))
         for i, rows in enumerate(sheets.values()):
-            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", sheet_xml(rows))
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", sheet_xml(rows, profile=profile))
+
+
+def file_name(doc: str) -> str:
+    """A file name of its own for each document; the sign for hexadecimal is itself written so."""
+    return re.sub(r"[^\w.-]|%", lambda m: "".join(f"%{b:02x}" for b in m[0].encode()), doc) + ".xlsx"
 
 
 @dataclass
@@ -85,8 +117,11 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, profile: str, overwrite: bool) -> None:
+        self.path, self.profile = path, profile
+        if overwrite:
+            for old in glob.glob(os.path.join(glob.escape(path), "*.xlsx")):
+                os.remove(old)
 
     def write(self, rows: Iterator) -> Written:
         done: list[str] = []
@@ -94,8 +129,8 @@ class Writer(DataSourceWriter):
 
         def close() -> None:
             if current is not None:
-                name = os.path.join(self.path, "".join(ch if ch.isalnum() else "_" for ch in str(current)) + ".xlsx")
-                workbook(name + ".part", sheets)
+                name = os.path.join(self.path, file_name(str(current)))
+                workbook(name + ".part", sheets, self.profile)
                 os.replace(name + ".part", name)
                 done.append(name)
 
@@ -117,7 +152,7 @@ class Xlsx(DataSource):
         return "xlsx"
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"])
+        return Writer(self.options["path"], self.options.get("profile", "default"), overwrite)
 
 
 def register(spark: SparkSession) -> None:

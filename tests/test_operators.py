@@ -132,7 +132,60 @@ def test_pixels():
     h = pixels.perceptual_hash(image)
     assert (h ^ pixels.perceptual_hash(image * 0.9)).bit_count() <= 4
     assert pixels.is_screenshot(image) and len(pixels.split_wide(np.zeros((4, 2000)))) == 2
-    assert pixels.header_kind(image, cells) == "unknown"
+    assert pixels.header_kind(image[..., None].repeat(3, 2), []) == "default"
+    one = [{"row": 0, "col": 0, "x_min": 0, "x_max": 20, "y_min": 0, "y_max": 20}]
+    for colour, kind in (((96, 32, 0), "demand_forecast"), ((243, 226, 217), "financial_statement"), ((255, 255, 120), "default")):
+        assert pixels.header_kind(np.full((20, 20, 3), colour, np.uint8), one) == kind
+    assert pixels.table_cells(image[:52]) == []  # one row of cells is no table
+    thin = np.full((100, 300), 200, np.uint8)
+    thin[:, 10:290:40] = 170
+    assert len(pixels.column_boundaries(thin)) == 7
+
+
+def test_merge_close_is_a_fold():
+    rng = random.Random(2)
+    for _ in range(200):
+        places, limit = sorted(rng.sample(range(60), rng.randint(0, 12))), rng.choice([1, 3, 5.5])
+        want = []
+        for q in places:
+            if want and q - want[-1] <= limit:
+                want[-1] = (want[-1] + q) // 2
+            else:
+                want.append(q)
+        assert pixels.merge_close(places, limit) == want
+
+
+def test_pictures_are_prepared():
+    flat = np.full((40, 60, 3), 90, np.uint8)
+    big = pixels.upscaled(flat, 100)
+    assert big.shape == (120, 180, 3) and (big == 90).all() and pixels.upscaled(big, 100) is big
+    ramp = np.tile(np.linspace(20, 235, 64), (64, 1)).astype(np.uint8)
+    assert abs(pixels.upscaled(ramp, 128)[:, ::3].astype(float) - np.repeat(ramp, 3, 0)[:, :]).mean() < 3
+    assert pixels.otsu(np.array([[10] * 20 + [200] * 30], np.uint8)) in range(10, 200)
+    page = np.full((64, 64), 200, np.uint8)
+    page[20:44, 20:44] = 60
+    page[5, 5] = 60
+    out = pixels.prepared(page, 64)
+    assert set(np.unique(out)) <= {0, 255} and out[30, 30] == 0
+    assert pixels.prepared(ruled(), 100).shape == (100, 300)
+    dark = pixels.crop(np.full((10, 10, 3), 20, np.uint8), {"x_min": 2, "x_max": 8, "y_min": 2, "y_max": 8})
+    assert dark.shape == (8, 8, 3) and (dark == 235).all()
+
+
+def test_images(spark):
+    from gridloom.operators import images
+
+    image = ruled()
+    bgr = np.repeat(image[..., None], 3, axis=2)
+    rows = [(1, *image.shape, 1, image.tobytes()), (2, *bgr.shape, bgr.tobytes()), (3, 30, 30, 1, bytes(900))]
+    df = spark.createDataFrame([(d, h, w, c, bytearray(b)) for d, h, w, c, b in rows], "doc_id long, height int, width int, channels int, pixels binary")
+    grid = images.grids(df).collect()
+    assert len(grid) == 12 and [r["filled"] for r in grid if r["doc_id"] == 2] == [False, True, False, False, False, False]
+    assert {(r["doc_id"], r["high"], r["wide"], r["kind"]) for r in images.facts(df).collect()} == {(1, 100, 300, "default"), (2, 100, 300, "financial_statement"), (3, 30, 30, "default")}
+    assert images.crops(df, 0).where("doc_id = 1").count() == 3
+    assert images.columns(df).count() == 0
+    assert {r["doc_id"]: r["high"] for r in images.prepared(df, 100).collect()} == {1: 100, 2: 100, 3: 120}
+    assert images.grids(df.limit(0)).count() == 0
 
 
 def test_recogniser(spark, tmp_path):
@@ -158,7 +211,13 @@ def test_xlsx(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "out" / "one.xlsx") as z:
         sheet = z.read("xl/worksheets/sheet1.xml").decode()
     assert "v&lt;0&gt;" in sheet and "<v>1.5</v>" in sheet and 'ySplit="1"' in sheet
-    assert xlsx.column_name(27) == "AB"
+    assert xlsx.column_name(27) == "AB" and '<col min="1" max="1" width="30" customWidth="1"/>' in sheet
+    odd = [(d, 'a"b', 0, 0, d, float("nan"), None, None) for d in ("a/b", "a_b", "a%2fb")]
+    plan = spark.createDataFrame(odd, plan.schema)
+    xlsx.arranged(plan).write.format("xlsx").mode("overwrite").option("profile", "demand_forecast").save(str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a%252fb.xlsx", "a%2fb.xlsx", "a_b.xlsx"]
+    with zipfile.ZipFile(tmp_path / "out" / "a_b.xlsx") as z:
+        assert 'name=\'a"b\'' in z.read("xl/workbook.xml").decode() and ">a_b<" in z.read("xl/worksheets/sheet1.xml").decode() and "FF002060" in z.read("xl/styles.xml").decode()
 
 
 def test_stream(spark, tmp_path):
