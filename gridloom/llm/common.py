@@ -82,6 +82,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn("_row", F.monotonically_increasing_id().cast("string")), "numbered")
 
 
+def moved(rows: DataFrame) -> DataFrame:
+    """A list of rows that a join brings to the texts by a shuffle at every size, as it grows with the input: never sent whole to all executors."""
+    return rows.hint("merge")
+
+
 def text_of(text: str | Column = "text") -> Column:
     """The text, with null counted as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of, written
+from .common import SPACE, moved, text_of, written
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -54,12 +54,18 @@ def exact_groups(docs: DataFrame, row_col: str, text_col: str = "text", prefix:
     short = docs.select(F.col(row_col).alias("row"), *lengths(text, prefix))
     same_size = written(refine(written(short, "lengths"), ["size"]), "lengths")
     left = written(refine(same_size, ["size", "head"]).select("row"), "survivors")
-    whole = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("order"), text.alias("_text")).join(left, "row", "left_semi")
+    whole = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("order"), text.alias("_text")).join(moved(left), "row", "left_semi")
     whole = whole.select("row", "order", F.length(text_of("_text")).alias("chars"), F.unhex(F.sha2(normalised("_text"), 256)).alias("full"))
     whole = written(whole, "hashes")
     return whole.join(leaders(whole), "full").select("row", "keep_row", "group_size")
 
 
+def without_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Numbered documents, one of each group of equals, with all their columns."""
+    gone = exact_groups(docs, row_col, text_col, id_col=id_col).where("row <> keep_row").select(F.col("row").alias(row_col))
+    return docs.join(moved(gone), row_col, "left_anti")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept and text_sha256."""
     text = F.col(text_col)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, components, forest, groups, map_rows, numbered, tiles, written
+from .common import ASCII_LOWER, components, forest, groups, map_rows, moved, numbered, tiles, written
 
 PIVOTS = 16
 
@@ -302,7 +302,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, width: int, simila
 
         return step
 
-    texts = docs.select("_row", F.col(text_col).alias("_t")).join(asked, "_row")
+    texts = docs.select("_row", F.col(text_col).alias("_t")).join(moved(asked), "_row")
     sets = written(map_rows(texts.select("node", "component", "_t"), make, "node long, component long, shingles binary"), "sets")
     roots = components(verified_links(sets, similarity))
     found = rows.select("row", "id", "fp", "node").join(roots, "node", "left").select("row", "id", "fp", F.coalesce("component", "node").alias("group"))
@@ -323,7 +323,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     rows = numbered(docs)
     gone = similar_rows(rows, id_col, text_col, width, similarity, radius).where("row <> first.row").select(F.col("row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    return rows.join(moved(gone), "_row", "left_anti").select(docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
