@@ -22,9 +22,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exactly one of each group of texts that are equal but for white space: the longest, then the smallest id, null last."""
-    rows = numbered(docs)
-    found = exact_dedup.exact_groups(rows, "_row")
-    return rows.join(found.where("row <> keep_row").select(F.col("row").alias("_row")), "_row", "left_anti").select(docs.columns)
+    return exact_dedup.without_copies(numbered(docs), "_row").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
