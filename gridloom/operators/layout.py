@@ -137,3 +137,52 @@ def uniform_suffix(widths: DataFrame, factor: float = 1.3) -> DataFrame:
 def confidence_term(columns: Column) -> Column:
     """Penalty for an unlikely number of columns; none from 8 to 15."""
     return F.when(columns < 5, 0.1).when(columns < 8, 0.4).when(columns > 15, 0.5)
+
+
+def cluster_positions(positions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """positions(doc_id, pos) in wanted(doc_id, k) groups: (doc_id, idx, center), cut at the widest gaps.
+
+    With k different positions or fewer, these stay and more follow at steps of 100 after the last.
+    """
+    w = W.partitionBy("doc_id").orderBy("pos")
+    p = positions.select("doc_id", "pos").distinct().join(wanted, "doc_id")
+    p = p.withColumn("i", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(W.partitionBy("doc_id"))).withColumn("gap", F.lead("pos").over(w) - F.col("pos"))
+    few = p.where("m <= k")
+    last = few.groupBy("doc_id").agg(F.max("pos").alias("last"), F.first("m").alias("m"), F.first("k").alias("k")).where("k > m")
+    more = last.select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("k") - F.col("m")).cast("int"))).alias("n"), "last", "m")
+    kept = few.select("doc_id", (F.col("i") - 1).cast("int").alias("idx"), F.col("pos").alias("center")).unionByName(more.select("doc_id", (F.col("m") + F.col("n") - 1).cast("int").alias("idx"), (F.col("last") + 100 * F.col("n")).alias("center")))
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("gap").desc_nulls_last(), F.desc("i")))
+    cut = p.where("m > k").withColumn("cut", F.when(F.col("gap").isNotNull() & (rank <= F.col("k") - 1), 1).otherwise(0))
+    cut = cut.withColumn("idx", F.coalesce(F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    return kept.unionByName(cut.groupBy("doc_id", "idx").agg(F.avg("pos").alias("center")))
+
+
+def column_places(boxes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, idx, center) of the columns of boxes(doc_id, x_center, x_min, x_max): the k highest inner peaks of a histogram, else :func:`cluster_positions`.
+
+    Bins are 0.3 mean box widths wide, 5 at least, and there are at least two for each column.
+    """
+    x = F.col("x_center")
+    ends = boxes.groupBy("doc_id").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("m"), F.avg(F.col("x_max") - F.col("x_min")).alias("w")).join(wanted, "doc_id")
+    ends = ends.where("m >= k AND hi > lo").withColumn("bins", F.greatest(F.floor((F.col("hi") - F.col("lo")) / F.greatest(F.col("w") * 0.3, F.lit(5.0))), 2 * F.col("k")).cast("int"))
+    ends = ends.withColumn("step", (F.col("hi") - F.col("lo")) / F.col("bins"))
+    counted = boxes.join(ends, "doc_id").withColumn("bin", F.floor((x - F.col("lo")) / F.col("step")).cast("int")).groupBy("doc_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    hist = ends.select("doc_id", "k", "lo", "step", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")).join(counted, ["doc_id", "bin"], "left").fillna(0, ["n"])
+    by_bin = W.partitionBy("doc_id").orderBy("bin")
+    peaks = hist.withColumn("_l", F.lag("n").over(by_bin)).withColumn("_r", F.lead("n").over(by_bin)).where("n > 0 AND n >= _l AND n >= _r")
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), F.desc("bin")))
+    top = peaks.withColumn("rk", rank).withColumn("found", F.count(F.lit(1)).over(W.partitionBy("doc_id"))).where("found >= k AND rk <= k")
+    by_peak = top.select("doc_id", (F.row_number().over(by_bin) - 1).alias("idx"), (F.col("lo") + F.col("bin") * F.col("step") + F.col("step") / 2).alias("center"))
+    rest = boxes.join(by_peak.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", x.alias("pos"))
+    return by_peak.unionByName(cluster_positions(rest, wanted))
+
+
+def narrow_start(widths: DataFrame, wanted: DataFrame, factor: float = 1.3) -> DataFrame:
+    """(doc_id, start_idx): where the narrow columns at the right begin, by the median of the right half; the last wanted(doc_id, k) where that is off by more than 3."""
+    listed = widths.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "w"))), lambda s: s["w"]).alias("_w")).where(F.size("_w") >= 2).join(wanted, "doc_id")
+    half = F.sort_array(F.slice("_w", F.floor(F.size("_w") / 2).cast("int") + 1, F.size("_w")))
+    listed = listed.withColumn("median", F.element_at(half, F.floor(F.size(half) / 2).cast("int") + 1))
+    wide = F.array_max(F.transform("_w", lambda x, i: F.when(x > factor * F.col("median"), i)))
+    start = F.coalesce(wide + 1, F.lit(0))
+    n = F.size("_w")
+    return listed.select("doc_id", F.when(F.abs(n - start - F.col("k")) > 3, F.greatest(n - F.col("k"), F.lit(0))).otherwise(start).cast("long").alias("start_idx"))

@@ -36,14 +36,21 @@ def control_totals(cells: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return by_row.unionByName(by_col)
 
 
-def confidence(boxes: DataFrame, cells: DataFrame, known: DataFrame) -> DataFrame:
-    """Mean of what is known of: box confidence, fill rate, share of known names in column 0, likely column count."""
+def confidence(boxes: DataFrame, cells: DataFrame, known: DataFrame, overlap: DataFrame | None = None) -> DataFrame:
+    """Mean of what is known of: box confidence, fill rate, share of known names in column 0, likely column count.
+
+    With ``overlap(doc_id, overlap)``, the best match with known headers, that stands in place of the column count.
+    """
     box = boxes.groupBy("doc_id").agg(F.avg("confidence").alias("box"))
     first = (F.col("col_idx") == 0) & (F.trim("value") != "")
-    marked = cells.join(known.select(F.col("canonical_name").alias("value"), F.lit(1).alias("k")).distinct(), "value", "left")
+    names = known.select(F.col("canonical_name").alias("_name"), F.lit(1).alias("k")).distinct()
+    marked = cells.join(names, F.trim("value") == F.col("_name"), "left")
     per = marked.groupBy("doc_id").agg(F.avg((F.col("value") != "").cast("double")).alias("fill"), F.avg(F.when(first, F.coalesce("k", F.lit(0)))).alias("names"), (F.max("col_idx") + 1).alias("cols"))
     both = per.join(box, "doc_id", "full")
-    terms = F.array_compact(F.array("box", F.least(F.col("fill") * 1.5, F.lit(1.0)), "names", layout.confidence_term(F.col("cols"))))
+    if overlap is not None:
+        both = both.join(overlap, "doc_id", "left")
+    last = layout.confidence_term(F.col("cols")) if overlap is None else F.col("overlap")
+    terms = F.array_compact(F.array("box", F.least(F.col("fill") * 1.5, F.lit(1.0)), "names", last))
     return both.select("doc_id", F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.size(terms), 6).alias("confidence"))
 
 

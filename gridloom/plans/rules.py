@@ -246,3 +246,60 @@ query("eval_report", None, f"""WITH {_JOINED}, c AS (SELECT kase, round(avg(CASE
  SELECT count(*) AS cases, round(avg(rr), 4) AS avg_row_recall, round(avg(ea), 4) AS avg_exact_row_accuracy, round(avg(ca), 4) AS avg_cell_accuracy FROM c""")(
     lambda get: validate.averages(validate.evaluate(get(EXPECTED).withColumnRenamed("kase", "case"), get(ACTUAL).withColumnRenamed("kase", "case"), _COLUMNS))
 )
+
+query("eval_report_json", None, f"""WITH {_JOINED}, c AS (SELECT kase, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS rr, round(avg(CASE WHEN good = 4 THEN 1.0 ELSE 0.0 END), 4) AS ea, round(sum(good) / (count(*) * 4.0::DOUBLE), 4) AS ca FROM j GROUP BY 1)
+ SELECT '{{"cases":' || count(*) || ',"avg_row_recall":' || round(avg(rr), 4) || ',"avg_exact_row_accuracy":' || round(avg(ea), 4) || ',"avg_cell_accuracy":' || round(avg(ca), 4) || '}}' AS report FROM c""")(
+    lambda get: validate.averages(validate.evaluate(get(EXPECTED).withColumnRenamed("kase", "case"), get(ACTUAL).withColumnRenamed("kase", "case"), _COLUMNS)).select(F.to_json(F.struct("*")).alias("report"))
+)
+_OVERLAP = "SELECT doc_id, max(len(list_intersect(own, k)) / len(k)::DOUBLE) AS overlap FROM (SELECT doc_id, list(DISTINCT trim(col_name)) AS own FROM t GROUP BY 1) q, (SELECT unnest([['회사명', '부서명', '이름', '계정'], ['회사명', '총참여금액', '-100']]) AS k) p GROUP BY 1"
+query("confidence_by_headers", None, f"""WITH t AS ({VARIED}), o AS ({_OVERLAP}), b AS (SELECT doc_id, avg(confidence) AS box FROM ({x.BOXES}) q GROUP BY 1), c AS (SELECT doc_id, avg(CASE WHEN value <> '' THEN 1.0 ELSE 0.0 END) AS fill, avg(CASE WHEN col_idx = 0 AND trim(value) <> '' THEN CASE WHEN trim(value) IN ('firm 1', 'firm 2') THEN 1.0 ELSE 0.0 END END) AS names FROM t GROUP BY 1)
+ SELECT doc_id, round(list_sum(list_filter([box, least(fill * 1.5, 1.0), names, overlap], lambda s: s IS NOT NULL)) / len(list_filter([box, fill, names, overlap], lambda s: s IS NOT NULL)), 6) AS confidence FROM c FULL JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)""")(
+    lambda get: validate.confidence(get(x.BOXES), get(VARIED), get("SELECT 'firm 1' AS canonical_name UNION ALL SELECT 'firm 2'"), tables.header_overlap(get(VARIED), get("SELECT array('회사명', '부서명', '이름', '계정') AS headers UNION ALL SELECT array('회사명', '총참여금액', '-100')")))
+)
+
+# -- positions ---------------------------------------------------------------------------------------
+
+PLACES = "SELECT l_orderkey AS doc_id, CAST(l_partkey % 997 AS DOUBLE) AS pos FROM lineitem"
+WANTED = "SELECT DISTINCT l_orderkey AS doc_id, CAST(2 + l_orderkey % 4 AS INT) AS k FROM lineitem"
+CLUSTER = """q AS (SELECT DISTINCT t.doc_id, pos, k FROM {src} t JOIN k ON k.doc_id = t.doc_id), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS m, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos AS gap FROM q),
+ u AS (SELECT *, CASE WHEN gap IS NOT NULL AND row_number() OVER (PARTITION BY doc_id ORDER BY gap DESC NULLS LAST, i DESC) <= k - 1 THEN 1 ELSE 0 END AS cut FROM a WHERE m > k), v AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS idx FROM u),
+ cl AS (SELECT doc_id, (i - 1)::INT AS idx, pos AS center FROM a WHERE m <= k UNION ALL SELECT doc_id, (m + n - 1)::INT, last + 100 * n FROM (SELECT doc_id, max(pos) AS last, any_value(m) AS m, any_value(k) AS k FROM a WHERE m <= k GROUP BY 1) z, LATERAL (SELECT unnest(range(1, k - m + 1)) AS n) y UNION ALL SELECT doc_id, idx, avg(pos) FROM v GROUP BY 1, 2)"""
+query("cluster_positions", None, f"WITH p AS ({PLACES}), k AS ({WANTED}), {CLUSTER.format(src='p')} SELECT doc_id, idx, round(center, 6) AS center FROM cl")(lambda get: layout.cluster_positions(get(PLACES), get(WANTED)).withColumn("center", F.round("center", 6)))
+CROWDED = "SELECT l_suppkey AS doc_id, CAST(100 * (l_linenumber % 5) + l_partkey % 13 AS DOUBLE) AS x_center, CAST(100 * (l_linenumber % 5) + l_partkey % 13 - 20 AS DOUBLE) AS x_min, CAST(100 * (l_linenumber % 5) + l_partkey % 13 + 20 AS DOUBLE) AS x_max FROM lineitem"
+COUNTS = "SELECT DISTINCT l_suppkey AS doc_id, CAST(3 + l_suppkey % 3 AS INT) AS k FROM lineitem"
+query("column_places", None, f"""WITH b AS ({CROWDED}), k AS ({COUNTS}), e AS (SELECT b.doc_id, k, min(x_center) AS lo, max(x_center) AS hi, greatest(floor((max(x_center) - min(x_center)) / greatest(avg(x_max - x_min) * 0.3, 5)), 2 * k)::INT AS nb FROM b JOIN k ON k.doc_id = b.doc_id GROUP BY 1, 2 HAVING count(*) >= k AND max(x_center) > min(x_center)),
+ s AS (SELECT *, (hi - lo) / nb AS step FROM e), n AS (SELECT doc_id, floor((x_center - lo) / step)::INT AS bin, count(*) AS n FROM b JOIN s USING (doc_id) GROUP BY 1, 2), h AS (SELECT s.doc_id, k, lo, step, bins.bin, coalesce(n.n, 0) AS n FROM s, LATERAL (SELECT unnest(range(nb))::INT AS bin) bins LEFT JOIN n ON n.doc_id = s.doc_id AND n.bin = bins.bin),
+ pk AS (SELECT * FROM (SELECT *, lag(n) OVER w AS l, lead(n) OVER w AS r FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY bin)) y WHERE n > 0 AND n >= l AND n >= r), tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, bin DESC) AS rk, count(*) OVER (PARTITION BY doc_id) AS f FROM pk),
+ bp AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY bin) - 1)::INT AS idx, lo + bin * step + step / 2 AS center FROM tp WHERE f >= k AND rk <= k), rs AS (SELECT doc_id, x_center AS pos FROM b WHERE doc_id NOT IN (SELECT doc_id FROM bp)), {CLUSTER.format(src='rs')}
+ SELECT doc_id, idx, round(center, 6) AS center FROM bp UNION ALL SELECT doc_id, idx, round(center, 6) FROM cl""")(lambda get: layout.column_places(get(CROWDED), get(COUNTS)).withColumn("center", F.round("center", 6)))
+NARROW = "SELECT l_orderkey AS doc_id, l_linenumber AS idx, max(CASE WHEN l_linenumber < 3 THEN 100 + l_quantity ELSE 40 + l_quantity % 3 END) AS w FROM lineitem GROUP BY 1, 2"
+query("narrow_columns_start", None, f"""WITH w AS ({NARROW}), k AS ({WANTED}), l AS (SELECT doc_id, list(w ORDER BY idx) AS w FROM w GROUP BY 1 HAVING count(*) >= 2), h AS (SELECT *, list_sort(w[len(w) // 2 + 1:]) AS r FROM l), m AS (SELECT *, r[len(r) // 2 + 1] AS med FROM h),
+ s AS (SELECT m.doc_id, len(w) AS n, k, coalesce(list_max(list_filter(range(len(w)), lambda i: w[i + 1] > 1.3 * med)) + 1, 0) AS st FROM m JOIN k ON k.doc_id = m.doc_id) SELECT doc_id, CASE WHEN abs(n - st - k) > 3 THEN greatest(n - k, 0) ELSE st END::BIGINT AS start_idx FROM s""")(lambda get: layout.narrow_start(get(NARROW), get(WANTED)))
+query("grid_dimensions", x.GRID, "SELECT doc_id, max(g_r) + 1 AS \"rows\", max(g_c) + 1 AS columns FROM t GROUP BY 1")(lambda d: d.groupBy("doc_id").agg((F.max("g_r") + 1).alias("rows"), (F.max("g_c") + 1).alias("columns")))
+
+# -- what was learned and how it is used --------------------------------------------------------------
+
+CONFIRMED = f"SELECT seq, doc_type, CASE WHEN amount % 5 = 0 THEN name END AS confirmed_type FROM ({x.LOG}) q"
+query("confirmed_documents", CONFIRMED, "SELECT * FROM t WHERE confirmed_type IS NOT NULL ORDER BY seq DESC")(learn.confirmed)
+FIXED = f"SELECT doc_id, row_idx, col_idx, CASE WHEN col_idx = 0 AND value = 'firm 3' THEN '한국증권' WHEN col_idx = 5 THEN value || '0' WHEN col_idx = 2 THEN ' q ' ELSE value END AS value FROM ({SHEET}) s WHERE doc_id % 4 > 0 OR row_idx > 0"
+KIND_OF = r"CASE WHEN regexp_matches(b, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date' WHEN regexp_matches(b, '^[0-9]+\.?[0-9]*$') THEN 'number' WHEN regexp_matches(b, '운용|증권|보험|은행|투자|자산') THEN 'company' WHEN length(a) <= 4 AND length(b) <= 4 THEN 'name' ELSE 'term' END"
+query("correction_events", None, f"""WITH t AS ({SHEET}), f AS ({FIXED}), s AS (SELECT doc_id FROM (SELECT doc_id, max(row_idx) AS r, max(col_idx) AS c FROM t GROUP BY 1) x1 JOIN (SELECT doc_id, max(row_idx) AS r, max(col_idx) AS c FROM f GROUP BY 1) x2 USING (doc_id, r, c)), j AS (SELECT doc_id, trim(t.value) AS a, trim(f.value) AS b FROM t JOIN f USING (doc_id, row_idx, col_idx) JOIN s USING (doc_id))
+ SELECT doc_id, a AS wrong, b AS correct, {KIND_OF} AS kind, 0.9::DOUBLE AS confidence FROM j WHERE a <> '' AND b <> '' AND a <> b AND length(a) < 50""")(lambda get: learn.correction_events(get(SHEET), get(FIXED)))
+TRUTH = f"SELECT doc_id, row_idx, col_idx, CASE WHEN col_idx = 0 AND row_idx = 1 THEN 'firm one' WHEN col_idx = 3 THEN value || '!' ELSE value END AS value FROM ({SHEET}) s WHERE NOT (row_idx = 0 AND doc_id % 5 = 0)"
+_DATA = lambda src, skip: f"(SELECT s.doc_id, r.row, s.col_idx, trim(s.value) AS v FROM {src} s JOIN (SELECT doc_id, row_idx, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS row FROM {src} WHERE col_idx = 0 AND trim(value) NOT IN {skip}) r USING (doc_id, row_idx) WHERE s.col_idx < 4)"
+query("truth_corrections", None, f"WITH t AS ({SHEET}), g AS ({TRUTH}) SELECT a.doc_id, a.row::INT AS \"row\", a.col_idx, a.v AS wrong, b.v AS correct, ['company', 'department', 'name', 'account'][a.col_idx + 1] AS kind FROM {_DATA('t', IN(['', *tables.END_LABELS]))} a JOIN {_DATA('g', IN(['']))} b ON a.doc_id = b.doc_id AND a.row = b.row AND a.col_idx = b.col_idx WHERE a.v <> '' AND b.v <> '' AND a.v <> b.v")(
+    lambda get: learn.against_truth(get(SHEET), get(TRUTH), tables.END_LABELS).select("doc_id", "row", "col_idx", "wrong", "correct", "kind")
+)
+SEEN = f"SELECT doc_type, name AS wrong, 'k' || CAST(amount % 50 AS STRING) AS correct, CASE WHEN amount % 3 = 0 THEN 'company' ELSE 'term' END AS kind FROM ({x.LOG}) q"
+NAMES = "SELECT 'company' AS kind, 'k' || CAST(p_size AS STRING) AS canonical_name FROM part WHERE p_size < 30"
+_LEARN = f"s AS ({SEEN}), n AS (SELECT DISTINCT kind, canonical_name AS c FROM ({NAMES}) q), l AS (SELECT s.* FROM s LEFT JOIN n a ON a.kind = s.kind AND a.c = s.wrong LEFT JOIN n b ON b.kind = s.kind AND b.c = s.correct WHERE a.c IS NULL OR b.c IS NULL)"
+query("learnable_corrections", None, f"WITH {_LEARN} SELECT doc_type, wrong, correct, kind, count(*) AS n FROM l GROUP BY 1, 2, 3, 4")(lambda get: learn.learnable(get(SEEN), get(NAMES)).groupBy("doc_type", "wrong", "correct", "kind").agg(F.count(F.lit(1)).alias("n")))
+CACHE = f"SELECT seq, doc_type, amount % 2 = 0 AS verified FROM ({x.LOG}) q"
+query("cache_after_learning", None, f"WITH c AS ({CACHE}) SELECT seq, doc_type, verified FROM c WHERE verified OR doc_type NOT IN (SELECT doc_type FROM ({SEEN}) s WHERE wrong = 'k7' AND correct = 'k9')")(lambda get: learn.still_cached(get(CACHE), get(SEEN).where("wrong = 'k7' AND correct = 'k9'")))
+DICTIONARY = f"SELECT CASE WHEN amount % 4 = 0 THEN 'default' ELSE doc_type END AS doc_type, wrong, correct, count(*) AS n, max(confidence) AS confidence FROM (SELECT doc_type, name AS wrong, 'c' || CAST(position AS STRING) AS correct, amount, confidence FROM ({x.LOG}) q) r GROUP BY 1, 2, 3"
+query("correction_map", DICTIONARY, "SELECT wrong, correct FROM (SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY CASE WHEN doc_type = 'default' THEN 0 ELSE 1 END, n, correct DESC) AS i FROM t WHERE confidence >= 0.5 AND doc_type IN ('click', 'default')) q WHERE i = 1")(lambda d: learn.correction_map(d, "click"))
+HEAD = "## corrections"
+query("correction_hints", DICTIONARY, f"""SELECT doc_type, '{HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY rn) || chr(10) AS prompt FROM (SELECT *, {len(HEAD)} + sum(length(line)) OVER (PARTITION BY doc_type ORDER BY rn) AS chars FROM (SELECT *, '- "' || wrong || '" → "' || correct || '"' AS line, row_number() OVER (PARTITION BY doc_type ORDER BY n DESC, wrong, correct) AS rn FROM t) q WHERE rn <= 20) z WHERE chars <= 300 GROUP BY 1""")(
+    lambda d: learn.correction_hints(d, "doc_type", HEAD, chars=300)
+)
+query("header_hint", VARIED, f", {LISTS} SELECT doc_id, array_to_string(headers[1:4], ', ') || CASE WHEN len(headers) > 4 THEN ' ... (+' || (len(headers) - 4) || ')' ELSE '' END AS hint FROM hl")(lambda d: tables.header_lists(d).select("doc_id", learn.header_hint(F.col("headers"), 4).alias("hint")))
