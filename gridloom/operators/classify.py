@@ -46,28 +46,66 @@ def char_ngrams(text: Column, low: int, high: int) -> Column:
     return F.flatten(F.array(*grams))
 
 
+def gram_counts(docs: DataFrame, low: int, high: int) -> DataFrame:
+    return docs.select("doc_id", F.explode(char_ngrams(F.col("text"), low, high)).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def vocabulary(counts: DataFrame, features: int) -> DataFrame:
+    """(gram, df): the most frequent n-grams, then first by code points."""
+    df = counts.groupBy("gram").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    return df.orderBy(F.desc("total"), "gram").limit(features)
+
+
+def tfidf_weight(tf: Column, df: Column, n_docs: Column) -> Column:
+    return (1 + F.ln(tf)) * (F.ln((1 + n_docs) / (1 + df)) + 1)
+
+
 def tfidf(docs: DataFrame, low: int = 2, high: int = 4, features: int = 3000) -> DataFrame:
     """docs(doc_id, text): sublinear TF-IDF of the most frequent n-grams (then first by code points)."""
-    counts = docs.select("doc_id", F.explode(char_ngrams(F.col("text"), low, high)).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("gram").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    top = df.orderBy(F.desc("total"), "gram").limit(features)
+    counts = gram_counts(docs, low, high)
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    kept = counts.join(F.broadcast(top), "gram").join(F.broadcast(n))
-    return kept.select("doc_id", "gram", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("weight"))
-
-
-def train(docs: DataFrame, label: str, text: str, features: int = 3000):
-    """Logistic regression with balanced classes on TF-IDF of character n-grams: a pyspark.ml pipeline model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
-
-    rows = docs.withColumn("grams", char_ngrams(F.col(text), 2, 4))
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.agg(F.count(F.lit(1)).alias("_all"), F.countDistinct(label).alias("_k"))
-    rows = rows.join(counts, label).join(F.broadcast(total)).withColumn("_w", F.col("_all") / (F.col("_k") * F.col("_n")))
-    stages = [StringIndexer(inputCol=label, outputCol="_label"), CountVectorizer(inputCol="grams", outputCol="_tf", vocabSize=features), IDF(inputCol="_tf", outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=20)]
-    return Pipeline(stages=stages).fit(rows)
+    kept = counts.join(F.broadcast(vocabulary(counts, features)), "gram").join(F.broadcast(n))
+    return kept.select("doc_id", "gram", tfidf_weight(F.col("tf"), F.col("df"), F.col("n_docs")).alias("weight"))
+
+
+class Classifier:
+    """Logistic regression with balanced classes on the vectors that :func:`tfidf` describes, scaled to length 1.
+
+    The vocabulary has at most ``features`` rows, so it and the coefficients are small at any number of documents.
+    """
+
+    def __init__(self, docs: DataFrame, label: str, features: int = 3000, low: int = 2, high: int = 4) -> None:
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import IndexToString, StringIndexer
+
+        self.low, self.high = low, high
+        rows = vocabulary(gram_counts(docs, low, high), features).collect()
+        self.grams = [(r["gram"], i, r["df"]) for i, r in enumerate(rows)]
+        self.n_docs = docs.count()
+        counts = docs.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+        total = docs.agg(F.count(F.lit(1)).alias("_all"), F.countDistinct(label).alias("_k"))
+        weighted = self.vectors(docs).join(docs.select("doc_id", label), "doc_id").join(counts, label).join(F.broadcast(total)).withColumn("_w", F.col("_all") / (F.col("_k") * F.col("_n")))
+        index = StringIndexer(inputCol=label, outputCol="_label").fit(weighted)
+        fitted = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=50, regParam=1e-4).fit(index.transform(weighted))
+        self.model = Pipeline(stages=[fitted, IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)]).fit(weighted)
+
+    def vectors(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, _features) of docs(doc_id, text); n-grams outside the vocabulary do not count."""
+        from pyspark.ml.functions import array_to_vector
+
+        spark = docs.sparkSession
+        known = spark.createDataFrame(self.grams, "gram string, i int, df long")
+        found = gram_counts(docs, self.low, self.high).join(F.broadcast(known), "gram").select("doc_id", "i", tfidf_weight(F.col("tf"), F.col("df"), F.lit(self.n_docs)).alias("w"))
+        per = docs.select("doc_id").join(found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "doc_id", "left")
+        dense = F.transform(F.sequence(F.lit(0), F.lit(max(len(self.grams) - 1, 0))), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)))
+        return per.select("doc_id", array_to_vector(dense).alias("_features"))
+
+    def predict(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, predicted, confidence)."""
+        from pyspark.ml.functions import vector_to_array
+
+        return self.model.transform(self.vectors(docs)).select("doc_id", "predicted", F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
 def best_of(rows: DataFrame, key: str, score: str, tie: str) -> DataFrame:

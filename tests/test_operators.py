@@ -234,3 +234,11 @@ def test_stream(spark, tmp_path):
 def test_order_does_not_matter(spark, parts):
     d = spark.createDataFrame([(1, i % 3, i, "abc"[i % 2]) for i in range(30)], "doc_id int, cell int, pos int, value string").repartition(parts)
     assert sorted(tuple(r) for r in votes.vote(d, ["cell"]).collect()) == [(0, "a", 5, 10, False), (1, "b", 5, 10, False), (2, "a", 5, 10, False)]
+
+
+def test_classifier_on_unseen_documents(spark):
+    from gridloom.plans.queries import QUERIES
+
+    rows = QUERIES["classifier_model"](spark, "/root/testdata/sf0.001").where("NOT learned").collect()
+    assert len(rows) > 30 and sum(r["label"] == r["predicted"] for r in rows) >= 0.9 * len(rows)
+    assert all(0 < r["confidence"] <= 1 for r in rows)
