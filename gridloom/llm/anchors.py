@@ -129,9 +129,9 @@ class Slots:
         return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
-def occurrence(doc: np.ndarray, start: np.ndarray, ch: np.ndarray) -> np.ndarray:
-    """A hash of one occurrence of a context, for :class:`Slots`."""
-    return mixed(ch ^ mixed(doc.astype(np.uint64) * np.uint64(BASE) + start.astype(np.uint64)))
+def occurrence(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of a context's place, for :class:`Slots`."""
+    return mixed(mixed(doc.astype(np.uint64) * np.uint64(BASE)) + start.astype(np.uint64))
 
 
 def merged_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -38,32 +38,26 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[str | None]:
     return (t.as_py() for t in batch["text"])
 
 
-def byte_units(text: str | None) -> np.ndarray:
-    return BYTE_VALUES[np.frombuffer(encoded(text), np.uint8)]
-
-
-def word_units(text: str | None) -> np.ndarray:
-    words = encoded(text).split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
-UNITS: dict[str, Callable[[str | None], np.ndarray]] = {"bytes": byte_units, "words": word_units}
-
-
 class Content:
-    """A text's bytes, cut by units: its bytes themselves, or its words with one blank between them."""
+    """A text's units and the bytes that they stand for: its bytes themselves, or its words with one blank between them."""
 
     def __init__(self, text: str | None, unit: str) -> None:
-        self.raw, self.ends = encoded(text), None
-        if unit == "words":
-            words = self.raw.split()
-            self.raw = b" ".join(words)
-            self.ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+        self.unit = unit
+        self.words = encoded(text).split() if unit == "words" else []
+        self.raw, self.ends = encoded(text) if unit == "bytes" else b"", None
+        self.units = np.fromiter(map(_words.__getitem__, self.words), np.uint64, len(self.words)) if unit == "words" else BYTE_VALUES[np.frombuffer(self.raw, np.uint8)]
+
+    def joined(self) -> None:
+        """Make the words' bytes and where each begins, when they are asked for first."""
+        self.raw = b" ".join(self.words)
+        self.ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)))
 
     def digests(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit digests of the units [begin, end), from their bytes."""
-        gap = 0 if self.ends is None else 1
+        gap = int(self.unit == "words")
         if gap:
+            if self.ends is None:
+                self.joined()
             begin, end = self.ends[begin], self.ends[end]
         h, raw = xxhash.xxh3_64_intdigest, self.raw
         return np.fromiter((h(raw[a : b - gap]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(begin))
@@ -87,7 +81,7 @@ def anchor_hashes(texts: DataFrame, unit: str, width: int, gram: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [p.anchors(width, gram)[0] for t in texts_of(batch) for p in pieces(UNITS[unit](t), width)]
+            found = [p.anchors(width, gram)[0] for t in texts_of(batch) for p in pieces(Content(t, unit).units, width)]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], ["ah", "n"])
@@ -108,13 +102,12 @@ def occurrences(texts: DataFrame, unit: str, width: int, gram: int, slots: Slots
         for batch in batches:
             rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for doc, text in zip(batch["doc"].to_pylist(), texts_of(batch), strict=True):
-                content = None
-                for p in pieces(UNITS[unit](text), width):
+                content = Content(text, unit)
+                for p in pieces(content.units, width):
                     ah, _, first, last = p.anchors(width, gram)
                     use = pass_.has(ah)
                     if not use.any():
                         continue
-                    content = content or Content(text, unit)
                     ah, first, last = ah[use], first[use], last[use]
                     ch = content.digests(first + p.at, last + width + p.at)
                     _, one, count = np.unique(mixed(ch ^ mixed(ah)), return_index=True, return_counts=True)
@@ -145,10 +138,10 @@ def occurrence_slots(found: DataFrame) -> Slots:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = occurrence(b["doc"].to_numpy(), b["start"].to_numpy(), unsigned(b["ch"].to_numpy()))
+            h = occurrence(b["doc"].to_numpy(), b["start"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(signed(h))], ["o"])
 
-    return Slots.of(found.select("doc", "start", "ch").mapInArrow(run, "o long"), "o")
+    return Slots.of(found.select("doc", "start").mapInArrow(run, "o long"), "o")
 
 
 def chosen(texts: DataFrame, unit: str, width: int, gram: int, slots: Slots, firsts: Slots, emit: Callable, schema: str) -> DataFrame:
@@ -159,15 +152,13 @@ def chosen(texts: DataFrame, unit: str, width: int, gram: int, slots: Slots, fir
         one, two = sent.value
         for batch in batches:
             for doc, text in zip(batch["doc"].to_pylist(), texts_of(batch), strict=True):
-                content = None
-                for p in pieces(UNITS[unit](text), width):
+                content = Content(text, unit)
+                for p in pieces(content.units, width):
                     ah, place, first, last = p.anchors(width, gram)
                     use = one.has(ah)
                     if use.any():
-                        content = content or Content(text, unit)
                         ah, place, first, last = ah[use], place[use], first[use], last[use]
-                        ch = content.digests(first + p.at, last + width + p.at)
-                        use = two.has(occurrence(np.full(len(ah), doc), first + p.at, ch))
+                        use = two.has(occurrence(np.full(len(ah), doc), first + p.at))
                         if use.any():
                             yield from emit(content, p.at, doc, ah[use], place[use], first[use], last[use])
 

@@ -1,6 +1,7 @@
 """Each stage of the pipeline against brute force on its own input, and the whole run."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -11,12 +12,15 @@ import corpus_pipeline
 from gridloom.llm import mixing, pieces
 
 SF = "/root/testdata/sf0.001"
+FOREIGN = ["Привет, как дела? Это русский текст для проверки, в нём нет ни одного слова другого языка.", "これは日本語の文章です。今日は天気がいいですね。明日も晴れるでしょう。"]
 
 
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """The documents before the first and after each stage."""
     extra = [(100000, None, "en", "src0", 0), (100001, "", "en", None, 0), (100002, "?? !! 123", "en", "src1", 9)]
+    rng = random.Random(7)
+    extra += [(k, t, "en", "src0", len(t)) for k, t in enumerate(FOREIGN + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(500)) for _ in range(5)], 100003)]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).unionByName(docs.where("doc_id < 20").withColumn("doc_id", docs["doc_id"] + 200000))
     out = [docs]
@@ -39,7 +43,7 @@ def test_columns(stages):
 def test_language_keeps_clean_documents(stages):
     before, after = texts(stages[0]), texts(stages[1])
     gone = set(before) - set(after)
-    assert {100000, 100001, 100002} <= gone and len(gone) < 3 + 0.02 * len(before)
+    assert set(range(100000, 100010)) <= gone and len(gone) <= 10 + 0.02 * len(before)
 
 
 def test_exact(stages):
@@ -57,11 +61,10 @@ def test_near(stages):
     shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
     ids = sorted(before)
-    pairs = [(a, b, s) for k, a in enumerate(ids) for b in ids[k + 1 :] if (s := alike(a, b)) >= 0.55]
-    for b in set(before) - set(after):  # what goes has a near copy
-        assert any(b in (x, y) for x, y, _ in pairs)
-    close = [(x, y) for x, y, s in pairs if s >= 0.85]
-    assert sum(x in after and y in after for x, y in close) <= 0.1 * len(close)
+    close = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if alike(a, b) >= 0.8]
+    linked = {x for pair in close for x in pair}
+    assert set(before) - set(after) <= linked  # what goes has a near copy, at 0.8 and not below
+    assert len(close) > 10 and sum(x in after and y in after for x, y in close) <= 0.02 * len(close)
 
 
 def test_mix(stages):
