@@ -20,7 +20,7 @@ class WordValues(dict):
     """A random value for each word, remembered in a table of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
+        if len(self) >= 500_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
