@@ -94,21 +94,36 @@ def surroundings(shown: DataFrame, width: int, slots: Slots) -> DataFrame:
     return shown.mapInArrow(run, "k long, doc long, at long, left binary, same binary, right binary")
 
 
+def longest_shared(texts: list[bytes]) -> list[int]:
+    """How many first bytes each text has in common with the one that shares most with it: a neighbour in sorted order."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    best = [0] * len(texts)
+    for i, j in zip(order[:-1], order[1:], strict=True):
+        a, b = texts[i], texts[j]
+        k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        best[i], best[j] = max(best[i], k), max(best[j], k)
+    return best
+
+
 def shared_windows(left: list[bytes], same: list[bytes], right: list[bytes], width: int) -> tuple[list[list[int]], list[list[int]]]:
     """Of different surroundings of one key: the windows' places in ``left`` that another one has as well, and the others' places."""
     size = width - (width - width % BLOCK - BLOCK) + 1  # symbols of a window: the key's bytes are one
+    before, after = longest_shared([a[::-1] for a in left]), longest_shared(right)
     number = {s: 256 + i for i, s in enumerate(dict.fromkeys(same))}
     symbols: list[int] = []
-    first: list[int] = []
+    first: list[int | None] = []
     for i, (a, s, b) in enumerate(zip(left, same, right, strict=True)):
-        first.append(len(symbols))
-        symbols += [*a, number[s], *b, -1 - i]  # strings end in different symbols: nothing is shared across
+        if before[i] + after[i] < size - 1:  # no other has enough of both sides
+            first.append(None)
+        else:
+            first.append(len(symbols))
+            symbols += [*a, number[s], *b, -1 - i]  # strings end in different symbols: nothing is shared across
     found = classes(symbols, size)
     twins, singles = [], []
     for at, a, b in zip(first, left, right, strict=True):
         places = range(0, min(len(a), len(a) + 1 + len(b) - size) + 1)
-        twins.append([p for p in places if found[at + p] >= 0])
-        singles.append([p for p in places if found[at + p] < 0])
+        twins.append([p for p in places if at is not None and found[at + p] >= 0])
+        singles.append([p for p in places if at is None or found[at + p] < 0])
     return twins, singles
 
 
