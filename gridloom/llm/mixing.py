@@ -58,36 +58,41 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     return [source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), order.alias("order"), row.alias("row")]
 
 
-def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, row_col: str | None = None, **aims) -> DataFrame:
-    """One row for each source: key, source_size, target, whole (repetitions of all) and cut (the last place that is taken once more)."""
-    rows = written(docs.select(*placed(docs, id_col, text_col, source_col, seed, row_col)), "sizes")
+def shares(rows: DataFrame, **aims) -> DataFrame:
+    """Of written rows(key, size, order, row), one row for each source: key, source_size, target, whole (repetitions of all) and cut (the last place that is taken once more)."""
     aim = targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), **aims)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     aim = written(aim.withColumn("whole", whole), "targets")
-    ranked = running_sum(rows, "key", ["order", "size", "row"], "size", "before").join(aim, "key")
+    ranked = running_sum(rows.select("key", "size", "order", "row"), "key", ["order", "size", "row"], "size", "before").join(aim, "key")
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     inside = (F.col("before") + F.col("size") / 2 <= rest) & (rest > 0)
     cut = ranked.groupBy("key").agg(F.max(F.when(inside, F.struct("order", "size", "row"))).alias("cut"))
     return written(aim.join(cut, "key"), "shares")
 
 
+def times(order: Column, size: Column, row: Column, whole: Column, cut: Column) -> Column:
+    """How often the mix takes a document, from its place and its source's whole and cut."""
+    extra = F.struct(order.alias("order"), size.alias("size"), row.alias("row")) <= cut
+    return whole + F.coalesce(extra, F.lit(False)).cast("long")
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, row_col: str | None = None, **aims) -> DataFrame:
-    """The documents with _size, _source_size, _target and _times (how often the mix takes the document).
+    """The documents with ``_times``, how often the mix takes each.
 
     Rows of one id and one size are taken alike unless ``row_col`` tells them apart.
     """
-    share = shares(docs, id_col, text_col, source_col, seed, row_col, **aims)
-    share = share.select(*[F.col(c).alias(f"_{c}") for c in share.columns])
-    named = ["_key", "_size", "_order", "_place"]
-    found = docs.select("*", *[c.alias(n) for c, n in zip(placed(docs, id_col, text_col, source_col, seed, row_col), named, strict=True)]).join(share, "_key")
-    extra = F.coalesce(F.struct(F.col("_order").alias("order"), F.col("_size").alias("size"), F.col("_place").alias("row")) <= F.col("_cut"), F.lit(False))
-    return found.select(*docs.columns, "_size", "_source_size", "_target", (F.col("_whole") + extra.cast("long")).alias("_times"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """id, size, source_size, target and times of each document."""
-    found = mixed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **options)
-    return found.select(id_col, *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "times")])
+    columns = placed(docs, id_col, text_col, source_col, seed, row_col)
+    share = shares(written(docs.select(*columns), "sizes"), **aims).select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+    found = docs.select("*", *[c.alias(n) for c, n in zip(columns, ("_key", "_size", "_order", "_place"), strict=True)]).join(share, "_key")
+    taken = times(F.col("_order"), F.col("_size"), F.col("_place"), F.col("_whole"), F.col("_cut"))
+    return found.select(*docs.columns, taken.alias("_times"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **aims) -> DataFrame:
+    """id, size, source_size, target and times of each document; texts are read once."""
+    rows = written(docs.select(F.col(id_col).alias("_id"), *placed(docs, id_col, text_col, source_col, seed, None)), "sizes")
+    found = rows.join(shares(rows, **aims), "key")
+    return found.select(F.col("_id").alias(id_col), "size", "source_size", "target", times(*map(F.col, ("order", "size", "row", "whole", "cut"))).alias("times"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
