@@ -20,7 +20,7 @@ def stages(spark, tmp_path_factory):
     """The documents before the first and after each stage."""
     extra = [(100000, None, "en", "src0", 0), (100001, "", "en", None, 0), (100002, "?? !! 123", "en", "src1", 9)]
     rng = random.Random(7)
-    extra += [(k, t, "en", "src0", len(t)) for k, t in enumerate(FOREIGN + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(500)) for _ in range(5)], 100003)]
+    extra += [(k, t, None, "src0", len(t)) for k, t in enumerate(FOREIGN + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(500)) for _ in range(5)], 100003)]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).unionByName(docs.where("doc_id < 20").withColumn("doc_id", docs["doc_id"] + 200000))
     out = [docs]
@@ -64,7 +64,7 @@ def test_near(stages):
     close = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if alike(a, b) >= 0.8]
     linked = {x for pair in close for x in pair}
     assert set(before) - set(after) <= linked  # what goes has a near copy, at 0.8 and not below
-    assert len(close) > 10 and sum(x in after and y in after for x, y in close) <= 0.02 * len(close)
+    assert close and not any(x in after and y in after for x, y in close)
 
 
 def test_mix(stages):
