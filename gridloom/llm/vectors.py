@@ -26,9 +26,9 @@ def scaled_floor(matrix: np.ndarray, factor: int) -> np.ndarray:
     """floor(factor * c) as int64; what does not fit stops at the ends of the range."""
     with np.errstate(over="ignore"):
         x = np.floor(matrix * factor)
-    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-    whole = np.clip(x, -(2.0**63), 2.0**62).astype(np.int64)
-    return np.where(x >= 2.0**63, high, np.where(x < -(2.0**63), low, np.where(x > 2.0**62, np.minimum(x, 2.0**63 - 1024).astype(np.int64), whole)))
+    x = np.clip(x, -(2.0**63), 2.0**63)
+    top = x >= 2.0**63
+    return np.where(top, np.iinfo(np.int64).max, np.where(top, 0.0, x).astype(np.int64))
 
 
 def exact(x: np.ndarray, most: int) -> np.ndarray:
