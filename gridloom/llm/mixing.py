@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import running_sum, word_count, written
+from .common import numbered, running_sum, word_count, written
 
 
 def source_key(source: str = "source") -> Column:
@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
 def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, row_col: str | None) -> list[Column]:
     """Of a document its source, its size, and its place in the seeded order: a digest, then what tells equal digests apart."""
     row = F.col(row_col) if row_col else F.lit("")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), row)))
     return [source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), order.alias("order"), row.alias("row")]
 
 
@@ -89,8 +89,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **aims) -> DataFrame:
-    """id, size, source_size, target and times of each document; texts are read once."""
-    rows = written(docs.select(F.col(id_col).alias("_id"), *placed(docs, id_col, text_col, source_col, seed, None)), "sizes")
+    """id, size, source_size, target and times of each document; texts are read once.
+
+    Rows are told apart by file and place: those without an id have an order of their own, those of one id follow each other in it.
+    """
+    named = numbered(docs.select(id_col, text_col, source_col) if "_row" in docs.columns else docs)
+    rows = written(named.select(F.col(id_col).alias("_id"), *placed(named, id_col, text_col, source_col, seed, "_row")), "sizes")
     found = rows.join(shares(rows, **aims), "key")
     return found.select(F.col("_id").alias(id_col), "size", "source_size", "target", times(*map(F.col, ("order", "size", "row", "whole", "cut"))).alias("times"))
 
