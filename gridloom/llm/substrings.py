@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Slots, merged_spans, mixed, occurrence, pieces
+from .common import written
 
 BYTE_VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 
@@ -63,9 +64,18 @@ class Content:
         return np.fromiter((h(raw[a : b - gap]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(begin))
 
 
-def doc_key(id_col: str) -> Column:
-    """The id; null sorts before all others."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+def keyed(docs: DataFrame, id_col: str, text_col: str, later: str | None = None) -> DataFrame:
+    """(doc, id, text): each row under a number of its own; numbers are in the order of ids, null first.
+
+    Where no id is null or repeated, the number is the id.  Otherwise the rows are sorted once by id, then ``later`` (a boolean
+    column that is kept), then a hash of the text, which lets no id be too frequent for a task, and written with their places.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[later] * bool(later))
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id IS NULL OR n > 1").isEmpty():
+        return rows.withColumn("doc", F.col("id"))
+    order = ["id", *[later] * bool(later), "_h"]
+    placed = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(placed.withColumn("doc", F.monotonically_increasing_id()).drop("_h"), "rows")
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -179,13 +189,13 @@ def rebatched(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[p
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def cut(docs: DataFrame, spans: DataFrame, unit: str, width: int, id_col: str, text_col: str, texts: bool = True) -> DataFrame:
-    """Remove from each text what its spans (doc, start, n: windows start .. start + n - 1) cover.
+def cut(rows: DataFrame, spans: DataFrame, unit: str, width: int, id_col: str, texts: bool = True) -> DataFrame:
+    """Remove from each text of :func:`keyed` rows what its spans (doc, start, n: windows start .. start + n - 1) cover.
 
     id, n_units, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (text) of each document.
     """
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    rows = docs.select(F.col(id_col).alias("id"), doc_key(id_col).alias("doc"), F.col(text_col).alias("text")).join(per, "doc", "left")
+    rows = rows.join(per, "doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +209,6 @@ def cut(docs: DataFrame, spans: DataFrame, unit: str, width: int, id_col: str, t
                     flat = found.values.flatten()
                     begin = flat[0].to_numpy()
                     a, b = merged_spans(begin, begin + flat[1].to_numpy() + width - 1)
-                    a, b = np.minimum(a, len(parts)), np.minimum(b, len(parts))  # rows that share an id share spans
                     removed, runs = int((b - a).sum()), len(a)
                     stay = zip([0, *b.tolist()], [*a.tolist(), len(parts)], strict=True)
                     kept = b"".join(parts[x:y] for x, y in stay) if unit == "bytes" else [w for x, y in stay for w in parts[x:y]]

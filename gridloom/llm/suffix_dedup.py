@@ -2,7 +2,8 @@
 
 Texts are UTF-8 bytes, matches never cross documents, and a string counts as repeated if it starts anywhere
 else, in the same document or overlapping itself included.  Null counts as empty; texts shorter than
-``width`` have nothing to remove.  Ids must be unique; a null id is an id like any other.
+``width`` have nothing to remove.  Rows that share an id or have none
+are documents of their own.
 
 1. Each text's windows are dealt to anchors (:mod:`.anchors`).  Anchor hashes that occur once own no repeated
    window and are left out by a filter.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Slots, mixed
 from .common import groups, parts, written
-from .substrings import Content, anchor_hashes, chosen, contexts, cut, doc_key, occurrence_slots, occurrences, rebatched, signed, undecided, unsigned
+from .substrings import Content, anchor_hashes, chosen, contexts, cut, keyed, occurrence_slots, occurrences, rebatched, signed, undecided, unsigned
 from .suffixes import classes
 
 GRAM = 32
@@ -169,8 +170,12 @@ def compare(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def repeated_spans(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", block: int = 300) -> DataFrame:
-    """(doc, start, n): windows start .. start + n - 1 of a document occur elsewhere; rows may overlap."""
-    texts = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("text"))
+    """(doc, start, n): windows start .. start + n - 1 of a document, under its number of :func:`.substrings.keyed`, occur elsewhere; rows may overlap."""
+    return spans_of(keyed(docs, id_col, text_col), width, block)
+
+
+def spans_of(texts: DataFrame, width: int = 400, block: int = 300) -> DataFrame:
+    """The same of keyed rows."""
     twice = anchor_hashes(texts, "bytes", width, GRAM).groupBy("ah").agg(F.sum("n").alias("n")).where("n > 1")
     slots = Slots.of(twice, "ah")
     occurring = written(occurrences(texts, "bytes", width, GRAM, slots), "occurrences")
@@ -194,7 +199,8 @@ def repeated_spans(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
 
 def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """id, n_units, n_removed, n_spans, kept_sha256 and, with ``texts``, kept of each document."""
-    return cut(docs, repeated_spans(docs, width, id_col, text_col), "bytes", width, id_col, text_col, texts)
+    rows = keyed(docs, id_col, text_col)
+    return cut(rows, spans_of(rows, width), "bytes", width, id_col, texts)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

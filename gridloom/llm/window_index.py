@@ -2,7 +2,8 @@
 
 Remove each word that a window of ``width`` words covers whose word sequence starts earlier as well: in a
 smaller id, or in the same document before it.  Words are runs of characters that are not ASCII white
-space, unchanged.  Null texts have no words; a null id sorts first; ids must be unique.
+space, unchanged.  Null texts have no words; a null id sorts first; rows that share an id
+are documents of their own, one after the other in a fixed order.
 
 The index keeps one fingerprint for each run of neighbouring windows: the hash of the gram they choose
 (:mod:`.anchors`).  It consists of immutable runs in a folder, each sorted by fingerprint within a fixed number of buckets.  A
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Slots
 from .common import delete, new_path, written
-from .substrings import Content, anchor_hashes, chosen, contexts, cut, doc_key, occurrence_slots, occurrences, signed, undecided
+from .substrings import Content, anchor_hashes, chosen, contexts, cut, keyed, occurrence_slots, occurrences, signed, undecided
 
 GRAM = 8
 
@@ -108,14 +109,24 @@ def emit(content: Content, at: int, doc: int, ah: np.ndarray, place: np.ndarray,
     yield pa.RecordBatch.from_arrays([pa.array(signed(np.repeat(ah, n))), pa.array(signed(content.digests(start, start + width))), pa.array(np.full(len(start), doc)), pa.array(start)], ["ah", "w", "doc", "start"])
 
 
+def batch_rows(docs: DataFrame, id_col: str, text_col: str, history: DataFrame | None) -> DataFrame:
+    """Keyed rows of the new documents and of the history, ``later`` tells which; of rows that share an id the history's come first."""
+    some = lambda d, later: d.select(F.col(id_col), F.col(text_col), F.lit(later).alias("later"))
+    return keyed(some(docs, True) if history is None else some(docs, True).unionByName(some(history, False)), id_col, text_col, "later")
+
+
 def later_spans(docs: DataFrame, width: int = 20, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
-    """(doc, start, n): windows start .. start + n - 1 of a document have an earlier equal; rows may overlap.
+    """(doc, start, n): windows start .. start + n - 1 of a document, under its number of :func:`.substrings.keyed`, have an earlier equal; rows may overlap.
 
     The documents go into the index in ``batches`` by their ids.  With an ``index`` of earlier documents, the same ones are given as
     ``history``; only those of their anchors that the new batches hit are looked at, and only spans of new documents are returned.
     """
-    texts = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
+    return spans_of(batch_rows(docs, id_col, text_col, history), width, batches, index, history is not None)
+
+
+def spans_of(rows: DataFrame, width: int, batches: int, index: FingerprintIndex | None, history: bool) -> DataFrame:
+    """The same of :func:`batch_rows`."""
+    spark, texts = rows.sparkSession, rows.where("later")
     own = index or FingerprintIndex(spark, new_path(spark, "index"))
     cuts = [] if batches < 2 else sorted({int(x) for x in texts.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01)})
     hits = []
@@ -129,8 +140,8 @@ def later_spans(docs: DataFrame, width: int = 20, batches: int = 3, id_col: str
     if index is None:
         own.drop()
     slots = Slots.of(reduce(DataFrame.unionByName, hits), "ah")
-    if history is not None:
-        texts = texts.unionByName(history.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("text")))
+    if history:
+        texts = rows
     occurring = written(occurrences(texts, "words", width, GRAM, slots), "occurrences")
     found = written(contexts(occurring), "contexts")
     first = found.where("c > 1").select("ah", "ch", F.col("doc").alias("d0"), F.col("start").alias("s0"))
@@ -143,12 +154,13 @@ def later_spans(docs: DataFrame, width: int = 20, batches: int = 3, id_col: str
     least = least.select("ah", "w", F.col("f.doc").alias("d0"), F.col("f.start").alias("s0"))
     partly = shown.join(least, ["ah", "w"]).where(after).select("doc", "start", F.lit(1).cast("long").alias("n"))
     spans = copies.unionByName(partly)
-    return spans if history is None else spans.join(docs.select(doc_key(id_col).alias("doc")), "doc", "left_semi")
+    return spans.join(rows.where("later").select("doc"), "doc", "left_semi") if history else spans
 
 
 def window_dedup(docs: DataFrame, width: int = 20, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """id, n_units, n_removed, n_spans, kept_sha256 and, with ``texts``, kept of each document."""
-    return cut(docs, later_spans(docs, width, batches, id_col, text_col, index, history), "words", width, id_col, text_col, texts)
+    rows = batch_rows(docs, id_col, text_col, history)
+    return cut(rows.where("later").drop("later"), spans_of(rows, width, batches, index, history is not None), "words", width, id_col, texts)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
