@@ -16,6 +16,7 @@ CELL_PATTERNS = [
 ]
 #: Number formats of the sheet profiles.
 NUMBER_FORMATS = {"default": "#,##0", "demand_forecast": "#,##0;[Red]\\-#,##0;\\-;"}
+HEADER_FORMATS = {"default": "#,##0", "demand_forecast": "\\+#,##0;\\-#,##0"}
 #: What a plain number looks like; casts are guarded by it because Spark also takes "1d".
 PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -179,7 +180,7 @@ def repair_json(c: Column) -> Column:
 def cell_plan(c: Column, number_format: str = "#,##0") -> Column:
     """What a sheet's cell holds: number and format, or the text as it is."""
     kind, parsed, point = cell_type(c), parse_numeric(c), c.contains(".")
-    number = F.when(kind == "percent", parsed / 100).when(point, parsed).otherwise(parsed.cast("bigint").cast("double"))
+    number = F.when(kind == "percent", parsed / 100).when(point, parsed).otherwise(F.coalesce(parsed.try_cast("bigint").cast("double"), parsed))
     fmt = F.when(parsed.isNull(), "General").when(kind == "percent", "0.0%").when(point, "#,##0.00").otherwise(number_format)
     return F.struct(F.when(parsed.isNotNull(), number).alias("number"), F.when(parsed.isNull(), c).alias("string_value"), fmt.alias("fmt"))
 
