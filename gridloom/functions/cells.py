@@ -84,6 +84,17 @@ def spread_header(h: Column, idx: Column) -> Column:
     return s.rlike("^Col_[0-9]+$") | (bare.rlike("^[0-9]+$") & (idx >= 5)) | inner.rlike("^[0-9]+$")
 
 
+def spread_number(h: Column) -> Column:
+    """A name that is a number, or whose part between the last parentheses is one; signs in front, points and (outside parentheses) percent signs do not count.
+
+    Unlike :func:`spread_header`, a placeholder is none, and the column's place does not matter.
+    """
+    s = strip(h)
+    digits = lambda t, also: F.regexp_replace(F.regexp_replace(t, "^[+-]+", ""), also, "").rlike("^[0-9]+$")
+    inner = strip(F.regexp_extract(s, r"\(([^(]*)\)[^()]*$", 1))
+    return digits(inner, "[.]") | digits(s, "[.%]")
+
+
 def total_header(h: Column) -> Column:
     return h.contains("총참여") | h.contains("참여금액")
 

@@ -57,9 +57,9 @@ def data_range(cells: DataFrame) -> DataFrame:
 
 
 def spread_start(cells: DataFrame) -> DataFrame:
-    """(doc_id, start_col, columns): the first spread column, else the one after the total."""
+    """(doc_id, start_col, columns): the first column whose name is a number, alone or in its last parentheses; else the one after the first total."""
     name, idx = F.col("col_name"), F.col("col_idx")
-    first = F.coalesce(F.min(F.when(c.spread_header(name, idx), idx)), F.min(F.when(c.total_header(name), idx)) + 1)
+    first = F.coalesce(F.min(F.when(c.spread_number(name), idx)), F.min(F.when(c.total_header(name), idx)) + 1)
     return cells.groupBy("doc_id").agg(first.alias("start_col"), (F.max("col_idx") + 1).alias("columns"))
 
 
@@ -258,24 +258,26 @@ def name_kind(name: Column, idx: Column) -> Column:
     return out
 
 
-def correct_names(cells: DataFrame, known: DataFrame, variants: DataFrame, distance=c.jamo_distance) -> DataFrame:
-    """cells with ``value`` corrected in name columns, and ``tier``; known(kind, canonical_name, frequency), variants(kind, variant_text, canonical_name, occurrence_count)."""
+def correct_names(cells: DataFrame, known: DataFrame, variants: DataFrame, spell=c.jamo) -> DataFrame:
+    """cells with ``value`` corrected in name columns, and ``tier``; known(kind, canonical_name, frequency), variants(kind, variant_text, canonical_name, occurrence_count).
+
+    All kinds go through one lookup, by (kind, value); how far a correction may go is a column of the kind.
+    """
     rows = cells.withColumn("kind", name_kind(F.col("col_name"), F.col("col_idx")))
-    found = None
-    for kind, _, _, most in NAME_COLUMNS:
-        asked = rows.where(F.col("kind") == kind).select("value").where("value <> ''")
-        of = lambda d, kind=kind: d.where(F.col("kind") == kind)
-        part = entities.correct(asked, of(known), of(variants), most, distance).select(F.lit(kind).alias("kind"), "value", "corrected", "tier")
-        found = part if found is None else found.unionByName(part)
+    asked = rows.where("kind IS NOT NULL AND value <> ''").select("kind", "value")
+    most = F.lit(None).cast("int")
+    for kind, _, _, limit in NAME_COLUMNS:
+        most = F.coalesce(F.when(F.col("kind") == kind, F.lit(limit)), most)
+    found = entities.correct(asked, known, variants, most, spell, ("kind",))
     return rows.join(found, ["kind", "value"], "left").select("doc_id", "row_idx", "col_idx", "col_name", F.coalesce("corrected", "value").alias("value"), "tier", F.col("value").alias("original"), "kind")
 
 
-def correct_table(cells: DataFrame, pairs: list[tuple[str, str]], known: DataFrame, variants: DataFrame, dictionary_first: bool, distance=c.jamo_distance) -> DataFrame:
+def correct_table(cells: DataFrame, pairs: list[tuple[str, str]], known: DataFrame, variants: DataFrame, dictionary_first: bool, spell=c.jamo) -> DataFrame:
     """Literal replacements in the first six columns and name corrections, in either order."""
     literal = lambda d: d.withColumn("value", F.when(F.col("col_idx") < 6, entities.replace_all(F.col("value"), pairs)).otherwise(F.col("value")))
     if dictionary_first:
-        return correct_names(literal(cells), known, variants, distance)
-    return literal(correct_names(cells, known, variants, distance))
+        return correct_names(literal(cells), known, variants, spell)
+    return literal(correct_names(cells, known, variants, spell))
 
 
 def new_variants(corrected: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def confidence(boxes: DataFrame, cells: DataFrame, known: DataFrame, overlap: Da
         both = both.join(overlap, "doc_id", "left")
     last = layout.confidence_term(F.col("cols")) if overlap is None else F.col("overlap")
     terms = F.array_compact(F.array("box", F.least(F.col("fill") * 1.5, F.lit(1.0)), "names", last))
-    return both.select("doc_id", F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.size(terms), 6).alias("confidence"))
+    return both.select("doc_id", (F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.size(terms)).alias("confidence"))
 
 
 def compared(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:

@@ -53,9 +53,6 @@ SPREAD = rf"""(regexp_matches({SH}, '^Col_[0-9]+$') OR (col_idx >= 5 AND regexp_
  OR regexp_matches(regexp_replace(trim(regexp_extract({SH}, '.*\(([^)]*)\)[^()]*$', 1)), '^[+-]+|[.]', '', 'g'), '^[0-9]+$'))"""
 TOTAL = "(contains(header, '총참여') OR contains(header, '참여금액'))"
 query("spread_columns", x.HEADS, f"SELECT doc_id, {SPREAD} AS spread FROM t")(lambda d: d.select("doc_id", c.spread_header(h, F.col("col_idx")).alias("spread")))
-query("spread_start", x.HEADS, f"SELECT doc_id % 100 AS grp, coalesce(min(CASE WHEN {SPREAD} THEN col_idx END), min(CASE WHEN {TOTAL} THEN col_idx + 1 END)) AS start_col FROM t GROUP BY 1")(
-    lambda d: d.groupBy((F.col("doc_id") % 100).alias("grp")).agg(F.coalesce(F.min(F.when(c.spread_header(h, F.col("col_idx")), F.col("col_idx"))), F.min(F.when(c.total_header(h), F.col("col_idx") + 1))).alias("start_col"))
-)
 query("anchor_locate", x.CELLS, "SELECT doc_id, min(CASE WHEN contains(col_name, '총참여') OR contains(col_name, '참여금액') THEN col_idx END) AS total_col, min(CASE WHEN trim(value) = '합계' AND col_idx < 6 THEN row_idx END) AS sum_row FROM t GROUP BY 1")(
     lambda d: d.groupBy("doc_id").agg(F.min(F.when(c.total_header(F.col("col_name")), F.col("col_idx"))).alias("total_col"), F.min(F.when((c.strip(v) == "합계") & (F.col("col_idx") < 6), F.col("row_idx"))).alias("sum_row"))
 )
@@ -199,12 +196,12 @@ def standard_boxes(d: DataFrame) -> DataFrame:
 query("variant_lookup_join", None, f"WITH a AS ({x.VARIANTS}), l AS ({x.VARIANT_LOG}), b AS (SELECT variant_text, canonical_name FROM (SELECT *, row_number() OVER (PARTITION BY variant_text ORDER BY occurrence_count DESC, canonical_name) AS n FROM l) q WHERE n = 1) SELECT a.value, b.canonical_name FROM a LEFT JOIN b ON a.value = b.variant_text")(
     lambda get: entities.lookup_variants(get(x.VARIANTS), get(x.VARIANT_LOG)).select("value", "canonical_name")
 )
-FUZZY = "p AS (SELECT value, canonical_name, frequency, CASE WHEN replace(value, ' ', '') = replace(canonical_name, ' ', '') THEN 0 ELSE levenshtein(value, canonical_name) END AS d FROM a JOIN e ON length(value) >= 2 AND abs(length(value) - length(canonical_name)) <= 2), w AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY d, frequency DESC, canonical_name) AS n FROM p WHERE d <= 2)"
-query("fuzzy_entity_match", None, f"WITH a AS ({x.VARIANTS}), e AS ({x.ENTITIES}), {FUZZY} SELECT value, canonical_name, d::BIGINT AS distance FROM w WHERE n = 1")(lambda get: entities.fuzzy_match(get(x.VARIANTS), get(x.ENTITIES), 2, F.levenshtein))
+FUZZY = "p AS (SELECT value, canonical_name, frequency, CASE WHEN replace(value, ' ', '') = replace(canonical_name, ' ', '') THEN 0 ELSE levenshtein(value, canonical_name) END AS d FROM a JOIN e ON length(value) >= 2 AND (replace(value, ' ', '') = replace(canonical_name, ' ', '') OR abs(length(value) - length(canonical_name)) <= 3)), w AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY d, frequency DESC, canonical_name) AS n FROM p WHERE d <= 2)"
+query("fuzzy_entity_match", None, f"WITH a AS ({x.VARIANTS}), e AS ({x.ENTITIES}), {FUZZY} SELECT value, canonical_name, d::BIGINT AS distance FROM w WHERE n = 1")(lambda get: entities.fuzzy_match(get(x.VARIANTS), get(x.ENTITIES), 2, lambda x: x))
 query("entity_correct", None, f"""WITH v AS ({x.VARIANTS}), e AS ({x.ENTITIES}), l AS ({x.VARIANT_LOG}), b AS (SELECT variant_text, canonical_name FROM (SELECT *, row_number() OVER (PARTITION BY variant_text ORDER BY occurrence_count DESC, canonical_name) AS n FROM l) q WHERE n = 1),
  a AS (SELECT v.value FROM v LEFT JOIN e ON v.value = e.canonical_name LEFT JOIN b ON v.value = b.variant_text WHERE e.canonical_name IS NULL AND b.variant_text IS NULL), {FUZZY}
  SELECT v.value, CASE WHEN e.canonical_name IS NOT NULL THEN v.value ELSE coalesce(b.canonical_name, w.canonical_name, v.value) END AS corrected, CASE WHEN e.canonical_name IS NOT NULL THEN 'known' WHEN b.canonical_name IS NOT NULL THEN 'variant' WHEN w.canonical_name IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS tier
- FROM v LEFT JOIN e ON v.value = e.canonical_name LEFT JOIN b ON v.value = b.variant_text LEFT JOIN w ON w.value = v.value AND w.n = 1""")(lambda get: entities.correct(get(x.VARIANTS), get(x.ENTITIES), get(x.VARIANT_LOG), 2, F.levenshtein))
+ FROM v LEFT JOIN e ON v.value = e.canonical_name LEFT JOIN b ON v.value = b.variant_text LEFT JOIN w ON w.value = v.value AND w.n = 1""")(lambda get: entities.correct(get(x.VARIANTS), get(x.ENTITIES), get(x.VARIANT_LOG), 2, lambda x: x))
 query("dictionary_replace", "SELECT p_partkey, p_type FROM part", "SELECT p_partkey, replace(replace(replace(p_type, 'STEEL', 'IRON'), 'IRON', 'Fe'), 'BRASS', 'CuZn') AS fixed FROM t")(lambda d: d.select("p_partkey", entities.replace_all(F.col("p_type"), [("STEEL", "IRON"), ("IRON", "Fe"), ("BRASS", "CuZn")]).alias("fixed")))
 BEFORE = "SELECT o_orderkey AS r, o_orderstatus AS value FROM orders"
 AFTER = "SELECT o_orderkey AS r, CASE o_orderkey % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '' ELSE o_orderstatus END AS value FROM orders WHERE o_orderkey % 9 > 0"
@@ -277,7 +274,7 @@ query("correction_dictionary", CORR, "SELECT doc_type, wrong, correct, count(*)
 query("entity_frequency", x.LOG, "SELECT name, count(*) AS frequency FROM t GROUP BY 1")(lambda d: d.groupBy("name").agg(F.count(F.lit(1)).alias("frequency")))
 query("daily_quota", "SELECT ts FROM events", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, count(*) < 20 - 5 AS allowed FROM t GROUP BY 1")(lambda d: learn.daily_quota(d, "ts", 20, 5).withColumn("day", F.col("day").cast("string")))
 query("extraction_confidence", None, f"""WITH b AS (SELECT doc_id, avg(confidence) AS box FROM ({x.BOXES}) q GROUP BY 1), c AS (SELECT doc_id, avg(CASE WHEN value <> '' THEN 1.0 ELSE 0.0 END) AS fill, avg(CASE WHEN col_idx = 0 AND trim(value) <> '' THEN CASE WHEN value IN ('name 0', 'name 1') THEN 1.0 ELSE 0.0 END END) AS names, max(col_idx) + 1 AS cols FROM ({x.CELLS}) q GROUP BY 1)
- SELECT doc_id, round(list_sum(list_filter([box, least(fill * 1.5, 1.0), names, CASE WHEN cols < 5 THEN 0.1 WHEN cols < 8 THEN 0.4 WHEN cols > 15 THEN 0.5 END], lambda s: s IS NOT NULL)) / len(list_filter([box, fill, names, CASE WHEN cols < 8 OR cols > 15 THEN 1.0 END], lambda s: s IS NOT NULL)), 6) AS confidence FROM c FULL JOIN b USING (doc_id)""")(
+ SELECT doc_id, list_sum(list_filter([box, least(fill * 1.5, 1.0), names, CASE WHEN cols < 5 THEN 0.1 WHEN cols < 8 THEN 0.4 WHEN cols > 15 THEN 0.5 END], lambda s: s IS NOT NULL)) / len(list_filter([box, fill, names, CASE WHEN cols < 8 OR cols > 15 THEN 1.0 END], lambda s: s IS NOT NULL)) AS confidence FROM c FULL JOIN b USING (doc_id)""")(
     lambda get: validate.confidence(get(x.BOXES), get(x.CELLS), get("SELECT 'name 0' AS canonical_name UNION ALL SELECT 'name 1'"))
 )
 query("recent_documents", x.LOG, "SELECT doc_type, name, seq FROM t ORDER BY seq DESC LIMIT 20")(lambda d: d.select("doc_type", "name", "seq").orderBy(F.desc("seq")).limit(20))

@@ -42,9 +42,9 @@ KOREAN = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '한국투자증권'
 LETTERS = lambda s: f"""array_to_string(list_transform(CASE WHEN {s} = '' THEN [] ELSE string_split({s}, '') END, lambda ch: CASE WHEN unicode(ch) BETWEEN 44032 AND 55203 THEN substr('ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ', (unicode(ch) - 44032) // 588 + 1, 1)
  || substr('ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ', (unicode(ch) - 44032) % 588 // 28 + 1, 1) || CASE WHEN (unicode(ch) - 44032) % 28 > 0 THEN substr('ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ', (unicode(ch) - 44032) % 28, 1) ELSE '' END ELSE ch END), '')"""
 query("jamo_decompose", KOREAN, f"SELECT p_partkey, {LETTERS('a')} AS a, {LETTERS('b')} AS b FROM t")(lambda d: d.select("p_partkey", c.jamo(F.col("a")).alias("a"), c.jamo(F.col("b")).alias("b")))
-#: DuckDB compares bytes of texts beyond ASCII, so letters are numbered by their code points below 256 first.
-LATIN = lambda s: f"array_to_string(list_transform(CASE WHEN {s} = '' THEN [] ELSE string_split({s}, '') END, lambda ch: CASE WHEN unicode(ch) BETWEEN 12593 AND 12643 THEN chr(unicode(ch) - 12593 + 33) ELSE chr(unicode(ch) % 20 + 100) END), '')"
-query("jamo_distance", "SELECT p_partkey, replace(a, ' ', '') AS a, b FROM (" + KOREAN + ") q WHERE p_partkey % 5 IN (0, 3)", f"SELECT p_partkey, levenshtein({LATIN('x')}, {LATIN('y')})::BIGINT AS distance FROM (SELECT p_partkey, {LETTERS('a')} AS x, {LETTERS('b')} AS y FROM t) q")(
+#: DuckDB compares bytes of texts beyond ASCII, so each letter of Hangul takes a code below 97 that names of parts do not use; small letters, digits and spaces stay.
+LATIN = lambda s: f"array_to_string(list_transform(CASE WHEN {s} = '' THEN [] ELSE string_split({s}, '') END, lambda ch: CASE WHEN unicode(ch) BETWEEN 12593 AND 12607 THEN chr(unicode(ch) - 12593 + 33) WHEN unicode(ch) BETWEEN 12608 AND 12643 THEN chr(unicode(ch) - 12608 + 58) ELSE ch END), '')"
+query("jamo_distance", KOREAN, f"SELECT p_partkey, levenshtein({LATIN('x')}, {LATIN('y')})::BIGINT AS distance FROM (SELECT p_partkey, {LETTERS('a')} AS x, {LETTERS('b')} AS y FROM t) q")(
     lambda d: d.select("p_partkey", c.jamo_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
 )
 
@@ -83,7 +83,8 @@ query("header_assign", x.RAW, "SELECT doc_id, row_idx - 1 AS row_idx, col_idx, c
 #: What an image shows: a grid whose last five columns are narrow, and its filled cells.
 PAGE_GRID = f"SELECT DISTINCT d AS doc_id, r AS row, k AS col, CAST(CASE WHEN k < 6 THEN 100 * k ELSE 600 + 40 * (k - 6) END AS DOUBLE) AS x_min, CAST(CASE WHEN k < 6 THEN 100 * k + 95 ELSE 638 + 40 * (k - 6) END AS DOUBLE) AS x_max FROM ({_ROWS}) q CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) AS v(k) WHERE d % 9 > 0 OR k < 7"
 FILLED = f"SELECT d AS doc_id, r + CASE WHEN d % 3 = 0 THEN 0 ELSE 1 END AS row, k AS col FROM ({_ROWS}) q CROSS JOIN (VALUES (0), (6), (7), (8), (9), (10)) AS v(k) WHERE k = 0 OR kind = 'head' OR k = 6 + b % 5 OR (c % 4 = 0 AND k = 6 + (b + 3) % 5)"
-START = f"st AS (SELECT doc_id, coalesce(min(CASE WHEN {SPREAD.replace('header', 'col_name')} THEN col_idx END), min(CASE WHEN {TOTAL.replace('header', 'col_name')} THEN col_idx END) + 1) AS sc, max(col_idx) + 1 AS nc FROM t GROUP BY 1)"
+NUMBER = lambda h: rf"""(regexp_matches(replace(regexp_replace(trim(regexp_extract(trim({h}), '\(([^(]*)\)[^()]*$', 1)), '^[+-]+', ''), '.', ''), '^[0-9]+$') OR regexp_matches(regexp_replace(regexp_replace(trim({h}), '^[+-]+', ''), '[.%]', '', 'g'), '^[0-9]+$'))"""
+START = f"st AS (SELECT doc_id, coalesce(min(CASE WHEN {NUMBER('col_name')} THEN col_idx END), min(CASE WHEN {TOTAL.replace('header', 'col_name')} THEN col_idx END) + 1) AS sc, max(col_idx) + 1 AS nc FROM t GROUP BY 1)"
 PLACE = f"""WITH t AS ({SHEET}), g AS ({PAGE_GRID}), o AS ({FILLED}), {START}, {RANGE.replace("g AS (SELECT doc_id, row_idx", "gg AS (SELECT doc_id, row_idx").replace("FROM g ", "FROM gg ")},
  wd AS (SELECT doc_id, col, x_max - x_min AS w FROM g WHERE "row" = 0), md AS (SELECT doc_id, list_sort(list(w))[len(list(w)) // 2 + 1] AS m FROM wd GROUP BY 1),
  gs AS (SELECT doc_id, coalesce(max(CASE WHEN w > 1.3 * m THEN col END), -1) + 1 AS gs FROM wd JOIN md USING (doc_id) GROUP BY 1), gc AS (SELECT doc_id, max(col) + 1 AS n FROM g GROUP BY 1),
@@ -169,7 +170,7 @@ PAIRS = [("firm 3", "firm thre"), ("p", "P"), ("desk 0", "desk zer")]
 _LITERAL = lambda s: f"CASE WHEN col_idx < 6 THEN replace(replace(replace({s}, 'firm 3', 'firm thre'), 'p', 'P'), 'desk 0', 'desk zer') ELSE {s} END"
 _FIX = lambda src, n: f"""k{n} AS (SELECT *, CASE WHEN col_idx >= 6 THEN NULL WHEN contains(lower(col_name), '회사') OR col_idx = 0 THEN 'company' WHEN contains(lower(col_name), '부서') OR col_idx = 1 THEN 'department' WHEN contains(lower(col_name), '계정') OR col_idx = 3 THEN 'account' END AS kind FROM {src}),
  a{n} AS (SELECT DISTINCT kind, value FROM k{n} WHERE kind IS NOT NULL AND value <> ''), z{n} AS (SELECT a.kind, a.value, e.canonical_name, row_number() OVER (PARTITION BY a.kind, a.value ORDER BY CASE WHEN replace(a.value, ' ', '') = replace(e.canonical_name, ' ', '') THEN 0 ELSE levenshtein(a.value, e.canonical_name) END, frequency DESC, e.canonical_name) AS i FROM a{n} a JOIN e ON e.kind = a.kind AND length(a.value) >= 2
-  AND (replace(a.value, ' ', '') = replace(e.canonical_name, ' ', '') OR levenshtein(a.value, e.canonical_name) <= CASE a.kind WHEN 'account' THEN 2 ELSE 4 END)),
+  AND (replace(a.value, ' ', '') = replace(e.canonical_name, ' ', '') OR abs(length(a.value) - length(e.canonical_name)) <= 3 AND levenshtein(a.value, e.canonical_name) <= CASE a.kind WHEN 'account' THEN 2 ELSE 4 END)),
  c{n} AS (SELECT a.kind, a.value, CASE WHEN e.canonical_name IS NOT NULL THEN a.value ELSE coalesce(v.canonical_name, z.canonical_name, a.value) END AS fixed FROM a{n} a LEFT JOIN e ON e.kind = a.kind AND e.canonical_name = a.value LEFT JOIN v ON v.kind = a.kind AND v.variant_text = a.value LEFT JOIN z{n} z ON z.kind = a.kind AND z.value = a.value AND z.i = 1),
  r{n} AS (SELECT doc_id, row_idx, col_idx, col_name, coalesce(fixed, k.value) AS value FROM k{n} k LEFT JOIN c{n} c ON c.kind = k.kind AND c.value = k.value)"""
 
@@ -197,7 +198,7 @@ query("chunk_accept", None, f"WITH a AS ({CHUNK_IN}), b AS ({CHUNK_OUT}), n AS (
 # -- votes -------------------------------------------------------------------------------------------
 
 RUNS = f"""SELECT doc_id, u AS run_id, row_idx, col_idx, CASE WHEN u = 1 AND col_idx = 2 THEN 'name' ELSE col_name END AS col_name, CASE WHEN (doc_id + row_idx + col_idx) % 7 = u THEN value || CAST(u AS STRING) WHEN (row_idx + col_idx) % 5 = 0 THEN substr(value, 1, length(value) - u) ELSE value END AS value
- FROM ({SHEET}) s CROSS JOIN (VALUES (0), (1), (2)) AS w(u) WHERE col_idx < 8 AND NOT (u = 2 AND doc_id % 3 = 0 AND row_idx = 0 AND false) AND NOT (u = 0 AND doc_id % 4 = 0 AND col_idx = 7)"""
+ FROM ({SHEET}) s CROSS JOIN (VALUES (0), (1), (2)) AS w(u) WHERE col_idx < 8 AND NOT (u = 2 AND doc_id % 3 = 0 AND row_idx > 2) AND NOT (u = 1 AND doc_id % 5 = 0 AND row_idx > 3) AND NOT (u = 0 AND doc_id % 4 = 0 AND col_idx = 7)"""
 _BEST = lambda cols, src, value: f"(SELECT * FROM (SELECT {cols}, {value} AS value, count(*) AS n, sum(count(*)) OVER (PARTITION BY {cols}) AS total, row_number() OVER (PARTITION BY {cols} ORDER BY count(*) DESC, min(run_id)) AS i FROM {src} GROUP BY {cols}, {value}) q WHERE i = 1)"
 query("consensus_table", RUNS, f""", s0 AS (SELECT doc_id, run_id, max(row_idx) + 1 AS nr, max(col_idx) + 1 AS nc FROM t GROUP BY 1, 2), s1 AS (SELECT s0.* FROM s0 JOIN {_BEST('doc_id', 's0', 'nr')} m ON m.doc_id = s0.doc_id AND m.value = nr), s2 AS (SELECT s1.* FROM s1 JOIN {_BEST('doc_id', 's1', 'nc')} m ON m.doc_id = s1.doc_id AND m.value = nc),
  k AS (SELECT t.doc_id, t.run_id, row_idx, col_idx, trim(col_name) AS col_name, trim(value) AS value FROM t JOIN s2 USING (doc_id, run_id)), w AS {_BEST('doc_id, row_idx, col_idx', 'k', 'value')}, h AS {_BEST('doc_id, col_idx', '(SELECT DISTINCT doc_id, run_id, col_idx, col_name FROM k) y', 'col_name')},
@@ -253,7 +254,7 @@ query("eval_report_json", None, f"""WITH {_JOINED}, c AS (SELECT kase, round(avg
 )
 _OVERLAP = "SELECT doc_id, max(len(list_intersect(own, k)) / len(k)::DOUBLE) AS overlap FROM (SELECT doc_id, list(DISTINCT trim(col_name)) AS own FROM t GROUP BY 1) q, (SELECT unnest([['회사명', '부서명', '이름', '계정'], ['회사명', '총참여금액', '-100']]) AS k) p GROUP BY 1"
 query("confidence_by_headers", None, f"""WITH t AS ({VARIED}), o AS ({_OVERLAP}), b AS (SELECT doc_id, avg(confidence) AS box FROM ({x.BOXES}) q GROUP BY 1), c AS (SELECT doc_id, avg(CASE WHEN value <> '' THEN 1.0 ELSE 0.0 END) AS fill, avg(CASE WHEN col_idx = 0 AND trim(value) <> '' THEN CASE WHEN trim(value) IN ('firm 1', 'firm 2') THEN 1.0 ELSE 0.0 END END) AS names FROM t GROUP BY 1)
- SELECT doc_id, round(list_sum(list_filter([box, least(fill * 1.5, 1.0), names, overlap], lambda s: s IS NOT NULL)) / len(list_filter([box, fill, names, overlap], lambda s: s IS NOT NULL)), 6) AS confidence FROM c FULL JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)""")(
+ SELECT doc_id, list_sum(list_filter([box, least(fill * 1.5, 1.0), names, overlap], lambda s: s IS NOT NULL)) / len(list_filter([box, fill, names, overlap], lambda s: s IS NOT NULL)) AS confidence FROM c FULL JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)""")(
     lambda get: validate.confidence(get(x.BOXES), get(VARIED), get("SELECT 'firm 1' AS canonical_name UNION ALL SELECT 'firm 2'"), tables.header_overlap(get(VARIED), get("SELECT array('회사명', '부서명', '이름', '계정') AS headers UNION ALL SELECT array('회사명', '총참여금액', '-100')")))
 )
 
@@ -287,7 +288,7 @@ query("correction_events", None, f"""WITH t AS ({SHEET}), f AS ({FIXED}), s AS (
  SELECT doc_id, a AS wrong, b AS correct, {KIND_OF} AS kind, 0.9::DOUBLE AS confidence FROM j WHERE a <> '' AND b <> '' AND a <> b AND length(a) < 50""")(lambda get: learn.correction_events(get(SHEET), get(FIXED)))
 TRUTH = f"SELECT doc_id, row_idx, col_idx, CASE WHEN col_idx = 0 AND row_idx = 1 THEN 'firm one' WHEN col_idx = 3 THEN value || '!' ELSE value END AS value FROM ({SHEET}) s WHERE NOT (row_idx = 0 AND doc_id % 5 = 0)"
 _DATA = lambda src, skip: f"(SELECT s.doc_id, r.row, s.col_idx, trim(s.value) AS v FROM {src} s JOIN (SELECT doc_id, row_idx, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS row FROM {src} WHERE col_idx = 0 AND trim(value) NOT IN {skip}) r USING (doc_id, row_idx) WHERE s.col_idx < 4)"
-query("truth_corrections", None, f"WITH t AS ({SHEET}), g AS ({TRUTH}) SELECT a.doc_id, a.row::INT AS \"row\", a.col_idx, a.v AS wrong, b.v AS correct, ['company', 'department', 'name', 'account'][a.col_idx + 1] AS kind FROM {_DATA('t', IN(['', *tables.END_LABELS]))} a JOIN {_DATA('g', IN(['']))} b ON a.doc_id = b.doc_id AND a.row = b.row AND a.col_idx = b.col_idx WHERE a.v <> '' AND b.v <> '' AND a.v <> b.v")(
+query("truth_corrections", None, f"WITH t AS MATERIALIZED ({SHEET}), g AS MATERIALIZED ({TRUTH}) SELECT a.doc_id, a.row::INT AS \"row\", a.col_idx, a.v AS wrong, b.v AS correct, ['company', 'department', 'name', 'account'][a.col_idx + 1] AS kind FROM {_DATA('t', IN(['', *tables.END_LABELS]))} a JOIN {_DATA('g', IN(['']))} b ON a.doc_id = b.doc_id AND a.row = b.row AND a.col_idx = b.col_idx WHERE a.v <> '' AND b.v <> '' AND a.v <> b.v")(
     lambda get: learn.against_truth(get(SHEET), get(TRUTH), tables.END_LABELS).select("doc_id", "row", "col_idx", "wrong", "correct", "kind")
 )
 SEEN = f"SELECT doc_type, name AS wrong, 'k' || CAST(amount % 50 AS STRING) AS correct, CASE WHEN amount % 3 = 0 THEN 'company' ELSE 'term' END AS kind FROM ({x.LOG}) q"

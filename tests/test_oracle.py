@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gridloom.plans import rules  # noqa: F401  registers queries
+from gridloom.plans import flows  # noqa: F401  registers queries
 from gridloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
