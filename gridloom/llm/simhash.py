@@ -20,14 +20,17 @@ that a partition stays small.  Large partitions are dealt to tiles of bounded si
 spanning forest of its links, never all of its pairs, and components are found from those.
 
 Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about ten bits and in up to twenty; partitions
-by bits that lose none of those would be nearly as many as there are fingerprints.  :func:`similar_groups` is therefore
-made of other parts.  Its classes are texts of one set of shingles (by a 64-bit digest of the sorted set; repeats do not count).
-Partitions are BANDS bands of ROWS minimum hashes: a pair of similarity J shares none with probability
-(1 - J^ROWS)^BANDS, at any number of texts (4e-4 at 0.8).  In a partition, pairs are discarded by pivot table and bit count at
-a radius that a pair of similarity 0.8 exceeds with probability below 1e-6, and by a sketch of minimum hashes at a
-similarity lower by 0.25 (about 1e-4).  What is left only says which texts could belong together: inside each such component,
-dealt to tiles by their number of shingles, all pairs are compared by their whole shingle sets, and only those at the similarity
-or above are links.
+by bits that lose none of those would be nearly as many as there are fingerprints.  :func:`similar_groups` therefore has two kinds of partitions.  Its classes are
+texts of one set of shingles (by a 64-bit digest of the sorted set; repeats do not count).
+
+* Fingerprint partitions as above, for fingerprints within CLOSE bits; they lose none of those.
+* BANDS bands of ROWS minimum hashes, for texts that are similar though their fingerprints are further apart: a pair of similarity J shares none with probability
+  (1 - J^ROWS)^BANDS, at any number of texts (4e-4 at 0.8).
+
+In either, pairs are discarded by the pivot table and bit counts at a radius that a pair of similarity 0.8 exceeds with probability below 1e-6, and by a sketch of minimum hashes at a
+similarity lower by 0.25 (about 1e-4).  What is left only says which texts could belong together.  Inside each such component
+texts are compared by their whole shingle sets, and only those at the similarity or above are links.  Both steps look for components, not for pairs: large
+partitions and components go through :mod:`.links`, whose rows grow with the members.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, components, forest, groups, map_rows, moved, numbered, tiles, written
+from .links import linear_links
 
 PIVOTS = 16
 
@@ -76,6 +80,7 @@ def pivots() -> np.ndarray:
 
 SKETCH = 48
 BANDS, ROWS = 20, 5
+CLOSE = 3
 _turns = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,10 +193,9 @@ def mask_keys(masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("v")) for k, mask in enumerate(masks)])
 
 
-def near_links(classes: DataFrame, keys: Column, radius: int, agree: float | None = None, block: int = 400) -> DataFrame:
-    """(a, b): links that connect what is within the radius, and agrees in its sketches, from ``classes(id, fp[, sketch])`` by partitions."""
-    columns = [c for c in ("id", "fp", "sketch") if c in classes.columns]
-    dealt = classes.select(*columns, F.explode(keys).alias("p")).select(*columns, F.col("p.k").alias("k"), F.col("p.v").alias("v"))
+def near_links(classes: DataFrame, keys: Column, radius: int, block: int = 400) -> DataFrame:
+    """(a, b): links that connect what is within the radius, from ``classes(id, fp)`` by partitions."""
+    dealt = classes.select("id", "fp", F.explode(keys).alias("p")).select("id", "fp", F.col("p.k").alias("k"), F.col("p.v").alias("v"))
     dealt = tiles(dealt, ["k", "v"], F.xxhash64("id"), block)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +214,6 @@ def near_links(classes: DataFrame, keys: Column, radius: int, agree: float | Non
                 x, y = np.flatnonzero(part == ti), np.flatnonzero(part == tj)
             i, j = near(dist[x], fp[x], dist[y], fp[y], radius)
             i, j = x[i], y[j]
-            if agree is not None and len(i):
-                marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), SKETCH // 2)
-                stay = np.concatenate([similarity_of(marks[i[k : k + 20_000]], marks[j[k : k + 20_000]]) >= agree for k in range(0, len(i), 20_000)])
-                i, j = i[stay], j[stay]
             if len(i):
                 root = forest(len(ids), i, j)
                 moved = np.flatnonzero(root != np.arange(len(ids)))
@@ -225,7 +225,31 @@ def near_links(classes: DataFrame, keys: Column, radius: int, agree: float | Non
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return dealt.select("k", "v", "ti", "tj", "part", *columns).mapInArrow(links, "a long, b long")
+    return dealt.select("k", "v", "ti", "tj", "part", "id", "fp").mapInArrow(links, "a long, b long")
+
+
+def possible_pairs(t: pa.Table, radius: int, agree: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a tile that could be similar: within the radius by pivot table and bit count, and alike enough in their sketches."""
+    fp = t["fp"].to_numpy().view(np.uint64)
+    dist = distance_table(fp)
+    marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(fp), SKETCH // 2)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in range(0, len(fp), 256):  # rows that follow suffice
+        i, j = near(dist[k : k + 256], fp[k : k + 256], dist[k:], fp[k:], radius)
+        i, j = i[i < j] + k, j[i < j] + k
+        for q in range(0, len(i), 20_000):
+            stay = similarity_of(marks[i[q : q + 20_000]], marks[j[q : q + 20_000]]) >= agree
+            a.append(i[q : q + 20_000][stay])
+            b.append(j[q : q + 20_000][stay])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def possible_links(classes: DataFrame, radius: int, agree: float, block: int = 400) -> DataFrame:
+    """(a, b): links that connect which of ``classes(id, fp, sketch, bands)`` could be similar."""
+    masks = partition_keys(blocks_for(classes.count(), CLOSE), CLOSE)
+    keys = F.concat(F.transform("bands", lambda v, k: F.struct(k.alias("k"), v.cast("long").alias("v"))), F.transform(mask_keys(masks), lambda s: F.struct((s["k"] + BANDS).alias("k"), s["v"].alias("v"))))
+    rows = classes.select("id", "fp", "sketch", F.explode(keys).alias("p")).select(F.col("p.k").alias("k"), F.col("p.v").alias("v"), "id", "fp", "sketch")
+    return linear_links(rows, ["k", "v"], lambda t: possible_pairs(t, radius, agree), block)
 
 
 def named(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -267,24 +291,12 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, chunk: int = 4096)
 
 
 def verified_links(sets: DataFrame, similarity: float, block: int = 300_000, least: int = 400) -> DataFrame:
-    """(a, b): links that connect what is similar, from ``sets(node, component, shingles)``, all pairs of a component.
+    """(a, b): links that connect what is similar, from ``sets(component, id, shingles)``, by whole sets.
 
-    A part of a tile has about ``block`` shingles, where a set counts as ``least`` of them at least: so many sets of any length fit in memory.
+    A tile has about ``block`` shingles, where a set counts as ``least`` of them at least: so many sets of any length fit in memory.
     """
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["component", "ti", "tj"]):
-            if len(t) < 2:
-                continue
-            nodes = t["node"].to_numpy()
-            root = forest(len(nodes), *similar_pairs([np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()], similarity))
-            moved = np.flatnonzero(root != np.arange(len(nodes)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
-
-    weight = F.greatest(F.length("shingles") / 8, F.lit(least))
-    dealt = tiles(sets, ["component"], F.xxhash64("node"), block, weight)
-    return dealt.select("component", "ti", "tj", "node", "shingles").mapInArrow(links, "a long, b long")
+    pairs = lambda t: similar_pairs([np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()], similarity)
+    return linear_links(sets, ["component"], pairs, block, F.greatest(F.length("shingles") / 8, F.lit(least)))
 
 
 def similar_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int) -> DataFrame:
@@ -292,18 +304,17 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, width: int, simila
     rows = written(shingle_sets(docs, id_col, text_col, width), "fingerprints")
     classes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "sketch", "bands")])
     classes = written(classes.withColumnRenamed("node", "id"), "classes")
-    keys = F.transform("bands", lambda v, k: F.struct(k.alias("k"), v.alias("v")))
-    possible = components(near_links(classes, keys, radius, similarity - 0.25))
+    possible = components(possible_links(classes, radius, similarity - 0.25))
     asked = written(possible.join(classes.select(F.col("id").alias("node"), F.col("row").alias("_row")), "node"), "possible")
 
     def make():
         def step(x):
-            return {"node": x["node"], "component": x["component"], "shingles": [np.unique(shingle_hashes(t, width)).tobytes() for t in x["_t"]]}
+            return {"component": x["component"], "id": x["node"], "shingles": [np.unique(shingle_hashes(t, width)).tobytes() for t in x["_t"]]}
 
         return step
 
     texts = docs.select("_row", F.col(text_col).alias("_t")).join(moved(asked), "_row")
-    sets = written(map_rows(texts.select("node", "component", "_t"), make, "node long, component long, shingles binary"), "sets")
+    sets = written(map_rows(texts.select("node", "component", "_t"), make, "component long, id long, shingles binary"), "sets")
     roots = components(verified_links(sets, similarity))
     found = rows.select("row", "id", "fp", "node").join(roots, "node", "left").select("row", "id", "fp", F.coalesce("component", "node").alias("group"))
     found = written(found, "similar")
