@@ -66,9 +66,9 @@ def dealt(rows: DataFrame, key: list[str], large: DataFrame, turn: int, centers:
 
 def labelled(rows: DataFrame, key: list[str], open_: DataFrame, edges: DataFrame) -> DataFrame:
     """(*key, id, label): members of the open groups under the component that the links so far give them."""
-    roots = components(edges)
+    roots = components(edges).select(F.col("node").alias("id"), F.col("component").alias("_label"))
     members = rows.join(open_, key, "left_semi").select(*key, "id")
-    return members.join(roots, members["id"] == roots["node"], "left").select(*key, "id", F.coalesce("component", "id").alias("label"))
+    return members.join(roots, "id", "left").select(*key, "id", F.coalesce("_label", "id").alias("label"))
 
 
 def apart(rows: DataFrame, key: list[str], open_: DataFrame, edges: DataFrame) -> DataFrame:
