@@ -88,8 +88,11 @@ def sheet_plan(cells: DataFrame, errors: DataFrame | None = None, metadata: Data
     errors(doc_id[, table_no], row_idx, col_idx) mark cells; they count rows as the cells do, also where a header has been promoted or rows have gone.
     documents(doc_id) without cells get a sheet that says so.  ``profile`` is a style profile, or a column of it by document.  Tables are the sheets 표1, 표2, ... by their number.
     """
-    form = F.lit(profile) if isinstance(profile, str) else profile
     rows = promoted(cells)
+    if isinstance(profile, str):
+        rows = rows.withColumn("profile", F.lit(profile))
+    else:
+        rows = rows.join(cells.select("doc_id", profile.alias("profile")).distinct(), "doc_id")
     if errors is not None:
         marked = with_table(errors).select(*TABLE, "row_idx", "col_idx", F.lit(True).alias("error")).distinct()
         rows = rows.join(marked, [*TABLE, "row_idx", "col_idx"], "left")
@@ -102,7 +105,7 @@ def sheet_plan(cells: DataFrame, errors: DataFrame | None = None, metadata: Data
     sheet = F.concat(F.lit("표"), (F.col("table_no") + 1).cast("string"))
     v = c.strip(F.col("value"))
     first = F.max(F.when(F.col("col_idx") == 0, v)).over(W.partitionBy(*TABLE, "row_idx"))
-    rows = rows.select(*TABLE, sheet.alias("sheet"), top.alias("top"), "place", "col_idx", "col_name", v.alias("value"), "error", c.row_type(F.coalesce(first, F.lit(""))).alias("role"), form.alias("profile"))
+    rows = rows.select(*TABLE, sheet.alias("sheet"), top.alias("top"), "place", "col_idx", "col_name", v.alias("value"), "error", c.row_type(F.coalesce(first, F.lit(""))).alias("role"), "profile")
 
     plan = c.cell_plan(F.col("value"), by_profile(F.col("profile"), c.NUMBER_FORMATS))
     text = F.col("col_idx") == 0  # the first column is text whatever it looks like

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as c
-from ..operators import sheets, tables
+from ..operators import conversion, learning, sheets, tables
+from ..operators.shared import new_folder
 from ..sources import tiers
 from ..streaming import outputs
 from . import fixtures as x
-from .queries import PARSED, TYPE, query
-from .rules import NUMBER, TOTAL
+from .queries import ORACLE_SQL, PARSED, TYPE, query
+from .rules import HEIGHTS, KNOWN, KNOWN_VARIANTS, NAMED_BOXES, NUMBER, RAW, TOTAL, _FIX
 
 # -- where spread columns begin ----------------------------------------------------------------------
 
@@ -158,3 +159,87 @@ FROM n JOIN o ON o.path = n.path AND o.sheet = n.sheet AND o."row" = n."row" AND
 WHERE n."row" > n.head AND trim(o.value) <> '' AND trim(n.value) <> '' AND trim(o.value) <> trim(n.value) AND NOT coalesce(n.number = o.number, false)""")(
     lambda get: outputs.changes(get(NOW), get(BEFORE)).drop("modified")
 )
+
+
+# -- the chain from documents to cells, and what is learned from them ---------------------------------
+
+DOCUMENTS = f"SELECT doc_id, 'h' || CAST(doc_id % 500 AS STRING) AS content_hash, CAST(1000 AS DOUBLE) AS width, height FROM ({HEIGHTS}) h"
+CACHE = """
+SELECT DISTINCT 'h' || CAST(l_orderkey % 500 AS STRING) AS content_hash, CAST(r AS INT) AS row_idx, CAST(k AS INT) AS col_idx, CASE WHEN k = 0 THEN '회사명' ELSE 'n' END AS col_name, CASE WHEN k = 0 THEN 'firm 5' ELSE CAST(r AS STRING) END AS value
+FROM lineitem CROSS JOIN (VALUES (0), (1)) AS a(r) CROSS JOIN (VALUES (0), (1)) AS b(k) WHERE l_orderkey % 500 % 11 = 0"""
+GRIDS = f"SELECT doc_id, g_r AS row, g_c AS col, gx_min, gx_max, gy_min, gy_max FROM ({x.GRID}) g WHERE doc_id % 3 > 0"
+RAWS = f"SELECT * FROM ({RAW}) r WHERE doc_id % 4 = 1"
+PAIRS = (("firm 3", "firm thre"),)
+CHAIN = f"""
+g AS MATERIALIZED ({ORACLE_SQL['grid_table']}), l AS MATERIALIZED ({ORACLE_SQL['row_group_table']}), r AS MATERIALIZED ({ORACLE_SQL['raw_table_normalize']}),
+dc AS ({DOCUMENTS}), ch AS ({CACHE}), e AS ({KNOWN}), v AS ({KNOWN_VARIANTS}),
+x0 AS (SELECT doc_id, row_idx, col_idx, col_name, value, 'cached' AS route FROM dc JOIN ch USING (content_hash)),
+x1 AS (SELECT * FROM x0 UNION ALL SELECT doc_id, row_idx, col_idx, col_name, value, 'raw' FROM r WHERE doc_id % 4 = 1 AND doc_id NOT IN (SELECT doc_id FROM x0)),
+x2 AS (SELECT * FROM x1 UNION ALL SELECT doc_id, row_idx, col_idx, col_name, value, 'ruled' FROM g WHERE doc_id % 3 > 0 AND doc_id % 4 <> 1 AND doc_id NOT IN (SELECT doc_id FROM x0)),
+x3 AS MATERIALIZED (SELECT * FROM x2 UNION ALL SELECT doc_id, row_idx, col_idx, col_name, value, 'lines' FROM l WHERE doc_id % 4 <> 1 AND doc_id NOT IN (SELECT doc_id FROM x2)),
+rt AS (SELECT DISTINCT doc_id, route FROM x3),
+lit AS (SELECT doc_id, row_idx, col_idx, col_name, CASE WHEN col_idx < 6 THEN replace(value, 'firm 3', 'firm thre') ELSE value END AS value FROM x3),
+{_FIX('lit', 1)},
+fin AS MATERIALIZED (SELECT r1.*, route FROM r1 JOIN rt USING (doc_id))"""
+
+
+def inputs(get) -> conversion.Inputs:
+    return conversion.Inputs(get(DOCUMENTS), get(NAMED_BOXES), get(GRIDS), get(RAWS), get(CACHE), get(KNOWN), get(KNOWN_VARIANTS), PAIRS)
+
+
+query("conversion_cells", None, f"WITH {CHAIN} SELECT doc_id, row_idx, col_idx, col_name, value, route FROM fin")(lambda get: conversion.convert(inputs(get)).cells)
+
+#: Titles and lists of a table of its own, so that all kinds of events occur.
+LEARN_META = "SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE '수요 예측 결과' END AS title, CAST(l_orderkey % 2 AS INT) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem) q"
+LEARN_TYPES = "SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN l_orderkey % 5 = 0 THEN 'demand_forecast' ELSE 'default' END AS doc_type FROM lineitem"
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace({0}, '[^\p{{L}}\p{{N}}_]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2 AND w NOT IN ('으로'))"
+_EMPTY = "NULL::INT, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR"
+EVENTS = rf"""
+t AS MATERIALIZED ({SHEETS}), m AS ({LEARN_META}), ty AS ({LEARN_TYPES}),
+h AS MATERIALIZED (SELECT DISTINCT doc_id, col_idx, col_name FROM t), w AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1), hi AS (SELECT doc_id, max(row_idx) + 1 AS n FROM t GROUP BY 1),
+f AS (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY min(row_idx)) AS i FROM t WHERE col_idx = 0 GROUP BY 1, 2),
+ev AS (
+  SELECT 'column' AS kind, doc_id, trim(col_name) AS name, col_idx AS "position", NULL::DOUBLE AS weight, NULL::DOUBLE AS number, NULL::VARCHAR AS text FROM h WHERE trim(col_name) <> '' AND NOT starts_with(trim(col_name), 'Col_')
+  UNION ALL SELECT 'header', doc_id, NULL, NULL, NULL, any_value(hi.n)::DOUBLE, '[' || string_agg('"' || trim(col_name) || '"', ',' ORDER BY col_idx) || ']' FROM h JOIN hi USING (doc_id) WHERE trim(col_name) <> '' AND NOT starts_with(trim(col_name), 'Col_') GROUP BY doc_id HAVING count(*) >= 3
+  UNION ALL SELECT 'keyword', doc_id, unnest({_WORDS.format('title')}), NULL, 3.0, NULL, NULL FROM m
+  UNION ALL SELECT 'keyword', doc_id, unnest({_WORDS.format('col_name')}), NULL, 2.0, NULL, NULL FROM h
+  UNION ALL SELECT 'keyword', doc_id, unnest({_WORDS.format('value')}), NULL, 1.0, NULL, NULL FROM f WHERE i <= 20
+  UNION ALL SELECT 'number', doc_id, col_name, NULL, NULL, p, NULL FROM (SELECT *, CASE WHEN regexp_matches(replace(trim(value), ',', ''), '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN replace(trim(value), ',', '')::DOUBLE END AS p FROM t) q WHERE p IS NOT NULL
+  UNION ALL SELECT DISTINCT 'entity', doc_id, trim(value), NULL::INT, NULL::DOUBLE, NULL::DOUBLE, CASE col_idx WHEN 0 THEN 'company' ELSE 'department' END FROM t JOIN w USING (doc_id) WHERE col_idx < 2 AND w.n >= 4 AND length(trim(value)) >= 2 AND NOT regexp_matches(replace(replace(trim(value), ',', ''), '-', ''), '^[0-9]+$')
+  UNION ALL SELECT 'metadata', doc_id, 'info_labels', NULL, NULL, NULL, '["발행"]' FROM m WHERE n = 1
+  UNION ALL SELECT 'metadata', doc_id, 'title_sample', NULL, NULL, NULL, title FROM m WHERE title <> ''),
+lv AS MATERIALIZED (SELECT kind, doc_type, doc_id, name, "position", weight, number, text FROM ev JOIN ty USING (doc_id))"""
+
+
+def learned_events(get) -> DataFrame:
+    pair = "named_struct('label', '발행', 'value', 'x')"
+    meta = get(f"SELECT doc_id, title, CASE WHEN n = 1 THEN array({pair}) ELSE slice(array({pair}), 1, 0) END AS info, slice(array({pair}), 1, 0) AS market_info FROM ({LEARN_META}) q")
+    return learning.learn(get(SHEETS), get(LEARN_TYPES), meta)
+
+
+query("learn_events", None, f"WITH {EVENTS} SELECT * FROM lv")(learned_events)
+
+STATE_SQL = {
+    "keywords": "SELECT doc_type, name, count(*) AS n, max(weight) AS weight FROM lv WHERE kind = 'keyword' GROUP BY 1, 2",
+    "entities": "SELECT text, name, count(*) AS n FROM lv WHERE kind = 'entity' GROUP BY 1, 2",
+    "numbers": "SELECT doc_type, name, count(*) AS n, sum(number) AS total, min(number) AS low, max(number) AS high FROM lv WHERE kind = 'number' GROUP BY 1, 2",
+}
+
+
+def state_query(kind: str):
+    """The state of one kind after three batches, the second of them twice, with a compaction in between."""
+
+    def run(get) -> DataFrame:
+        events = learned_events(get)
+        state = learning.State(events.sparkSession, new_folder(events.sparkSession, "state"), learning.AGGREGATES[kind])
+        for turn, rest in enumerate((0, 1, 1, 2)):
+            state.add(f"b{rest}", events.where(F.pmod("doc_id", F.lit(3)) == rest))
+            if turn == 1:
+                state.compact()
+        return state.current()
+
+    return run
+
+
+for _kind, _sql in STATE_SQL.items():
+    query(f"state_{_kind}", None, f"WITH {EVENTS} {_sql}")(state_query(_kind))
