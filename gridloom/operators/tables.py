@@ -360,7 +360,106 @@ def feature_text(meta: DataFrame, cells: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def header_overlap(cells: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, overlap): the largest share of a known header list, patterns(headers), that a table has."""
-    own = cells.groupBy("doc_id").agg(F.collect_set(c.strip(F.col("col_name"))).alias("own"))
-    known = patterns.agg(F.collect_list(F.array_distinct("headers")).alias("known"))  # a few lists, as many as were asked for
-    return own.join(F.broadcast(known)).select("doc_id", F.array_max(F.transform("known", lambda k: F.size(F.array_intersect("own", k)) / F.size(k))).alias("overlap"))
+    """(doc_id, overlap): the largest share of a known header list, patterns(headers), that a table has.
+
+    Tables and lists meet on the names that they share, so the patterns may be as many as have been learned; without any, there are no rows.
+    """
+    own = cells.select("doc_id", c.strip(F.col("col_name")).alias("name")).distinct()
+    lists = patterns.select(F.array_distinct("headers").alias("headers")).distinct().withColumn("_id", F.xxhash64("headers")).withColumn("_n", F.size("headers")).where("_n > 0")
+    named = lists.select("_id", "headers", "_n", F.explode("headers").alias("name"))
+    shared = own.join(named, "name").groupBy("doc_id", "_id", "headers", "_n").agg(F.count(F.lit(1)).alias("_m"))
+    best = shared.groupBy("doc_id").agg(F.max(F.col("_m") / F.col("_n")).alias("overlap"))
+    some = lists.limit(1).select(F.lit(True).alias("_some"))
+    return own.select("doc_id").distinct().join(best, "doc_id", "left").join(F.broadcast(some)).select("doc_id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+
+
+# -- tables from coordinates, stored results, halves -------------------------------------------------
+
+
+def coordinate_tables(boxes: DataFrame, share: float = 0.6) -> DataFrame:
+    """Cells of pages without usable lines, from coordinates alone.
+
+    Rows are anchored with a tolerance of ``share`` times the mean box height, in whole units.  There are as many columns as the fullest row has boxes; they stand where
+    boxes of all rows gather (:func:`.layout.column_places`), and a box belongs to the column between whose midpoints its center lies.  The first row names the columns
+    (``Col_i`` where it is empty); of a page with one row, that row is the data and columns are named by their number.  Rows and columns without data go.
+    """
+    rows = boxes.join(layout.rows_anchored(boxes, F.floor(F.avg(F.col("y_max") - F.col("y_min")) * share)), ["doc_id", "box_id"])
+    width = rows.groupBy("doc_id", "row_no").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max("n").cast("int").alias("k"), (F.max("row_no") + 1).cast("int").alias("rows"))
+    placed = layout.assign_columns(rows, layout.column_places(boxes, width.select("doc_id", "k"))).join(width, "doc_id")
+    at = F.least(F.col("col_no"), F.col("k") - 1).alias("col_idx")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x_center", "y_center", "box_id", "text"))), lambda s: s["text"]), " ")
+    texts = placed.groupBy("doc_id", F.col("row_no").alias("row_idx"), at).agg(text.alias("value"))
+    frame = width.select("doc_id", "rows", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row_idx"), "k").select("doc_id", "rows", "row_idx", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("col_idx"))
+    cells = frame.join(texts, ["doc_id", "row_idx", "col_idx"], "left").withColumn("value", F.coalesce("value", F.lit("")))
+    named = normalize_raw(cells.where("rows > 1").select("doc_id", "row_idx", "col_idx", "value"))
+    alone = cells.where("rows = 1 AND value <> ''").select("doc_id", "row_idx", "col_idx", F.col("col_idx").cast("string").alias("col_name"), "value")
+    return named.unionByName(alone)
+
+
+def grid_or_coordinates(boxes: DataFrame, grid: DataFrame, columns: int = 3) -> DataFrame:
+    """Cells (with ``by``: grid or coordinates) of pages: boxes in the detected grid where that gives a table of ``columns`` columns or more, else by coordinates.
+
+    In a grid the first row names the columns, and rows and columns without data go, as in :func:`coordinate_tables`.
+    """
+    texts = layout.boxes_to_cells(boxes, grid)
+    frame = grid.select("doc_id", F.col("row").alias("row_idx"), F.col("col").alias("col_idx")).distinct()
+    ruled = normalize_raw(frame.join(texts.withColumnsRenamed({"row": "row_idx", "col": "col_idx"}), ["doc_id", "row_idx", "col_idx"], "left"))
+    wide = ruled.groupBy("doc_id").agg(F.countDistinct("col_idx").alias("n")).where(F.col("n") >= columns).select("doc_id")
+    first = ruled.join(wide, "doc_id", "left_semi").withColumn("by", F.lit("grid"))
+    return first.unionByName(coordinate_tables(boxes.join(wide, "doc_id", "left_anti")).withColumn("by", F.lit("coordinates")))
+
+
+def stored_tables(cache: DataFrame, key: str, result: str) -> DataFrame:
+    """Cells (key, table_no, row_idx, col_idx, col_name, value) of stored results, each one table {headers, rows} or a list of them.
+
+    Tables without headers or rows are passed over and do not count.  Headers beyond the first row's width are left out; a row that is shorter has empty texts.
+    """
+    one = "headers array<string>, rows array<array<string>>"
+    text = c.strip(F.col(result))
+    tables = F.when(text.startswith("["), F.from_json(text, f"array<struct<{one}>>")).otherwise(F.array(F.from_json(text, one)))
+    usable = F.filter(tables, lambda t: t.isNotNull() & (F.coalesce(F.size(t["headers"]), F.lit(0)) > 0) & (F.coalesce(F.size(t["rows"]), F.lit(0)) > 0))
+    rows = cache.select(key, F.posexplode(usable).alias("table_no", "t")).select(key, "table_no", F.col("t.headers").alias("headers"), F.size(F.get("t.rows", F.lit(0))).alias("_w"), F.posexplode("t.rows").alias("row_idx", "v"))
+    rows = rows.withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.least(F.col("_w"), F.size("headers")) - 1)))
+    return rows.select(key, "table_no", "row_idx", "col_idx", F.get("headers", F.col("col_idx")).alias("col_name"), F.coalesce(F.get("v", F.col("col_idx")), F.lit("")).alias("value"))
+
+
+def stored_metadata(cache: DataFrame, key: str, result: str) -> DataFrame:
+    """(key, title) of stored results: of a list, that of the first table that has any metadata."""
+    text = c.strip(F.col(result))
+    meta = "metadata struct<title:string>"
+    listed = F.filter(F.from_json(text, f"array<struct<{meta}>>"), lambda t: t["metadata"].isNotNull())
+    found = F.when(text.startswith("["), F.get(listed, F.lit(0))["metadata"]["title"]).otherwise(F.from_json(text, meta)["metadata"]["title"])
+    return cache.select(key, F.coalesce(found, F.lit("")).alias("title"))
+
+
+def merge_halves(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two halves of a page side by side: the left one's cells and the columns that only the right one has.
+
+    Rows meet by the left half's first column where the right half has a column of that name: each left row stays, once for each right row of its
+    key, with empty texts where there is none.  Otherwise they meet by their order, as far as both go.  A half that is empty leaves the other as it is; so
+    does a right half without columns of its own.
+    """
+    key = ["doc_id"]
+    names = lambda d, side: d.groupBy("doc_id", "col_name").agg(F.min("col_idx").alias(f"_{side}"))
+    ln, rn = names(left, "l"), names(right, "r")
+    only = rn.join(ln, ["doc_id", "col_name"], "left_anti")
+    first = left.groupBy("doc_id").agg(F.min_by("col_name", "col_idx").alias("_key"), (F.max("col_idx") + 1).alias("_width"))
+    shared = first.join(rn.withColumnRenamed("col_name", "_key"), ["doc_id", "_key"], "left").select("doc_id", "_width", F.col("_r").alias("_key_col"))
+    both = shared.join(only.select("doc_id").distinct(), "doc_id")
+    at = only.withColumn("_to", F.row_number().over(W.partitionBy("doc_id").orderBy("_r")) - 1).select("doc_id", "col_name", "_to")
+
+    lk = left.join(both, key).groupBy("doc_id", "row_idx", "_key_col").agg(F.min_by("value", "col_idx").alias("_v"))
+    rk = right.join(both, key).groupBy("doc_id", F.col("row_idx").alias("_rrow"), "_key_col").agg(F.max(F.when(F.col("col_idx") == F.col("_key_col"), F.col("value"))).alias("_v"))
+    nth = lambda d, order: d.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy(order)))
+    keyed = lk.where("_key_col IS NOT NULL").drop("_key_col").join(rk.where("_key_col IS NOT NULL").drop("_key_col"), ["doc_id", "_v"], "left").select("doc_id", "row_idx", "_rrow")
+    ordered = nth(lk.where("_key_col IS NULL"), "row_idx").join(nth(rk.where("_key_col IS NULL"), "_rrow").select("doc_id", "_n", "_rrow"), ["doc_id", "_n"]).select("doc_id", "row_idx", "_rrow")
+    pairs = keyed.unionByName(ordered).withColumn("_place", (F.row_number().over(W.partitionBy("doc_id").orderBy("row_idx", F.col("_rrow").asc_nulls_first())) - 1).cast("int"))
+
+    own = pairs.join(left, ["doc_id", "row_idx"]).select("doc_id", F.col("_place").alias("row_idx"), "col_idx", "col_name", "value")
+    more = pairs.join(both.select("doc_id", "_width"), "doc_id").join(at, "doc_id")
+    found = right.select("doc_id", F.col("row_idx").alias("_rrow"), "col_name", "value")
+    new = more.join(found, ["doc_id", "_rrow", "col_name"], "left").select("doc_id", F.col("_place").alias("row_idx"), (F.col("_width") + F.col("_to")).cast("int").alias("col_idx"), "col_name", F.coalesce("value", F.lit("")).alias("value"))
+    columns = ["doc_id", "row_idx", "col_idx", "col_name", "value"]
+    docs = both.select("doc_id")
+    alone = left.join(docs, "doc_id", "left_anti").select(columns).unionByName(right.join(left.select("doc_id").distinct(), "doc_id", "left_anti").select(columns))
+    return alone.unionByName(own).unionByName(new)

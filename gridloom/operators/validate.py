@@ -81,3 +81,27 @@ def mismatches(expected: DataFrame, actual: DataFrame, columns: list[str], most:
 def averages(scores: DataFrame) -> DataFrame:
     """One row: the number of cases and the plain means of their scores."""
     return scores.agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.avg(x), 4).alias(f"avg_{x}") for x in ("row_recall", "exact_row_accuracy", "cell_accuracy")])
+
+
+def case_reports(expected: DataFrame, actual: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
+    """One row for each case: its counts and scores, and its mismatches as they were written, with what was expected and what was found.
+
+    expected_rows, row_hits, exact_row_hits, cell_matches, total_cells, the three scores, and sample_mismatches(label, reason, expected, actual): every row that was not found,
+    and rows that differ as long as the list holds fewer than ``most``.
+    """
+    n, label = len(columns), c.normal_label(F.col(columns[0]))
+    rows = compared(expected, actual, columns)
+    told = expected.select("case", "row_idx", F.array(*columns).alias("expected"))
+    first = actual.withColumn("_k", label).groupBy("case", "_k").agg(F.min(F.struct("row_idx", F.array(*columns).alias("actual"))).alias("a")).select("case", "_k", F.col("a.actual").alias("actual"))
+    wrong = rows.where(F.col("good") < n).withColumn("_n", F.row_number().over(W.partitionBy("case").orderBy("row_idx")) - 1).where(~F.col("hit") | (F.col("_n") < most))
+    wrong = wrong.withColumn("_k", c.normal_label(F.col("label"))).join(told, ["case", "row_idx"]).join(first, ["case", "_k"], "left")
+    entry = F.struct("row_idx", "label", F.when(F.col("hit"), "differs").otherwise("row_not_found").alias("reason"), F.when(F.col("hit"), F.col("expected")).alias("expected"), F.when(F.col("hit"), F.col("actual")).alias("actual"))
+    samples = wrong.groupBy("case").agg(F.array_sort(F.collect_list(entry)).alias("_s"))
+    rate = lambda x, of: F.round(x / of, 4)
+    hits, exact, good, all_ = F.sum(F.col("hit").cast("long")), F.sum((F.col("good") == n).cast("long")), F.sum("good"), F.count(F.lit(1))
+    per = rows.groupBy("case").agg(
+        all_.alias("expected_rows"), hits.alias("row_hits"), exact.alias("exact_row_hits"), good.alias("cell_matches"), (all_ * n).alias("total_cells"),
+        rate(hits, all_).alias("row_recall"), rate(exact, all_).alias("exact_row_accuracy"), rate(good, all_ * n).alias("cell_accuracy"),
+    )
+    shown = F.transform(F.coalesce("_s", F.array().cast(samples.schema["_s"].dataType)), lambda x: F.struct(x["label"].alias("label"), x["reason"].alias("reason"), x["expected"].alias("expected"), x["actual"].alias("actual")))
+    return per.join(samples, "case", "left").select(*per.columns, shown.alias("sample_mismatches"))
