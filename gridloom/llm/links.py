@@ -4,8 +4,8 @@ A group of at most ``block`` rows is one tile, where all pairs are compared.  A
 tile, and a few members drawn from the whole group (its centers) go to every part.  Rows grow with the members, not with their pairs.  In
 a group of near copies that joins nearly everything at once, directly or over a center.
 
-What counts is which members belong together, so a group whose members are all in one component is done.  The others are dealt again, by another order and with
-other centers, ``rounds`` times.  What is still apart then is settled exactly: the members outside the group's largest component are brought together with
+What counts is which members belong together, so a group whose members are all in one component is done.  The others may be dealt again, by another order and with
+other centers, until in the last round what is still apart is settled exactly: the members outside the group's largest component are brought together with
 that component, part by part, and with each other, so no link between two components is lost.  Only a large group that falls
 apart into many components costs more than its size: pairs of those members are all looked at.
 """
@@ -64,22 +64,31 @@ def dealt(rows: DataFrame, key: list[str], large: DataFrame, turn: int, centers:
     return once.drop("parts").unionByName(spread.drop("parts").select(once.drop("parts").columns))
 
 
-def labelled(rows: DataFrame, key: list[str], open_: DataFrame, edges: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, key: list[str], open_: DataFrame, labels: DataFrame) -> DataFrame:
     """(*key, id, label): members of the open groups under the component that the links so far give them."""
-    roots = components(edges).select(F.col("node").alias("id"), F.col("component").alias("_label"))
+    known = labels.select(F.col("node").alias("id"), F.col("component").alias("_label"))
     members = rows.join(open_, key, "left_semi").select(*key, "id")
-    return members.join(roots, "id", "left").select(*key, "id", F.coalesce("_label", "id").alias("label"))
+    return members.join(known, "id", "left").select(*key, "id", F.coalesce("_label", "id").alias("label"))
 
 
-def apart(rows: DataFrame, key: list[str], open_: DataFrame, edges: DataFrame) -> DataFrame:
-    """Those of open_(*key, parts) whose members are not all in one component."""
-    several = labelled(rows, key, open_, edges).groupBy(*key).agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h")
-    return written(open_.join(several.select(*key), key, "left_semi"), "open")
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (node, component) with more links: only the components that these links join are looked at again."""
+    ends = edges
+    for side in ("a", "b"):
+        of = labels.select(F.col("node").alias(side), F.col("component").alias("_to"))
+        ends = ends.join(of, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+    new = written(components(ends.where("a <> b").distinct()), "joined")
+    if new.isEmpty():
+        return labels
+    to = new.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    moved = labels.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    alone = new.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return written(moved.unionByName(alone), "labels")
 
 
-def settled(rows: DataFrame, key: list[str], open_: DataFrame, edges: DataFrame, weight: Column, block: int) -> DataFrame:
+def settled(rows: DataFrame, key: list[str], open_: DataFrame, labels: DataFrame, weight: Column, block: int) -> DataFrame:
     """Tiles in which every two members of different components of an open group meet."""
-    of = written(labelled(rows, key, open_, edges), "labelled")
+    of = written(labelled(rows, key, open_, labels), "labelled")
     largest = of.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     members = rows.join(of, [*key, "id"]).join(largest, key).withColumn("rest", F.col("label") != F.col("main")).withColumn("_w", weight)
     count = lambda hit: F.greatest(F.ceil(F.coalesce(F.sum(F.when(hit, F.col("_w"))), F.lit(0)) / block), F.lit(1)).cast("int")
@@ -94,22 +103,21 @@ def settled(rows: DataFrame, key: list[str], open_: DataFrame, edges: DataFrame,
     return tiles.select(*rows.columns, "tile")
 
 
-def linear_links(rows: DataFrame, key: list[str], pairs_of: Callable, block: int, weight: Column | None = None, rounds: int = 3, centers: int = 4) -> DataFrame:
-    """(a, b): links of rows(*key, id, ...) that give the same components as all links inside the groups of a key.
+def linear_components(rows: DataFrame, key: list[str], pairs_of: Callable, block: int, weight: Column | None = None, rounds: int = 1, centers: int = 4) -> DataFrame:
+    """(node, component) of all rows(*key, id, ...) that a link inside some group joins to another: the smallest id that links reach.
 
     ``rows`` are read several times and should be cheap to make again.  ``weight`` says how much of a block a row takes; 1 by default.
     """
     weight = F.lit(1) if weight is None else weight
     sizes = rows.groupBy(*key).agg(F.sum(weight).alias("_n")).where(F.col("_n") > block)
     open_ = written(sizes.select(*key, F.ceil(F.col("_n") / block).cast("int").alias("parts")), "large")
-    edges = written(tile_links(dealt(rows, key, open_, 0, centers), key, pairs_of), "links")
+    labels = written(components(tile_links(dealt(rows, key, open_, 0, centers), key, pairs_of)), "labels")
     for turn in range(1, rounds + 1):
+        several = labelled(rows, key, open_, labels).groupBy(*key).agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h")
+        open_ = written(open_.join(several.select(*key), key, "left_semi"), "open")
         if open_.isEmpty():
-            return edges
-        open_ = apart(rows, key, open_, edges)
-        if turn <= rounds - 1 and not open_.isEmpty():
-            some = rows.join(open_, key, "left_semi")
-            edges = written(edges.unionByName(tile_links(dealt(some, key, open_, turn, centers), key, pairs_of)), "links")
-    if open_.isEmpty():
-        return edges
-    return written(edges.unionByName(tile_links(settled(rows, key, open_, edges, weight, block), key, pairs_of)), "links")
+            return labels
+        some = rows.join(open_, key, "left_semi")
+        tiles = dealt(some, key, open_, turn, centers) if turn < rounds else settled(rows, key, open_, labels, weight, block)
+        labels = joined(labels, tile_links(tiles, key, pairs_of))
+    return labels

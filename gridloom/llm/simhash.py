@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, components, forest, groups, map_rows, moved, numbered, tiles, written
-from .links import linear_links
+from .links import linear_components
 
 PIVOTS = 16
 
@@ -244,12 +244,12 @@ def possible_pairs(t: pa.Table, radius: int, agree: float) -> tuple[np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
-def possible_links(classes: DataFrame, radius: int, agree: float, block: int = 400) -> DataFrame:
-    """(a, b): links that connect which of ``classes(id, fp, sketch, bands)`` could be similar."""
+def possible_groups(classes: DataFrame, radius: int, agree: float, block: int = 400) -> DataFrame:
+    """(node, component): which of ``classes(id, fp, sketch, bands)`` could be similar, directly or over others."""
     masks = partition_keys(blocks_for(classes.count(), CLOSE), CLOSE)
     keys = F.concat(F.transform("bands", lambda v, k: F.struct(k.alias("k"), v.cast("long").alias("v"))), F.transform(mask_keys(masks), lambda s: F.struct((s["k"] + BANDS).alias("k"), s["v"].alias("v"))))
     rows = classes.select("id", "fp", "sketch", F.explode(keys).alias("p")).select(F.col("p.k").alias("k"), F.col("p.v").alias("v"), "id", "fp", "sketch")
-    return linear_links(rows, ["k", "v"], lambda t: possible_pairs(t, radius, agree), block)
+    return linear_components(rows, ["k", "v"], lambda t: possible_pairs(t, radius, agree), block)
 
 
 def named(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -290,13 +290,13 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, chunk: int = 4096)
     return np.nonzero(np.triu(both >= similarity * union - 1e-6, 1))
 
 
-def verified_links(sets: DataFrame, similarity: float, block: int = 300_000, least: int = 400) -> DataFrame:
-    """(a, b): links that connect what is similar, from ``sets(component, id, shingles)``, by whole sets.
+def verified_groups(sets: DataFrame, similarity: float, block: int = 300_000, least: int = 400) -> DataFrame:
+    """(node, component): what is similar, directly or over others, of ``sets(component, id, shingles)``, by whole sets.
 
     A tile has about ``block`` shingles, where a set counts as ``least`` of them at least: so many sets of any length fit in memory.
     """
     pairs = lambda t: similar_pairs([np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()], similarity)
-    return linear_links(sets, ["component"], pairs, block, F.greatest(F.length("shingles") / 8, F.lit(least)))
+    return linear_components(sets, ["component"], pairs, block, F.greatest(F.length("shingles") / 8, F.lit(least)))
 
 
 def similar_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int) -> DataFrame:
@@ -304,7 +304,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, width: int, simila
     rows = written(shingle_sets(docs, id_col, text_col, width), "fingerprints")
     classes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "sketch", "bands")])
     classes = written(classes.withColumnRenamed("node", "id"), "classes")
-    possible = components(possible_links(classes, radius, similarity - 0.25))
+    possible = possible_groups(classes, radius, similarity - 0.25)
     asked = written(possible.join(classes.select(F.col("id").alias("node"), F.col("row").alias("_row")), "node"), "possible")
 
     def make():
@@ -315,7 +315,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, width: int, simila
 
     texts = docs.select("_row", F.col(text_col).alias("_t")).join(moved(asked), "_row")
     sets = written(map_rows(texts.select("node", "component", "_t"), make, "component long, id long, shingles binary"), "sets")
-    roots = components(verified_links(sets, similarity))
+    roots = verified_groups(sets, similarity)
     found = rows.select("row", "id", "fp", "node").join(roots, "node", "left").select("row", "id", "fp", F.coalesce("component", "node").alias("group"))
     found = written(found, "similar")
     lead = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))

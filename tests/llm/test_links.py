@@ -20,7 +20,8 @@ def plain_components(n, pairs):
 
 
 @pytest.mark.parametrize("kind", ["all alike", "two halves", "chain", "all apart", "stragglers"])
-def test_components_of_large_groups(spark, kind):
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_components_of_large_groups(spark, kind, rounds):
     """Points on a line are linked when they are near; some groups are one tile, one is many."""
     rng = random.Random(len(kind))
     n = 400
@@ -35,7 +36,7 @@ def test_components_of_large_groups(spark, kind):
         x = t["x"].to_numpy()
         return np.nonzero(np.triu(np.abs(x[:, None] - x[None, :]) <= 1, 1))
 
-    found = {r["node"]: r["component"] for r in common.components(links.linear_links(rows, ["k"], near, 30, rounds=2, centers=2)).collect()}
+    found = {r["node"]: r["component"] for r in links.linear_components(rows, ["k"], near, 30, rounds=rounds, centers=2).collect()}
     want = plain_components(n + 60, [(i, j) for i in range(n + 60) for j in range(i) if key[i] == key[j] and abs(at[i] - at[j]) <= 1])
     assert [found.get(i, i) for i in range(n + 60)] == want
 
