@@ -17,4 +17,12 @@ QUERIES = {
     "op12_whitening": whitening.op12,
     "op13_centroids": centroids.op13,
 }
-ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE, "op4_hash_tree_shards": sharding.ORACLE, "op5_near_vectors": embeddings.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op13_centroids": centroids.ORACLE}
+ORACLE_SQL = {
+    "op2_mix_sources": mixing.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op4_hash_tree_shards": sharding.ORACLE,
+    "op5_near_vectors": embeddings.ORACLE,
+    "op6_exact_dedup": exact_dedup.ORACLE,
+    "op9_window_index": window_index.ORACLE,
+    "op13_centroids": centroids.ORACLE,
+}

@@ -206,3 +206,28 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs, texts=False).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE = """
+WITH bytes AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c
+  FROM (SELECT doc_id, i, md5_number(b[i + 1:i + 400]) AS k FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 399)) AS i FROM bytes) q) z
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM windows WHERE c > 1
+), spans AS (
+  SELECT doc_id, run, min(i) AS low, max(i) + 400 AS high
+  FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) q GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(high) OVER w, 0) AS low, low AS high FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY low)
+  UNION ALL SELECT d.doc_id, coalesce(s.high, 0), octet_length(b) FROM bytes d LEFT JOIN (SELECT doc_id, max(high) AS high FROM spans GROUP BY doc_id) s ON s.doc_id = d.doc_id
+), kept AS (
+  SELECT d.doc_id, string_agg(hex(b[g.low + 1:g.high]), '' ORDER BY g.low) AS h FROM bytes d JOIN gaps g ON g.doc_id = d.doc_id AND g.low < g.high GROUP BY d.doc_id
+), removed AS (
+  SELECT doc_id, sum(high - low) AS n, count(*) AS c FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.c, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM bytes d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -166,3 +166,23 @@ def window_dedup(docs: DataFrame, width: int = 20, batches: int = 3, id_col: str
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return window_dedup(docs, texts=False).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH words AS (
+  SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i, len(l) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents) q
+), windows AS (
+  SELECT doc_id, w, i, CASE WHEN i + 20 <= n THEN string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS s
+  FROM words
+), later AS (
+  SELECT doc_id, w, i, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM windows
+), covered AS (
+  SELECT doc_id, w, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM later
+), per AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
