@@ -299,24 +299,49 @@ def accept_chunks(original: DataFrame, corrected: DataFrame, size: int = 30) ->
 # -- votes -------------------------------------------------------------------------------------------
 
 
+def run_choices(runs: DataFrame) -> DataFrame:
+    """(doc_id, runs, heads): the runs of the most frequent number of rows, then of columns, and the name that most of them give each column.
+
+    Decided on one row for each column of a run, so no cell is moved for it.
+    """
+    name = F.struct(c.strip(F.col("col_name")).alias("value"))
+    columns = runs.groupBy("doc_id", "run_id", "col_idx").agg(F.max("row_idx").alias("row"), F.collect_set(name).alias("names"))
+    docs = columns.groupBy("doc_id").agg(F.collect_list(F.struct("run_id", "col_idx", "row", "names")).alias("l"))
+
+    def shape(run: Column) -> Column:
+        own = F.filter("l", lambda x: x["run_id"] == run)
+        return F.struct(F.lit(1).cast("long").alias("n"), run.alias("p"), F.array_max(F.transform(own, lambda x: x["row"])).alias("rows"), F.array_max(F.transform(own, lambda x: x["col_idx"])).alias("cols"))
+
+    docs = docs.withColumn("shapes", F.transform(F.array_distinct(F.transform("l", lambda x: x["run_id"])), shape))
+    for of in (lambda x: x["rows"]), (lambda x: x["cols"]):
+        usual = votes.most_frequent(F.col("shapes"), of)["value"]
+        docs = docs.withColumn("usual", usual).withColumn("shapes", F.filter("shapes", lambda x: of(x) == F.col("usual")))  # noqa: B023
+    docs = docs.withColumn("runs", F.transform("shapes", lambda x: x["p"])).withColumn("l", F.filter("l", lambda x: F.array_contains("runs", x["run_id"])))
+
+    def head(column: Column) -> Column:
+        own = F.filter("l", lambda x: x["col_idx"] == column)
+        named = F.flatten(F.transform(own, lambda x: F.transform(x["names"], lambda y: F.struct(F.lit(1).cast("long").alias("n"), x["run_id"].alias("p"), y["value"].alias("value")))))
+        return F.struct(column.alias("key"), votes.most_frequent(named)["value"].alias("value"))
+
+    heads = F.map_from_entries(F.transform(F.array_distinct(F.transform("l", lambda x: x["col_idx"])), head))
+    return docs.select("doc_id", "runs", heads.alias("heads"))
+
+
 def consensus_tables(runs: DataFrame) -> DataFrame:
     """One table from several extractions runs(doc_id, run_id, row_idx, col_idx, col_name, value).
 
     Runs of the most frequent number of rows, then of columns, take part.  A cell's majority wins; without one, the first six columns
     vote by text and then by characters, others take the most frequent value.  Ties go to the earlier run.
+
+    The runs are read twice: for their shapes, and for the votes, which all come from one list of different values for each cell.
     """
-    shape = runs.groupBy("doc_id", "run_id").agg((F.max("row_idx") + 1).alias("rows"), (F.max("col_idx") + 1).alias("cols"))
-    for side in ("rows", "cols"):
-        usual = votes.vote(shape.select("doc_id", F.col("run_id").alias("pos"), F.col(side).alias("value")), ["doc_id"]).select("doc_id", F.col("value").alias(side))
-        shape = shape.join(usual, ["doc_id", side], "left_semi")
-    kept = runs.join(shape, ["doc_id", "run_id"], "left_semi").withColumn("value", c.strip(F.col("value"))).withColumnRenamed("run_id", "pos")
+    kept = runs.select("doc_id", "run_id", "row_idx", "col_idx", c.strip(F.col("value")).alias("value")).join(run_choices(runs), "doc_id").where(F.array_contains("runs", F.col("run_id")))
     key = ["doc_id", "row_idx", "col_idx"]
-    whole = votes.vote(kept.select(*key, "pos", "value"), key)
-    open_ = whole.where("NOT majority AND col_idx < 6").select(*key)
-    text = votes.vote_characters(kept.select(*key, "pos", "value").join(open_, key, "left_semi"), key).withColumnRenamed("value", "_text")
-    heads = kept.select("doc_id", "col_idx", "pos", c.strip(F.col("col_name")).alias("value")).distinct()
-    heads = votes.vote(heads, ["doc_id", "col_idx"]).select("doc_id", "col_idx", F.col("value").alias("col_name"))
-    return whole.join(text, key, "left").join(heads, ["doc_id", "col_idx"]).select(*key, "col_name", F.coalesce("_text", "value").alias("value"))
+    named = kept.select(*key, F.element_at("heads", F.col("col_idx")).alias("col_name"), F.col("run_id").alias("pos"), "value")
+    cells = votes.counted(named, [*key, "col_name"])
+    top, found = votes.most_frequent(F.col("found")), F.col("found")
+    open_ = (-top["m"] <= F.floor(votes.total(found) / 2)) & (F.col("col_idx") < 6)
+    return cells.select(*key, "col_name", F.when(open_, votes.by_characters(found)).otherwise(top["value"]).alias("value"))
 
 
 def merge_by_width(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -17,17 +17,36 @@ def vote(candidates: DataFrame, key: list[str]) -> DataFrame:
     return best.select(*key, F.col("b.value").alias("value"), n.alias("votes"), "total", (n > F.floor(F.col("total") / 2)).alias("majority"))
 
 
+def counted(candidates: DataFrame, key: list[str]) -> DataFrame:
+    """(key, found): the different values of candidates(key, pos, value) with count and first place, to be decided on by column functions.
+
+    A key has as many entries as different values, so equal ones are counted before they move.
+    """
+    per = candidates.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p"))
+    return per.groupBy(*key).agg(F.collect_list(F.struct("n", "p", "value")).alias("found"))
+
+
+def total(found: Column) -> Column:
+    return F.aggregate(found, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+
+
+def most_frequent(found: Column, of=lambda x: x["value"]) -> Column:
+    """struct(m, p, value): minus the count, first place and value of the most frequent of ``found``, the first seen of equals."""
+    return F.array_min(F.transform(found, lambda x: F.struct((-total(F.filter(found, lambda y: of(y).eqNullSafe(of(x))))).alias("m"), x["p"].alias("p"), of(x).alias("value"))))
+
+
+def by_characters(found: Column) -> Column:
+    """A value seen twice, else the winners of each place among values of the most frequent length."""
+    size = most_frequent(found, lambda x: F.length(x["value"]))["value"]
+    same = F.filter(found, lambda x: F.length(x["value"]) == size)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: most_frequent(same, lambda x: F.substr(x["value"], i, F.lit(1)))["value"]), "")
+    top = most_frequent(found)
+    return F.when(top["m"] <= -2, top["value"]).otherwise(F.coalesce(F.when(size > 0, text), F.lit("")))
+
+
 def vote_characters(candidates: DataFrame, key: list[str]) -> DataFrame:
     """Text vote: a value seen twice wins, else the characters' votes among candidates of the most frequent length."""
-    top = vote(candidates, key).select(*key, F.col("value").alias("whole"), "votes")
-    lengths = candidates.withColumn("len", F.length("value")).groupBy(*key, "len").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p"))
-    length = lengths.groupBy(*key).agg(F.min(F.struct((-F.col("n")).alias("m"), "p", "len")).alias("b")).select(*key, F.col("b.len").alias("len"))
-    same = candidates.join(length, key).where(F.length("value") == F.col("len"))
-    chars = same.where("len > 0").select(*key, "pos", F.posexplode(F.split("value", "")).alias("at", "ch"))
-    won = vote(chars.select(*key, "at", "pos", F.col("ch").alias("value")), [*key, "at"])
-    text = won.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda s: s["value"]), "").alias("by_char"))
-    out = top.join(text, key, "left")
-    return out.select(*key, F.when(F.col("votes") >= 2, F.col("whole")).otherwise(F.coalesce("by_char", F.lit(""))).alias("value"))
+    return counted(candidates, key).select(*key, by_characters(F.col("found")).alias("value"))
 
 
 def fill_empty(base: DataFrame, aux: DataFrame, key: list[str]) -> DataFrame:
