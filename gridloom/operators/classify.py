@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .shared import new_folder
+
 
 def by_rule(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
     """The first class of which any keyword occurs (0.8), else the default (0.3)."""
@@ -71,41 +75,77 @@ def tfidf(docs: DataFrame, low: int = 2, high: int = 4, features: int = 3000) ->
 class Classifier:
     """Logistic regression with balanced classes on the vectors that :func:`tfidf` describes, scaled to length 1.
 
-    The vocabulary has at most ``features`` rows, so it and the coefficients are small at any number of documents.
+    The vocabulary has at most ``features`` rows, so it and the coefficients are small at any number of documents.  Documents are
+    sparse from end to end: training rows are written once to the shared folder as ``index:value`` lines and read back as sparse vectors,
+    and a prediction is a sum over a document's own n-grams.  A document without known n-grams gets what the intercepts say; rows
+    without a label teach nothing; a single label is always predicted, with confidence 1; without labels, fitting is an error.
     """
 
-    def __init__(self, docs: DataFrame, label: str, features: int = 3000, low: int = 2, high: int = 4) -> None:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.feature import IndexToString, StringIndexer
-
-        self.low, self.high = low, high
-        rows = vocabulary(gram_counts(docs, low, high), features).collect()
-        self.grams = [(r["gram"], i, r["df"]) for i, r in enumerate(rows)]
-        self.n_docs = docs.count()
-        counts = docs.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-        total = docs.agg(F.count(F.lit(1)).alias("_all"), F.countDistinct(label).alias("_k"))
-        weighted = self.vectors(docs).join(docs.select("doc_id", label), "doc_id").join(counts, label).join(F.broadcast(total)).withColumn("_w", F.col("_all") / (F.col("_k") * F.col("_n")))
-        index = StringIndexer(inputCol=label, outputCol="_label").fit(weighted)
-        fitted = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=50, regParam=1e-4).fit(index.transform(weighted))
-        self.model = Pipeline(stages=[fitted, IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)]).fit(weighted)
+    def __init__(self, grams: list[tuple[str, int, int, list[float]]], classes: list[tuple[str, float]], n_docs: int, low: int, high: int) -> None:
+        self.grams, self.classes, self.n_docs, self.low, self.high = grams, classes, n_docs, low, high
 
-    def vectors(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, _features) of docs(doc_id, text); n-grams outside the vocabulary do not count."""
-        from pyspark.ml.functions import array_to_vector
+    @classmethod
+    def fit(cls, docs: DataFrame, label: str, features: int = 3000, low: int = 2, high: int = 4) -> Classifier:
+        """From docs(doc_id, text, label)."""
+        from pyspark.ml.classification import LogisticRegression
 
         spark = docs.sparkSession
-        known = spark.createDataFrame(self.grams, "gram string, i int, df long")
-        found = gram_counts(docs, self.low, self.high).join(F.broadcast(known), "gram").select("doc_id", "i", tfidf_weight(F.col("tf"), F.col("df"), F.lit(self.n_docs)).alias("w"))
-        per = docs.select("doc_id").join(found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "doc_id", "left")
-        dense = F.transform(F.sequence(F.lit(0), F.lit(max(len(self.grams) - 1, 0))), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)))
-        return per.select("doc_id", array_to_vector(dense).alias("_features"))
+        docs = docs.select("doc_id", "text", F.col(label).cast("string").alias("label")).where("label IS NOT NULL")
+        sizes = [(r["label"], r["n"]) for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").collect()]
+        if not sizes:
+            raise ValueError("no document has a label")
+        n_docs, names = sum(n for _, n in sizes), [name for name, _ in sizes]
+        counts = gram_counts(docs, low, high)
+        known = [(r["gram"], k, r["df"]) for k, r in enumerate(vocabulary(counts, features).collect())]
+        if len(names) == 1 or not known:
+            shares = [(name, math.log(n / n_docs)) for name, n in sizes]
+            return cls([(g, k, df, [0.0] * len(names)) for g, k, df in known], shares, n_docs, low, high)
+        blank = cls([(g, k, df, []) for g, k, df in known], [], n_docs, low, high)
+        number = spark.createDataFrame([(name, k) for k, name in enumerate(names)], "label string, k int")
+        rows = docs.join(F.broadcast(number), "label").select("doc_id", "k").join(blank.vectors(docs), "doc_id", "left")
+        entry = lambda s: F.concat((s["i"] + 1).cast("string"), F.lit(":"), s["w"].cast("string"))
+        folder = new_folder(spark, "training")
+        rows.select(F.concat_ws(" ", F.col("k").cast("string"), F.transform("entries", entry))).write.text(folder)
+        read = spark.read.format("libsvm").option("numFeatures", str(len(known))).load(folder)
+        share = F.create_map(*[F.lit(x) for k, (_, n) in enumerate(sizes) for x in (float(k), n_docs / (len(sizes) * n))])
+        fitted = LogisticRegression(weightCol="weight", maxIter=50, regParam=1e-4).fit(read.withColumn("weight", share[F.col("label")]))
+        by_class, at = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+        if len(names) == 2:  # one row of coefficients says how far the second class is ahead
+            by_class, at = [[0.0] * len(known), by_class[0]], [0.0, at[0]]
+        return cls([(g, k, df, [float(c[k]) for c in by_class]) for g, k, df in known], [(name, float(b)) for name, b in zip(names, at, strict=True)], n_docs, low, high)
+
+    def found(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, i, w, coefficients): a row for each n-gram of the vocabulary that a document has."""
+        known = docs.sparkSession.createDataFrame(self.grams, "gram string, i int, df long, coefficients array<double>")
+        weight = tfidf_weight(F.col("tf"), F.col("df"), F.lit(self.n_docs))
+        return gram_counts(docs, self.low, self.high).join(F.broadcast(known), "gram").select("doc_id", "i", weight.alias("w"), "coefficients")
 
-    def predict(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, predicted, confidence)."""
-        from pyspark.ml.functions import vector_to_array
+    def vectors(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, entries): the numbers and weights of a document's n-grams, by number, scaled to length 1; documents without any have no row."""
+        per = self.found(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("l"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return per.select("doc_id", F.transform("l", lambda s: F.struct(s["i"].alias("i"), (s["w"] / F.col("norm")).alias("w"))).alias("entries"))
 
-        return self.model.transform(self.vectors(docs)).select("doc_id", "predicted", F.array_max(vector_to_array("probability")).alias("confidence"))
+    def predict(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, predicted, confidence) of each row of docs(doc_id, text); ids are unique."""
+        sums = [F.sum(F.col("w") * F.col("coefficients")[k]).alias(f"s{k}") for k in range(len(self.classes))]
+        per = self.found(docs).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *sums)
+        margins = [F.coalesce(F.col(f"s{k}") / F.col("norm"), F.lit(0.0)) + F.lit(at) for k, (_, at) in enumerate(self.classes)]
+        rows = docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.array(*margins).alias("m")).withColumn("top", F.array_max("m"))
+        share = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
+        names = F.array(*[F.lit(name) for name, _ in self.classes])
+        return rows.select("doc_id", F.element_at(names, F.array_position("m", F.col("top")).cast("int")).alias("predicted"), (1 / share).alias("confidence"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Two small tables under ``path``: classes, and n-grams with their coefficients; an older model there is replaced."""
+        spark.createDataFrame(self.grams, "gram string, i int, df long, coefficients array<double>").write.mode("overwrite").parquet(f"{path}/grams")
+        rows = [(k, name, at, self.n_docs, self.low, self.high) for k, (name, at) in enumerate(self.classes)]
+        spark.createDataFrame(rows, "k int, name string, intercept double, n_docs long, low int, high int").write.mode("overwrite").parquet(f"{path}/classes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Classifier:
+        grams = [(r["gram"], r["i"], r["df"], r["coefficients"]) for r in spark.read.parquet(f"{path}/grams").orderBy("i").collect()]
+        rows = spark.read.parquet(f"{path}/classes").orderBy("k").collect()
+        return cls(grams, [(r["name"], r["intercept"]) for r in rows], rows[0]["n_docs"], rows[0]["low"], rows[0]["high"])
 
 
 def best_of(rows: DataFrame, key: str, score: str, tie: str) -> DataFrame:

@@ -301,7 +301,7 @@ query("classifier_model")(lambda get: trained(get("SELECT p_partkey AS doc_id, p
 
 def trained(d: DataFrame) -> DataFrame:
     """Learned from the smaller parts; all are classified, so the larger ones show what it does with documents it has not seen."""
-    model = classify.Classifier(d.where("learned"), "label")
+    model = classify.Classifier.fit(d.where("learned"), "label")
     return d.select("doc_id", "label", "learned").join(model.predict(d), "doc_id").withColumn("confidence", F.round("confidence", 3))
 
 
