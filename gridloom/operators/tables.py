@@ -221,12 +221,12 @@ def place_spreads(cells: DataFrame, grid: DataFrame, occupied: DataFrame) -> Dat
 
     in_spread = F.col("col") >= F.col("gs")
     filled = occupied.join(shape, "doc_id")
-    counts = filled.where((F.col("row") < 5) & in_spread).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
-    head = counts.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "row"))["row"].alias("head"))
     offset = F.col("col") - F.col("gs")
     places = F.array_sort(F.collect_set(F.when(in_spread & (offset < F.col("spreads")), offset)))
     text = F.max(F.col("col") < F.least("gs", F.lit(3)))
-    lines = filled.join(head, "doc_id", "left").where(F.col("row") > F.coalesce("head", F.lit(0))).groupBy("doc_id", "row").agg(places.alias("occ"), text.alias("_t")).where("_t OR size(occ) > 0")
+    lines = filled.groupBy("doc_id", "row").agg(places.alias("occ"), text.alias("_t"), F.count(F.when(in_spread & (F.col("row") < 5), 1)).alias("n"))
+    fullest = F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("n"), "row"))).over(W.partitionBy("doc_id"))  # the header
+    lines = lines.withColumn("head", F.coalesce(fullest["row"], F.lit(0))).where("row > head AND (_t OR size(occ) > 0)")
     lines = lines.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("row")) - 1).select("doc_id", "_n", "occ")
 
     v = c.strip(F.col("value"))
