@@ -62,6 +62,7 @@ SELECT doc_id, tier, confidence, answer FROM r WHERE place = 1""")(lambda get: t
 #: Tables with placeholders for names: a title, a header where there is one, lines, a repeated header and a line of placeholders.
 _LINES = f"SELECT d, r + 3 AS r, a, b, 'line' AS kind FROM ({x._LINE}) l"
 _EXTRA = " UNION ALL ".join(f"SELECT DISTINCT l_orderkey, {r}, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '{kind}' FROM lineitem WHERE {when}" for r, kind, when in ((0, "title", "true"), (1, "head", "l_orderkey % 3 > 0"), (2, "waste", "l_orderkey % 2 = 0"), (99, "again", "l_orderkey % 5 < 2")))
+_PLACED = x.dealt("placed_rows", f"{_LINES} UNION ALL {_EXTRA}", "lineitem", "d")
 SHEETS = f"""
 SELECT d AS doc_id, CAST(r AS INT) AS row_idx, CAST(k AS INT) AS col_idx,
   CASE WHEN d % 4 = 0 THEN CASE k WHEN 0 THEN '구분' WHEN 1 THEN '+30' WHEN 2 THEN '-1+00' ELSE '비고' END ELSE 'Col_' || CAST(k AS STRING) END AS col_name,
@@ -75,7 +76,7 @@ SELECT d AS doc_id, CAST(r AS INT) AS row_idx, CAST(k AS INT) AS col_idx,
       WHEN 1 THEN CASE CAST(b AS INT) % 4 WHEN 0 THEN CAST(a AS STRING) || ',000' WHEN 1 THEN CAST(b AS STRING) || '.5%' WHEN 2 THEN '₩' || CAST(a AS STRING) ELSE ' -' || CAST(a AS STRING) || '.25 ' END
       WHEN 2 THEN CASE WHEN a % 3 = 0 THEN '' ELSE CAST(b AS STRING) END
       ELSE CASE WHEN b % 7 = 0 THEN '1e30' ELSE 'note' END END END AS value
-FROM ({_LINES} UNION ALL {_EXTRA}) q CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k)"""
+FROM ({_PLACED}) q CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k)"""
 ERRORS = f"SELECT doc_id, row_idx, col_idx FROM ({SHEETS}) e WHERE (row_idx + col_idx) % 5 = 3"
 #: Labels and values above a table; every seventh document has none.
 META = """
