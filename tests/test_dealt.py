@@ -32,3 +32,11 @@ def test_names_of_a_run_that_vary_by_row(spark):
 def test_parts_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(x, "PART_BYTES", 1000)
     assert x.parts(spark, f"{SF}/region.parquet") == int(spark.conf.get("spark.sql.shuffle.partitions")) < x.parts(spark, f"{SF}/lineitem.parquet")
+
+
+def test_raw_tables_move_no_cell(spark):
+    assert moves(QUERIES["raw_table_normalize"](spark, SF)) == 0
+
+
+def test_restored_headers_move_no_cell(spark):
+    assert moves(QUERIES["header_restore"](spark, SF)) == 0
