@@ -40,3 +40,21 @@ def test_raw_tables_move_no_cell(spark):
 
 def test_restored_headers_move_no_cell(spark):
     assert moves(QUERIES["header_restore"](spark, SF)) == 0
+
+
+def test_corrections_move_no_cell(spark):
+    assert moves(QUERIES["correction_events"](spark, SF)) == 0
+
+
+def test_generated_methods_can_be_compiled(spark):
+    """Of more than 8000 bytes none is, and Spark takes up to 65535 by default."""
+    QUERIES["correction_events"](spark, SF)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from gridloom.functions import cells as c
+
+    rows = [(" a b\t",), ("\n\x0b\f\r x\u00a0 ",), ("",), (" \t ",), (None,), ("가 나 ",), ("a \u2028",)]
+    found = [r[0] for r in spark.createDataFrame(rows, "v string").select(c.strip(c.F.col("v"))).collect()]
+    assert found == ["a b", "x\u00a0", "", "", None, "가 나", "a \u2028"]
