@@ -58,3 +58,22 @@ def test_white_space_of_any_kind_is_stripped(spark):
     rows = [(" a b\t",), ("\n\x0b\f\r x\u00a0 ",), ("",), (" \t ",), (None,), ("가 나 ",), ("a \u2028",)]
     found = [r[0] for r in spark.createDataFrame(rows, "v string").select(c.strip(c.F.col("v"))).collect()]
     assert found == ["a b", "x\u00a0", "", "", None, "가 나", "a \u2028"]
+
+
+def test_names_move_no_cell(spark):
+    plan = QUERIES["entity_table_correct"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(" in x and "value" in x.split("]")[0]]
+
+
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_names_are_corrected_whichever_join(spark, limit):
+    cells = spark.createDataFrame([(d, 0, k, "회사명" if k == 0 else "x", v) for d in range(3) for k, v in ((0, "firm on"), (1, None), (2, ""), (7, "firm on"))], "doc_id long, row_idx int, col_idx int, col_name string, value string")
+    known = spark.createDataFrame([("company", "firm one", 5)], "kind string, canonical_name string, frequency long")
+    variants = spark.createDataFrame([], "kind string, variant_text string, canonical_name string, occurrence_count long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        out = sorted((r["doc_id"], r["col_idx"], r["value"], r["tier"]) for r in tables.correct_names(cells, known, variants).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert out == [(d, *x) for d in range(3) for x in ((0, "firm one", "fuzzy"), (1, None, None), (2, "", None), (7, "firm on", None))]
