@@ -77,3 +77,9 @@ def test_names_are_corrected_whichever_join(spark, limit):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert out == [(d, *x) for d in range(3) for x in ((0, "firm one", "fuzzy"), (1, None, None), (2, "", None), (7, "firm on", None))]
+
+
+@pytest.mark.parametrize("name", ["sheet_plan", "spread_realign"])
+def test_plans_and_spreads_move_no_cell(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if " Exchange hashpartitioning(" in x and "row_idx" in x.split("Exchange")[1].split("), ")[0]]
