@@ -249,6 +249,7 @@ def possible_groups(classes: DataFrame, radius: int, agree: float, block: int =
     masks = partition_keys(blocks_for(classes.count(), CLOSE), CLOSE)
     keys = F.concat(F.transform("bands", lambda v, k: F.struct(k.alias("k"), v.cast("long").alias("v"))), F.transform(mask_keys(masks), lambda s: F.struct((s["k"] + BANDS).alias("k"), s["v"].alias("v"))))
     rows = classes.select("id", "fp", "sketch", F.explode(keys).alias("p")).select(F.col("p.k").alias("k"), F.col("p.v").alias("v"), "id", "fp", "sketch")
+    rows = written(rows, "dealt")  # read several times, and more often when some partition is large
     return linear_components(rows, ["k", "v"], lambda t: possible_pairs(t, radius, agree), block)
 
 

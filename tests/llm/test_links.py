@@ -100,3 +100,13 @@ def test_recall_by_similarity(spark):
         assert len(band) > 50 and sum(group[i] == group[j] for i, j in band) >= 0.99 * len(band)
     want = plain_components(len(texts), [(i, j) for s, i, j in pairs if s >= 0.8])
     assert sum(group[i] == want[i] for i in range(len(texts))) >= 0.99 * len(texts) and all(want[group[i]] == want[i] for i in range(len(texts)))
+
+
+def test_partitions_are_made_once(spark, monkeypatch):
+    """Whatever reads the dealt rows again, also in large groups, reads files."""
+    given = []
+    monkeypatch.setattr(simhash, "linear_components", lambda rows, *_: given.append(rows) or rows)
+    classes = spark.createDataFrame([(i, i, bytes(simhash.SKETCH // 2), [0] * simhash.BANDS) for i in range(5)], "id long, fp long, sketch binary, bands array<int>")
+    simhash.possible_groups(classes, 28, 0.5)
+    assert "Generate" not in given[0]._jdf.queryExecution().executedPlan().toString()
+    assert given[0].count() == 5 * (simhash.BANDS + len(simhash.partition_keys(4, simhash.CLOSE)))
