@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 
 from .shared import new_folder
 
+#: Text for each part that documents are dealt to before their n-grams are made.
+PART_BYTES = 1 << 18
+
 
 def by_rule(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
     """The first class of which any keyword occurs (0.8), else the default (0.3)."""
@@ -50,7 +53,14 @@ def char_ngrams(text: Column, low: int, high: int) -> Column:
     return F.flatten(F.array(*grams))
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) in parts of bounded text, by ``doc_id``: their n-grams, a multiple of the texts, fit into a task and are counted where they stand."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), "doc_id")
+
+
 def gram_counts(docs: DataFrame, low: int, high: int) -> DataFrame:
+    """(doc_id, gram, tf); no n-gram is moved where docs lie by ``doc_id``."""
     return docs.select("doc_id", F.explode(char_ngrams(F.col("text"), low, high)).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -66,7 +76,7 @@ def tfidf_weight(tf: Column, df: Column, n_docs: Column) -> Column:
 
 def tfidf(docs: DataFrame, low: int = 2, high: int = 4, features: int = 3000) -> DataFrame:
     """docs(doc_id, text): sublinear TF-IDF of the most frequent n-grams (then first by code points)."""
-    counts = gram_counts(docs, low, high)
+    counts = gram_counts(dealt(docs.select("doc_id", "text")), low, high)
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     kept = counts.join(F.broadcast(vocabulary(counts, features)), "gram").join(F.broadcast(n))
     return kept.select("doc_id", "gram", tfidf_weight(F.col("tf"), F.col("df"), F.col("n_docs")).alias("weight"))
@@ -95,6 +105,7 @@ class Classifier:
         if not sizes:
             raise ValueError("no document has a label")
         n_docs, names = sum(n for _, n in sizes), [name for name, _ in sizes]
+        docs = dealt(docs)
         counts = gram_counts(docs, low, high)
         known = [(r["gram"], k, r["df"]) for k, r in enumerate(vocabulary(counts, features).collect())]
         if len(names) == 1 or not known:
@@ -127,6 +138,7 @@ class Classifier:
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """(doc_id, predicted, confidence) of each row of docs(doc_id, text); ids are unique."""
+        docs = dealt(docs.select("doc_id", "text"))
         sums = [F.sum(F.col("w") * F.col("coefficients")[k]).alias(f"s{k}") for k in range(len(self.classes))]
         per = self.found(docs).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *sums)
         margins = [F.coalesce(F.col(f"s{k}") / F.col("norm"), F.lit(0.0)) + F.lit(at) for k, (_, at) in enumerate(self.classes)]
