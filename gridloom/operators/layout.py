@@ -144,17 +144,18 @@ def cluster_positions(positions: DataFrame, wanted: DataFrame) -> DataFrame:
 
     With k different positions or fewer, these stay and more follow at steps of 100 after the last.
     """
-    w = W.partitionBy("doc_id").orderBy("pos")
-    p = positions.select("doc_id", "pos").distinct().join(wanted, "doc_id")
-    p = p.withColumn("i", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(W.partitionBy("doc_id"))).withColumn("gap", F.lead("pos").over(w) - F.col("pos"))
-    few = p.where("m <= k")
-    last = few.groupBy("doc_id").agg(F.max("pos").alias("last"), F.first("m").alias("m"), F.first("k").alias("k")).where("k > m")
-    more = last.select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("k") - F.col("m")).cast("int"))).alias("n"), "last", "m")
-    kept = few.select("doc_id", (F.col("i") - 1).cast("int").alias("idx"), F.col("pos").alias("center")).unionByName(more.select("doc_id", (F.col("m") + F.col("n") - 1).cast("int").alias("idx"), (F.col("last") + 100 * F.col("n")).alias("center")))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("gap").desc_nulls_last(), F.desc("i")))
-    cut = p.where("m > k").withColumn("cut", F.when(F.col("gap").isNotNull() & (rank <= F.col("k") - 1), 1).otherwise(0))
-    cut = cut.withColumn("idx", F.coalesce(F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    return kept.unionByName(cut.groupBy("doc_id", "idx").agg(F.avg("pos").alias("center")))
+    of = W.partitionBy("doc_id")
+    w = of.orderBy("pos")
+    p = positions.select("doc_id", "pos").repartition("doc_id").distinct().join(wanted, "doc_id")  # moved once, by document
+    p = p.withColumn("i", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).withColumn("gap", F.lead("pos").over(w) - F.col("pos"))
+    rank = F.row_number().over(of.orderBy(F.col("gap").desc_nulls_last(), F.desc("i")))
+    few = F.col("m") <= F.col("k")  # every position is a group
+    p = p.withColumn("cut", F.when(few | (F.col("gap").isNotNull() & (rank <= F.col("k") - 1)), 1).otherwise(0))
+    p = p.withColumn("idx", F.coalesce(F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    groups = p.groupBy("doc_id", "idx").agg(F.avg("pos").alias("center"), F.first("m").alias("m"), F.first("k").alias("k"))
+    more = F.when((F.col("idx") == F.col("m") - 1) & (F.col("k") > F.col("m")), F.sequence(F.lit(0), (F.col("k") - F.col("m")).cast("int"))).otherwise(F.array(F.lit(0)))
+    groups = groups.withColumn("n", F.explode(more))
+    return groups.select("doc_id", (F.col("idx") + F.col("n")).alias("idx"), (F.col("center") + 100 * F.col("n")).alias("center"))
 
 
 def column_places(boxes: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -108,3 +108,27 @@ def test_numbers_without_marks(spark):
     rows = ["₩ 1,2 원", "5%%", "5%,", "%", "1 2\t3%", "-.5e3 원%", "1d", "", None, "원"]
     found = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "v string").select(c.parse_numeric(c.F.col("v"))).collect()]
     assert found == [12.0, 5.0, None, None, 123.0, -500.0, None, None, None, None]
+
+
+def test_n_grams_are_not_moved(spark, monkeypatch):
+    from gridloom.operators import classify
+
+    docs = spark.createDataFrame([(d, f"ab{d % 3} cd") for d in range(40)], "doc_id long, text string")
+    counts = classify.gram_counts(classify.dealt(docs), 2, 4)
+    assert "Exchange hashpartitioning(doc_id" not in counts._jdf.queryExecution().optimizedPlan().toString() and "gram" not in "".join(x for x in counts._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    monkeypatch.setattr(classify, "PART_BYTES", 20)
+    assert classify.dealt(docs).rdd.getNumPartitions() == 12  # 240 bytes; with texts, not with the session, grows the number of tasks
+
+
+def test_positions_are_moved_once(spark):
+    plan = QUERIES["cluster_positions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.split("\n") if "Exchange hashpartitioning(" in x and "pos" in x.split("hashpartitioning")[1].split(")")[0]]) == 0 and plan.count("Exchange hashpartitioning(doc_id") <= 2
+
+
+def test_shuffles_start_with_more_partitions_for_larger_tables(spark, monkeypatch):
+    monkeypatch.setattr(x, "SHUFFLE_BYTES", 10000)
+    QUERIES["cluster_positions"](spark, SF)
+    assert int(spark.conf.get(x.PARTITIONS)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.undo()
+    QUERIES["cluster_positions"](spark, SF)
+    assert int(spark.conf.get(x.PARTITIONS)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
