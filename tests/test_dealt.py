@@ -132,3 +132,20 @@ def test_shuffles_start_with_more_partitions_for_larger_tables(spark, monkeypatc
     monkeypatch.undo()
     QUERIES["cluster_positions"](spark, SF)
     assert int(spark.conf.get(x.PARTITIONS)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_merged_cells_are_not_moved(spark):
+    assert moves(QUERIES["merge_by_width"](spark, SF)) == 0
+
+
+def test_merge_of_documents_of_one_side(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "doc_id string, row_idx int, col_idx int, value string")
+    first = cells([("a", 0, 0, "x"), ("b", 0, 0, " "), ("b", 0, 1, "z"), ("d", 0, 0, "p")])
+    second = cells([("b", 0, 0, " y "), ("b", 1, 0, "w"), ("c", 0, 0, "v"), ("d", 0, 0, "q"), ("d", 0, 1, ""), ("d", 1, 0, None)])
+    out = tables.merge_by_width(first, second)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 0, "x", False), ("b", 0, 0, "y", True), ("b", 0, 1, "z", False), ("c", 0, 0, "v", False), ("d", 0, 0, "q", False), ("d", 0, 1, "", False)]
+
+
+def test_changed_cells_are_moved_by_file_only(spark):
+    plan = QUERIES["output_changes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(path" in x and "sheet" in x.split("hashpartitioning")[1].split("), ")[0]]
