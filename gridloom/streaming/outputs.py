@@ -36,10 +36,11 @@ def register_outputs(spark: SparkSession, folder: str, state: str) -> None:
 
 def changes(now: DataFrame, before: DataFrame) -> DataFrame:
     """(path, modified, sheet, row, col, col_name, original, corrected, kind): cells of ``now`` against the newest older snapshot of their file."""
+    now, before = now.repartition("path"), before.repartition("path")  # all that follows works within a file, so cells are moved once
     files = now.select("path", F.col("modified").alias("at")).distinct()
-    older = before.join(files, "path").where("modified < at")
-    newest = older.groupBy("path", "at").agg(F.max("modified").alias("modified"))
-    base = older.join(newest, ["path", "at", "modified"]).dropDuplicates([*PLACE, "at"]).select(*PLACE, F.col("at").alias("modified"), F.col("value").alias("_value"), F.col("number").alias("_number"))
+    newest = F.max("modified").over(W.partitionBy("path", "at"))
+    older = before.join(files, "path").where("modified < at").withColumn("_newest", newest).where("modified = _newest")
+    base = older.dropDuplicates([*PLACE, "at"]).select(*PLACE, F.col("at").alias("modified"), F.col("value").alias("_value"), F.col("number").alias("_number"))
     name = F.max(F.when(F.col("row") == F.col("head"), F.col("value"))).over(W.partitionBy("path", "modified", "sheet", "col"))
     rows = now.withColumn("col_name", F.coalesce(name, F.lit(""))).where("row > head").join(base, [*PLACE, "modified"])
     old, new = c.strip(F.col("_value")), c.strip(F.col("value"))
