@@ -149,3 +149,14 @@ def test_merge_of_documents_of_one_side(spark):
 def test_changed_cells_are_moved_by_file_only(spark):
     plan = QUERIES["output_changes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(path" in x and "sheet" in x.split("hashpartitioning")[1].split("), ")[0]]
+
+
+def test_words_are_not_moved_to_their_type(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["keyword_fingerprint"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    generated = plan.index("Generate explode")
+    assert "Exchange hashpartitioning(doc_id" not in plan[:generated]
