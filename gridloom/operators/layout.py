@@ -74,7 +74,8 @@ def assign_columns(boxes: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def _candidates(boxes: DataFrame, grid: DataFrame) -> DataFrame:
-    return boxes.join(grid, "doc_id")
+    """Boxes are few beside the cells of a grid, so cells look them up and are not sorted for it."""
+    return grid.join(boxes.hint("shuffle_hash"), "doc_id")
 
 
 def boxes_to_cells(boxes: DataFrame, grid: DataFrame) -> DataFrame:
@@ -91,11 +92,11 @@ def boxes_to_cells(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     return won.groupBy("doc_id", F.col("b.row").alias("row"), F.col("b.col").alias("col")).agg(text.alias("value"))
 
 
-def boxes_to_smallest(boxes: DataFrame, grid: DataFrame) -> DataFrame:
-    """Each box in the smallest cell that holds its center; boxes outside all cells are left out."""
+def boxes_to_smallest(boxes: DataFrame, grid: DataFrame, *kept: str) -> DataFrame:
+    """Each box in the smallest cell that holds its center, with those columns of its own that are to be kept; boxes outside all cells are left out."""
     area = (F.col("gx_max") - F.col("gx_min")) * (F.col("gy_max") - F.col("gy_min"))
     inside = F.col("x_center").between(F.col("gx_min"), F.col("gx_max")) & F.col("y_center").between(F.col("gy_min"), F.col("gy_max"))
-    return _candidates(boxes, grid).where(inside).groupBy("doc_id", "box_id").agg(F.min(F.struct(area.alias("a"), "row", "col")).alias("b")).select("doc_id", "box_id", "b.row", "b.col")
+    return _candidates(boxes, grid).where(inside).groupBy("doc_id", "box_id").agg(F.min(F.struct(area.alias("a"), "row", "col", *kept)).alias("b")).select("doc_id", "box_id", "b.row", "b.col", *[f"b.{x}" for x in kept])
 
 
 def cells_by_overlap(boxes: DataFrame, grid: DataFrame) -> DataFrame:

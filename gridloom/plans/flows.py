@@ -62,7 +62,7 @@ SELECT doc_id, tier, confidence, answer FROM r WHERE place = 1""")(lambda get: t
 #: Tables with placeholders for names: a title, a header where there is one, lines, a repeated header and a line of placeholders.
 _LINES = f"SELECT d, r + 3 AS r, a, b, 'line' AS kind FROM ({x._LINE}) l"
 _EXTRA = " UNION ALL ".join(f"SELECT DISTINCT l_orderkey, {r}, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '{kind}' FROM lineitem WHERE {when}" for r, kind, when in ((0, "title", "true"), (1, "head", "l_orderkey % 3 > 0"), (2, "waste", "l_orderkey % 2 = 0"), (99, "again", "l_orderkey % 5 < 2")))
-_PLACED = x.dealt("placed_rows", f"{_LINES} UNION ALL {_EXTRA}", "lineitem", "d")
+_PLACED = x.dealt("placed_rows", f"{_LINES} UNION ALL {_EXTRA}")
 SHEETS = f"""
 SELECT d AS doc_id, CAST(r AS INT) AS row_idx, CAST(k AS INT) AS col_idx,
   CASE WHEN d % 4 = 0 THEN CASE k WHEN 0 THEN '구분' WHEN 1 THEN '+30' WHEN 2 THEN '-1+00' ELSE '비고' END ELSE 'Col_' || CAST(k AS STRING) END AS col_name,
@@ -191,8 +191,8 @@ def inputs(get) -> conversion.Inputs:
 query("conversion_cells", None, f"WITH {CHAIN} SELECT doc_id, row_idx, col_idx, col_name, value, route FROM fin")(lambda get: conversion.convert(inputs(get)).cells)
 
 #: Titles and lists of a table of its own, so that all kinds of events occur.
-LEARN_META = "SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE '수요 예측 결과' END AS title, CAST(l_orderkey % 2 AS INT) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem) q"
-LEARN_TYPES = "SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN l_orderkey % 5 = 0 THEN 'demand_forecast' ELSE 'default' END AS doc_type FROM lineitem"
+LEARN_META = f"SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE '수요 예측 결과' END AS title, CAST(l_orderkey % 2 AS INT) AS n FROM ({x.dealt('learn_docs', 'SELECT DISTINCT l_orderkey FROM lineitem')}) q"
+LEARN_TYPES = x.dealt("learn_types", "SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN l_orderkey % 5 = 0 THEN 'demand_forecast' ELSE 'default' END AS doc_type FROM lineitem")
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace({0}, '[^\p{{L}}\p{{N}}_]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2 AND w NOT IN ('으로'))"
 _EMPTY = "NULL::INT, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR"
 EVENTS = rf"""

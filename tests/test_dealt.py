@@ -160,3 +160,18 @@ def test_words_are_not_moved_to_their_type(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     generated = plan.index("Generate explode")
     assert "Exchange hashpartitioning(doc_id" not in plan[:generated]
+
+
+def test_cells_of_grids_are_neither_moved_nor_sorted(spark):
+    """Lines are dealt by document before boxes and grids are made of them; boxes and their texts are looked up."""
+    plan = QUERIES["grid_table"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in "".join(x for x in plan.split("\n") if " Exchange hashpartitioning(" in x)
+    assert "SortMergeJoin" not in plan
+
+
+def test_grid_of_texts_in_few_columns(spark):
+    boxes = spark.createDataFrame([("a", 0, "회사명", 5.0, 5.0), ("a", 1, "b", 5.0, 15.0), ("a", 2, "a", 6.0, 15.0), ("a", 3, " ", 15.0, 5.0), ("b", 0, "x", 5.0, 5.0)], "doc_id string, box_id int, text string, x_center double, y_center double")
+    cells = [(d, r, k, 10.0 * k, 10.0 * k + 9, 10.0 * r, 10.0 * r + 9) for d in "abc" for r in range(2) for k in range(3)]
+    grid = spark.createDataFrame(cells, "doc_id string, row int, col int, gx_min double, gx_max double, gy_min double, gy_max double")
+    out = tables.grid_tables(boxes, grid)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 0, "회사명", "b a"), ("a", 0, 1, "Col_1", ""), ("a", 0, 2, "Col_2", "")]
