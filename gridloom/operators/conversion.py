@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning, sheets, tables, validate
-from .shared import checkpointed
+from .shared import checkpointed, kept
 
 CELLS = ["doc_id", "row_idx", "col_idx", "col_name", "value"]
 
@@ -42,16 +42,21 @@ class Outputs:
 
 
 def extracted(i: Inputs) -> DataFrame:
-    """Cells with their route."""
+    """Cells with their route.  They are written by route as they are made, so what follows reads them and neither boxes nor raw tables."""
     by = lambda d, route: d.select(*CELLS).withColumn("route", F.lit(route))
     hit = i.documents.join(i.cache, "content_hash")
-    known = hit.select("doc_id").distinct()
-    open_ = lambda d: d.join(known, "doc_id", "left_anti")
-    raw = tables.normalize_raw(open_(i.raw))
-    boxed = open_(i.boxes).join(i.raw.select("doc_id").distinct(), "doc_id", "left_anti")
-    first = checkpointed(by(hit, "cached").unionByName(by(raw, "raw")).unionByName(by(tables.grid_tables(boxed, i.grid), "ruled")))
-    rest = boxed.join(first.select("doc_id").distinct(), "doc_id", "left_anti")
-    return first.unionByName(by(tables.line_tables(rest, i.documents.select("doc_id", "height")), "lines"))
+    closed = hit.select("doc_id", F.lit(True).alias("cached")).unionByName(i.raw.select("doc_id", F.lit(False).alias("cached")))
+    closed = kept(closed.groupBy("doc_id").agg(F.max("cached").alias("cached")), "closed")  # documents whose boxes are not looked at
+    raw = tables.normalize_raw(i.raw.join(closed.where("cached").select("doc_id"), "doc_id", "left_anti"))
+    boxed = i.boxes.join(closed.select("doc_id"), "doc_id", "left_anti")
+    first = kept(by(hit, "cached").unionByName(by(raw, "raw")).unionByName(by(tables.grid_tables(boxed, i.grid), "ruled")), "cells")
+    rest = boxed.join(first.where("route = 'ruled'").select("doc_id").distinct(), "doc_id", "left_anti")
+    return first.unionByName(kept(by(tables.line_tables(rest, i.documents.select("doc_id", "height")), "lines"), "cells"))
+
+
+def corrected(i: Inputs) -> DataFrame:
+    """The cells of all documents with corrected names, and their route, which comes along with each cell."""
+    return tables.correct_table(extracted(i), list(i.pairs), i.known, i.variants, True).select(*CELLS, "route")
 
 
 def document_types(cells: DataFrame, titles: DataFrame, documents: DataFrame) -> DataFrame:
@@ -63,11 +68,8 @@ def document_types(cells: DataFrame, titles: DataFrame, documents: DataFrame) ->
 
 def convert(i: Inputs) -> Outputs:
     """All outputs of a batch of documents."""
-    raw = extracted(i)
-    routes = raw.select("doc_id", "route").distinct()
-    right = tables.correct_table(raw.select(*CELLS), list(i.pairs), i.known, i.variants, True).select(*CELLS)
-    cells = checkpointed(right.join(routes, "doc_id"))
-    above = tables.metadata(i.boxes.join(routes.select("doc_id"), "doc_id", "left_semi"), tables.header_line(i.boxes, i.documents.select("doc_id", "height")))
+    cells = checkpointed(corrected(i))
+    above = tables.metadata(i.boxes.join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), tables.header_line(i.boxes, i.documents.select("doc_id", "height")))
     pairs = lambda side: F.transform(side, lambda t: F.struct(t.alias("label"), F.lit("").alias("value"))).alias(side)
     metadata = checkpointed(above.select("doc_id", "title", pairs("info"), pairs("market_info")))
     types = checkpointed(document_types(cells, metadata.select("doc_id", "title"), i.documents))

@@ -188,7 +188,7 @@ def inputs(get) -> conversion.Inputs:
     return conversion.Inputs(get(DOCUMENTS), get(NAMED_BOXES), get(GRIDS), get(RAWS), get(CACHE), get(KNOWN), get(KNOWN_VARIANTS), PAIRS)
 
 
-query("conversion_cells", None, f"WITH {CHAIN} SELECT doc_id, row_idx, col_idx, col_name, value, route FROM fin")(lambda get: conversion.convert(inputs(get)).cells)
+query("conversion_cells", None, f"WITH {CHAIN} SELECT doc_id, row_idx, col_idx, col_name, value, route FROM fin")(lambda get: conversion.corrected(inputs(get)))
 
 #: Titles and lists of a table of its own, so that all kinds of events occur.
 LEARN_META = f"SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE '수요 예측 결과' END AS title, CAST(l_orderkey % 2 AS INT) AS n FROM ({x.dealt('learn_docs', 'SELECT DISTINCT l_orderkey FROM lineitem')}) q"

@@ -175,3 +175,20 @@ def test_grid_of_texts_in_few_columns(spark):
     grid = spark.createDataFrame(cells, "doc_id string, row int, col int, gx_min double, gx_max double, gy_min double, gy_max double")
     out = tables.grid_tables(boxes, grid)
     assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 0, "회사명", "b a"), ("a", 0, 1, "Col_1", ""), ("a", 0, 2, "Col_2", "")]
+
+
+def test_lines_place_their_boxes_once(spark):
+    """Boxes are read for the header's place and for the rows, and rows are not joined with themselves."""
+    boxes = spark.range(9).selectExpr("id % 2 AS doc_id", "CAST(id AS INT) AS box_id", "CAST(id AS STRING) AS text", "CAST(id AS DOUBLE) AS x_center", "CAST(30 * (id div 4) AS DOUBLE) AS y_center", "CAST(500 AS DOUBLE) AS y_min")
+    pages = spark.createDataFrame([(0, 100.0), (1, 100.0)], "doc_id long, height double")
+    out = tables.line_tables(boxes, pages)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 9") == 2
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 0, 0, "0", "4"), (0, 0, 1, "2", "6"), (0, 1, 0, "0", "8"), (0, 1, 1, "2", ""), (1, 0, 0, "1", "5"), (1, 0, 1, "3", "7")]
+
+
+def test_routes_come_along_with_corrected_cells(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "회사명", "firm on", "lines"), (1, 0, 1, "x", None, "raw")], "doc_id long, row_idx int, col_idx int, col_name string, value string, route string")
+    known = spark.createDataFrame([("company", "firm one", 5)], "kind string, canonical_name string, frequency long")
+    variants = spark.createDataFrame([], "kind string, variant_text string, canonical_name string, occurrence_count long")
+    out = tables.correct_table(cells, [("on", "on")], known, variants, True)
+    assert sorted((r["col_idx"], r["value"], r["route"]) for r in out.collect()) == [(0, "firm one", "lines"), (1, None, "raw")]
