@@ -39,7 +39,10 @@ def words(text: Column, weight: float) -> Column:
     return F.transform(c.tokens(F.coalesce(text, F.lit(""))), lambda w: event("keyword", w, weight=weight))
 
 
-def column_events(values: Column) -> Column:
+KINDS = ("column", "header", "keyword", "metadata", "number", "entity")
+
+
+def column_events(values: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """The events of one column from its (row_idx, value), sorted: its place, its words, its numbers, and names where it is one of the first two."""
     name, place = c.strip(F.col("col_name")), F.col("col_idx")
     named = (name != "") & ~name.startswith("Col_")
@@ -48,33 +51,35 @@ def column_events(values: Column) -> Column:
     numbers = F.filter(F.transform(values, lambda v: c.safe_float(v["value"])), lambda x: x.isNotNull())
     kind = F.when(place == 0, "company").when(place == 1, "department")
     none = F.array().cast(f"array<{EVENT}>")
-    return F.concat(
-        F.when(named, F.array(event("column", name, place))).otherwise(none),
-        words(F.col("col_name"), 2.0),
-        F.when(place == 0, F.flatten(F.transform(F.slice(texts, 1, FIRST_VALUES), lambda v: words(v, 1.0)))).otherwise(none),
-        F.transform(numbers, lambda x: event("number", F.col("col_name"), number=x)),
-        F.when((place < 2) & (F.col("columns") >= 4), F.transform(stripped, lambda v: event("entity", v, text=kind))).otherwise(none),
-    )
+    parts = {
+        "column": [F.when(named, F.array(event("column", name, place))).otherwise(none)],
+        "keyword": [words(F.col("col_name"), 2.0), F.when(place == 0, F.flatten(F.transform(F.slice(texts, 1, FIRST_VALUES), lambda v: words(v, 1.0)))).otherwise(none)],
+        "number": [F.transform(numbers, lambda x: event("number", F.col("col_name"), number=x))],
+        "entity": [F.when((place < 2) & (F.col("columns") >= 4), F.transform(stripped, lambda v: event("entity", v, text=kind))).otherwise(none)],
+    }
+    return F.concat(none, *[x for kind_, found in parts.items() if kind_ in kinds for x in found])
+
 
+def learn(cells: DataFrame, types: DataFrame, metadata: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Events of cells(doc_id, row_idx, col_idx, col_name, value); types(doc_id, doc_type), metadata(doc_id, title, info, market_info) with lists of (label, value).
 
-def learn(cells: DataFrame, types: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """Events of cells(doc_id, row_idx, col_idx, col_name, value); types(doc_id, doc_type), metadata(doc_id, title, info, market_info) with lists of (label, value)."""
+    Events of other kinds than those asked for are not made.  Cells are read once: what is told of a table as a whole goes along with its first column.
+    """
     by_doc = cells.select("doc_id", "row_idx", "col_idx", "col_name", F.coalesce("value", F.lit("")).alias("value")).repartition("doc_id")
     columns = by_doc.groupBy("doc_id", "col_idx", "col_name").agg(F.array_sort(F.collect_list(F.struct("row_idx", "value"))).alias("values"))
     docs = columns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "col_name", "values"))).alias("columns"))
-    flat = docs.select("doc_id", F.size("columns").alias("columns"), F.col("columns").alias("all"), F.inline("columns")).select("doc_id", "columns", "col_idx", "col_name", "values", "all")
-    of_columns = flat.select("doc_id", F.inline(column_events(F.col("values"))))
     names = F.filter(F.transform("columns", lambda x: c.strip(x["col_name"])), lambda n: (n != "") & ~n.startswith("Col_"))
     height = F.array_max(F.transform("columns", lambda x: F.element_at(x["values"], -1)["row_idx"])) + 1
-    headers = docs.select("doc_id", F.inline(F.when(F.size(names) >= LEAST_HEADERS, F.array(event("header", text=F.to_json(names), number=height)))))
-    out = of_columns.unionByName(headers)
-    if metadata is not None:
+    none = F.array().cast(f"array<{EVENT}>")
+    header = F.when(F.size(names) >= LEAST_HEADERS, F.array(event("header", text=F.to_json(names), number=height)).cast(f"array<{EVENT}>")).otherwise(none) if "header" in kinds else none
+    flat = docs.select("doc_id", F.size("columns").alias("columns"), header.alias("header"), F.posexplode("columns").alias("place", "own")).select("doc_id", "columns", F.when(F.col("place") == 0, F.col("header")).otherwise(none).alias("header"), "own.*")
+    out = flat.select("doc_id", F.inline(F.concat("header", column_events(F.col("values"), kinds))))
+    if metadata is not None and {"keyword", "metadata"} & set(kinds):
         labels = lambda side: F.filter(F.transform(side, lambda p: p["label"]), lambda x: x.isNotNull())
         told = lambda name, side: F.when(F.size(side) > 0, F.array(event("metadata", F.lit(name), text=F.to_json(labels(side)))))
-        none = F.array().cast(f"array<{EVENT}>")
         title = F.when(F.col("title") != "", F.array(event("metadata", F.lit("title_sample"), text=F.col("title"))))
-        above = F.concat(words(F.col("title"), 3.0), *[F.coalesce(x, none) for x in (told("info_labels", F.col("info")), told("market_info_labels", F.col("market_info")), title)])
-        out = out.unionByName(metadata.select("doc_id", F.inline(above)))
+        parts = {"keyword": [words(F.col("title"), 3.0)], "metadata": [told("info_labels", F.col("info")), told("market_info_labels", F.col("market_info")), title]}
+        out = out.unionByName(metadata.select("doc_id", F.inline(F.concat(none, *[F.coalesce(x, none) for kind, found in parts.items() if kind in kinds for x in found]))))
     return out.join(types.select("doc_id", "doc_type"), "doc_id").select("kind", "doc_type", "doc_id", "name", "position", "weight", "number", "text")
 
 

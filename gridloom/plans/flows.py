@@ -212,13 +212,13 @@ ev AS (
 lv AS MATERIALIZED (SELECT kind, doc_type, doc_id, name, "position", weight, number, text FROM ev JOIN ty USING (doc_id))"""
 
 
-def learned_events(get) -> DataFrame:
+def learned_events(get, kinds: tuple[str, ...] = learning.KINDS) -> DataFrame:
     pair = "named_struct('label', '발행', 'value', 'x')"
     meta = get(f"SELECT doc_id, title, CASE WHEN n = 1 THEN array({pair}) ELSE slice(array({pair}), 1, 0) END AS info, slice(array({pair}), 1, 0) AS market_info FROM ({LEARN_META}) q")
-    return learning.learn(get(SHEETS), get(LEARN_TYPES), meta)
+    return learning.learn(get(SHEETS), get(LEARN_TYPES), meta, kinds)
 
 
-query("learn_events", None, f"WITH {EVENTS} SELECT * FROM lv")(learned_events)
+query("learn_events", None, f"WITH {EVENTS} SELECT * FROM lv")(lambda get: learned_events(get))
 
 STATE_SQL = {
     "keywords": "SELECT doc_type, name, count(*) AS n, max(weight) AS weight FROM lv WHERE kind = 'keyword' GROUP BY 1, 2",
@@ -227,11 +227,14 @@ STATE_SQL = {
 }
 
 
+KIND_OF = {"keywords": "keyword", "entities": "entity", "numbers": "number"}
+
+
 def state_query(kind: str):
     """The state of one kind after three batches, the second of them twice, with a compaction in between."""
 
     def run(get) -> DataFrame:
-        events = learned_events(get)
+        events = learned_events(get, (KIND_OF[kind],))
         state = learning.State(events.sparkSession, new_folder(events.sparkSession, "state"), learning.AGGREGATES[kind])
         for turn, rest in enumerate((0, 1, 1, 2)):
             state.add(f"b{rest}", events.where(F.pmod("doc_id", F.lit(3)) == rest))
