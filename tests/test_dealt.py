@@ -192,3 +192,20 @@ def test_routes_come_along_with_corrected_cells(spark):
     variants = spark.createDataFrame([], "kind string, variant_text string, canonical_name string, occurrence_count long")
     out = tables.correct_table(cells, [("on", "on")], known, variants, True)
     assert sorted((r["col_idx"], r["value"], r["route"]) for r in out.collect()) == [(0, "firm one", "lines"), (1, None, "raw")]
+
+
+def test_learned_variants_read_cells_once(spark):
+    """The query's cells are read to count their names; what follows reads what was counted."""
+    plan = QUERIES["learned_variants"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_only_events_asked_for_are_made(spark):
+    from gridloom.operators import learning
+
+    cells = spark.range(4).selectExpr("id % 2 AS doc_id", "CAST(id div 2 AS INT) AS row_idx", "0 AS col_idx", "'이름' AS col_name", "CAST(id AS STRING) AS value")
+    types = spark.createDataFrame([(0, "x"), (1, "y")], "doc_id long, doc_type string")
+    events = learning.learn(cells, types)
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 4") == 1
+    some = learning.learn(cells, types, kinds=("number",))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, events.where("kind = 'number'").collect())) and some.count() == 4
