@@ -60,27 +60,30 @@ def column_events(values: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     return F.concat(none, *[x for kind_, found in parts.items() if kind_ in kinds for x in found])
 
 
-def learn(cells: DataFrame, types: DataFrame, metadata: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def learn(cells: DataFrame, types: DataFrame, metadata: DataFrame | None = None, kinds: tuple[str, ...] = KINDS, dealt: bool = False) -> DataFrame:
     """Events of cells(doc_id, row_idx, col_idx, col_name, value); types(doc_id, doc_type), metadata(doc_id, title, info, market_info) with lists of (label, value).
 
     Events of other kinds than those asked for are not made.  Cells are read once: what is told of a table as a whole goes along with its first column.
+    Cells that are ``dealt`` by document already, to whatever number of parts, are not moved.
     """
-    by_doc = cells.select("doc_id", "row_idx", "col_idx", "col_name", F.coalesce("value", F.lit("")).alias("value")).repartition("doc_id")
+    by_doc = cells.select("doc_id", "row_idx", "col_idx", "col_name", F.coalesce("value", F.lit("")).alias("value"))
+    by_doc = by_doc if dealt else by_doc.repartition("doc_id")
     columns = by_doc.groupBy("doc_id", "col_idx", "col_name").agg(F.array_sort(F.collect_list(F.struct("row_idx", "value"))).alias("values"))
-    docs = columns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "col_name", "values"))).alias("columns"))
+    typed = lambda d: d.join(types.select("doc_id", "doc_type").hint("shuffle_hash"), "doc_id")  # noqa: E731  # a document looks its type up before it becomes events, so these are not sorted for it
+    docs = typed(columns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "col_name", "values"))).alias("columns")))
     names = F.filter(F.transform("columns", lambda x: c.strip(x["col_name"])), lambda n: (n != "") & ~n.startswith("Col_"))
     height = F.array_max(F.transform("columns", lambda x: F.element_at(x["values"], -1)["row_idx"])) + 1
     none = F.array().cast(f"array<{EVENT}>")
     header = F.when(F.size(names) >= LEAST_HEADERS, F.array(event("header", text=F.to_json(names), number=height)).cast(f"array<{EVENT}>")).otherwise(none) if "header" in kinds else none
-    flat = docs.select("doc_id", F.size("columns").alias("columns"), header.alias("header"), F.posexplode("columns").alias("place", "own")).select("doc_id", "columns", F.when(F.col("place") == 0, F.col("header")).otherwise(none).alias("header"), "own.*")
-    out = flat.select("doc_id", F.inline(F.concat("header", column_events(F.col("values"), kinds))))
+    flat = docs.select("doc_id", "doc_type", F.size("columns").alias("columns"), header.alias("header"), F.posexplode("columns").alias("place", "own")).select("doc_id", "doc_type", "columns", F.when(F.col("place") == 0, F.col("header")).otherwise(none).alias("header"), "own.*")
+    out = flat.select("doc_id", "doc_type", F.inline(F.concat("header", column_events(F.col("values"), kinds))))
     if metadata is not None and {"keyword", "metadata"} & set(kinds):
         labels = lambda side: F.filter(F.transform(side, lambda p: p["label"]), lambda x: x.isNotNull())
         told = lambda name, side: F.when(F.size(side) > 0, F.array(event("metadata", F.lit(name), text=F.to_json(labels(side)))))
         title = F.when(F.col("title") != "", F.array(event("metadata", F.lit("title_sample"), text=F.col("title"))))
         parts = {"keyword": [words(F.col("title"), 3.0)], "metadata": [told("info_labels", F.col("info")), told("market_info_labels", F.col("market_info")), title]}
-        out = out.unionByName(metadata.select("doc_id", F.inline(F.concat(none, *[F.coalesce(x, none) for kind, found in parts.items() if kind in kinds for x in found]))))
-    return out.join(types.select("doc_id", "doc_type"), "doc_id").select("kind", "doc_type", "doc_id", "name", "position", "weight", "number", "text")
+        out = out.unionByName(typed(metadata).select("doc_id", "doc_type", F.inline(F.concat(none, *[F.coalesce(x, none) for kind, found in parts.items() if kind in kinds for x in found]))))
+    return out.select("kind", "doc_type", "doc_id", "name", "position", "weight", "number", "text")
 
 
 def write_batch(events: DataFrame, folder: str, batch: str) -> None:

@@ -61,8 +61,13 @@ SELECT doc_id, tier, confidence, answer FROM r WHERE place = 1""")(lambda get: t
 
 #: Tables with placeholders for names: a title, a header where there is one, lines, a repeated header and a line of placeholders.
 _LINES = f"SELECT d, r + 3 AS r, a, b, 'line' AS kind FROM ({x._LINE}) l"
-_EXTRA = " UNION ALL ".join(f"SELECT DISTINCT l_orderkey, {r}, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '{kind}' FROM lineitem WHERE {when}" for r, kind, when in ((0, "title", "true"), (1, "head", "l_orderkey % 3 > 0"), (2, "waste", "l_orderkey % 2 = 0"), (99, "again", "l_orderkey % 5 < 2")))
-_PLACED = x.dealt("placed_rows", f"{_LINES} UNION ALL {_EXTRA}")
+_EXTRAS = ((0, "title", "true"), (1, "head", "l_orderkey % 3 > 0"), (2, "waste", "l_orderkey % 2 = 0"), (99, "again", "l_orderkey % 5 < 2"))
+_EXTRA = " UNION ALL ".join(f"SELECT DISTINCT l_orderkey, {r}, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '{kind}' FROM lineitem WHERE {when}" for r, kind, when in _EXTRAS)
+_ROW = "array(named_struct('r', {0}, 'a', {1}, 'b', {1}, 'kind', '{2}'))"
+#: The same with what a document has besides its lines beside the first of them.
+_ONCE = f"""SELECT d, inline(CASE WHEN r = 0 THEN concat(array(named_struct('r', r + 3, 'a', a, 'b', b, 'kind', 'line')), {", ".join(f"CASE WHEN {when.replace('l_orderkey', 'd')} THEN {_ROW.format(r, '0L', kind)} ELSE array() END" for r, kind, when in _EXTRAS)})
+ ELSE array(named_struct('r', r + 3, 'a', a, 'b', b, 'kind', 'line')) END) FROM ({x._LINE}) l"""
+_PLACED = x.dealt("placed_rows", f"{_LINES} UNION ALL {_EXTRA}", once=_ONCE)
 SHEETS = f"""
 SELECT d AS doc_id, CAST(r AS INT) AS row_idx, CAST(k AS INT) AS col_idx,
   CASE WHEN d % 4 = 0 THEN CASE k WHEN 0 THEN '구분' WHEN 1 THEN '+30' WHEN 2 THEN '-1+00' ELSE '비고' END ELSE 'Col_' || CAST(k AS STRING) END AS col_name,
@@ -215,7 +220,7 @@ lv AS MATERIALIZED (SELECT kind, doc_type, doc_id, name, "position", weight, num
 def learned_events(get, kinds: tuple[str, ...] = learning.KINDS) -> DataFrame:
     pair = "named_struct('label', '발행', 'value', 'x')"
     meta = get(f"SELECT doc_id, title, CASE WHEN n = 1 THEN array({pair}) ELSE slice(array({pair}), 1, 0) END AS info, slice(array({pair}), 1, 0) AS market_info FROM ({LEARN_META}) q")
-    return learning.learn(get(SHEETS), get(LEARN_TYPES), meta, kinds)
+    return learning.learn(get(SHEETS), get(LEARN_TYPES), meta, kinds, dealt=True)
 
 
 query("learn_events", None, f"WITH {EVENTS} SELECT * FROM lv")(lambda get: learned_events(get))

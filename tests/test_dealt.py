@@ -209,3 +209,17 @@ def test_only_events_asked_for_are_made(spark):
     assert events._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 4") == 1
     some = learning.learn(cells, types, kinds=("number",))
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, events.where("kind = 'number'").collect())) and some.count() == 4
+
+
+@pytest.mark.parametrize("sql", [rules._ROWS, flows._PLACED], ids=["sheet", "placed"])
+def test_rows_of_unions_are_made_once(spark, sql):
+    """As the SQL says, from one reading of their table, which is dealt once."""
+    made, said = x.frame(spark, SF, sql), spark.sql(sql)
+    assert made.dtypes == said.dtypes and made.count() == said.count() and not made.exceptAll(said).take(1)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_learned_cells_stay_in_their_parts(spark, monkeypatch):
+    """Also where there are more parts than the session's shuffles have."""
+    monkeypatch.setattr(x, "PART_BYTES", 10000)
+    assert moves(QUERIES["learn_events"](spark, SF)) == 0
