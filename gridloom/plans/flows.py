@@ -65,8 +65,8 @@ _EXTRAS = ((0, "title", "true"), (1, "head", "l_orderkey % 3 > 0"), (2, "waste",
 _EXTRA = " UNION ALL ".join(f"SELECT DISTINCT l_orderkey, {r}, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '{kind}' FROM lineitem WHERE {when}" for r, kind, when in _EXTRAS)
 _ROW = "array(named_struct('r', {0}, 'a', {1}, 'b', {1}, 'kind', '{2}'))"
 #: The same with what a document has besides its lines beside the first of them.
-_ONCE = f"""SELECT d, inline(CASE WHEN r = 0 THEN concat(array(named_struct('r', r + 3, 'a', a, 'b', b, 'kind', 'line')), {", ".join(f"CASE WHEN {when.replace('l_orderkey', 'd')} THEN {_ROW.format(r, '0L', kind)} ELSE array() END" for r, kind, when in _EXTRAS)})
- ELSE array(named_struct('r', r + 3, 'a', a, 'b', b, 'kind', 'line')) END) FROM ({x._LINE}) l"""
+_ONCE = f"""SELECT d, inline(rows) FROM (SELECT d, CASE WHEN r = 0 THEN concat(array(named_struct('r', r + 3, 'a', a, 'b', b, 'kind', 'line')), {", ".join(f"CASE WHEN {when.replace('l_orderkey', 'd')} THEN {_ROW.format(r, '0L', kind)} ELSE array() END" for r, kind, when in _EXTRAS)})
+ ELSE array(named_struct('r', r + 3, 'a', a, 'b', b, 'kind', 'line')) END AS rows FROM ({x._LINE}) l) q"""
 _PLACED = x.dealt("placed_rows", f"{_LINES} UNION ALL {_EXTRA}", once=_ONCE)
 SHEETS = f"""
 SELECT d AS doc_id, CAST(r AS INT) AS row_idx, CAST(k AS INT) AS col_idx,

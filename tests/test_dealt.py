@@ -223,3 +223,20 @@ def test_learned_cells_stay_in_their_parts(spark, monkeypatch):
     """Also where there are more parts than the session's shuffles have."""
     monkeypatch.setattr(x, "PART_BYTES", 10000)
     assert moves(QUERIES["learn_events"](spark, SF)) == 0
+
+
+def test_a_plan_puts_its_cells_together_once(spark):
+    """Cells become rows once; windows and joins see rows, and no lambda stands where a cell is told its number and style."""
+    plan = QUERIES["sheet_plan"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "Window" in x and "col_idx" in x.split("],")[-1]]
+    assert "lambda" not in plan[0] and len([x for x in plan if "collect_list" in x]) == 1
+
+
+def test_promotion_of_ragged_tables(spark):
+    """Columns that the header's row lacks, nulls, a header with a name twice, a table that is gone."""
+    from gridloom.operators import sheets
+
+    rows = [("a", 0, 0, "Col_0", " 구분"), ("a", 0, 1, "Col_1", None), ("a", 1, 0, "Col_0", "x "), ("a", 1, 2, "Col_2", "y"), ("a", 2, 0, "Col_0", None), ("a", 3, 0, "Col_0", "열2"), ("a", 3, 1, "Col_1", "구분"), ("a", 3, 2, "Col_2", "열3"), ("a", 4, 0, "Col_0", "Col_9"),
+            ("b", 0, 0, "n", "n"), ("c", 0, 0, "구분", "구분"), ("c", 0, 0, "구분", "z"), ("c", 1, 0, None, "w")]
+    out = sheets.promoted(spark.createDataFrame(rows, "doc_id string, row_idx int, col_idx int, col_name string, value string"))
+    assert sorted(tuple(r) for r in out.select("doc_id", "row_idx", "place", "col_idx", "col_name", "value").collect() if r["col_name"]) == [("a", 1, 0, 0, "구분", "x "), ("a", 1, 0, 2, "열3", "y"), ("c", 0, 0, 0, "구분", "z"), ("c", 0, 0, 0, "구분", "구분")]
