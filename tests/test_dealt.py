@@ -240,3 +240,37 @@ def test_promotion_of_ragged_tables(spark):
             ("b", 0, 0, "n", "n"), ("c", 0, 0, "구분", "구분"), ("c", 0, 0, "구분", "z"), ("c", 1, 0, None, "w")]
     out = sheets.promoted(spark.createDataFrame(rows, "doc_id string, row_idx int, col_idx int, col_name string, value string"))
     assert sorted(tuple(r) for r in out.select("doc_id", "row_idx", "place", "col_idx", "col_name", "value").collect() if r["col_name"]) == [("a", 1, 0, 0, "구분", "x "), ("a", 1, 0, 2, "열3", "y"), ("c", 0, 0, 0, "구분", "z"), ("c", 0, 0, 0, "구분", "구분")]
+
+
+def test_votes_by_brute_force(spark):
+    """Equal values, majorities, values of different and of equal lengths, empty ones, among two to five runs."""
+    import random
+    from collections import defaultdict
+
+    pick, rows = random.Random(5), []
+    for d in range(60):
+        for u in range(pick.choice((2, 3, 5))):
+            rows += [(d, u, r, k, "n", pick.choice(("ab", "ab", "ac", "abc", "b", "", "xy1", " ab "))) for r in range(2) for k in (1, 7)]
+    out = tables.consensus_tables(spark.createDataFrame(rows, "doc_id long, run_id int, row_idx int, col_idx int, col_name string, value string"))
+
+    def best(found):  # of (run, what) the most frequent, the earliest of equals
+        seen = defaultdict(list)
+        for u, x in found:
+            seen[x].append(u)
+        return min((-len(us), min(us), x) for x, us in seen.items())
+
+    cells = defaultdict(list)
+    for d, u, r, k, _, x in rows:
+        cells[d, r, k].append((u, x.strip()))
+    for key, found in cells.items():
+        n, _, x = best(found)
+        if -n * 2 <= len(found) - len(found) % 2 and key[2] < 6 and -n < 2:
+            size = best([(u, len(y)) for u, y in found])[2]
+            x = "".join(best([(u, y[i]) for u, y in found if len(y) == size])[2] for i in range(size))
+        cells[key] = x
+    assert {(r["doc_id"], r["row_idx"], r["col_idx"]): r["value"] for r in out.collect()} == cells
+
+
+def test_chosen_runs_are_looked_up(spark):
+    """Cells are sorted for their lists alone: the join with what is chosen for their document sorts nothing."""
+    assert "SortMergeJoin" not in QUERIES["consensus_table"](spark, SF)._jdf.queryExecution().executedPlan().toString()
