@@ -126,13 +126,15 @@ def over_share_of_max(sums: DataFrame, value: str, share: float, by: str) -> Dat
     return sums.join(top, by).where(F.col(value) > share * F.col("_top")).drop("_top")
 
 
-def uniform_suffix(widths: DataFrame, factor: float = 1.3) -> DataFrame:
-    """widths(doc_id, idx, w): where the last run of columns no wider than factor times the upper median begins."""
-    listed = widths.groupBy("doc_id").agg(F.sort_array(F.collect_list("w")).alias("_s"), F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_w"))
+def uniform_suffix(widths: DataFrame, factor: float = 1.3, *more: Column) -> DataFrame:
+    """widths(doc_id, idx, w): where the last run of columns no wider than factor times the upper median begins; ``more`` aggregates come along.  Rows without a place or a width count for those alone."""
+    named = F.col("idx").isNotNull() & F.col("w").isNotNull()
+    listed = widths.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(named, F.col("w")))).alias("_s"), F.sort_array(F.collect_list(F.when(named, F.struct("idx", "w")))).alias("_w"), *more).where(F.size("_s") > 0)
+    kept = listed.columns[3:]
     median = F.element_at("_s", F.floor(F.size("_s") / 2).cast("int") + 1)
     listed = listed.withColumn("median", median)
     wide = F.filter("_w", lambda s: s["w"] > factor * F.col("median"))
-    return listed.select("doc_id", "median", (F.coalesce(F.array_max(F.transform(wide, lambda s: s["idx"])), F.lit(-1)) + 1).cast("long").alias("start_idx"))
+    return listed.select("doc_id", "median", (F.coalesce(F.array_max(F.transform(wide, lambda s: s["idx"])), F.lit(-1)) + 1).cast("long").alias("start_idx"), *kept)
 
 
 def confidence_term(columns: Column) -> Column:

@@ -274,3 +274,15 @@ def test_votes_by_brute_force(spark):
 def test_chosen_runs_are_looked_up(spark):
     """Cells are sorted for their lists alone: the join with what is chosen for their document sorts nothing."""
     assert "SortMergeJoin" not in QUERIES["consensus_table"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spreads_read_their_cells_once(spark):
+    plan = QUERIES["spread_realign"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") <= 3  # cells, grid and filled places
+
+
+def test_spread_numbers(spark):
+    from gridloom.functions import cells as c
+
+    names = ["-100", "++6.5%", "%5", "Col_3", "x (+3.5)", "x (5%)", "(7)b)", "()", "(1)(2) z", "1)", "+", ".", "5(a)", "12 (b", None]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in names], "h string").select(c.spread_number(c.F.col("h"))).collect()] == [True, True, True, False, True, False, False, False, True, False, False, False, False, False, None]
